@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, packing, simhash, url_filter
+from . import chat, decontam, line_dedup, packing, quality, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(quality.judge(table(spark, sf_dir, "documents")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents")))
 
@@ -35,7 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontamination, op3_chat_format, op4_packing, op8_line_dedup, op9_url_filter, op10_simhash)
+    every = (op1_decontamination, op3_chat_format, op4_packing, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_url_filter, op10_simhash)
     return {f.__name__: f for f in every}
 
 
