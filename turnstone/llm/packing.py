@@ -13,10 +13,13 @@ null doc_id stays null. Strings of special tokens inside texts are read as the t
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
@@ -25,8 +28,7 @@ LENGTH = 2048
 END_ID = 0
 OPEN = 4_096
 PACKER_SEQUENCES = 20_000
-CACHE_WORDS = 300_000
-BATCH_WORDS = 400_000
+CACHE_WORDS = 600_000
 _NEWLINE = bytes(0x20 if c == 0x0A else c for c in range(256))
 
 
@@ -36,56 +38,60 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of texts, as bytes of unsigned 32-bit numbers, for a tokenizer whose tokens never reach over a space.
+#: Chunks that may be split here: printable ASCII and Latin letters that no normalisation changes but lower case.
+_PLAIN = regex.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+#: The tokenizer's own split, and its map from bytes to printable characters.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(b if b in _PRINTABLE else 256 + sum(c not in _PRINTABLE for c in range(b))) for b in range(256)}
 
-    Texts are cut at spaces and newlines, and each distinct cut is encoded once: all new ones of a batch in one call, with a
-    special token between them that tells their ids apart.
+
+class WordEncoder(dict):
+    """Ids of texts, as bytes of unsigned 32-bit numbers, for a lower-casing byte-level BPE whose tokens never reach over a space.
+
+    Texts are cut at spaces and newlines, and each distinct chunk is encoded once and kept here. The words of plain chunks go to
+    the BPE model directly; any other chunk, such as one with marks to be composed or with a special token, goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        super().__init__({b"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.mark_id, self.mark = max(special.items())
-        self.special = [t.encode() for t in special.values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache_words = cache_words
-        self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 20_000):
-            plain = []
-            for w in new[at : at + 20_000]:
-                if any(s in w for s in self.special):
-                    self.known[w] = self._ids(w.decode()).tobytes()
-                else:
-                    plain.append(w)
-            if plain:
-                ids = self._ids(f" {self.mark} ".join(w.decode() for w in plain))
-                cut = np.flatnonzero(ids == self.mark_id).tolist()
-                raw = ids.tobytes()
-                self.known.update(zip(plain, (raw[4 * s : 4 * e] for s, e in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        cuts: list[list[bytes]] = []
-        held = 0
-        for i, text in enumerate(texts):
-            cuts.append(text.encode().translate(_NEWLINE).split(b" ") if text else [])
-            held += len(cuts[-1])
-            if held >= BATCH_WORDS or i == len(texts) - 1:
-                distinct = set().union(*cuts)
-                if len(self.known) > self.cache_words:
-                    self.known = {b"": b""}
-                self._learn(list(distinct.difference(self.known)))
-                get = self.known.__getitem__
-                out.extend(b"".join(map(get, c)) for c in cuts)
-                cuts, held = [], 0
-        return out
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        ids = self.parts[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        known = self.parts.get
+        if text.isascii() and text.isalpha():
+            word = text.lower()
+            ids = known(word) or self._part(word)
+        elif _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            ids = b"".join([known(w) or self._part(w) for w in _SPLIT.findall(text.lower())])
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if len(self) > self.cache_words:
+            self.clear()
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, text.encode().translate(_NEWLINE).split(b" "))) if text else b""
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which keeps what it has learnt from one task to the next."""
+    return WordEncoder(path)
 
 
 def pieces(documents: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -96,13 +102,13 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, length: int = LEN
     size = 4 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 columns: list[list] = [[], [], [], [], []]
                 ids: list[np.ndarray] = []
-                for doc, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for doc, raw in zip(part.column(0).to_pylist(), map(encoder.encode, part.column(1).to_pylist())):
                     raw += end
                     for k, s in enumerate(range(0, len(raw), size)):
                         own = raw[s : s + size]
