@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, packing, quality, simhash, toxicity, url_filter
+from . import chat, decontam, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -43,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontamination, op3_chat_format, op4_packing, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_url_filter, op10_simhash)
+    every = (op1_decontamination, op2_pii, op3_chat_format, op4_packing, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_url_filter, op10_simhash)
     return {f.__name__: f for f in every}
 
 
