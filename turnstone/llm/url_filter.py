@@ -58,7 +58,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges: in
     url = F.col("url")
     left = pages.select(F.col("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     left = left.withColumn("key", canonical(F.col("host"))).withColumn("salt", F.lpad(F.hex(F.xxhash64("page_id", "path")), 16, "0"))
-    sample = [tuple(r) for r in left.select("key", "salt").orderBy("salt", "key").limit(CUT_SAMPLE).toLocalIterator()]
+    sample = [tuple(r) for r in left.select("key", "salt").orderBy(F.xxhash64("salt", "key"), "salt", "key").limit(CUT_SAMPLE).toLocalIterator()]
     sample.sort(key=lambda r: (r[0].encode(), r[1]))
     cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)} if sample else set(), key=lambda r: (r[0].encode(), r[1]))
     marks = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(s).alias("salt")) for k, s in cuts]) if cuts else None
