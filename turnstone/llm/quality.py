@@ -72,9 +72,12 @@ def _without(text: Column, chars: str) -> Column:
 def measures(text: Column) -> Column:
     """All counts and ratios of the rules' table, as one struct."""
     t = F.coalesce(text, F.lit(""))
-    chars = F.length(_without(t, _SPACE))
     ratio = lambda n, of: F.when(of > 0, n / of).otherwise(F.lit(0.0))
-    left_by = lambda pattern: chars - F.length(F.regexp_replace(_without(t, _SPACE), pattern, ""))
+
+    def of_chars(solid: Column) -> Column:
+        """Counts over the text without white space; letters are letters and digits."""
+        left_by = lambda pattern: F.length(solid) - F.length(F.regexp_replace(solid, pattern, ""))
+        return F.struct(F.length(solid).alias("chars"), (F.length(solid) - F.length(_without(solid, _SYMBOLS))).alias("symbols"), left_by(r"\p{Lu}+").alias("upper"), left_by(r"[0-9]+").alias("digits"), left_by(r"[\p{L}\p{N}]+").alias("letters"))
 
     def of_lines(lines: Column) -> Column:
         share = lambda test: F.size(F.filter(lines, test))
@@ -94,8 +97,8 @@ def measures(text: Column) -> Column:
             repeated_words(w).alias("repeat"),
         )
 
-    lines = _bind(F.filter(F.split(t, "\n", -1), lambda x: F.length(_without(x, _SPACE)) > 0), of_lines)
-    both = F.struct(_bind(words_of(t), of_words).alias("w"), lines.alias("l"), F.struct(chars.alias("chars"), (F.length(t) - F.length(_without(t, _SYMBOLS))).alias("symbols"), left_by(r"\p{Lu}+").alias("upper"), left_by(r"[0-9]+").alias("digits"), left_by(r"[\p{L}\p{N}]+").alias("letters")).alias("c"))
+    lines = _bind(F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^ \t-\r]"))), of_lines)
+    both = F.struct(_bind(words_of(t), of_words).alias("w"), lines.alias("l"), _bind(_without(t, _SPACE), of_chars).alias("c"))
     return _bind(
         both,
         lambda m: F.struct(
