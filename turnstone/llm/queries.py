@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
+from . import chat, decontam, line_dedup, lm_score, packing, pii, quality, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("sum_log", 6).alias("sum_log"), F.round("mean_log", 6).alias("mean_log"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.judge(table(spark, sf_dir, "documents")))
 
@@ -47,9 +52,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontamination, op2_pii, op3_chat_format, op4_packing, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_url_filter, op10_simhash)
+    every = (op1_decontamination, op2_pii, op3_chat_format, op4_packing, op5_lm_score, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_url_filter, op10_simhash)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op3_chat_format": chat.ORACLE, "op5_lm_score": lm_score.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
