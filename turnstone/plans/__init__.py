@@ -1,0 +1,8 @@
+"""The catalogue of queries."""
+
+
+def catalogue() -> dict[str, tuple]:
+    """name -> (query, SQL or None), over all modules of queries."""
+    from turnstone.plans import vectors
+
+    return vectors.QUERIES
