@@ -178,7 +178,7 @@ QUERIES: dict[str, tuple] = {
     "time_rail": (time_rail, f"WITH {_SESS}, g AS (SELECT *, date_diff('day', start_ts::DATE, DATE '2024-01-31') AS d FROM s), l AS (SELECT *, CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN d || ' days ago' WHEN d < 14 THEN 'Last week' WHEN d < 31 THEN (d // 7) || ' weeks ago' ELSE strftime(start_ts, '%Y-%m') END AS label FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY start_ts DESC, session_id) AS k FROM l) SELECT session_id, label FROM r WHERE k = 1"),
     "tool_cooccurrence": (tool_cooccurrence, "WITH u AS (SELECT DISTINCT user_id, event_type AS t FROM events WHERE event_type IS NOT NULL) SELECT x.t AS a, y.t AS b, count(*) AS sessions FROM u x JOIN u y ON x.user_id = y.user_id AND x.t < y.t GROUP BY ALL"),
     "error_catalogue": (error_catalogue, "SELECT left(coalesce(props, ''), 12) AS prefix, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, prefix LIMIT 20"),
-    "pivot_turn": (pivot_turn, "WITH w AS (SELECT conv_id, turn, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+')) AS w FROM conversations), an AS (SELECT DISTINCT w FROM w WHERE turn = 0 AND conv_id % 50 = 0 AND strlen(w) > 4), h AS (SELECT conv_id, turn, count(*) AS n FROM w WHERE w IN (SELECT w FROM an) GROUP BY ALL), b AS (SELECT conv_id, arg_max(turn, struct_pack(a := n, b := -turn)) AS best_at, max(n) AS n FROM h GROUP BY ALL), z AS (SELECT conv_id, count(*) AS t FROM conversations GROUP BY ALL) SELECT z.conv_id AS session_id, (CASE WHEN coalesce(n, 0) < 2 THEN least(floor(2 * t / 3), t - 1) ELSE best_at END)::BIGINT AS "pivot" FROM z LEFT JOIN b ON z.conv_id = b.conv_id"),
+    "pivot_turn": (pivot_turn, "WITH w AS (SELECT conv_id, turn, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+')) AS w FROM conversations), an AS (SELECT DISTINCT w FROM w WHERE turn = 0 AND conv_id % 50 = 0 AND strlen(w) > 4), h AS (SELECT conv_id, turn, count(*) AS n FROM w WHERE w IN (SELECT w FROM an) GROUP BY ALL), b AS (SELECT conv_id, arg_max(turn, struct_pack(a := n, b := -turn)) AS best_at, max(n) AS n FROM h GROUP BY ALL), z AS (SELECT conv_id, count(*) AS t FROM conversations GROUP BY ALL) SELECT z.conv_id AS session_id, (CASE WHEN coalesce(n, 0) < 2 THEN least(floor(2 * t / 3), t - 1) ELSE best_at END)::BIGINT AS \"pivot\" FROM z LEFT JOIN b ON z.conv_id = b.conv_id"),
     "predict_next": (predict_next, f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, q WHERE vec_id <> query_id), n AS (SELECT query_id, id AS session_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 8), {_CALLS}, m AS (SELECT session_id, count(*) // 2 AS mid FROM c GROUP BY ALL), u AS (SELECT n.query_id, c.name, n.score, n.session_id FROM n JOIN m ON n.session_id = m.session_id JOIN c ON c.session_id = n.session_id AND c.seq > mid AND c.seq <= mid + 3), g AS (SELECT query_id, name, count(*) AS n, round(avg(score), 6) AS confidence, arg_max(session_id, struct_pack(a := score, b := -session_id)) AS example FROM u GROUP BY ALL), f AS (SELECT *, sum(n) OVER (PARTITION BY query_id) AS total FROM g), o AS (SELECT query_id, name, round(n / total, 6) AS freq, confidence, round(0.55 * n / total + 0.45 * confidence, 5) AS score, example FROM f) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank FROM o) WHERE rank <= 6"),
     "prompt_days": (prompt_days, "SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT event_type) AS projects FROM events GROUP BY ALL"),
     "latest_errors": (latest_errors, f"WITH {_CALLS}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM c) SELECT session_id, max(seq) AS seq, arg_max(event_id, seq) AS event_id FROM b WHERE back <= 6 AND is_error GROUP BY ALL"),
