@@ -213,7 +213,7 @@ QUERIES: dict[str, tuple] = {
     "ordered_sessions": (ordered_sessions, f"WITH {_PTS} SELECT id, start_ts, project FROM p ORDER BY start_ts DESC NULLS LAST, id LIMIT 60"),
     "range_filter": (range_filter, f"WITH {_PTS} SELECT project, count(*) AS n FROM p WHERE has_errors AND start_ts >= {AS_OF - 30 * 86400} AND project IN ('2', '4', '6') GROUP BY ALL"),
     "sparse_idf_search": (sparse_idf_search, f"WITH {_POST}, n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), df AS (SELECT token, count(*) AS df FROM po GROUP BY ALL), qt AS (SELECT query_id, t AS token, count(*) AS q FROM (SELECT conv_id AS query_id, unnest({_TOK.format(x='text')}) AS t FROM conversations WHERE turn = 0 AND conv_id % 10 = 0) GROUP BY ALL), f AS (SELECT query_id, id, round(sum(tf * q * ln((n - df + 0.5) / (df + 0.5) + 1)), 6) AS score FROM po JOIN qt ON po.token = qt.token JOIN df ON po.token = df.token CROSS JOIN n GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM f) WHERE rank <= 10"),
-    "knn_pairs": (knn_pairs, None),
+    "knn_pairs": (knn_pairs, f"WITH {_PTS}, z AS (SELECT id, vec FROM p ORDER BY md5(id::VARCHAR), id LIMIT 80), s AS (SELECT x.id AS query_id, y.id AS id, round(list_dot_product(x.vec, y.vec), 6) AS score FROM z x, z y WHERE x.id <> y.id), h AS (SELECT * FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 5) SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM h GROUP BY 1, 2"),
     "mst_edges": (mst_edges, None),
     "bridges": (bridges, None),
     "isolated_projects": (isolated_projects, None),
