@@ -51,7 +51,7 @@ def fingerprint(sessions: DataFrame) -> DataFrame:
     """
     sizes = sessions.groupBy("turns").agg(F.count(F.lit(1)).alias("n"))
     upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("turns")))
-    facts = sessions.agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("turns"), 6).alias("avg_turns"), F.max_by("session_id", F.struct("turns", -F.col("session_id"))).alias("longest"), F.round(F.avg(F.col("has_errors").cast("double")), 6).alias("error_rate"))
+    facts = sessions.agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("turns"), 6).alias("avg_turns"), F.min_by("session_id", F.struct(-F.col("turns"), "session_id")).alias("longest"), F.round(F.avg(F.col("has_errors").cast("double")), 6).alias("error_rate"))
     median = upto.crossJoin(F.broadcast(facts.select("sessions"))).filter(F.col("upto") > F.floor(F.col("sessions") / 2)).agg(F.min("turns").alias("median_turns"))
     return facts.crossJoin(F.broadcast(median))
 
@@ -150,7 +150,7 @@ def predict(neighbours: DataFrame, pivot: DataFrame, calls: DataFrame, horizon:
     """
     near = neighbours.join(pivot, "session_id")
     used = near.join(calls.select("session_id", "turn_index", "name"), "session_id").filter((F.col("turn_index") > F.col("pivot")) & (F.col("turn_index") <= F.col("pivot") + horizon))
-    by = used.groupBy("query_id", "name").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("confidence"), F.max_by("session_id", F.struct("score", -F.col("session_id"))).alias("example"))
+    by = used.groupBy("query_id", "name").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("confidence"), F.min_by("session_id", F.struct(-F.col("score"), "session_id")).alias("example"))
     total = F.sum("n").over(Window.partitionBy("query_id"))
     scored = by.withColumn("freq", F.round(F.col("n") / total, 6)).withColumn("confidence", F.round("confidence", 6)).withColumn("score", F.round(0.55 * F.col("n") / total + 0.45 * F.col("confidence"), 5))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
