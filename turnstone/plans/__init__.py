@@ -3,6 +3,6 @@
 
 def catalogue() -> dict[str, tuple]:
     """name -> (query, SQL or None), over all modules of queries."""
-    from turnstone.plans import activities, texts, vectors
+    from turnstone.plans import activities, streams, texts, vectors
 
-    return vectors.QUERIES | texts.QUERIES | activities.QUERIES
+    return vectors.QUERIES | texts.QUERIES | activities.QUERIES | streams.QUERIES

@@ -8,6 +8,7 @@ from turnstone.functions import text as t
 from turnstone.operators import activity as a, retrieval
 from turnstone.operators import store
 from turnstone.plans.adapters import AS_OF_TS, calls, points, queries, table, turns
+from turnstone.streaming import watch
 
 
 
@@ -143,6 +144,22 @@ def conditional_update(spark, d):
     return store.update_where(p, [0, 1, 2, 3, 4, 5, 6, 7], 3, {"project": "moved"}).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
 
 
+def archaeology(spark, d):
+    """Old and new sessions: how many, over how many days, and the first and last of them."""
+    s = _sessions(spark, d).withColumn("era", F.when(F.col("session_id") % 3 == 0, "legacy").otherwise("modern"))
+    return s.groupBy("era").agg(F.count(F.lit(1)).alias("sessions"), F.datediff(F.max("start_ts"), F.min("start_ts")).alias("span_days"), F.min("session_id").alias("first_id"), F.max("session_id").alias("last_id"))
+
+
+def source_facets(spark, d):
+    return retrieval.facets(table(spark, d, "documents"), "source")
+
+
+def error_runs(spark, d):
+    """Runs of a session's errors with less than a day between them."""
+    e = _events(spark, d).filter("is_error").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "is_error")
+    return watch.error_bursts(e, "1 day").groupBy("session_id").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest"))
+
+
 def hourly_errors(spark, d):
     return _events(spark, d).filter("is_error").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("string").alias("hour"), "n")
 
@@ -185,5 +202,8 @@ QUERIES: dict[str, tuple] = {
     "dual_read": (dual_read, f"WITH {_P} SELECT id, project, CASE WHEN id % 3 = 0 THEN 3 ELSE 2 END AS version FROM p"),
     "dedupe_first": (dedupe_first, "SELECT user_id AS session_id, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM events GROUP BY ALL"),
     "conditional_update": (conditional_update, f"WITH {_P} SELECT CASE WHEN id < 8 AND id % 4 < 3 THEN 'moved' ELSE project END AS project, count(*) AS n FROM p GROUP BY 1"),
+    "archaeology": (archaeology, f"WITH {_SESS} SELECT CASE WHEN session_id % 3 = 0 THEN 'legacy' ELSE 'modern' END AS era, count(*) AS sessions, date_diff('day', min(start_ts)::DATE, max(start_ts)::DATE)::INT AS span_days, min(session_id) AS first_id, max(session_id) AS last_id FROM s GROUP BY 1"),
+    "source_facets": (source_facets, "SELECT source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY ALL ORDER BY n DESC, value LIMIT 256"),
+    "error_runs": (error_runs, "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'error'), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e), g AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL) SELECT user_id AS session_id, count(*) AS runs, max(n) AS longest FROM g GROUP BY ALL"),
     "hourly_errors": (hourly_errors, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL"),
 }

@@ -85,6 +85,18 @@ def neighbours_excluded(spark, d):
     return r.ranked(other.select("query_id", "id", "score"), 5)
 
 
+def neighbour_bands(spark, d):
+    """The five nearest, in bands of similarity."""
+    score = F.col("score")
+    return r.ranked(_found(spark, d)[1].drop("rank"), 5).select("query_id", "id", F.when(score > 0.7, "strong").when(score > 0.5, "related").otherwise("weak").alias("band"))
+
+
+def recall_queue(spark, d):
+    """Sessions with errors of the query set, and up to four other sessions with errors that are alike enough."""
+    p = points(spark, d).filter("has_errors")
+    return r.neighbours(p, queries(p), 4, at_least=0.25)
+
+
 def _vec(p: DataFrame, i: int) -> list[float]:
     return list(p.filter(F.col("id") == i).select("vec").first()[0])
 
@@ -203,6 +215,8 @@ QUERIES: dict[str, tuple] = {
     "lens_breakdown": (lens_breakdown, f"{_LANES} SELECT query_id, id, max(score) FILTER (lane = 'content') AS content, max(score) FILTER (lane = 'code') AS code, max(score) FILTER (lane = 'error') AS error FROM l GROUP BY ALL"),
     "grouped_topk": (grouped_topk, f"{_ALL}, h AS (SELECT query_id, project AS \"group\", id, score FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 50), g AS (SELECT *, row_number() OVER w AS in_group, first(score) OVER w AS best, first(id) OVER w AS best_id FROM h WINDOW w AS (PARTITION BY query_id, \"group\" ORDER BY score DESC, id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, best_id, in_group) AS place FROM g WHERE in_group <= 2) SELECT query_id, \"group\", id, score, in_group, place FROM o WHERE place <= 8"),
     "neighbours_excluded": (neighbours_excluded, f"{_ALL}, h AS (SELECT query_id, id, score FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 50 AND project <> qp) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM h) WHERE rank <= 5"),
+    "neighbour_bands": (neighbour_bands, f"{_ALL} SELECT query_id, id, CASE WHEN score > 0.7 THEN 'strong' WHEN score > 0.5 THEN 'related' ELSE 'weak' END AS band FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 5"),
+    "recall_queue": (recall_queue, f"{_ALL}, e AS (SELECT s.* FROM s JOIN p ON s.query_id = p.id WHERE s.has_errors AND p.has_errors AND score >= 0.25) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM e) WHERE rank <= 4"),
     "mix_match": (mix_match, _discover_sql([(0, 3), (1, 4), (2, 3)], 0, [0, 1, 2, 3, 4])),
     "discovery_pairs": (discovery_pairs, _discover_sql([(5, 6), (7, 8)], 9, [5, 6, 7, 8, 9])),
     "relevance_feedback": (relevance_feedback, f"WITH {_PTS} SELECT id, round({_DOT(0)} + {_DOT(1)} - {_DOT(2)} + 0.5 * ({_DOT(3)} - {_DOT(4)}), 6) AS score FROM p ORDER BY score DESC, id LIMIT 20"),
