@@ -9,13 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstone.functions import text as t
 from turnstone.operators import activity, graph, memory, retrieval, store
+from turnstone.session import session, ship
 from turnstone.sources import sessions as logs
 
 
-def session() -> SparkSession:
-    return SparkSession.builder.appName("turnstone").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
-
-
 def points(got: logs.Sessions) -> DataFrame:
     """One point a session: a numeric id, its content's vector, and what filters read."""
     said = got.turns.filter("trim(text) <> ''").groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "text"))), lambda s: s["text"]), "\n").alias("text"))
@@ -62,7 +59,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--as-of")
     p.add_argument("--folder", default="/tmp")
     args = p.parse_args(argv)
-    out = run(session(), args)
+    spark = session()
+    ship(spark)
+    out = run(spark, args)
     if isinstance(out, DataFrame):
         out.show(args.limit if args.command == "scan" else 200, False)
     else:
