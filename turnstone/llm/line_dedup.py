@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, materialize
 
 MIN_DOCUMENTS = 10
 MIN_KEY_CHARS = 1
+SALTS, HEAVY_SHARE, HEAVY_LEAST = 64, 1e-3, 1_000
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -30,20 +31,27 @@ def _hashed(keys: Column) -> list[Column]:
 
 
 def frequent_keys(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """(h1, h2) of the keys found in at least min_documents rows. Each row's keys are made distinct before they are counted."""
+    """(h1, h2, n) of the keys found in at least min_documents rows. Each row's keys are made distinct before they are counted."""
     keys = documents.select(F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("key")).filter(F.length("key") >= min_key_chars)
-    return keys.select(*_hashed(F.col("key"))).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("h1", "h2")
+    return keys.select(*_hashed(F.col("key"))).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
 
 
 def drop_frequent_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
     """All columns of documents, with the kept text, n_lines before dropping and n_dropped.
 
-    Only hashes and positions are joined to the frequent keys; texts move once, to meet the positions that they lose.
+    Only hashes and positions are joined to the frequent keys; texts move once, to meet the positions that they lose. Keys with a
+    large share of all frequent lines (at most 1 / HEAVY_SHARE keys) are dealt over salts, for which their rows are copied.
     """
     row = F.xxhash64("doc_id", "text")
     placed = documents.select(F.col("doc_id").alias("_doc"), row.alias("_row"), F.posexplode(lines_of(F.col("text"))).alias("_pos", "_line"))
     placed = placed.select("_doc", "_row", "_pos", line_key(F.col("_line")).alias("_key")).filter(F.length("_key") >= min_key_chars).select("_doc", "_row", "_pos", *_hashed(F.col("_key")))
-    gone = placed.join(frequent_keys(documents, min_documents, min_key_chars), ["h1", "h2"], "left_semi").groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_gone"))
+    frequent = materialize(frequent_keys(documents, min_documents, min_key_chars), "lines")
+    heavy = max(HEAVY_LEAST, HEAVY_SHARE * (frequent.agg(F.sum("n")).first()[0] or 0))
+    hot = [r[0] for r in frequent.filter(F.col("n") >= heavy).select("h1").collect()]
+    is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
+    dealt = placed.withColumn("_salt", F.when(is_hot, F.pmod("_row", F.lit(SALTS)).cast("int")).otherwise(0))
+    keys = frequent.select("h1", "h2", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    gone = dealt.join(keys, ["h1", "h2", "_salt"], "left_semi").groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_gone"))
     joined = documents.withColumn("_own", row).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_row")), "left")
     lines = lines_of(F.col("text"))
     # One struct is bound per row, so that the text is split once and each kept line is read by its place.
