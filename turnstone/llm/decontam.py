@@ -219,3 +219,17 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 __all__ = ["build_index", "clean", "decontaminate", "report", "search", "term_counts", "windows", "words"]
+
+
+_SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLE = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_SQL_WORDS} AS bw FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(bw), 10) AS n, array_to_string(bw[i : i + 9], ' ') AS gram FROM (SELECT item, bw, unnest(range(1, greatest(len(bw) - 9, 1) + 1)) AS i FROM b WHERE len(bw) > 0)),
+p AS (SELECT r, i, n, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM g))),
+m AS (SELECT p.r, p.i, p.n, g.item FROM p JOIN g ON p.gram = g.gram AND p.n = g.n),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h ON w.r = h.r LEFT JOIN t ON w.r = t.r
+"""

@@ -144,3 +144,30 @@ def judge(documents: DataFrame, rules: list[tuple[str, float | None, float | Non
 
 def report(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
+def oracle() -> str:
+    """The same rules in SQL, from the same table."""
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    bounds = [f"{name} >= {low}" for name, low, _ in RULES if low is not None] + [f"{name} <= {high}" for name, _, high in RULES if high is not None]
+    ratio = lambda n, of: f"CASE WHEN {of} > 0 THEN {n} / {of} ELSE 0.0 END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, list_filter(string_split_regex(t, '[ \t-\r]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls, regexp_replace(t, '[ \t-\r]+', '', 'g') AS s FROM d),
+g AS (SELECT r, i, array_to_string(ws[i : i + 7], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+q AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+p AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM q) GROUP BY r),
+c AS (
+  SELECT w.r, doc_id, len(ws) AS n_words, length(s) AS word_chars, length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+    coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word_chars, len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS stop, len(ls) AS n_lines,
+    length(s) - length(regexp_replace(s, '\p{{Lu}}+', '', 'g')) AS upper, length(s) - length(regexp_replace(s, '[0-9]+', '', 'g')) AS digits, length(s) - length(regexp_replace(s, '[\p{{L}}\p{{N}}]+', '', 'g')) AS letters,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t-\r]*$'))) AS ellipsis, len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t-\r]*[-*•]'))) AS bullet
+  FROM w LEFT JOIN p ON w.r = p.r
+), m AS (
+  SELECT *, {ratio('n_repeat_words', 'n_words')} AS repeat_word_ratio, {ratio('word_chars', 'n_words')} AS mean_word_chars, {ratio('n_symbols', 'n_words')} AS symbol_word_ratio, {ratio('stop', 'n_words')} AS stop_word_ratio, {ratio('upper', 'letters')} AS upper_char_ratio,
+    {ratio('digits', 'word_chars')} AS digit_char_ratio, {ratio('(word_chars - letters)', 'word_chars')} AS punctuation_char_ratio, {ratio('n_dup_lines', 'n_lines')} AS dup_line_ratio, {ratio('ellipsis', 'n_lines')} AS ellipsis_line_ratio, {ratio('bullet', 'n_lines')} AS bullet_line_ratio,
+    n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * n_words AS base_failed
+  FROM c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(bounds)} AS kept FROM m
+"""

@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.ORACLE, "op5_lm_score": lm_score.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op1_decontamination": decontam.ORACLE, "op6_quality_rules": quality.oracle(), "op3_chat_format": chat.ORACLE, "op5_lm_score": lm_score.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
