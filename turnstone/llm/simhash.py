@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 
@@ -248,14 +248,23 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, with all their columns.
+def text_key() -> Column:
+    """What a row is known by beside its doc_id, which may be null or repeat."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-    Among rows with that same doc_id (or all null), one is kept: the first by text.
-    """
-    found = near_duplicates(documents, shingle, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = documents.join(found, documents["doc_id"].eqNullSafe(found["_keep"]))
-    # Only a doc_id that stands in several rows needs the texts compared.
+
+def first_of_each(documents: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row for each root of roots (doc_id, key, root), with all columns of documents: the smallest doc_id, null last, then the smallest key."""
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"), F.count(F.lit(1)).alias("_rows"))
+    kept = documents.withColumn("_key", text_key()).join(first.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_k"), "_rows"), (F.col("_key") == F.col("_k")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
+    # Only a row that isn't alone in its component may stand several times.
     alone = kept.filter("_rows = 1").select(documents.columns)
-    again = kept.filter("_rows > 1").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.struct(F.xxhash64("text"), F.xxhash64(*[c for c in documents.columns if c != "text"]))).alias("_row")).select("_row.*")
+    again = kept.filter("_rows > 1").groupBy("_id", "_k").agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*documents.columns)).alias("_row")).select("_row.*")
     return alone.unionByName(again)
+
+
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component, with all its columns."""
+    found = near_duplicates(documents.select(text_key().alias("doc_id"), "text"), shingle, distance)
+    of = found.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("root"))
+    return first_of_each(documents, documents.select(F.col("doc_id").cast("bigint"), text_key().alias("key")).join(of, "key"))
