@@ -213,9 +213,10 @@ def report(matches: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark passage, with all their columns. Rows with a null doc_id count as one document."""
-    bad = decontaminate(documents, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents without a benchmark passage, with all their columns. Each row is judged by its own text, whatever its doc_id."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    bad = decontaminate(documents.select(key.alias("doc_id"), "text"), benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
+    return documents.join(bad, key == bad["_bad"], "left_anti")
 
 
 __all__ = ["build_index", "clean", "decontaminate", "report", "search", "term_counts", "windows", "words"]
