@@ -7,11 +7,11 @@ its validator. The generators propose more; each candidate's features go through
 expressions, and a candidate stays if its probability reaches its kind's threshold and it overlaps no base span and no better
 candidate.
 
-The trees are fitted here, on the candidates of at most `SAMPLE_DOCUMENTS` documents chosen by a hash, at most `SAMPLE_CANDIDATES` of
-them. There are no labels for personal data, so validators teach: a candidate counts as positive if a checksum, range or strict
-format accepts it, and the trees, which see no validator but form and context, carry that over to what no validator covers. Each
-kind's threshold is the lowest at which the candidates held back from the fit reach the wanted precision; a kind without such a
-threshold adds nothing.
+The trees are fitted here, on at most `SAMPLE_CANDIDATES` candidates of each kind, chosen by a hash among those of all documents.
+There are no labels for personal data, so validators teach: a candidate counts as positive if a checksum, range or strict format
+accepts it, and the trees, which see no validator but form and context, carry that over to what no validator covers. Each kind's
+threshold is the lowest at which the candidates held back from the fit, counted over the whole table, reach the wanted precision;
+a kind without such a threshold, as with few examples, is selected by its strict form.
 
 Defined results: a null text is empty; a null doc_id is kept; repeated rows are judged alike; an empty table fits no trees.
 """
@@ -21,8 +21,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_DOCUMENTS = 4_000
-SAMPLE_CANDIDATES = 20_000
+from .common import materialize
+
+SAMPLE_CANDIDATES = 5_000
+#: Scores are counted in steps of one part in this many.
+SCORE_STEPS = 100
 PRECISION = 0.97
 ROUNDS, DEPTH, RATE, CUTS = 20, 3, 0.3, 12
 CONTEXT = 32
@@ -202,33 +205,30 @@ class Trees:
         return out
 
 
-def fit(documents: DataFrame, max_documents: int = SAMPLE_DOCUMENTS, max_candidates: int = SAMPLE_CANDIDATES, precision: float = PRECISION) -> tuple[Trees, list[float | None]]:
-    """The trees, and the score that each generator's candidates must reach (None: none is selected)."""
-    step = max(1, -(-documents.count() // max_documents))
-    own = documents.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(step)) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
-    found = own.select("text", F.explode(candidates(F.col("text"))).alias("s"))
-    strict = F.lit(False)
-    for i, (_, form) in enumerate(GENERATORS.values()):
-        strict = strict | ((F.col("s.kind") == len(BASE) + i) & F.rlike("s.text", F.lit(form)))
-    rows = found.select(F.array(*features(F.col("text"), F.col("s"))).alias("x"), strict.cast("int").alias("y"), F.col("s.kind").alias("kind"), F.xxhash64("s.text").alias("h")).limit(max_candidates).collect()
-    none: list[float | None] = [None] * len(GENERATORS)
-    if len(rows) < 20:
-        return Trees(), none
-    rows.sort(key=lambda r: (r["h"], r["kind"], r["x"]))
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
-    held = np.array([r["h"] for r in rows]) % 3 == 0
-    if not (~held).any():
-        return Trees(), none
-    trees = Trees().fit(x[~held], y[~held])
-    score, kind = trees.score(x), np.array([r["kind"] for r in rows])
+def _strict(s: Column) -> Column:
+    """True for a candidate that its kind's strict form accepts."""
+    return F.coalesce(*[F.when(s["kind"] == len(BASE) + i, F.rlike(s["text"], F.lit(form))) for i, (_, form) in enumerate(GENERATORS.values())], F.lit(False))
+
+
+def fit(documents: DataFrame, max_candidates: int = SAMPLE_CANDIDATES, precision: float = PRECISION) -> tuple[Trees, list[float | None]]:
+    """The trees, and the score that each generator's candidates must reach (None: its strict form decides)."""
+    found = documents.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.explode(candidates(F.col("text"))).alias("s"))
+    every = materialize(found.select(F.array(*features(F.col("text"), F.col("s"))).alias("x"), _strict(F.col("s")).cast("int").alias("y"), F.col("s.kind").alias("kind"), F.xxhash64("s.text").alias("h")), "candidates")
+    held = F.pmod("h", F.lit(3)) == 0
+    rows = [r for i in range(len(GENERATORS)) for r in every.filter(~held & (F.col("kind") == len(BASE) + i)).orderBy("h", "x").limit(max_candidates).collect()]
+    limits: list[float | None] = [None] * len(GENERATORS)
+    if len(rows) < 14:
+        return Trees(), limits
+    trees = Trees().fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
+    score = _bind(F.col("x"), trees.expression)
+    counted = every.filter(held).select("kind", "y", F.floor(score * SCORE_STEPS).alias("step")).groupBy("kind", "step").agg(F.sum("y").alias("right"), F.count(F.lit(1)).alias("n")).collect()
     for i in range(len(GENERATORS)):
-        at = np.flatnonzero(held & (kind == len(BASE) + i))
-        order = at[np.argsort(-score[at], kind="stable")]
-        right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
-        last = [j for j in range(len(order)) if right[j] >= precision and (j + 1 == len(order) or score[order[j + 1]] < score[order[j]])]
-        if last and y[order].sum() >= 3:
-            none[i] = float(score[order[last[-1]]])
-    return trees, none
+        right = n = 0
+        for r in sorted((r for r in counted if r["kind"] == len(BASE) + i), key=lambda r: -r["step"]):
+            right, n = right + r["right"], n + r["n"]
+            if right >= 3 and right >= precision * n:
+                limits[i] = r["step"] / SCORE_STEPS
+    return trees, limits
 
 
 def detect(documents: DataFrame, model: tuple[Trees, list[float | None]] | None = None) -> DataFrame:
@@ -236,15 +236,11 @@ def detect(documents: DataFrame, model: tuple[Trees, list[float | None]] | None
     trees, limits = model or fit(documents)
     keep = [c for c in documents.columns if c not in ("base", "spans")]
     text = F.coalesce("text", F.lit(""))
-    # Without rows in either, an array's type is still SPAN, so a model that selects nothing costs nothing.
-    if any(v is not None for v in limits):
-        passed = lambda v, k: F.coalesce(*[F.when(k == len(BASE) + i, v >= x) for i, x in enumerate(limits) if x is not None], F.lit(False))
-        scored = F.transform(candidates(text), lambda s: F.struct(s.alias("s"), _bind(F.array(*features(text, s)), trees.expression).alias("score")))
-        meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-        better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["s"]["start"] < b["s"]["start"]) | ((a["s"]["start"] == b["s"]["start"]) & (a["s"]["kind"] < b["s"]["kind"]))))
-        chosen = _bind(F.filter(scored, lambda c: passed(c["score"], c["s"]["kind"])), lambda cs: F.transform(F.filter(cs, lambda c: ~F.exists(F.col("base"), lambda b: meets(b, c["s"])) & ~F.exists(cs, lambda d: meets(d["s"], c["s"]) & better(d, c))), lambda c: c["s"]))
-    else:
-        chosen = F.array().cast(SPAN)
+    passed = lambda v, s: F.coalesce(*[F.when(s["kind"] == len(BASE) + i, v >= x) for i, x in enumerate(limits) if x is not None], _strict(s))
+    scored = F.transform(candidates(text), lambda s: F.struct(s.alias("s"), _bind(F.array(*features(text, s)), trees.expression).alias("score")))
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["s"]["start"] < b["s"]["start"]) | ((a["s"]["start"] == b["s"]["start"]) & (a["s"]["kind"] < b["s"]["kind"]))))
+    chosen = _bind(F.filter(scored, lambda c: passed(c["score"], c["s"])), lambda cs: F.transform(F.filter(cs, lambda c: ~F.exists(F.col("base"), lambda b: meets(b, c["s"])) & ~F.exists(cs, lambda d: meets(d["s"], c["s"]) & better(d, c))), lambda c: c["s"]))
     based = documents.select(*keep, base_spans(F.col("text")).alias("base"))
     return based.select(*keep, "base", F.concat("base", F.array_sort(chosen)).alias("spans"))
 
