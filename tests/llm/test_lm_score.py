@@ -7,11 +7,8 @@ from turnstone.llm import lm_score
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def brute(rows, vocabulary=10**9):
+def brute(rows):
     texts = [WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t, *_ in rows]
-    raw = Counter(w for t in texts for w in t)
-    top = {w for w, _ in sorted(raw.items(), key=lambda x: (-x[1], x[0].encode()))[:vocabulary]}
-    texts = [[w if w in top else None for w in t] for t in texts]
     uni = Counter(w for t in texts for w in t)
     pairs = Counter(x for t in texts for x in zip(["<s>", *t], t))
     ctx = uni + Counter({"<s>": sum(bool(t) for t in texts)})
@@ -27,10 +24,20 @@ def got(df):
     return sorted(((r[0], r[1], round(r[2], 6) + 0.0, None if r[3] is None else round(r[3], 6)) for r in df.collect()), key=str)
 
 
-def test_matches_brute_force(spark):
-    rows = [(1, "The cat sat on the mat. The cat!"), (2, None), (3, ""), (4, "... !"), (None, "é日本 the cat"), (1, "The cat sat on the mat. The cat!"), (5, "x " * 3000 + "the cat sat"), (6, " ".join(f"w{i % 37} w{i % 11}" for i in range(900)))]
-    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, row string")
-    for options in ({}, {"hot": 2, "part_pairs": 300}, {"hot": 0, "part_pairs": 50}):
-        assert got(lm_score.score(docs, **options)) == brute(rows)
-    assert got(lm_score.score(docs, vocabulary=9, hot=3)) == brute(rows, 9)
+ROWS = [(1, "The cat sat on the mat. The cat!"), (2, None), (3, ""), (4, "... !"), (None, "é日本 the cat"), (None, "hot pair hot pair"), (1, "The cat sat on the mat. The cat!"), (5, "x " * 3000 + "the cat sat"), (6, " ".join(f"w{i % 37} w{i % 11}" for i in range(900))), *((100 + i, "hot pair other thing") for i in range(300))]
+
+
+def test_matches_brute_force(spark, monkeypatch):
+    docs = spark.createDataFrame([(*r, "z") for r in ROWS], "doc_id bigint, text string, h string")
+    # All words with numbers; most words by their hashes; all by their hashes; pairs dealt over salts; long texts in stretches.
+    for options in ({}, {"frequent": 20}, {"frequent": 1}, {"part_pairs": 40}, {"frequent": 20, "part_pairs": 7}):
+        assert got(lm_score.score(docs, **options)) == brute(ROWS)
     assert lm_score.score(docs.limit(0)).count() == 0
+
+
+def test_hot_pairs_meet_in_no_task(spark):
+    """Two hot pairs, in no list of any kind: no key has many more rows than a part."""
+    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string")
+    numbers = lm_score.Numbers(sorted(Counter(w for _, t in ROWS for w in lm_score.words(t)).items(), key=lambda r: (-r[1], r[0])), len(ROWS))
+    rows = lm_score.exploded(docs, spark.sparkContext.broadcast(numbers), 30).groupBy("p", "w", "salt").count().collect()
+    assert max(r["count"] for r in rows) < 60 and len({r["salt"] for r in rows}) >= 10

@@ -1,14 +1,14 @@
 """Stupid-backoff scores, computed relationally.
 
-Words and pairs of words are counted over all documents; the pair table is partitioned by a hash of the pair, joined there to the
-pairs of every document, and scores are summed per document. A pair with at least `min_count` occurrences scores
-log(c(p w) / c(p)); any other backs off to log(backoff * c(w) / N).
+The n-grams are pairs of words. Every document is exploded into its distinct pairs (doc_id, h, p, w, tf); these rows are partitioned
+by a hash of the pair, where they are counted, the counts are joined to them, and scores are summed per document. A pair with at
+least `min_count` occurrences scores log(c(p w) / c(p)); any other backs off to log(backoff * c(w) / N).
 
-Words outside the vocabulary (the VOCABULARY most frequent words, which bounds what is broadcast) are one unknown word, as is
-usual for such models; below that many distinct words it isn't used. A pair then is two word numbers, five octets, and pairs
-move packed: a row holds what one batch of documents has for one part of the table. A part holds about PART_PAIRS pairs. Pairs
-of two of the HOT most frequent words, which alone could fill a part, are counted into a small matrix first and scored where
-the documents are, so no part grows with the share of a frequent pair.
+Pairs are named by numbers. A word with a share of at least 1 / FREQUENT of all words, of which there are FREQUENT at most, has a
+number that every task knows; any other word is its 63-bit hash, negative. So no word is left out, however many there are, and
+only words of the first kind, whose counts are at hand, are met too often for one partition: a pair is dealt over as many salts as
+the rarer of its words asks for, and its counts are added up over them. A pair whose score needs the count of a rare word gets it by
+a join on that word, which has a share below 1 / FREQUENT.
 
 Defined results: a null or empty text has no words, a sum of zero and a null mean; the first word of a text follows a start mark;
 words are runs of letters and digits (and of anything outside ASCII), A-Z lower-cased; repeated rows each count and each give a
@@ -17,30 +17,31 @@ row; a null doc_id is kept.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 from .decontam import words
 
 MIN_COUNT = 2
 BACKOFF = 0.4
-VOCABULARY = 1 << 18
-HOT = 256
+FREQUENT = 1 << 20
 PART_PAIRS = 2_000_000
-BATCH_WORDS = 800_000
+#: Words that are turned into pairs at once, and distinct words that a task counts before it passes them on.
+BATCH_WORDS = 400_000
 COUNTER_WORDS = 400_000
-#: Word numbers: the unknown word, the start mark, then words by falling frequency.
-UNKNOWN, START, FIRST = 0, 1, 2
-BITS = 19
+#: The start mark: its number as a word before the first, and what it is in the table of words, where its count is that of texts.
+START, MARK = 0, b""
+SEED = 42
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """(word, n) over all documents; the word is UTF-8."""
+    """(word, n) over all documents; the word is UTF-8. The empty word counts the texts that have words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -50,7 +51,9 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(words(text.as_py()))
+                w = words(text.as_py())
+                held.update(w)
+                held[MARK] += bool(w)
                 if len(held) >= COUNTER_WORDS:
                     yield out()
                     held.clear()
@@ -60,165 +63,133 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Tables:
-    """What every task knows: numbers of words, their counts as words and as contexts, the size of the corpus, counts of hot pairs."""
+def rare_id(word: Column) -> Column:
+    """The negative number of a word without one of its own."""
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)).cast("bigint"))
 
-    def __init__(self, top: list[tuple[bytes, int]], total: int, texts: int, min_count: int, backoff: float, hot: int):
-        self.number = {w: i + FIRST for i, (w, _) in enumerate(top)}
-        n = np.array([total - sum(n for _, n in top), texts, *(n for _, n in top)], np.int64)
-        with np.errstate(divide="ignore"):
-            self.context = np.log(n.astype(np.float64))
-        self.miss = self.context + np.log(backoff / max(1, total))
-        self.min_count, self.hot = min_count, hot + FIRST
-        self.matrix = np.zeros(0, np.int64)
 
-    def log(self, p: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(n >= self.min_count, np.log(np.maximum(n, 1)) - self.context[p], self.miss[w])
+class Numbers:
+    """The numbers of frequent words, by falling count, and their counts; the start mark is the first."""
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        from itertools import repeat
-
-        w = words(text)
-        return np.fromiter(map(self.number.get, w, repeat(UNKNOWN)), np.int64, len(w))
-
-
-def _hot_counts(documents: DataFrame, shared) -> np.ndarray:
-    """How often each pair of hot words stands in the corpus, as a square of fixed size."""
+    def __init__(self, frequent: list[tuple[bytes, int]], texts: int):
+        self.number = {w: i + 1 for i, (w, _) in enumerate(frequent)}
+        self.counts = np.array([texts, *(n for _, n in frequent)], np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        square = np.zeros(t.hot * t.hot, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                w = t.numbers(text.as_py())
-                if len(w):
-                    p = np.append(START, w[:-1])
-                    both = (p < t.hot) & (w < t.hot)
-                    square += np.bincount(p[both] * t.hot + w[both], minlength=len(square))
-        at = np.flatnonzero(square)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(square[at])], ["pair", "n"])
+    def of(self, found: list[bytes]) -> np.ndarray:
+        from itertools import repeat
 
-    hot = shared.value.hot
-    square = np.zeros(hot * hot, np.int64)
-    for pair, n in documents.select("text").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n")).collect():
-        square[pair] = n
-    return square
+        from xxhash import xxh64_intdigest
 
+        ids = np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):
+            hashed = np.fromiter((xxh64_intdigest(found[i], SEED) for i in rare.tolist()), np.uint64, len(rare))
+            ids[rare] = (hashed | np.uint64(1 << 63)).view(np.int64)
+        return ids
 
-def _mix(key: np.ndarray) -> np.ndarray:
-    k = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
 
+def exploded(documents: DataFrame, shared, part_pairs: int) -> DataFrame:
+    """(p, w, salt, of): the distinct pairs of every document; of is [doc_id, hash of the text, count].
 
-def _explode(documents: DataFrame, shared, parts: int) -> DataFrame:
-    """Packed rows: for each batch of documents and part, the rows, how many pairs each has there, and the pairs. Negative parts have finished sums."""
+    A very long text is worked off in stretches, so that a pair may have one row for each. No column but those in `of` may be null,
+    and those stand in one array, so that all who read the shuffled rows read the same ones and Spark shuffles them once.
+    """
+    schema = pa.schema([pa.field(c, t, nullable=False) for c, t in (("p", pa.int64()), ("w", pa.int64()), ("salt", pa.int32()), ("of", pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t = shared.value
-        number = TaskContext.get().partitionId() << 32
-        names = ["batch", "part", "rows", "sizes", "pairs", "logs"]
-        schema = pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("rows", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("pairs", pa.binary()), ("logs", pa.list_(pa.float64()))])
-
-        def packed(ids: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
-            nonlocal number
-            number += 1
-            rows, size = np.array(ids, np.int64), np.fromiter(map(len, texts), np.int64, len(texts))
-            w = np.concatenate(texts)
-            doc = np.repeat(np.arange(len(rows)), size)
-            p = np.append(START, w[:-1])
-            p[np.cumsum(size) - size] = START
-            both = (p < t.hot) & (w < t.hot)
-            done = np.bincount(doc[both], t.log(p[both], w[both], t.matrix[p[both] * t.hot + w[both]]), len(rows))
-            out = [{"batch": number, "part": -1 - int(rows[0] % 64), "rows": rows, "sizes": size.astype(np.int32), "pairs": b"", "logs": done}]
-            key, doc = (p << BITS | w)[~both], doc[~both]
-            part = (_mix(key) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            key, doc, part = key[order], doc[order], part[order]
-            run_at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))) if len(key) else np.zeros(0, np.int64)
-            runs = np.diff(np.append(run_at, len(key))).astype(np.int32)
-            octets = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            part_at = np.flatnonzero(np.append(True, part[run_at][1:] != part[run_at][:-1])) if len(key) else run_at
-            for a, b in zip(part_at, np.append(part_at[1:], len(run_at))):
-                lo, hi = run_at[a], run_at[b] if b < len(run_at) else len(key)
-                out.append({"batch": number, "part": int(part[lo]), "rows": rows[doc[run_at[a:b]]], "sizes": runs[a:b], "pairs": octets[lo:hi].tobytes(), "logs": []})
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], schema.field(c).type) for c in names], schema=schema)
-
-        ids, texts, held = [], [], 0
+        known = shared.value
+        salts_of = -(-known.counts // part_pairs)
+        # Documents take the salts in turn, so that copies of one text don't share them.
+        begun = TaskContext.get().partitionId()
+
+        def out(docs: list, hashes: list[int], before: list[np.ndarray], after: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal begun
+            at = np.repeat(np.arange(len(docs)), [len(x) for x in after])
+            p, w = np.concatenate(before), np.concatenate(after)
+            order = np.lexsort((w, p, at))
+            at, p, w = at[order], p[order], w[order]
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (p[1:] != p[:-1]) | (w[1:] != w[:-1])))
+            tf = np.diff(np.append(first, len(at)))
+            at, p, w = at[first], p[first], w[first]
+            h = np.array(hashes, np.int64)[at]
+            of = np.column_stack([np.array([d or 0 for d in docs], np.int64)[at], h, tf]).ravel()
+            none = np.zeros((len(at), 3), bool)
+            none[:, 0] = np.array([d is None for d in docs])[at]
+            both = (p >= 0) & (w >= 0)
+            salts = np.ones(len(p), np.int64)
+            salts[both] = np.minimum(salts_of[p[both]], salts_of[w[both]])
+            salt = ((at + begun) % np.maximum(salts, 1)).astype(np.int32)
+            begun += len(docs)
+            of = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 3), pa.array(of, mask=none.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(p), pa.array(w), pa.array(salt), of], schema=schema)
+
+        docs, hashes, before, after, held = [], [], [], [], 0
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = t.numbers(text.as_py())
-                if len(own):
-                    ids.append(row)
-                    texts.append(own)
-                    held += len(own)
-                if held >= BATCH_WORDS:
-                    yield packed(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield packed(ids, texts)
-
-    return documents.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "batch bigint, part int, rows array<bigint>, sizes array<int>, pairs binary, logs array<double>")
-
-
-def _join(packed: DataFrame, shared) -> DataFrame:
-    """The packed rows with the sum of each row's pairs in place of the pairs: they are counted, and the counts joined to them."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        t = shared.value
-        kept = table.select(["batch", "rows", "sizes", "logs"])
-        if key[0].as_py() < 0:
-            return kept
-        sizes = table.column("sizes").combine_chunks().flatten().to_numpy()
-        raw = np.frombuffer(b"".join(x.as_py() for x in table.column("pairs")), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        pair = wide.view("<u8").ravel().astype(np.int64)
-        known, at, n = np.unique(pair, return_inverse=True, return_counts=True)
-        log = t.log(known >> BITS, known & ((1 << BITS) - 1), n)[at]
-        sums = np.add.reduceat(log, np.cumsum(sizes) - sizes)
-        ends = np.cumsum([len(x) for x in table.column("rows")])
-        empty = pa.array([[]] * len(table), pa.list_(pa.int32()))
-        logs = pa.array([sums[e - len(x) : e] for x, e in zip(table.column("rows"), ends)], pa.list_(pa.float64()))
-        return pa.table({"batch": table.column("batch"), "rows": table.column("rows"), "sizes": empty, "logs": logs})
-
-    return packed.groupBy("part").applyInArrow(run, "batch bigint, rows array<bigint>, sizes array<int>, logs array<double>")
-
-
-def _sum(joined: DataFrame) -> DataFrame:
-    """(row, n_words, log): each batch's sums over all parts. A batch has no more entries than words."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows, at = np.unique(table.column("rows").combine_chunks().flatten().to_numpy(), return_inverse=True)
-        logs = np.bincount(at, table.column("logs").combine_chunks().flatten().to_numpy(), len(rows))
-        # Numbers of words stand with the finished sums alone.
-        own = [x for x in zip(table.column("rows"), table.column("sizes")) if len(x[1])]
-        words_of = np.zeros(len(rows), np.int64)
-        for r, n in own:
-            np.add.at(words_of, np.searchsorted(rows, r.values.to_numpy()), n.values.to_numpy())
-        return pa.table({"row": rows, "n_words": words_of, "log": logs})
-
-    return joined.groupBy("batch").applyInArrow(run, "row bigint, n_words bigint, log double")
-
-
-def score(documents: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, vocabulary: int = VOCABULARY, hot: int = HOT, part_pairs: int = PART_PAIRS) -> DataFrame:
-    """doc_id, n_words, sum_log and mean_log of every row."""
-    sc = documents.sparkSession.sparkContext
+            for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found, last = words(text.as_py()), START
+                for begin in range(0, len(found), BATCH_WORDS):
+                    ids = known.of(found[begin : begin + BATCH_WORDS])
+                    docs.append(doc)
+                    hashes.append(h)
+                    before.append(np.append(last, ids[:-1]))
+                    after.append(ids)
+                    last = ids[-1]
+                    held += len(ids)
+                    if held >= BATCH_WORDS:
+                        yield out(docs, hashes, before, after)
+                        docs, hashes, before, after, held = [], [], [], [], 0
+        if docs:
+            yield out(docs, hashes, before, after)
+
+    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "p bigint not null, w bigint not null, salt int not null, of array<bigint> not null")
+
+
+def score(documents: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, frequent: int = FREQUENT, part_pairs: int = PART_PAIRS) -> DataFrame:
+    """doc_id, n_words, sum_log and mean_log of every row. Words with a share of 1 / frequent are sent to all executors."""
+    spark = documents.sparkSession
     counted = materialize(word_counts(documents), "words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    top = [(bytes(r[0]), r[1]) for r in counted.orderBy(F.desc("n"), "word").limit(vocabulary).toLocalIterator()]
-    texts = documents.filter(F.rlike("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))).count()
-    tables = Tables(top, total, texts, min_count, backoff, hot)
-    tables.matrix = _hot_counts(documents, sc.broadcast(tables))
-    shared = sc.broadcast(tables)
-    parts = _sum(_join(_explode(documents, shared, max(1, -(-total // part_pairs))), shared))
-    sums = parts.groupBy("row").agg(F.sum("n_words").alias("n_words"), F.sum("log").alias("sum_log"))
+    found = counted.agg(F.sum(F.when(F.col("word") != MARK, F.col("n"))), F.sum(F.when(F.col("word") == MARK, F.col("n")))).first()
+    total, texts = found[0] or 0, found[1] or 0
+    known = (F.col("word") != MARK) & (F.col("n") * frequent >= total)
+    top = sorted(((bytes(r[0]), r[1]) for r in counted.filter(known).toLocalIterator()), key=lambda r: (-r[1], r[0]))
+    numbers = Numbers(top, texts)
+    shared = spark.sparkContext.broadcast(numbers)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_pairs))
+    pairs = exploded(documents, shared, part_pairs).repartition(parts, "p", "w", "salt")
+
+    # The count table lies where its pairs lie. What a pair's score needs beside its own count is one count of a word: of its
+    # first one, or, backing off, of its second.
+    hit = F.col("n") >= min_count
+    log = F.when(hit, F.log("n") - F.col("log_c")).otherwise(F.col("log_c") + math.log(backoff / max(1, total)))
+    common = spark.createDataFrame(pa.table({"key": pa.array(np.arange(len(numbers.counts))), "c": pa.array(numbers.counts)}))
+    common = F.broadcast(common.select("key", F.log("c").alias("log_c"), F.ceil(F.col("c") / part_pairs).cast("int").alias("salts")))
+    rare = counted.filter(~known & (F.col("word") != MARK)).select(rare_id(F.col("word")).alias("key"), F.log("n").alias("log_c"))
+    # Numbers go by falling counts, so the words that may need salts are those up to `heavy`.
+    heavy = int((numbers.counts[1:] > part_pairs).sum())
+    salted = F.col("p").between(0, heavy) & F.col("w").between(1, heavy)
+    needed = F.when(hit, F.col("p")).otherwise(F.col("w"))
+    table = pairs.groupBy("p", "w", "salt").agg(F.sum(F.col("of")[2]).alias("n"))
+    own = table.withColumn("key", F.when(salted, F.lit(None)).when(hit, F.col("p")).otherwise(F.col("w")))
+    near = own.filter("key >= 0").join(common.drop("salts"), "key").select("p", "w", "salt", log.alias("near"))
+    far = own.filter("key < 0").join(rare, "key").select("p", "w", "salt", log.alias("far"))
+    if heavy:
+        # The product, unlike a condition on p and w alone, isn't moved in front of the shuffle, which then would be another one.
+        whole = table.filter(F.col("n") * salted.cast("int") > 0).groupBy("p", "w").agg(F.sum("n").alias("n")).withColumn("key", needed)
+        of_word = lambda c: common.select(F.col("key").alias(c), F.col("salts").alias(f"{c}_salts"))
+        whole = whole.join(common.drop("salts"), "key").join(of_word("p"), "p").join(of_word("w"), "w")
+        every = F.sequence(F.lit(0), F.least("p_salts", "w_salts") - 1)
+        far = far.unionAll(whole.select("p", "w", F.explode(every).alias("salt"), log.alias("far")))
+    # A part of the table is as small as its part of the pairs, so it may be held while those stream by.
+    priced = pairs.join(near.hint("shuffle_hash"), ["p", "w", "salt"], "left").join(far.hint("shuffle_hash"), ["p", "w", "salt"], "left")
+    of = F.col("of")
+    sums = priced.groupBy(of[0].alias("doc_id"), F.coalesce(of[1], F.lit(0)).alias("h")).agg(F.sum(of[2]).alias("n_words"), F.sum(of[2] * F.coalesce("near", "far")).alias("sum_log"))
     # A row that stands n times in documents was summed n times.
-    ids = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
-    times = ids.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    sums = sums.join(times, "row").select("row", F.expr("n_words div times").alias("n_words"), (F.col("sum_log") / F.col("times")).alias("sum_log"))
-    return ids.join(sums, "row", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("sum_log", F.lit(0.0)).alias("sum_log"), (F.col("sum_log") / F.col("n_words")).alias("mean_log"))
+    rows = documents.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_h")).groupBy("_doc", "_h").agg(F.count(F.lit(1)).alias("times"))
+    joined = rows.join(sums, F.col("_doc").cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left").withColumn("sum_log", F.col("sum_log") / F.col("times")).withColumn("n_words", F.expr("n_words div times"))
+    each = joined.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
+    return each.select(F.col("_doc").alias("doc_id"), F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("sum_log", F.lit(0.0)).alias("sum_log"), (F.col("sum_log") / F.col("n_words")).alias("mean_log"))
 
 
 ORACLE = r"""
