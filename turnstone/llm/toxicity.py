@@ -1,8 +1,10 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (hashed into a table, as is the word itself), a text the mean of its
-words, and a softmax over two classes reads that mean. Vectors and softmax are trained together, by full-batch Adam, on a bounded
-sample of labelled rows. Misspelt words that were never seen share most n-grams with those that were.
+words, and a softmax over two classes reads that mean. Vectors and softmax are trained together, by full-batch Adam, on at most
+`SAMPLE_PER_CLASS` labelled rows of each class; n-grams that are about as frequent in both classes, as a test of their shares
+tells, take no part, so that few labelled rows of a language will do. Misspelt words that were never seen share most n-grams with
+those that were.
 
 What a trained model says of a text is linear in its words, so scoring keeps one number for each bucket of the table and one for
 each distinct word met; whole texts of any length are read. Besides the whole text's mean, the mean of each stretch of
@@ -16,47 +18,64 @@ labelled row (or nearly none), every score is the smoothed share of toxic rows,
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 HELD_OUT = 2
-SAMPLE_PER_CLASS = 1_200
+SAMPLE_PER_CLASS = 4_000
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 17
 DIMENSION = 8
 NGRAMS = (3, 4, 5)
-STEPS = 80
-MIN_TEXTS = 30
+STEPS = 160
+LEAST = 4.0
 #: Step size and decay of the vectors, the softmax and its bias.
-RATES = ((8.0, 0.05), (0.02, 0.0), (0.02, 0.0))
+RATES = ((2.0, 0.05), (0.02, 0.0), (0.02, 0.0))
 STRETCH = 64
 #: Neutral words added to each mean, so that a few words alone are weak evidence.
 PAD = 24
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
+#: Octets of a word that isn't cut, and the characters and steps of the pieces of longer ones.
+LONG, PIECE, STEP = 96, 32, 24
 _KEEP = {*range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(c if c in _KEEP else 0x20 for c in range(256))
+#: UTF-8 of Latin-1 marks, of general and CJK punctuation with all their spaces, and of full-width marks.
+_MARKS = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\xbf]|\xef\xbc[\x80-\x8f]")
 
 
 def words(text: str | None) -> list[bytes]:
-    """Runs of letters (ASCII letters and anything outside ASCII), lower-cased, as UTF-8."""
-    return text.lower().encode().translate(_TABLE).split() if text else []
+    """Runs of letters (ASCII letters and anything outside ASCII but marks and spaces), lower-cased, as UTF-8.
+
+    A longer run, as in a script without spaces, is cut into overlapping pieces, which share all their n-grams with it.
+    """
+    if not text:
+        return []
+    raw = text.lower().encode(errors="replace")
+    found = (raw if raw.isascii() else _MARKS.sub(b" ", raw)).translate(_TABLE).split()
+    if found and max(map(len, found)) > LONG:
+        found = [x for w in found for x in ([w] if len(w) <= LONG else _pieces(w.decode(errors="ignore")))]
+    return found
+
+
+def _pieces(word: str) -> list[bytes]:
+    return [word[i : i + PIECE].encode() for i in range(0, max(1, len(word) - (PIECE - STEP)), STEP)]
 
 
 def buckets(word: bytes, size: int = BUCKETS) -> list[int]:
-    """Buckets of the word and of its character n-grams, with marks at both ends. Very long words give those of both ends."""
-    w = f"<{word[:200].decode(errors='ignore')}>"
-    w = w if len(w) <= 48 else w[:24] + w[-24:]
+    """Buckets of the word and of its character n-grams, with marks at both ends."""
+    w = f"<{word.decode(errors='ignore')}>"
     return [zlib.crc32(b"=" + word) % size, *(zlib.crc32(w[i : i + n].encode()) % size for n in NGRAMS for i in range(len(w) - n + 1))]
 
 
-def _means(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def _means(texts: Iterable[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, and the text, word and weight of each entry of the matrix that averages words to texts."""
     number: dict[bytes, int] = {}
     rows, cols, vals = [], [], []
@@ -89,7 +108,23 @@ class _Sparse:
         return out
 
 
-def train(texts: list[list[bytes]], toxic: np.ndarray, steps: int = STEPS, min_texts: int = MIN_TEXTS, seed: int = 1) -> tuple[np.ndarray, float]:
+def telling(rows: np.ndarray, cols: np.ndarray, of: np.ndarray, into: np.ndarray, toxic: np.ndarray, least: float) -> np.ndarray:
+    """Which buckets stand in so different shares of toxic and of clean texts that chance rarely explains it (least: standard errors).
+
+    rows and cols: the words of each text; of and into: the buckets of each word.
+    """
+    first = np.searchsorted(of, np.arange(of.max() + 2 if len(of) else 1))
+    n = np.zeros((2, BUCKETS))
+    for text in range(len(toxic)):
+        own = cols[np.searchsorted(rows, text) : np.searchsorted(rows, text + 1)]
+        if len(own):
+            n[toxic[text]][np.unique(np.concatenate([into[first[w] : first[w + 1]] for w in own]))] += 1
+    size = np.maximum(1, np.bincount(toxic, minlength=2))
+    share, both = n / size[:, None], n.sum(axis=0) / size.sum()
+    return np.abs(share[1] - share[0]) >= least * np.sqrt(np.maximum(both * (1 - both), 1 / size.sum()) * (1 / size[0] + 1 / size[1]))
+
+
+def train(texts: Iterable[list[bytes]], toxic: np.ndarray, steps: int = STEPS, least: float = LEAST, seed: int = 1) -> tuple[np.ndarray, float]:
     """One number for each bucket, whose mean over a text's n-grams and words, plus the second result, is the text's logit."""
     known, rows, cols, vals = _means(texts)
     flat, size = array("i"), np.zeros(len(known), np.int64)
@@ -98,10 +133,9 @@ def train(texts: list[list[bytes]], toxic: np.ndarray, steps: int = STEPS, min_t
         flat.extend(buckets(w))
         size[i] = len(flat) - before
     of, into_bucket = np.repeat(np.arange(len(known), dtype=np.int32), size), np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
-    # Buckets that few texts share say nothing of others; they stay zero, as do those never met.
-    seen = np.bincount(into_bucket, np.bincount(cols, minlength=len(known))[of], BUCKETS) >= min_texts
-    used = seen[into_bucket]
-    to_text = _Sparse(rows, cols, vals, (len(texts), len(known)))
+    # Other buckets say nothing of other texts; they stay zero, as do those never met.
+    used = telling(rows, cols, of, into_bucket, toxic, least)[into_bucket]
+    to_text = _Sparse(rows, cols, vals, (len(toxic), len(known)))
     to_word = _Sparse(of[used], into_bucket[used], (1 / size[of[used]]).astype(np.float32), (len(known), BUCKETS))
     rng = np.random.default_rng(seed)
     table = np.zeros((BUCKETS, DIMENSION), np.float32)
@@ -202,14 +236,13 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     toxic = np.array([r[2] for r in rows], np.int64)
     if min((toxic == 0).sum(), (toxic == 1).sum()) < 5:
         return {"table": np.zeros(BUCKETS, np.float32), "calibration": np.array([0, 0, np.log(share / (1 - share))]), "empty": (0.0, 0.0)}
-    split = [words(r[1]) for r in rows]
-    third = np.arange(len(rows)) % 4 == 0
-    table, _ = train([t for t, x in zip(split, third) if not x], toxic[~third])
+    quarter = np.arange(len(rows)) % 4 == 0
+    table, _ = train((words(r[1]) for r, x in zip(rows, quarter) if not x), toxic[~quarter])
     scorer = Scorer(table)
-    evidence = np.array([scorer.evidence(r[1]) for r, x in zip(rows, third) if x])
-    clean = evidence[toxic[third] == 0]
+    evidence = np.array([scorer.evidence(r[1]) for r, x in zip(rows, quarter) if x])
+    clean = evidence[toxic[quarter] == 0]
     empty = tuple(np.median(clean, axis=0).tolist()) if len(clean) else (0.0, 0.0)
-    return {"table": table, "calibration": calibrate(evidence, toxic[third], share), "empty": empty}
+    return {"table": table, "calibration": calibrate(evidence, toxic[quarter], share), "empty": empty}
 
 
 def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
