@@ -1,8 +1,8 @@
 """Stupid-backoff scores, computed relationally.
 
-The n-grams are pairs of words. Every document is exploded into its distinct pairs (doc_id, h, p, w, tf); these rows are partitioned
-by a hash of the pair, where they are counted, the counts are joined to them, and scores are summed per document. A pair with at
-least `min_count` occurrences scores log(c(p w) / c(p)); any other backs off to log(backoff * c(w) / N).
+The n-grams are pairs of words. Every document is exploded into its distinct pairs; these rows are partitioned by a hash of the pair,
+where they are counted, the counts are joined to them, and scores are summed per document. A pair with at least `min_count`
+occurrences scores log(c(p w) / c(p)); any other backs off to log(backoff * c(w) / N).
 
 Pairs are named by numbers. A word with a share of at least 1 / FREQUENT of all words, of which there are FREQUENT at most, has a
 number that every task knows; any other word is its 63-bit hash, negative. So no word is left out, however many there are, and
@@ -12,7 +12,7 @@ a join on that word, which has a share below 1 / FREQUENT.
 
 Defined results: a null or empty text has no words, a sum of zero and a null mean; the first word of a text follows a start mark;
 words are runs of letters and digits (and of anything outside ASCII), A-Z lower-cased; repeated rows each count and each give a
-row; a null doc_id is kept.
+row; a null doc_id is kept. documents must give the same rows in the same order when a task is run again, as files do.
 """
 
 from __future__ import annotations
@@ -30,14 +30,20 @@ from .decontam import words
 
 MIN_COUNT = 2
 BACKOFF = 0.4
-FREQUENT = 1 << 20
+#: A frequent word's number takes BITS bits; the start mark is one of them.
+BITS = 20
+FREQUENT = (1 << BITS) - 1
 PART_PAIRS = 2_000_000
 #: Words that are turned into pairs at once, and distinct words that a task counts before it passes them on.
 BATCH_WORDS = 400_000
 COUNTER_WORDS = 400_000
 #: The start mark: its number as a word before the first, and what it is in the table of words, where its count is that of texts.
 START, MARK = 0, b""
+START_ARRAY = np.zeros(1, np.int64)
 SEED = 42
+#: Bits of a pair's count within a document; larger counts take several rows. The largest value marks a document without an id.
+TF_BITS = 16
+NO_ID = (1 << TF_BITS) - 1
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -89,61 +95,60 @@ class Numbers:
 
 
 def exploded(documents: DataFrame, shared, part_pairs: int) -> DataFrame:
-    """(p, w, salt, of): the distinct pairs of every document; of is [doc_id, hash of the text, count].
+    """(gram, other, of): the distinct pairs of every document, and one row for the document itself.
 
-    A very long text is worked off in stretches, so that a pair may have one row for each. No column but those in `of` may be null,
-    and those stand in one array, so that all who read the shuffled rows read the same ones and Spark shuffles them once.
+    gram is salt, p and w in one number if both words are frequent, and other is zero; else gram is p and other is w. of is the
+    document's number and the count in the document, which together are one column, so that all who read the shuffled rows read
+    the same ones and Spark shuffles them once. A document's own row has no count and its doc_id in other. A very long text is
+    worked off in stretches, so that a pair may have one row for each.
     """
-    schema = pa.schema([pa.field(c, t, nullable=False) for c, t in (("p", pa.int64()), ("w", pa.int64()), ("salt", pa.int32()), ("of", pa.list_(pa.int64())))])
+    schema = pa.schema([pa.field(c, pa.int64(), nullable=False) for c in ("gram", "other", "of")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known = shared.value
         salts_of = -(-known.counts // part_pairs)
-        # Documents take the salts in turn, so that copies of one text don't share them.
-        begun = TaskContext.get().partitionId()
+        number = TaskContext.get().partitionId() << 27
 
-        def out(docs: list, hashes: list[int], before: list[np.ndarray], after: list[np.ndarray]) -> pa.RecordBatch:
-            nonlocal begun
-            at = np.repeat(np.arange(len(docs)), [len(x) for x in after])
-            p, w = np.concatenate(before), np.concatenate(after)
+        def out(ids: list[tuple[int, int | None]], rows: list[int], before: list[np.ndarray], after: list[np.ndarray]) -> pa.RecordBatch:
+            at = np.repeat(np.array(rows, np.int64), [len(x) for x in after])
+            p, w = np.concatenate([START_ARRAY, *before])[1:], np.concatenate([START_ARRAY, *after])[1:]
             order = np.lexsort((w, p, at))
             at, p, w = at[order], p[order], w[order]
-            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (p[1:] != p[:-1]) | (w[1:] != w[:-1])))
+            # A pair starts anew where its count would not fit.
+            first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(p, prepend=0) != 0) | (np.diff(w, prepend=0) != 0) | (np.arange(len(at)) % (NO_ID - 1) == 0))
             tf = np.diff(np.append(first, len(at)))
             at, p, w = at[first], p[first], w[first]
-            h = np.array(hashes, np.int64)[at]
-            of = np.column_stack([np.array([d or 0 for d in docs], np.int64)[at], h, tf]).ravel()
-            none = np.zeros((len(at), 3), bool)
-            none[:, 0] = np.array([d is None for d in docs])[at]
             both = (p >= 0) & (w >= 0)
-            salts = np.ones(len(p), np.int64)
-            salts[both] = np.minimum(salts_of[p[both]], salts_of[w[both]])
-            salt = ((at + begun) % np.maximum(salts, 1)).astype(np.int32)
-            begun += len(docs)
-            of = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 3), pa.array(of, mask=none.ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(p), pa.array(w), pa.array(salt), of], schema=schema)
-
-        docs, hashes, before, after, held = [], [], [], [], 0
+            gram, other = p.copy(), np.where(both, 0, w)
+            # Documents take the salts in turn, so that copies of one text don't share them.
+            salt = at[both] % np.maximum(1, np.minimum(salts_of[p[both]], salts_of[w[both]]))
+            gram[both] = salt << 2 * BITS | p[both] << BITS | w[both]
+            own = np.array([(~n, d or 0, n << TF_BITS | (NO_ID if d is None else 0)) for n, d in ids], np.int64).reshape(-1, 3)
+            columns = (np.append(gram, own[:, 0]), np.append(other, own[:, 1]), np.append(at << TF_BITS | tf, own[:, 2]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+        ids, rows, before, after, held = [], [], [], [], 0
         for batch in batches:
-            for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found, last = words(text.as_py()), START
+                ids.append((number, doc))
                 for begin in range(0, len(found), BATCH_WORDS):
-                    ids = known.of(found[begin : begin + BATCH_WORDS])
-                    docs.append(doc)
-                    hashes.append(h)
-                    before.append(np.append(last, ids[:-1]))
-                    after.append(ids)
-                    last = ids[-1]
-                    held += len(ids)
+                    now = known.of(found[begin : begin + BATCH_WORDS])
+                    rows.append(number)
+                    before.append(np.append(last, now[:-1]))
+                    after.append(now)
+                    last = now[-1]
+                    held += len(now)
                     if held >= BATCH_WORDS:
-                        yield out(docs, hashes, before, after)
-                        docs, hashes, before, after, held = [], [], [], [], 0
-        if docs:
-            yield out(docs, hashes, before, after)
+                        yield out(ids, rows, before, after)
+                        ids, rows, before, after, held = [], [], [], [], 0
+                number += 1
+        if ids:
+            yield out(ids, rows, before, after)
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "p bigint not null, w bigint not null, salt int not null, of array<bigint> not null")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "gram bigint not null, other bigint not null, of bigint not null")
 
 
 def score(documents: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, frequent: int = FREQUENT, part_pairs: int = PART_PAIRS) -> DataFrame:
@@ -157,39 +162,41 @@ def score(documents: DataFrame, min_count: int = MIN_COUNT, backoff: float = BAC
     numbers = Numbers(top, texts)
     shared = spark.sparkContext.broadcast(numbers)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_pairs))
-    pairs = exploded(documents, shared, part_pairs).repartition(parts, "p", "w", "salt")
+    pairs = exploded(documents, shared, part_pairs).repartition(parts, "gram", "other")
 
     # The count table lies where its pairs lie. What a pair's score needs beside its own count is one count of a word: of its
     # first one, or, backing off, of its second.
+    gram, other, of = F.col("gram"), F.col("other"), F.col("of")
+    mask = lambda bits: F.lit((1 << bits) - 1).cast("bigint")
+    count = of.bitwiseAND(mask(TF_BITS))
+    tf = F.when(count < NO_ID, count).otherwise(0)
+    p = F.when(other == 0, F.shiftright("gram", BITS).bitwiseAND(mask(BITS))).otherwise(gram)
+    w = F.when(other == 0, gram.bitwiseAND(mask(BITS))).otherwise(other)
     hit = F.col("n") >= min_count
+    needed = F.when(hit, p).otherwise(w)
     log = F.when(hit, F.log("n") - F.col("log_c")).otherwise(F.col("log_c") + math.log(backoff / max(1, total)))
     common = spark.createDataFrame(pa.table({"key": pa.array(np.arange(len(numbers.counts))), "c": pa.array(numbers.counts)}))
+    # At most `frequent` rows and the start mark.
     common = F.broadcast(common.select("key", F.log("c").alias("log_c"), F.ceil(F.col("c") / part_pairs).cast("int").alias("salts")))
     rare = counted.filter(~known & (F.col("word") != MARK)).select(rare_id(F.col("word")).alias("key"), F.log("n").alias("log_c"))
     # Numbers go by falling counts, so the words that may need salts are those up to `heavy`.
     heavy = int((numbers.counts[1:] > part_pairs).sum())
-    salted = F.col("p").between(0, heavy) & F.col("w").between(1, heavy)
-    needed = F.when(hit, F.col("p")).otherwise(F.col("w"))
-    table = pairs.groupBy("p", "w", "salt").agg(F.sum(F.col("of")[2]).alias("n"))
-    own = table.withColumn("key", F.when(salted, F.lit(None)).when(hit, F.col("p")).otherwise(F.col("w")))
-    near = own.filter("key >= 0").join(common.drop("salts"), "key").select("p", "w", "salt", log.alias("near"))
-    far = own.filter("key < 0").join(rare, "key").select("p", "w", "salt", log.alias("far"))
+    salted = (other == 0) & (p <= heavy) & (w <= heavy)
+    table = pairs.groupBy("gram", "other").agg(F.sum(tf).alias("n"))
+    own = table.withColumn("key", F.when(salted, F.lit(None)).when(F.col("n") > 0, needed))
+    near = own.filter("key >= 0").join(common.drop("salts"), "key").select("gram", "other", log.alias("near"))
+    far = own.filter("key < 0").join(rare, "key").select("gram", "other", log.alias("far"))
     if heavy:
-        # The product, unlike a condition on p and w alone, isn't moved in front of the shuffle, which then would be another one.
-        whole = table.filter(F.col("n") * salted.cast("int") > 0).groupBy("p", "w").agg(F.sum("n").alias("n")).withColumn("key", needed)
+        # The product, unlike a condition on the pair alone, isn't moved in front of the shuffle, which then would be another one.
+        whole = table.filter(F.col("n") * salted.cast("int") > 0).groupBy(gram.bitwiseAND(mask(2 * BITS)).alias("gram"), "other").agg(F.sum("n").alias("n"))
         of_word = lambda c: common.select(F.col("key").alias(c), F.col("salts").alias(f"{c}_salts"))
-        whole = whole.join(common.drop("salts"), "key").join(of_word("p"), "p").join(of_word("w"), "w")
-        every = F.sequence(F.lit(0), F.least("p_salts", "w_salts") - 1)
-        far = far.unionAll(whole.select("p", "w", F.explode(every).alias("salt"), log.alias("far")))
+        whole = whole.withColumn("key", needed).withColumn("p", p).withColumn("w", w).join(common.drop("salts"), "key").join(of_word("p"), "p").join(of_word("w"), "w")
+        every = whole.select("gram", "other", log.alias("far"), F.explode(F.sequence(F.lit(0), F.least("p_salts", "w_salts") - 1)).alias("salt"))
+        far = far.unionAll(every.select(F.shiftleft(F.col("salt").cast("bigint"), 2 * BITS).bitwiseOR(gram).alias("gram"), "other", "far"))
     # A part of the table is as small as its part of the pairs, so it may be held while those stream by.
-    priced = pairs.join(near.hint("shuffle_hash"), ["p", "w", "salt"], "left").join(far.hint("shuffle_hash"), ["p", "w", "salt"], "left")
-    of = F.col("of")
-    sums = priced.groupBy(of[0].alias("doc_id"), F.coalesce(of[1], F.lit(0)).alias("h")).agg(F.sum(of[2]).alias("n_words"), F.sum(of[2] * F.coalesce("near", "far")).alias("sum_log"))
-    # A row that stands n times in documents was summed n times.
-    rows = documents.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_h")).groupBy("_doc", "_h").agg(F.count(F.lit(1)).alias("times"))
-    joined = rows.join(sums, F.col("_doc").cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left").withColumn("sum_log", F.col("sum_log") / F.col("times")).withColumn("n_words", F.expr("n_words div times"))
-    each = joined.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
-    return each.select(F.col("_doc").alias("doc_id"), F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("sum_log", F.lit(0.0)).alias("sum_log"), (F.col("sum_log") / F.col("n_words")).alias("mean_log"))
+    priced = pairs.join(near.hint("shuffle_hash"), ["gram", "other"], "left").join(far.hint("shuffle_hash"), ["gram", "other"], "left")
+    sums = priced.groupBy(F.shiftright("of", TF_BITS).alias("row")).agg(F.max(F.when(count == 0, other)).alias("doc_id"), F.sum(tf).alias("n_words"), F.sum(tf * F.coalesce("near", "far")).alias("sum_log"))
+    return sums.select("doc_id", "n_words", F.coalesce("sum_log", F.lit(0.0)).alias("sum_log"), F.when(F.col("n_words") > 0, F.col("sum_log") / F.col("n_words")).alias("mean_log"))
 
 
 ORACLE = r"""
