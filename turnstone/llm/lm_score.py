@@ -31,7 +31,7 @@ from .decontam import words
 MIN_COUNT = 2
 BACKOFF = 0.4
 #: A frequent word's number takes BITS bits; the start mark is one of them.
-BITS = 20
+BITS = 21
 FREQUENT = (1 << BITS) - 1
 PART_PAIRS = 2_000_000
 #: Words that are turned into pairs at once, and distinct words that a task counts before it passes them on.
