@@ -32,8 +32,8 @@ def test_matches_brute_force(spark):
     docs = [(1, f"xx {p} yy", "a"), (2, None, "a"), (3, "", "a"), (4, "W0, w1; É-w2", "a"), (4, "W0, w1; É-w2", "a"), (None, p.upper(), "a"), (5, "w " * 5000 + "short item " + "w " * 50, "a"), (6, " ".join(f"w{i}" for i in range(9)), "a"), (7, "short. ITEM", "a")]
     bench = [(1, p, "x"), (2, "short item", "x"), (3, None, "x"), (4, "...", "x"), (None, "w0 w1 é", "x"), (1, "w w w w w w w w w w w w", "x")]
     d, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(bench, BENCH)
-    for block in (10**6, 5):
-        got = decontam.report(decontam.decontaminate(d, b, block_words=block))
+    for options in ({}, {"block_words": 5}, {"group_words": 30}, {"max_terms": 1}):
+        got = decontam.report(decontam.decontaminate(d, b, **options))
         assert sorted(map(tuple, got.collect()), key=str) == brute(docs, bench)
     assert sorted(r[0] for r in decontam.clean(d, b.filter("item_id = 2")).collect() if r[0]) == [1, 2, 3, 4, 4, 6]
 

@@ -7,8 +7,9 @@ ones first. A slop of zero gives exact phrases; a larger one lets every other te
 
 Defined results: a null or empty text has no words and no hits; benchmark rows without words have no window; a null item_id
 counts as the id "null"; repeated item_ids are one item; an empty benchmark hits nothing; every row of documents gives a row.
-The benchmark's terms go to the executors only up to `max_terms` (else an error asks to search it in parts), its windows in
-blocks of about `block_words` words; tasks work through the blocks on each stored segment.
+What goes to the executors at once is bounded: the benchmark is searched in groups of at most `max_terms` distinct terms (plus
+those of one item) and about `group_words` words, each with an index of its own terms, and a group's windows in blocks of about
+`block_words` words. What several groups find in a document is put together from the places that they hit.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 
@@ -28,13 +29,14 @@ BLOCK_WORDS = 300_000
 #: Free places between two documents of a segment; no phrase reaches over them.
 GAP = 64
 CHUNK = 2_000_000
-MAX_TERMS = 2_000_000
+MAX_TERMS = 1_000_000
+GROUP_WORDS = 3_000_000
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
 
-INDEX_SCHEMA = "doc_ids array<bigint>, n_words array<bigint>, terms binary, ends binary, places binary"
-MATCH_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>"
+INDEX_SCHEMA = "doc_ids array<bigint>, hashes array<bigint>, n_words array<bigint>, terms binary, ends binary, places binary"
+MATCH_SCHEMA = "doc_id bigint, h bigint, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:int,end:int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -52,43 +54,44 @@ def windows(items: list[tuple[object, str | None]], size: int) -> dict[tuple[byt
     return found
 
 
-def _segment(docs: list, counts: list[int], places: list[np.ndarray], terms: list[np.ndarray]) -> dict:
+def _segment(docs: list, hashes: list[int], counts: list[int], places: list[np.ndarray], terms: list[np.ndarray]) -> dict:
     t = np.concatenate(terms) if terms else np.zeros(0, np.int32)
     p = np.concatenate(places) if places else np.zeros(0, np.int32)
     order = np.argsort(t, kind="stable")
     known, first = np.unique(t[order], return_index=True)
     ends = np.append(first[1:], len(t)).astype(np.int32) if len(known) else np.zeros(0, np.int32)
-    return {"doc_ids": docs, "n_words": counts, "terms": known.astype(np.int32).tobytes(), "ends": ends.tobytes(), "places": p[order].astype(np.int32).tobytes()}
+    return {"doc_ids": docs, "hashes": hashes, "n_words": counts, "terms": known.astype(np.int32).tobytes(), "ends": ends.tobytes(), "places": p[order].astype(np.int32).tobytes()}
 
 
 def build_index(documents: DataFrame, vocabulary: list[bytes], segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The positional postings of the vocabulary's terms in all documents, one row for each segment of about segment_words words."""
     sc = documents.sparkSession.sparkContext
     shared = sc.broadcast(vocabulary)
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("ends", pa.binary()), ("places", pa.binary())])
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("ends", pa.binary()), ("places", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import repeat
 
         number = {w: i for i, w in enumerate(shared.value)}.get
-        docs, counts, places, terms, base = [], [], [], [], 0
+        docs, hashes, counts, places, terms, base = [], [], [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 w = words(text.as_py())
                 if docs and base + len(w) > segment_words:
-                    yield pa.RecordBatch.from_pylist([_segment(docs, counts, places, terms)], schema)
-                    docs, counts, places, terms, base = [], [], [], [], 0
+                    yield pa.RecordBatch.from_pylist([_segment(docs, hashes, counts, places, terms)], schema)
+                    docs, hashes, counts, places, terms, base = [], [], [], [], [], 0
                 ids = np.fromiter(map(number, w, repeat(-1)), np.int32, len(w))
                 at = np.flatnonzero(ids >= 0)
                 docs.append(doc)
+                hashes.append(h)
                 counts.append(len(w))
                 terms.append(ids[at])
                 places.append((at + base).astype(np.int32))
                 base += len(w) + GAP
         if docs:
-            yield pa.RecordBatch.from_pylist([_segment(docs, counts, places, terms)], schema)
+            yield pa.RecordBatch.from_pylist([_segment(docs, hashes, counts, places, terms)], schema)
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(build, INDEX_SCHEMA)
+    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("h"), "text").mapInArrow(build, INDEX_SCHEMA)
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -142,14 +145,14 @@ def plan_of(phrases: list[tuple[tuple[bytes, ...], list[str]]], number: dict[byt
 
 
 def search(index: DataFrame, plans: list[Broadcast], slop: int = 0) -> DataFrame:
-    """One row for each document: its words, the words inside any match, and the ids whose phrases match.
+    """One row for each document: its words, the words inside any match, the ids whose phrases match, and the places that are hit.
 
-    Each plan is one block of phrases; a task holds one block at a time. With slop, words inside a match are those from its
+    Each plan is one block of phrases. With slop, words inside a match are those from its
     start on, as many as the phrase has.
     """
     if not 0 <= slop < GAP // 2:
         raise ValueError("slop must be shorter than half the gap between documents")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,42 +172,66 @@ def search(index: DataFrame, plans: list[Broadcast], slop: int = 0) -> DataFrame
                     np.add.at(edge, np.minimum(start + plan["sizes"][w], base[doc] + size[doc]), -1)
                     for d, k in np.unique(np.stack([doc, w]), axis=1).T.tolist():
                         items[d].update(plan["ids"][k])
-                inside = np.append(0, np.cumsum(np.cumsum(edge) > 0))
+                covered = np.cumsum(edge) > 0
+                inside = np.append(0, np.cumsum(covered))
                 hit = inside[base + size] - inside[base]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(size), pa.array(hit.astype(np.int64)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=schema)
+                turns = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                spans: list[list] = [[] for _ in size]
+                for d, (a, b) in zip((np.searchsorted(base, turns[:, 0], "right") - 1).tolist(), turns.tolist()):
+                    spans[d].append({"start": a - int(base[d]), "end": b - int(base[d])})
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(size), pa.array(hit.astype(np.int64)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, schema.field("spans").type)], schema=schema)
 
     return index.mapInArrow(find, MATCH_SCHEMA)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark's rows in blocks of about block_words words; one block at a time is held."""
-    block, size = [], 0
+def _groups(benchmark: DataFrame, block_words: int, max_terms: int, group_words: int) -> Iterator[list[list[tuple[object, str | None]]]]:
+    """The benchmark's rows in groups of blocks; one group at a time is held."""
+    group, block, size, words_of, terms = [], [], 0, 0, set()
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(words(row[1]))
-        if block and size + n > block_words:
-            yield block
+        w = words(row[1])
+        if (group or block) and (words_of + len(w) > group_words or len(terms) + sum(x not in terms for x in set(w)) > max_terms):
+            yield [*group, block]
+            group, block, size, words_of, terms = [], [], 0, 0, set()
+        if block and size + len(w) > block_words:
+            group.append(block)
             block, size = [], 0
         block.append((row[0], row[1]))
-        size += n
-    yield block
+        size, words_of = size + len(w), words_of + len(w)
+        terms.update(w)
+    yield [*group, block]
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, max_terms: int = MAX_TERMS) -> DataFrame:
+def _union(spans: Column) -> Column:
+    """How many places the spans cover together."""
+    start = F.struct(F.lit(0).cast("bigint").alias("to"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).alias("n"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda a: a["n"])
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, max_terms: int = MAX_TERMS, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit and the sorted item_ids of every row of documents."""
     if not 0 < window <= GAP // 2:
         raise ValueError("the window must be shorter than half the gap between documents")
-    vocabulary: set[bytes] = set()
-    for block in _blocks(benchmark, block_words):
-        vocabulary.update(w for _, text in block for w in words(text))
-        if len(vocabulary) > max_terms:
-            raise ValueError(f"the benchmark has more than {max_terms} terms; search it in parts")
-    listed = sorted(vocabulary)
-    number = {w: i for i, w in enumerate(listed)}
-    index = materialize(build_index(documents, listed), "postings")
-    counts = {r[0]: r[1] for r in term_counts(index).toLocalIterator()}
     sc = documents.sparkSession.sparkContext
-    plans = [sc.broadcast(plan_of([(p, sorted(ids)) for p, ids in windows(block, window).items()], number, counts)) for block in _blocks(benchmark, block_words)]
-    return search(index, plans, slop)
+    found: list[DataFrame] = []
+    for group in _groups(benchmark, block_words, max_terms, group_words):
+        listed = sorted({w for block in group for _, text in block for w in words(text)})
+        number = {w: i for i, w in enumerate(listed)}
+        index = materialize(build_index(documents, listed), "postings")
+        counts = {r[0]: r[1] for r in term_counts(index).toLocalIterator()}
+        plans = [sc.broadcast(plan_of([(p, sorted(ids)) for p, ids in windows(block, window).items()], number, counts)) for block in group]
+        found.append(search(index, plans, slop))
+    if len(found) == 1:
+        return found[0].select("doc_id", "n_words", "n_hit", "item_ids")
+    found = [materialize(f if i == 0 else f.filter("n_hit > 0"), "matches") for i, f in enumerate(found)]
+    # The first group has a row for each document. Rows of one document id and text are alike, so one of them tells for all.
+    hit = found[0].filter("n_hit > 0")
+    for f in found[1:]:
+        hit = hit.unionAll(f)
+    hit = hit.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "item_ids", "spans").distinct().groupBy("_doc", "_h")
+    every = hit.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("_ids"), _union(F.flatten(F.collect_list("spans"))).alias("_hit"))
+    joined = found[0].join(every, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def report(matches: DataFrame) -> DataFrame:
