@@ -60,3 +60,12 @@ def test_learnt_kinds_are_added(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.spans for r in pii.report(pii.detect(docs)).collect()}
     assert sum("secret:26:66" in got[i] for i in range(60)) >= 55 and not any(got[i] for i in range(100, 160))
+
+
+def test_runs_of_any_length_are_proposed(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["token = " + "0123456789abcdef" * 10, "AKIA" + "Z9" * 100, "key=" + "aB3/" * 300 + "==", "n" * 300 + " [at] " + "host" * 100 + ".org", "x" * 100_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", F.transform(pii.candidates(F.col("text")), lambda s: F.struct("text", s["start"], s["end"])).alias("c")).collect()
+    found = {r.i: [texts[r.i][c[1] : c[2]] for c in r.c] for r in got}
+    assert found[0] == ["0123456789abcdef" * 10] and found[1] == ["AKIA" + "Z9" * 100] and found[2] == ["aB3/" * 300 + "=="] and texts[3] in found[3]

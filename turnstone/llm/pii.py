@@ -42,12 +42,12 @@ BASE = {
 #: What a text must contain for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Kinds that only the method finds: a generator that proposes much, and a strict form that teaches.
+#: Kinds that only the method finds: a generator that proposes much, whole runs of any length, and a strict form that teaches.
 GENERATORS = {
-    "obfuscated_email": (r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}+)++", r"^\S+ ?[\[(]at[\])] ?\S+ ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,}$"),
+    "obfuscated_email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++", r"^\S+ ?[\[(]at[\])] ?\S+ ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,}$"),
     "local_phone": (r"(?<![0-9A-Za-z])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])", r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"),
     "account": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,6}(?: ?[0-9]{1,3})?$"),
-    "secret": (r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{8,32}|(?:sk|ghp|xox[a-z])[-_][0-9A-Za-z_-]{12,128}|[0-9a-f]{16,128}|[0-9A-Za-z+/_-]{20,128}+=*)(?![0-9A-Za-z])", r"^(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[a-z])[-_][0-9A-Za-z_-]{16,}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,128})$"),
+    "secret": (r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{8,}+|(?:sk|ghp|xox[a-z])[-_][0-9A-Za-z_-]{12,}+|[0-9a-f]{16,}+|[0-9A-Za-z+/_-]{20,}+=*+)(?![0-9A-Za-z])", r"^(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[a-z])[-_][0-9A-Za-z_-]{16,}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,})$"),
 }
 KINDS = [*BASE, *GENERATORS]
 _HINTS = r"(?i)(?:mail|phone|tel|call|fax|mobile|card|iban|account|konto|compte|cuenta|passw|token|secret|key|contact)[^\n]{0,12}$"
