@@ -58,3 +58,20 @@ def test_pieces_and_sequences(spark):
 def test_fullest_closes_first():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n)[0] for n in (9, 6, 8, 4, 2)] == [0, 1, 2, 1, 2]
+
+
+def test_another_kind_of_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, texts = Tokenizer.from_file(path), ["Hello  World,\nhello world", "é 日本 x", "", None]
+    encoder = packing.WordEncoder(path)
+    assert not encoder.by_word and packing.WordEncoder(packing.default_tokenizer()).by_word
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_long_chunks_are_not_kept():
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    encoder.encode("a" * 1000 + " short " + "-" * 1000)
+    assert max(map(len, encoder)) <= packing.CACHED_OCTETS and max(map(len, encoder.parts)) <= packing.CACHED_OCTETS

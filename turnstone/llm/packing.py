@@ -12,6 +12,7 @@ null doc_id stays null. Strings of special tokens inside texts are read as the t
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ END_ID = 0
 OPEN = 4_096
 PACKER_SEQUENCES = 20_000
 CACHE_WORDS = 600_000
+CACHED_OCTETS = 64
 _NEWLINE = bytes(0x20 if c == 0x0A else c for c in range(256))
 
 
@@ -46,10 +48,25 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {b: chr(b if b in _PRINTABLE else 256 + sum(c not in _PRINTABLE for c in range(b))) for b in range(256)}
 
 
+#: What the file of a tokenizer that may be run word by word says of its normalizer, its split and the end of a word.
+_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "BPE",
+    "</w>",
+)
+
+
+def _kind(path: str) -> tuple:
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    return told.get("normalizer"), told.get("pre_tokenizer"), told["model"].get("type"), told["model"].get("end_of_word_suffix")
+
+
 class WordEncoder(dict):
     """Ids of texts, as bytes of unsigned 32-bit numbers, for a lower-casing byte-level BPE whose tokens never reach over a space.
 
-    Texts are cut at spaces and newlines, and each distinct chunk is encoded once and kept here. The words of plain chunks go to
+    Texts are cut at spaces and newlines, and each distinct short chunk is encoded once and kept here. The words of plain chunks go to
     the BPE model directly; any other chunk, such as one with marks to be composed or with a special token, goes through the
     whole tokenizer.
     """
@@ -59,13 +76,17 @@ class WordEncoder(dict):
 
         super().__init__({b"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        # Any other kind of tokenizer encodes whole texts.
+        self.by_word = _kind(path) == _KIND
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache_words = cache_words
         self.parts: dict[str, bytes] = {}
 
     def _part(self, word: str) -> bytes:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-        ids = self.parts[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        if len(shown) <= CACHED_OCTETS:
+            self.parts[word] = ids
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -78,10 +99,13 @@ class WordEncoder(dict):
             ids = b"".join([known(w) or self._part(w) for w in _SPLIT.findall(text.lower())])
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self[chunk] = ids
+        if len(chunk) <= CACHED_OCTETS:
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes()
         if len(self) > self.cache_words:
             self.clear()
             self.parts.clear()
@@ -174,8 +198,8 @@ def pack(found: DataFrame, length: int = LENGTH, most_open: int = OPEN, packer_s
             placed = [bins.place(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*names, "sequence_id", "offset"])
 
-    # The order is random but the same on each run, so a task that is run again packs alike.
-    dealt = found.withColumn("_order", F.xxhash64("doc_id", "piece", *[c for c in found.columns if c in ("ids_crc32",)]))
+    # The order is random, for equal rows too, but that of a table doesn't change, so a task that is run again packs alike.
+    dealt = found.withColumn("_order", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()))
     return dealt.repartition(packers, "_order").sortWithinPartitions("_order", "doc_id", "piece").drop("_order").mapInArrow(run, schema)
 
 
