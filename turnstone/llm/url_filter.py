@@ -2,11 +2,12 @@
 
 A host's labels, reversed and each ended by a low character, make a canonical key under which a rule's host and all its
 subdomains are one interval: the keys that start with the rule's. Pages and rules are cut into the same key ranges (a rule goes
-to each range that its interval meets), sorted by key, and swept once: a stack holds the rules whose intervals contain the
-current key, nested inside each other. A page takes the longest of them whose path its own path starts with.
+to each range that its interval meets), sorted by key, and swept once: a stack holds the hosts whose intervals contain the
+current key, nested inside each other, each with its paths. A page goes down the stack, and at each host looks up its own path's
+prefixes of the lengths that the host's rules have, the longest first.
 
 Pages are cut at (key, page hash), so a host with most of the pages still spreads over many ranges. The cuts come from a bounded
-sample; they steer only how evenly the work is spread.
+sample, found by binary search; they steer only how evenly the work is spread.
 
 Defined results: a null url, or one without `://`, has an empty host and path and meets no rule; among rules that fit, the one
 with the longest host wins, then the longest path, then block before allow; a page without a rule gets the default verdict;
@@ -15,6 +16,7 @@ a null page_id stays null.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +53,28 @@ def rules_table(spark, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
+class _Host:
+    """The rules of one host: their verdicts by path, block before allow, and the lengths of the paths, the longest first."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host = key, host
+        self.verdicts: dict[str, str] = {}
+        self.sizes: list[int] = []
+
+    def add(self, path: str, verdict: str) -> None:
+        if self.verdicts.get(path) != "block":
+            self.verdicts[path] = verdict
+        if len(path) not in self.sizes:
+            self.sizes = sorted([*self.sizes, len(path)], reverse=True)
+
+    def find(self, path: str) -> tuple[str, str] | None:
+        for n in self.sizes:
+            own = path[:n]
+            if len(own) == n and own in self.verdicts:
+                return self.host + own, self.verdicts[own]
+        return None
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages."""
     spark = pages.sparkSession
@@ -58,22 +82,27 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges: in
     url = F.col("url")
     left = pages.select(F.col("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     left = left.withColumn("key", canonical(F.col("host"))).withColumn("salt", F.lpad(F.hex(F.xxhash64("page_id", "path")), 16, "0"))
-    sample = [tuple(r) for r in left.select("key", "salt").orderBy(F.xxhash64("salt", "key"), "salt", "key").limit(CUT_SAMPLE).toLocalIterator()]
-    sample.sort(key=lambda r: (r[0].encode(), r[1]))
-    cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)} if sample else set(), key=lambda r: (r[0].encode(), r[1]))
-    marks = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(s).alias("salt")) for k, s in cuts]) if cuts else None
+    # Twenty rows of the sample, two strings each, for each range.
+    sample = sorted(((r[0].encode(), r[1].encode()) for r in left.select("key", "salt").orderBy(F.xxhash64("salt", "key"), "salt", "key").limit(max(CUT_SAMPLE, 20 * parts)).toLocalIterator()))
+    cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many cuts lie at or before (key, salt): the range of a page, or with a second pair the last range of a rule."""
+        for batch in batches:
+            at = [[bisect_right(cuts, (k.encode(), s.encode())) for k, s in zip(batch.column(i).to_pylist(), batch.column(i + 1).to_pylist())] for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), *batch.columns[4:]], ["part", "last", *batch.schema.names[4:]])
 
-    def place(key: Column, salt: Column) -> Column:
-        """How many cuts lie at or before (key, salt)."""
-        return F.size(F.filter(marks, lambda m: m <= F.struct(key.alias("key"), salt.alias("salt")))) if cuts else F.lit(0)
+    def placed(df: DataFrame, low: Column, low_salt: Column, high: Column, high_salt: Column, keep: list[str]) -> DataFrame:
+        kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+        return df.select(low.alias("a"), low_salt.alias("b"), high.alias("c"), high_salt.alias("d"), *keep).mapInArrow(place, f"part int, last int, {kinds}")
 
-    low, high = F.lit(""), F.lit("\U0010ffff")
+    key, salt, none, end = F.col("key"), F.col("salt"), F.lit(""), F.lit("\U0010ffff")
+    columns = ["key", "kind", "salt", "host", "path", "verdict", "page_id"]
     ruled = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host is not null and verdict is not null")
-    ruled = ruled.withColumn("key", canonical(F.col("host")))
-    ruled = ruled.withColumn("part", F.explode(F.sequence(place(F.col("key"), low), place(F.concat("key", high), high))))
-    both = ruled.select("part", "key", F.lit(0).alias("kind"), F.lit("").alias("salt"), "host", "path", "verdict", F.lit(None).cast(left.schema["page_id"].dataType).alias("page_id")).unionByName(
-        left.select(place(F.col("key"), F.col("salt")).alias("part"), "key", F.lit(1).alias("kind"), "salt", "host", "path", F.lit(None).cast("string").alias("verdict"), "page_id")
-    )
+    ruled = ruled.select(canonical(F.col("host")).alias("key"), F.lit(0).alias("kind"), none.alias("salt"), "host", "path", "verdict", F.lit(None).cast(left.schema["page_id"].dataType).alias("page_id"))
+    ruled = placed(ruled, key, none, F.concat(key, end), end, columns).withColumn("part", F.explode(F.sequence("part", "last")))
+    paged = placed(left.select("key", F.lit(1).alias("kind"), "salt", "host", "path", F.lit(None).cast("string").alias("verdict"), "page_id"), key, salt, key, salt, columns)
+    both = ruled.select("part", *columns).unionByName(paged.select("part", *columns))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stack = None, []
@@ -83,20 +112,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges: in
             for i, (p, key, kind, host, path, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "key", "kind", "host", "path", "verdict")))):
                 if p != part:
                     part, stack = p, []
-                while stack and not key.startswith(stack[-1][0]):
+                while stack and not key.startswith(stack[-1].key):
                     stack.pop()
                 if not kind:
-                    stack.append((key, host, path, verdict))
+                    if not stack or stack[-1].key != key:
+                        stack.append(_Host(key, host))
+                    stack[-1].add(path, verdict)
                     continue
-                # Longest host first: the top of the stack; among equal hosts the longest path, then block before allow.
-                fits = [(len(k), len(rp), v == "block", rh + rp, v) for k, rh, rp, v in stack if k and path.startswith(rp)]
-                out.append(max(fits)[3:] if fits else (None, default))
+                out.append(next((found for h in reversed(stack) if h.key and (found := h.find(path))), (None, default)))
                 keep.append(i)
             rows = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("host"), rows.column("path"), pa.array([r for r, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     schema = f"page_id {left.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string"
-    return both.repartition(parts, "part").sortWithinPartitions("part", "key", "kind").mapInArrow(sweep, schema)
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "kind").mapInArrow(sweep, schema)
 
 
 ORACLE = """
