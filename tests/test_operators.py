@@ -16,7 +16,10 @@ def test_text_functions(spark):
     assert one(spark, t.uuid5_dns(x), x="abc") == str(__import__("uuid").uuid5(__import__("uuid").NAMESPACE_DNS, "abc"))
     assert one(spark, t.title_of(x), x="<command-args> do  it </command-args> x") == "do it"
     assert one(spark, t.redact(x), x="password = hunter2hunter2hunter2 and Bearer abcdefghijklmnop") == "password=«redacted:secret» and «redacted:bearer»"
-    assert one(spark, t.redact(x), x="x" * 30000) == "x" * 30000
+    assert one(spark, t.redact(x), x="x" * 30000) == "x" * 20000 + " …«truncated»" and one(spark, t.redact(x, None), x="x" * 30000) == "x" * 30000
+    assert one(spark, t.redact(x), x="é" * 15000) == "é" * 15000
+    across = "y" * 19990 + " ghp_" + "a1" * 20 + " end"
+    assert one(spark, t.redact(x), x=across) == ("y" * 19990 + " «redacted:github-token» end")[:20000] + " …«truncated»"
     assert one(spark, t.identifier_tokens(x), x="fooBar baz_qux a") == ["foobar", "foo", "bar", "baz_qux", "baz", "qux"]
     assert one(spark, t.dedup_key(x), x="  - I'll   use X ") == "i'll use x"
     assert one(spark, t.bucket_path(x), x="/a/b/c/d") == "/a/b/c/…"
@@ -27,6 +30,18 @@ def test_text_functions(spark):
     found = one(spark, t.decisions(x), x="Stack: Spark and Parquet\nI'll use DuckDB here\nI'll use X but avoid Y\n<tag> let's use Z")
     assert [(d.text, d.confidence) for d in found] == [("Stack: Spark and Parquet", 0.9), ("I'll use DuckDB here", 0.7)]
     assert one(spark, t.meaningful_line(x), x="<system-reminder>\nskip\n</system-reminder>\nnote: no\nFix the bug") == "Fix the bug"
+    assert one(spark, t.meaningful_line(x), x="<div>fix this</div> now\nkeep <b>") == "keep <b>" and one(spark, t.meaningful_line(x), x="Use <div>fix this</div>") == "Use <div>fix this</div>"
+    assert one(spark, t.meaningful_line(x), x="a <bash-stdout>\nb\nc </bash-stdout> d\ne") == "e" and one(spark, t.meaningful_line(x), x="<command-name>\nnever closed") is None
+    assert one(spark, t.input_summary(F.lit("Read"), x), x='{"file_path": "/a"}') == "/a" and one(spark, t.input_summary(F.lit("Other"), x), x='{"a":1}') == '{"a":1}'
+    assert one(spark, t.call_paths(x), x='{"file_path": "/a", "url": "http://b", "path": ""}') == ["/a", "http://b"]
+    for payload, bad in (('{"tool_response": {"is_error": true}}', True), ('{"tool_response": {"error": null, "exit_code": 0}}', False), ('{"tool_response": {"error": "x"}}', True), ('{"tool_response": {"code": 2}}', True), ('{"tool_response": "Fatal: no"}', True), ('{"tool_response": "fine"}', False), ('{"other": 1}', False), ("no json", False)):
+        assert one(spark, t.response_is_error(x), x=payload) is bad
+    for key, kind, want in (("s", "string", "a"), ("n", "bigint", 3), ("b", "boolean", True), ("n", "string", None), ("none", "bigint", None)):
+        assert one(spark, t.payload_get(F.parse_json(x), key, kind), x='{"s": "a", "n": 3, "b": true}') == want
+    assert one(spark, t.hook_output("Shell", x), x=" \x1b[31mred\x1b[0m ") == "red" and one(spark, t.hook_output("SessionStart", x), x="  ") is None
+    assert __import__("json").loads(one(spark, t.hook_output("SessionStart", x), x="<invoke>")) == {"hookSpecificOutput": {"hookEventName": "SessionStart", "additionalContext": "&lt;invoke>"}}
+    assert one(spark, t.has_title_tokens(x, F.lit("fix OTHER")), x="Fix authToken") is False and one(spark, t.has_title_tokens(x, F.lit("auth")), x="Fix authToken") is True
+    assert len(one(spark, t.summary_line(x, F.lit("p"), F.lit(3), F.lit(4), F.lit("t")), x="abcdefghijk")) == 8 + 2 + 22 + 2 + 5 + 8 + 5 + 8 + 1
     assert one(spark, t.looks_like_error(x), x="Process exited with code 0 error:") is False
     t.register(spark)
     assert spark.sql("SELECT fnv1a31('a'), size(session_tokens('Ab c dé')), cosine_sim(array(1D, 0D), array(2D, 0D))").first()[:] == (0xE40C292C & 0x7FFFFFFF, 2, 1.0)

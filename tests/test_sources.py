@@ -65,8 +65,8 @@ def test_rollouts(spark, tmp_path):
     assert [(t.role, t.text) for t in got.turns.orderBy("turn_index").collect()] == [("assistant", ""), ("user", "hello\nthere"), ("assistant", "a1"), ("assistant", "a2"), ("user", "")]
     assert sorted((r.turn_index, r.call_id, r.is_error) for r in got.results.collect()) == [(1, "c0", False), (4, "c1", True)]
     assert (got.sessions.first().session_id, got.sessions.first().title, got.sessions.count(), got.bad.count()) == ("r1", "hello there", 1, 1)
-    both = s.read_all(spark, {"codex": str(tmp_path)})
-    assert both.sessions.count() == 1
+    both = s.read_all(spark, {"auto": str(tmp_path)})
+    assert both.sessions.count() == 1 and s.kind_of(spark, str(tmp_path)) == "codex"
     with pytest.raises(ValueError):
         s.read_all(spark, {})
 
@@ -79,3 +79,68 @@ def test_prompt_history_and_embedding(spark, tmp_path):
     assert [(str(r.day), r.n, r.projects) for r in days] == [("2024-01-01", 2, 1)]
     rows = s.embed(spark.createDataFrame([(1, "a fix"), (2, None)], "id int, text string"), 8).collect()
     assert abs(sum(x * x for x in rows[0].vec) - 1) < 1e-9 and rows[1].vec is None
+
+
+def test_missing_roots_are_empty(spark, tmp_path):
+    gone = str(tmp_path / "gone")
+    for read in (s.read_claude, s.read_legacy, s.read_rollouts):
+        got = read(spark, gone)
+        assert [df.count() for df in got] == [0] * 5
+    assert s.prompt_history(spark, gone).count() == 0 and s.kind_of(spark, gone) == "claude_code"
+    write(tmp_path / "a", "one.jsonl", [claude(0)])
+    assert s.read_all(spark, {"claude_code": str(tmp_path / "a"), "legacy": gone}).sessions.count() == 1
+
+
+def test_lines_keep_their_order_in_parts(spark, tmp_path):
+    write(tmp_path, "long.jsonl", [{"n": i, "pad": "x" * (i % 90)} for i in range(3000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = s.lines(spark, str(tmp_path))
+        assert s._text(spark, str(tmp_path), "*.jsonl", True).rdd.getNumPartitions() > 1 and [(r.line_no, json.loads(r.line)["n"]) for r in got.orderBy("line_no").collect()] == [(i, i) for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def rollout_by_hand(items):
+    """The rules, item by item."""
+    turns = []
+    for x in items:
+        if x["type"] == "message":
+            if x["role"] in ("user", "assistant") and x["content"][0]["text"].strip():
+                turns.append([x["role"], [], []])
+        elif x["type"] == "function_call":
+            owner = next((u for u in reversed(turns) if u[0] == "assistant"), None)
+            if owner is None:
+                owner = ["assistant", [], []]
+                turns.append(owner)
+            owner[1].append(x["call_id"])
+        else:
+            at = next((i for i in range(len(turns) - 1, -1, -1) if turns[i][0] == "assistant" and x["call_id"] in turns[i][1]), None)
+            if at is None:
+                continue
+            taker = next((u for u in turns[at + 1 :] if u[0] == "user"), None)
+            if taker is None:
+                taker = ["user", [], []]
+                turns.append(taker)
+            taker[2].append(x["call_id"])
+    return turns
+
+
+def test_rollouts_against_rules_item_by_item(spark, tmp_path):
+    import random
+
+    want = {}
+    for seed in range(30):
+        rng = random.Random(seed)
+        items = []
+        for _ in range(rng.randint(1, 25)):
+            kind = rng.choice(["say", "call", "out"])
+            items.append({"type": "message", "role": rng.choice(["user", "assistant", "developer"]), "content": [{"type": "text", "text": rng.choice(["hi", " "])}]} if kind == "say" else {"type": "function_call", "name": "f", "arguments": "{}", "call_id": f"c{rng.randint(0, 4)}"} if kind == "call" else {"type": "function_call_output", "call_id": f"c{rng.randint(0, 4)}", "output": "ok"})
+        write(tmp_path, f"rollout-{seed}.jsonl", [{"timestamp": "2024-01-01T00:00:00Z", "type": "session_meta", "payload": {"id": f"r{seed}", "cwd": "/w", "cli_version": "0"}}, *map(item, items)])
+        want[f"r{seed}"] = rollout_by_hand(items)
+    got = s.read_rollouts(spark, str(tmp_path))
+    turns, calls, results = got.turns.orderBy("turn_index").collect(), got.calls.orderBy("turn_index", "call_seq").collect(), got.results.orderBy("turn_index", "result_seq").collect()
+    for name, rows in want.items():
+        at = lambda found, i: [r.call_id for r in found if r.session_id == name and r.turn_index == i]  # noqa: B023, E731
+        own = [t.role for t in turns if t.session_id == name]
+        assert [(r, at(calls, i), at(results, i)) for i, r in enumerate(own)] == [tuple(x) for x in rows], name

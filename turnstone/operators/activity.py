@@ -13,6 +13,11 @@ def in_window(sessions: DataFrame, as_of: Column, days: int) -> DataFrame:
     return sessions if not days else sessions.filter(F.col("start_ts") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
 
 
+def of_agent(sessions: DataFrame, agent: str | None) -> DataFrame:
+    """The sessions of one agent, or of all; those of an unknown agent always show."""
+    return sessions if agent is None else sessions.filter(F.col("agent").isNull() | (F.col("agent") == agent))
+
+
 def stuck(turns: DataFrame, least: int = STUCK_TURNS, errors: int = STUCK_ERRORS, window: int = STUCK_WINDOW) -> DataFrame:
     """(session_id, turns, recent_errors): sessions of enough turns with enough errors among their last ones. turns: seq, is_error."""
     w = Window.partitionBy("session_id").orderBy(F.desc("seq"))

@@ -10,14 +10,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from turnstone.functions import text as t
 from turnstone.operators.retrieval import neighbours
+from turnstone.operators.store import dual_read
 
 SAMPLE = 500
 
 
 def sample(points: DataFrame, n: int) -> DataFrame:
-    """The n points that come first by a digest of their id."""
-    return points.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(min(n, SAMPLE))
+    """The n points that come first by a digest of their id; at most SAMPLE."""
+    if n > SAMPLE:
+        raise ValueError(f"a sample has at most {SAMPLE} points")
+    return points.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(n)
 
 
 def pairs(points: DataFrame, per_point: int) -> DataFrame:
@@ -80,11 +84,34 @@ def near_misses(edges: DataFrame, forest: DataFrame, points: DataFrame, at_least
     return mean.join(by_project(forest).select("x", "y").distinct(), ["x", "y"], "left_anti").orderBy(F.desc("score"), "x", "y").limit(most)
 
 
+def node_detail(nodes: DataFrame, newer: DataFrame, older: DataFrame) -> DataFrame:
+    """What is stored of each node (column id), from the newer points or else the older ones, the oldest start first. Few nodes, as many as the sample."""
+    own = nodes.select("id").distinct()
+    return dual_read(newer.join(F.broadcast(own), "id", "left_semi"), older.join(F.broadcast(own), "id", "left_semi"), "id").orderBy(F.asc_nulls_last("start_ts"), "id")
+
+
+def _top(counted: DataFrame, value: str, most: int) -> DataFrame:
+    w = Window.partitionBy("project").orderBy(F.desc("n"), value)
+    return counted.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+
+
 def insights(points: DataFrame, calls: DataFrame, forest: DataFrame) -> DataFrame:
-    """By project: sessions, sessions with errors, the four most used tools, bridges and partners."""
-    base = points.groupBy(F.col("project").cast("string").alias("project")).agg(F.count(F.lit(1)).alias("sessions"), F.count_if("has_errors").alias("with_errors"))
-    used = calls.join(points.select(F.col("id").alias("session_id"), F.col("project").cast("string").alias("project")), "session_id").groupBy("project", "name").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("project").orderBy(F.desc("n"), "name")
-    tools = used.withColumn("r", F.row_number().over(w)).filter("r <= 4").groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name", "n"))), lambda s: F.concat(s["name"], F.lit("×"), s["n"].cast("string"))), " ").alias("tools"))
+    """By project: sessions, sessions with errors, its theme, a label of the theme and the three most used tools, the four most used
+    tools, the three folders most worked in, bridges and partners. calls: session_id, name and, if they have it, input_json."""
+    named = points.select(F.col("id").alias("session_id"), F.col("project").cast("string").alias("project"), "has_errors").filter("project <> ''")
+    base = named.groupBy("project").agg(F.count(F.lit(1)).alias("sessions"), F.count_if("has_errors").alias("with_errors"))
+    own = calls.join(named.select("session_id", "project"), "session_id")
+    tools = _top(own.groupBy("project", "name").agg(F.count(F.lit(1)).alias("n")), "name", 4)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("r", "name", "n"))), lambda s: F.concat(s["name"], F.lit("×"), s["n"].cast("string")))
+    tools = tools.groupBy("project").agg(shown.alias("shown"), F.collect_set("name").alias("names"))
+    if "input_json" in calls.columns:
+        file = F.get_json_object("input_json", "$.file_path")
+        folder = t.bucket_path(F.regexp_extract(file, r"^(.*)/[^/]*$", 1))
+        folders = _top(own.filter(F.contains(file, F.lit("/"))).groupBy("project", folder.alias("folder")).agg(F.count(F.lit(1)).alias("n")), "folder", 3)
+        folders = folders.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "folder"))), lambda s: s["folder"]).alias("folders"))
+    else:
+        folders = base.select("project", F.array().cast("array<string>").alias("folders"))
     out = bridges(forest, points).groupBy("project").agg(F.sum("n").alias("bridges_out"), F.array_join(F.array_sort(F.collect_set("partner")), ",").alias("partners"))
-    return base.join(tools, "project", "left").join(out, "project", "left").select("project", "sessions", "with_errors", "tools", F.coalesce("bridges_out", F.lit(0)).alias("bridges_out"), F.coalesce("partners", F.lit("")).alias("partners"))
+    joined = base.join(tools, "project", "left").join(folders, "project", "left").join(out, "project", "left").withColumn("theme", t.theme(F.coalesce("names", F.array().cast("array<string>"))))
+    label = F.when(F.size("shown") > 0, F.concat("theme", F.lit(" · "), F.array_join(F.slice("shown", 1, 3), " "))).otherwise(F.col("theme"))
+    return joined.select("project", "sessions", "with_errors", "theme", label.alias("label"), F.array_join(F.coalesce("shown", F.array().cast("array<string>")), " ").alias("tools"), F.array_join(F.coalesce("folders", F.array().cast("array<string>")), " ").alias("folders"), F.coalesce("bridges_out", F.lit(0)).alias("bridges_out"), F.coalesce("partners", F.lit("")).alias("partners"))

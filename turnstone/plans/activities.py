@@ -102,7 +102,7 @@ def error_catalogue(spark, d):
 def pivot_turn(spark, d):
     """Anchors: the words of every conversation's first turn, as one set of at most the vocabulary."""
     tt = turns(spark, d)
-    anchors = tt.filter("turn_index = 0 and session_id % 50 = 0").select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.octet_length("word") > 4)
+    anchors = tt.filter("turn_index = 0").select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.octet_length("word") > 4)
     return a.pivots(tt, anchors)
 
 
@@ -164,6 +164,69 @@ def hourly_errors(spark, d):
     return _events(spark, d).filter("is_error").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("string").alias("hour"), "n")
 
 
+def predict_alerts(spark, d):
+    """Where the first prediction is frequent and its tool is not among the session's own first three."""
+    c = calls(spark, d)
+    sizes = c.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
+    return watch.predict_alerts(predict_next(spark, d), c.filter("seq <= 3").select("session_id", "name"), sizes, least=0.3)
+
+
+def loop_alerts(spark, d):
+    return watch.loop_alerts(a.stuck(calls(spark, d)), predict_next(spark, d))
+
+
+def primer_alerts(spark, d):
+    """Sessions of the query set for which at least two others are alike enough."""
+    p = points(spark, d)
+    return watch.primer_alerts(retrieval.neighbours(p, queries(p), 8, at_least=0.2))
+
+
+def recall_alerts(spark, d):
+    """Each session's errors, by their text an hour apart at least from the last one let through; over the events as a stream."""
+    from turnstone.sources.shared import new_folder
+
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    keyed = e.select(watch.recall_key(F.col("user_id"), F.left(F.coalesce("props", F.lit("")), F.lit(9))).alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    got = watch.replay(keyed, lambda s: watch.debounced(s, "key", watch.RECALL_SECONDS), new_folder(spark, "recall"))
+    return got.groupBy("key").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+def index_batches(spark, d):
+    """Batches of 32 points by id; a batch with a point of label 3 whose id is a multiple of 11 fails whole."""
+    p = points(spark, d).withColumn("batch", F.floor(F.col("id") / 32))
+    return store.batch_report(p, "batch", "project = '3' and id % 11 = 0")
+
+
+def session_by_point(spark, d):
+    """Every session found by its point id among all sessions."""
+    s = turns(spark, d).select("session_id").distinct()
+    asked = s.filter("session_id % 50 = 0").select(t.uuid5_dns(F.col("session_id").cast("string")).alias("point_id"))
+    return store.by_point_id(s, asked).select("session_id", "point_id")
+
+
+def project_sessions(spark, d):
+    """The sessions of one project path, and of another that was indexed a minute ago: none."""
+    s = points(spark, d).select(F.col("id").alias("session_id"), F.concat(F.lit("/srv/p"), "project").alias("project_path"))
+    indexed = spark.sql(f"SELECT '/srv/p2' AS project_path, {AS_OF_TS} - INTERVAL 60 SECONDS AS at UNION ALL SELECT '/srv/p1', {AS_OF_TS} - INTERVAL 90 SECONDS")
+    return store.of_project(s, "/srv/p1", indexed, _now()).unionByName(store.of_project(s, "/srv/p2", indexed, _now()))
+
+
+def collection_info(spark, d):
+    return store.info(points(spark, d), "project")
+
+
+def agent_filter(spark, d):
+    """Sessions by agent as each choice of agents shows them; sessions of an unknown agent always show."""
+    s = _sessions(spark, d).withColumn("agent", F.when(F.col("session_id") % 3 == 0, "codex").when(F.col("session_id") % 3 == 1, "claude_code"))
+    shown = [a.of_agent(s, x).groupBy(F.lit(x or "both").alias("choice"), "agent").agg(F.count(F.lit(1)).alias("n")) for x in (None, "codex", "claude_code")]
+    return shown[0].unionAll(shown[1]).unionAll(shown[2])
+
+
+def title_tokens(spark, d):
+    """Pages whose url has both words among its identifier tokens."""
+    return table(spark, d, "pages").filter(t.has_title_tokens(F.coalesce("url", F.lit("")), F.lit("HTTPS example"))).select("page_id")
+
+
 _EV = "SELECT ts, user_id, event_id, event_type, event_type = 'error' AS is_error FROM events"
 _CALLS = "c AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS seq, event_type AS name, event_type = 'error' AS is_error, event_id, props FROM events)"
 _SESS = "s AS (SELECT user_id AS session_id, min(ts) AS start_ts, count(*) AS turns, max((event_type = 'error')::INT) AS has_errors, arg_min(event_type, struct_pack(a := ts, b := event_id)) AS intent FROM events GROUP BY ALL)"
@@ -195,8 +258,16 @@ QUERIES: dict[str, tuple] = {
     "time_rail": (time_rail, f"WITH {_SESS}, g AS (SELECT *, date_diff('day', start_ts::DATE, DATE '2024-01-31') AS d FROM s), l AS (SELECT *, CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN d || ' days ago' WHEN d < 14 THEN 'Last week' WHEN d < 31 THEN (d // 7) || ' weeks ago' ELSE strftime(start_ts, '%Y-%m') END AS label FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY start_ts DESC, session_id) AS k FROM l) SELECT session_id, label FROM r WHERE k = 1"),
     "tool_cooccurrence": (tool_cooccurrence, "WITH u AS (SELECT DISTINCT user_id, event_type AS t FROM events WHERE event_type IS NOT NULL) SELECT x.t AS a, y.t AS b, count(*) AS sessions FROM u x JOIN u y ON x.user_id = y.user_id AND x.t < y.t GROUP BY ALL"),
     "error_catalogue": (error_catalogue, "SELECT left(coalesce(props, ''), 12) AS prefix, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, prefix LIMIT 20"),
-    "pivot_turn": (pivot_turn, "WITH w AS (SELECT conv_id, turn, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+')) AS w FROM conversations), an AS (SELECT DISTINCT w FROM w WHERE turn = 0 AND conv_id % 50 = 0 AND strlen(w) > 4), h AS (SELECT conv_id, turn, count(*) AS n FROM w WHERE w IN (SELECT w FROM an) GROUP BY ALL), b AS (SELECT conv_id, arg_max(turn, struct_pack(a := n, b := -turn)) AS best_at, max(n) AS n FROM h GROUP BY ALL), z AS (SELECT conv_id, count(*) AS t FROM conversations GROUP BY ALL) SELECT z.conv_id AS session_id, (CASE WHEN coalesce(n, 0) < 2 THEN least(floor(2 * t / 3), t - 1) ELSE best_at END)::BIGINT AS \"pivot\" FROM z LEFT JOIN b ON z.conv_id = b.conv_id"),
+    "pivot_turn": (pivot_turn, "WITH w AS (SELECT conv_id, turn, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+')) AS w FROM conversations), an AS (SELECT DISTINCT w FROM w WHERE turn = 0 AND strlen(w) > 4), h AS (SELECT conv_id, turn, count(*) AS n FROM w WHERE w IN (SELECT w FROM an) GROUP BY ALL), b AS (SELECT conv_id, arg_max(turn, struct_pack(a := n, b := -turn)) AS best_at, max(n) AS n FROM h GROUP BY ALL), z AS (SELECT conv_id, count(*) AS t FROM conversations GROUP BY ALL) SELECT z.conv_id AS session_id, (CASE WHEN coalesce(n, 0) < 2 THEN least(floor(2 * t / 3), t - 1) ELSE best_at END)::BIGINT AS \"pivot\" FROM z LEFT JOIN b ON z.conv_id = b.conv_id"),
     "predict_next": (predict_next, f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, q WHERE vec_id <> query_id), n AS (SELECT query_id, id AS session_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 8), {_CALLS}, m AS (SELECT session_id, count(*) // 2 AS mid FROM c GROUP BY ALL), u AS (SELECT n.query_id, c.name, n.score, n.session_id FROM n JOIN m ON n.session_id = m.session_id JOIN c ON c.session_id = n.session_id AND c.seq > mid AND c.seq <= mid + 3), g AS (SELECT query_id, name, count(*) AS n, round(avg(score), 6) AS confidence, arg_max(session_id, struct_pack(a := score, b := -session_id)) AS example FROM u GROUP BY ALL), f AS (SELECT *, sum(n) OVER (PARTITION BY query_id) AS total FROM g), o AS (SELECT query_id, name, round(n / total, 6) AS freq, confidence, round(0.55 * n / total + 0.45 * confidence, 5) AS score, example FROM f) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank FROM o) WHERE rank <= 6"),
+    "agent_filter": (agent_filter, f"WITH {_SESS}, g AS (SELECT CASE session_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude_code' END AS agent FROM s), c AS (SELECT unnest(['both', 'codex', 'claude_code']) AS choice) SELECT choice, agent, count(*) AS n FROM c, g WHERE choice = 'both' OR agent IS NULL OR agent = choice GROUP BY ALL"),
+    "title_tokens": (title_tokens, "SELECT page_id FROM pages WHERE list_contains(list_transform(string_split_regex(coalesce(url, ''), '[^\\pL\\pN]+'), lambda x: lower(x)), 'https') AND list_contains(list_transform(string_split_regex(coalesce(url, ''), '[^\\pL\\pN]+'), lambda x: lower(x)), 'example')"),
+    "index_batches": (index_batches, f"WITH {_P}, b AS (SELECT id // 32 AS batch, project = '3' AND id % 11 = 0 AS bad FROM p) SELECT batch, CASE WHEN bool_or(bad) THEN 0 ELSE count(*) END AS indexed, CASE WHEN bool_or(bad) THEN count(*) ELSE 0 END AS errors FROM b GROUP BY ALL"),
+    "session_by_point": (session_by_point, "WITH s AS (SELECT DISTINCT conv_id AS session_id FROM conversations WHERE conv_id % 50 = 0), h AS (SELECT session_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || session_id::VARCHAR::BLOB) AS r FROM s) SELECT session_id, substr(r, 1, 8) || '-' || substr(r, 9, 4) || '-5' || substr(r, 14, 3) || '-' || substr('89ab', ('0x' || substr(r, 17, 1))::INT % 4 + 1, 1) || substr(r, 18, 3) || '-' || substr(r, 21, 12) AS point_id FROM h"),
+    "project_sessions": (project_sessions, "SELECT vec_id AS session_id, '/srv/p1' AS project_path FROM embeddings WHERE label = 1"),
+    "collection_info": (collection_info, "SELECT label::VARCHAR AS name, count(*) AS n FROM embeddings GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM embeddings"),
+    "primer_alerts": (primer_alerts, "WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s WHERE score >= 0.2) SELECT query_id, count(*) AS sources FROM r WHERE k <= 8 GROUP BY ALL HAVING count(*) >= 2"),
+    "recall_alerts": (recall_alerts, "WITH RECURSIVE e AS (SELECT user_id || '|' || left(coalesce(props, ''), 9) AS key, ts FROM events WHERE event_type = 'error'), a AS (SELECT key, min(ts) AS ts FROM e GROUP BY ALL UNION ALL SELECT * FROM (SELECT a.key, min(e.ts) AS ts FROM a JOIN e ON e.key = a.key AND e.ts >= a.ts + INTERVAL 60 MINUTES GROUP BY ALL)) SELECT key, count(*) AS alerts FROM a GROUP BY ALL"),
     "prompt_days": (prompt_days, "SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT event_type) AS projects FROM events GROUP BY ALL"),
     "latest_errors": (latest_errors, f"WITH {_CALLS}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM c) SELECT session_id, max(seq) AS seq, arg_max(event_id, seq) AS event_id FROM b WHERE back <= 6 AND is_error GROUP BY ALL"),
     "dual_read": (dual_read, f"WITH {_P} SELECT id, project, CASE WHEN id % 3 = 0 THEN 3 ELSE 2 END AS version FROM p"),
@@ -207,3 +278,6 @@ QUERIES: dict[str, tuple] = {
     "error_runs": (error_runs, "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'error'), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e), g AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL) SELECT user_id AS session_id, count(*) AS runs, max(n) AS longest FROM g GROUP BY ALL"),
     "hourly_errors": (hourly_errors, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL"),
 }
+_PREDICTED, _STUCK = QUERIES["predict_next"][1], QUERIES["stuck_sessions"][1]
+QUERIES["loop_alerts"] = (loop_alerts, f"SELECT st.session_id, recent_errors, name AS next_tool, freq FROM ({_STUCK}) st LEFT JOIN (SELECT * FROM ({_PREDICTED}) WHERE rank = 1) pr ON st.session_id = pr.query_id")
+QUERIES["predict_alerts"] = (predict_alerts, f"WITH {_CALLS}, z AS (SELECT session_id FROM c GROUP BY ALL HAVING count(*) >= 3) SELECT query_id, name, freq FROM ({_PREDICTED}) pr WHERE rank = 1 AND freq > 0.3 AND query_id IN (SELECT session_id FROM z) AND NOT EXISTS (SELECT 1 FROM c WHERE c.session_id = pr.query_id AND seq <= 3 AND lower(c.name) = lower(pr.name))")

@@ -27,7 +27,7 @@ def fnv_postings(spark, d):
 
 
 def chunk_windows(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(t.chunks(_txt())).alias("chunk_idx", "chunk")).select("doc_id", "chunk_idx", F.md5(F.encode("chunk", "UTF-8")).alias("chunk_md5"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(t.chunks(_txt(), most=None)).alias("chunk_idx", "chunk")).select("doc_id", "chunk_idx", F.md5(F.encode("chunk", "UTF-8")).alias("chunk_md5"))
 
 
 def identifier_tokens(spark, d):
@@ -46,7 +46,7 @@ def strip_tags(spark, d):
 
 
 def redact(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(t.redact(_txt()), "UTF-8")).alias("redacted_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(t.redact(_txt(), cap=None), "UTF-8")).alias("redacted_md5"))
 
 
 def clip_dedupe_key(spark, d):
@@ -145,12 +145,16 @@ _LASTPOS = lambda words: "greatest(" + ", ".join(f"CASE WHEN contains(l, '{w}')
 
 
 
-def _redact_sql(x: str, cap: int = t.REDACT_CAP) -> str:
+def _redact_sql(x: str, cap: int | None = t.REDACT_CAP) -> str:
     quoted = lambda v: "'" + v.replace("'", "''") + "'"
-    out = f"CASE WHEN strlen({x}) > {cap} THEN left({x}, {cap}) || ' …«truncated»' ELSE {x} END"
+    out = x
     for pattern, name in t.SECRETS:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(f'«redacted:{name}»' if name else chr(92) + '1=«redacted:secret»')}, 'g')"
-    return f"CASE WHEN regexp_matches({x}, {quoted('(?i)' + '|'.join(t.SECRET_MARKS))}) THEN {out} ELSE {x} END"
+    scan = f"regexp_matches({x}, {quoted(t.SECRET_MARKS)})"
+    if cap is None:
+        return f"CASE WHEN {scan} THEN {out} ELSE {x} END"
+    out = f"CASE WHEN {scan} OR strlen({x}) > {cap} THEN {out} ELSE {x} END"
+    return f"CASE WHEN length({out}) > {cap} THEN left({out}, {cap}) || ' …«truncated»' ELSE {out} END"
 
 
 _CONTENT = f"WITH c AS (SELECT conv_id AS session_id, coalesce(string_agg(CASE WHEN trim({_T}, ' ') <> '' THEN CASE WHEN role = 'user' THEN 'U: ' ELSE 'A: ' END || text || chr(10) ELSE '' END, '' ORDER BY turn), '') AS content FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL)"
@@ -159,11 +163,11 @@ _PLAIN = "lower(trim(regexp_replace(regexp_replace(x, '(?s)```.*?```', ' ', 'g')
 QUERIES: dict[str, tuple] = {
     "tokenize_counts": (tokenize_counts, f"SELECT doc_id, len({_TOK})::INT AS tokens, len(list_distinct({_TOK}))::INT AS distinct_tokens FROM documents"),
     "fnv_postings": (fnv_postings, f"WITH c AS (SELECT session_id, token, count(*) AS n FROM (SELECT conv_id AS session_id, unnest({_TOK}) AS token FROM conversations) GROUP BY ALL) SELECT session_id, ({_FNV})::BIGINT AS token_id, sum(n)::BIGINT AS tf FROM c GROUP BY 1, 2"),
-    "chunk_windows": (chunk_windows, f"WITH w AS (SELECT doc_id, {_W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE least(64, greatest(1, ceil((len(w) - 32) / 24.0) + 1)) END::BIGINT)) AS i FROM w) SELECT doc_id, i::INT AS chunk_idx, md5(array_to_string(w[i * 24 + 1 : i * 24 + 32], ' ')) AS chunk_md5 FROM c"),
+    "chunk_windows": (chunk_windows, f"WITH w AS (SELECT doc_id, {_W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, ceil((len(w) - 32) / 24.0) + 1) END::BIGINT)) AS i FROM w) SELECT doc_id, i::INT AS chunk_idx, md5(array_to_string(w[i * 24 + 1 : i * 24 + 32], ' ')) AS chunk_md5 FROM c"),
     "identifier_tokens": (identifier_tokens, "WITH w AS (SELECT page_id, list_filter(string_split_regex(coalesce(url, ''), '[^\\pL\\pN_-]+'), lambda x: x <> '') AS w FROM pages), c AS (SELECT page_id, list_filter(list_transform(flatten(list_transform(w, lambda x: list_concat([x], string_split_regex(x, '[_-]+'), flatten(list_transform(string_split_regex(x, '[_-]+'), lambda y: string_split(regexp_replace(y, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), ' ')))))), lambda y: lower(y)), lambda y: length(y) > 1) AS c FROM w) SELECT page_id, coalesce(array_to_string(list_filter(c, lambda y, i: list_position(c, y) = i), ' '), '') AS tokens FROM c"),
     "synth_title": (synth_title, f"WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND trim(text, ' ') <> ''), f AS (SELECT conv_id, arg_min(text, turn) AS x FROM u GROUP BY ALL) SELECT conv_id AS session_id, left({_SQ('''regexp_replace(x, '</?[a-z][a-z0-9-]*[^>]*>', ' ', 'g')''')}, 60) AS title FROM f"),
     "strip_tags": (strip_tags, f"SELECT page_id, md5({_SQ('''regexp_replace(coalesce(html, ''), '</?[a-z][a-z0-9-]*[^>]*>', ' ', 'g')''')}) AS plain_md5 FROM pages"),
-    "redact": (redact, f"SELECT doc_id, md5({_redact_sql(_T)}) AS redacted_md5 FROM documents"),
+    "redact": (redact, f"SELECT doc_id, md5({_redact_sql(_T, None)}) AS redacted_md5 FROM documents"),
     "clip_dedupe_key": (clip_dedupe_key, f"WITH k AS (SELECT doc_id, left({_SQ(f'''lower(regexp_replace({_T}, '^[-*+•·→↪↵#>\\s]+', ''))''')}, 120) AS k FROM documents), g AS (SELECT k, count(*) AS n, min(doc_id) AS first_id FROM k GROUP BY ALL HAVING count(*) > 1) SELECT CASE WHEN length(k) > 40 THEN left(k, 39) || '…' ELSE k END AS short_key, n, first_id FROM g"),
     "point_ids": (point_ids, "WITH s AS (SELECT DISTINCT conv_id AS session_id FROM conversations), h AS (SELECT session_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || session_id::VARCHAR::BLOB) AS r FROM s) SELECT session_id, substr(r, 1, 8) || '-' || substr(r, 9, 4) || '-5' || substr(r, 14, 3) || '-' || substr('89ab', ('0x' || substr(r, 17, 1))::INT % 4 + 1, 1) || substr(r, 18, 3) || '-' || substr(r, 21, 12) AS point_id, '#' || left(md5(session_id::VARCHAR), 8) AS short FROM h"),
     "url_buckets": (url_buckets, "WITH p AS (SELECT regexp_replace(coalesce(url, ''), '^[a-z]+:/', '') AS p FROM pages), s AS (SELECT p, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM p) SELECT CASE WHEN len(s) <= 3 THEN p ELSE '/' || array_to_string(s[1:3], '/') || '/…' END AS bucket, count(*) AS n FROM s GROUP BY ALL"),

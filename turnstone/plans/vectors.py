@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstone.functions import text
 from turnstone.operators import graph, retrieval as r
-from turnstone.plans.adapters import AS_OF, points, queries, turns
+from turnstone.plans.adapters import AS_OF, points, queries, table, turns
 
 K = 10
 LANES = [("content", 1, 32, 1.0, None), ("code", 33, 32, 0.5, None), ("error", 1, 64, 0.7, "has_errors"), ("idle", 17, 32, 0.0, None)]
+SPARSE = [("tool", 0.05), ("path", 0.02)]
 
 _PTS = f"""p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label::VARCHAR AS project, label % 2 = 0 AS has_errors, {AS_OF} - vec_id * 37 % 90 * 86400 AS start_ts FROM embeddings),
 q AS (SELECT id AS query_id, vec AS qv, project AS qp FROM p WHERE id % 50 = 0)"""
@@ -23,7 +24,17 @@ def _lane(name: str, first: int, size: int, weight: float, where: str | None) ->
     return f"SELECT '{name}' AS lane, {weight}::DOUBLE AS weight, query_id, id, score, rank FROM (SELECT *, {_RANK} FROM (SELECT query_id, id, round(list_dot_product({sl('vec')}, {sl('qv')}), 6) AS score FROM p, q WHERE id <> query_id{' AND ' + where if where else ''})) WHERE rank <= 50"
 
 
-_LANES = f"WITH {_PTS}, l AS ({' UNION ALL '.join(_lane(*x) for x in LANES if x[3] > 0)})"
+_TOK = "list_filter(string_split_regex(lower({x}), '[^\\pL\\pN]+'), lambda t: strlen(t) >= 2)"
+
+
+def _sparse(name: str, weight: float, tokens: str) -> str:
+    """tokens: SQL of rows (id, token)."""
+    return f"SELECT '{name}' AS lane, {weight}::DOUBLE AS weight, query_id, id, score, rank FROM (SELECT *, {_RANK} FROM (SELECT query_id, id, round(sum(tf * q * ln((n - df + 0.5) / (df + 0.5) + 1)), 6) AS score FROM (SELECT token, id, count(*) AS tf FROM ({tokens}) GROUP BY ALL) po JOIN (SELECT token, id AS query_id, count(*) AS q FROM ({tokens}) WHERE id % 50 = 0 GROUP BY ALL) qt USING (token) JOIN (SELECT token, count(DISTINCT id) AS df FROM ({tokens}) GROUP BY ALL) df USING (token), (SELECT count(DISTINCT id) AS n FROM ({tokens})) WHERE id <> query_id GROUP BY ALL)) WHERE rank <= 50"
+
+
+_TOOLS = "SELECT user_id AS id, event_type AS token FROM events WHERE event_type IS NOT NULL"
+_PATHS = f"SELECT page_id AS id, unnest({_TOK.format(x="coalesce(url, '')")}) AS token FROM pages"
+_LANES = f"WITH {_PTS}, l AS ({' UNION ALL '.join([_lane(*x) for x in LANES if x[3] > 0] + [_sparse(*SPARSE[0], _TOOLS), _sparse(*SPARSE[1], _PATHS)])})"
 
 
 def _found(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -49,12 +60,25 @@ def cosine_pairs(spark, d):
     from turnstone.functions.vector import cosine
 
     p = points(spark, d)
-    return p.filter("id % 50 = 0").select("id", F.round(cosine(F.slice("vec", 1, 32), F.slice("vec", 33, 32)), 6).alias("halves"))
+    return p.select("id", F.round(cosine(F.slice("vec", 1, 32), F.slice("vec", 33, 32)), 6).alias("halves"))
+
+
+def _counted(rows: DataFrame, key: str, tokens) -> tuple[DataFrame, DataFrame]:
+    """Postings (token, id, tf) of the rows, and how many ids they have."""
+    own = rows.select(F.col(key).alias("id"), F.explode(tokens).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return own, own.agg(F.countDistinct("id").alias("documents"))
 
 
 def _fused(spark, d):
+    """The dense lanes, and two sparse ones: sessions are points, users and pages of one id."""
     p = points(spark, d)
-    return p, r.lanes(p, queries(p), LANES)
+    found = r.lanes(p, queries(p), LANES)
+    tools = _counted(table(spark, d, "events").filter("event_type is not null"), "user_id", F.array("event_type"))
+    paths = _counted(table(spark, d, "pages"), "page_id", text.sparse_tokens(F.coalesce("url", F.lit(""))))
+    for (name, weight), (postings, n) in zip(SPARSE, (tools, paths)):
+        asked = postings.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "token", "tf")
+        found = found.unionAll(r.sparse_lane(name, weight, postings, asked, n))
+    return p, found
 
 
 def lens_formula(spark, d):
@@ -69,20 +93,18 @@ def lens_rrf(spark, d):
 def lens_breakdown(spark, d):
     b = r.breakdown(_fused(spark, d)[1])
     get = lambda k: F.col("scores")[k].alias(k)
-    return b.select("query_id", "id", get("content"), get("code"), get("error"))
+    return b.select("query_id", "id", *[get(x) for x in ("content", "code", "error", "tool", "path")])
 
 
 def grouped_topk(spark, d):
-    p, found = _found(spark, d, 50)
-    return r.grouped(found, p, "project", 2, 8)
+    p = points(spark, d)
+    return r.grouped(p, queries(p), "project", 2, 8)
 
 
 def neighbours_excluded(spark, d):
     """Neighbours outside the query's own project."""
     p = points(spark, d)
-    found = r.neighbours(p, queries(p), 50)
-    other = found.join(p.select("id", "project"), "id").join(queries(p).select("query_id", F.col("project").alias("own")), "query_id").filter("project <> own")
-    return r.ranked(other.select("query_id", "id", "score"), 5)
+    return r.neighbours(p, queries(p), 5, other="project")
 
 
 def neighbour_bands(spark, d):
@@ -97,24 +119,31 @@ def recall_queue(spark, d):
     return r.neighbours(p, queries(p), 4, at_least=0.25)
 
 
-def _vec(p: DataFrame, i: int) -> list[float]:
-    return list(p.filter(F.col("id") == i).select("vec").first()[0])
+def _vecs(p: DataFrame, ids: list[int]) -> dict[int, list[float]]:
+    """The vectors of a few given points, in one job."""
+    got = {row[0]: list(row[1]) for row in p.filter(F.col("id").isin(ids)).select("id", "vec").collect()}
+    if missing := [i for i in ids if i not in got]:
+        raise ValueError(f"no points {missing}")
+    return got
 
 
 def mix_match(spark, d):
     p = points(spark, d)
     pairs, target = r.pad_pairs([0, 1, 2], [3, 4])
-    return r.discover(p, [(_vec(p, a), _vec(p, b)) for a, b in pairs], _vec(p, target), [0, 1, 2, 3, 4], 20)
+    v = _vecs(p, [0, 1, 2, 3, 4])
+    return r.discover(p, [(v[a], v[b]) for a, b in pairs], v[target], [0, 1, 2, 3, 4], 20)
 
 
 def discovery_pairs(spark, d):
     p = points(spark, d)
-    return r.discover(p, [(_vec(p, 5), _vec(p, 6)), (_vec(p, 7), _vec(p, 8))], _vec(p, 9), [5, 6, 7, 8, 9], 20)
+    v = _vecs(p, [5, 6, 7, 8, 9])
+    return r.discover(p, [(v[5], v[6]), (v[7], v[8])], v[9], [5, 6, 7, 8, 9], 20)
 
 
 def relevance_feedback(spark, d):
     p = points(spark, d)
-    return r.feedback(p, _vec(p, 0), [(_vec(p, 1), _vec(p, 2), 1.0), (_vec(p, 3), _vec(p, 4), 0.5)], 20)
+    v = _vecs(p, [0, 1, 2, 3, 4])
+    return r.feedback(p, v[0], [(v[1], v[2], 1.0), (v[3], v[4], 0.5)], 20)
 
 
 _V = lambda i: f"(SELECT vec FROM p WHERE id = {i})"
@@ -142,9 +171,10 @@ def mmr_diverse(spark, d):
 
 def ndcg_at_10(spark, d):
     p, found = _found(spark, d)
-    own = queries(p)
-    relevant = own.select("query_id", "project").join(p.select("id", "project"), "project").filter("id <> query_id").select("query_id", "id")
-    return r.ndcg(found, relevant)
+    own = queries(p).select("query_id", F.col("project").alias("own"))
+    marked = found.join(own, "query_id").join(p.select("id", "project"), "id").withColumn("hit", F.col("project") == F.col("own"))
+    sizes = own.join(p.groupBy(F.col("project").alias("own")).agg((F.count(F.lit(1)) - 1).alias("n")), "own")
+    return r.ndcg_of(marked, sizes)
 
 
 def facet_projects(spark, d):
@@ -169,7 +199,7 @@ def sparse_idf_search(spark, d):
     """Each tenth conversation's first turn against all conversations."""
     t = turns(spark, d)
     q = t.filter("turn_index = 0 and session_id % 10 = 0").select(F.col("session_id").alias("query_id"), F.explode(text.sparse_tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    n = t.select("session_id").distinct().count()
+    n = t.agg(F.countDistinct("session_id").alias("documents"))
     return r.sparse_search(_postings(spark, d), q, n, K)
 
 
@@ -202,19 +232,18 @@ def gap_near_miss(spark, d):
     return graph.near_misses(edges, forest, p, at_least=-1.0)
 
 
-_TOK = "list_filter(string_split_regex(lower({x}), '[^\\pL\\pN]+'), lambda t: strlen(t) >= 2)"
 _POST = f"po AS (SELECT t AS token, id, count(*) AS tf FROM (SELECT conv_id AS id, unnest({_TOK.format(x='text')}) AS t FROM conversations WHERE role <> 'system') GROUP BY ALL)"
 
 QUERIES: dict[str, tuple] = {
     "knn_content": (knn_content, f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 10"),
     "knn_filtered_recall": (knn_filtered_recall, f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM s WHERE has_errors) WHERE rank <= 5"),
     "knn_threshold": (knn_threshold, f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM s WHERE score >= 0.2) WHERE rank <= 10"),
-    "cosine_pairs": (cosine_pairs, f"WITH {_PTS} SELECT id, round(list_cosine_similarity(vec[1:32], vec[33:64]), 6) AS halves FROM p WHERE id % 50 = 0"),
+    "cosine_pairs": (cosine_pairs, f"WITH {_PTS} SELECT id, round(list_cosine_similarity(vec[1:32], vec[33:64]), 6) AS halves FROM p"),
     "lens_formula": (lens_formula, f"{_LANES}, f AS (SELECT query_id, l.id, round(sum(weight * score) + any_value(pow(0.5, abs({AS_OF} - start_ts) / 2592000.0)) + any_value(CASE WHEN has_errors THEN 0.2 ELSE 0.0 END), 5) AS score FROM l JOIN p ON l.id = p.id GROUP BY query_id, l.id) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM f) WHERE rank <= 10"),
     "lens_rrf": (lens_rrf, f"{_LANES}, f AS (SELECT query_id, id, round(sum(weight / (60 + rank)), 9) AS score FROM l GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM f) WHERE rank <= 10"),
-    "lens_breakdown": (lens_breakdown, f"{_LANES} SELECT query_id, id, max(score) FILTER (lane = 'content') AS content, max(score) FILTER (lane = 'code') AS code, max(score) FILTER (lane = 'error') AS error FROM l GROUP BY ALL"),
-    "grouped_topk": (grouped_topk, f"{_ALL}, h AS (SELECT query_id, project AS \"group\", id, score FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 50), g AS (SELECT *, row_number() OVER w AS in_group, first(score) OVER w AS best, first(id) OVER w AS best_id FROM h WINDOW w AS (PARTITION BY query_id, \"group\" ORDER BY score DESC, id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, best_id, in_group) AS place FROM g WHERE in_group <= 2) SELECT query_id, \"group\", id, score, in_group, place FROM o WHERE place <= 8"),
-    "neighbours_excluded": (neighbours_excluded, f"{_ALL}, h AS (SELECT query_id, id, score FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 50 AND project <> qp) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM h) WHERE rank <= 5"),
+    "lens_breakdown": (lens_breakdown, f"{_LANES} SELECT query_id, id, max(score) FILTER (lane = 'content') AS content, max(score) FILTER (lane = 'code') AS code, max(score) FILTER (lane = 'error') AS error, max(score) FILTER (lane = 'tool') AS tool, max(score) FILTER (lane = 'path') AS path FROM l GROUP BY ALL"),
+    "grouped_topk": (grouped_topk, f"{_ALL}, h AS (SELECT query_id, project AS \"group\", id, score FROM s), g AS (SELECT *, row_number() OVER w AS in_group, first(score) OVER w AS best, first(id) OVER w AS best_id FROM h WINDOW w AS (PARTITION BY query_id, \"group\" ORDER BY score DESC, id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, best_id, in_group) AS place FROM g WHERE in_group <= 2) SELECT query_id, \"group\", id, score, in_group, place FROM o WHERE place <= 8"),
+    "neighbours_excluded": (neighbours_excluded, f"{_ALL}, h AS (SELECT query_id, id, score FROM s WHERE project <> qp) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM h) WHERE rank <= 5"),
     "neighbour_bands": (neighbour_bands, f"{_ALL} SELECT query_id, id, CASE WHEN score > 0.7 THEN 'strong' WHEN score > 0.5 THEN 'related' ELSE 'weak' END AS band FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 5"),
     "recall_queue": (recall_queue, f"{_ALL}, e AS (SELECT s.* FROM s JOIN p ON s.query_id = p.id WHERE s.has_errors AND p.has_errors AND score >= 0.25) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM e) WHERE rank <= 4"),
     "mix_match": (mix_match, _discover_sql([(0, 3), (1, 4), (2, 3)], 0, [0, 1, 2, 3, 4])),

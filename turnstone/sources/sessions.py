@@ -1,7 +1,8 @@
 """Readers of append-only session logs in three JSONL formats, as tables of sessions, turns, calls and results.
 
-Lines are read with Spark's text reader, whole files at a time so that lines keep their order, and parsed as VARIANT; no schema is
-inferred. What depends on order within a file (islands of calls, owners of outputs) is done per file.
+Lines are read with Spark's text reader and parsed as VARIANT; no schema is inferred. A line's place is that of its split in the file
+and its order within the split, so a long log is read in parts. What depends on order within a file is done by windows over its lines.
+A root that doesn't exist, or has no logs, gives empty tables.
 
 Tables: sessions(session_id, source_path, source_agent, project_path, project_name, git_branch, agent_version, title, start_ts,
 end_ts, user_turns, assistant_turns, system_events, other_events), turns(session_id, turn_index, uuid, parent_uuid, ts, role,
@@ -11,17 +12,15 @@ result_seq, call_id, content, is_error), bad(source_path, reason).
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnstone.functions import text as t
 
 AGENTS = ("claude_code", "codex", "legacy")
-_TURNS = "source_path string, turn_index int, role string, ts string, uuid string, text string, calls array<struct<call_id:string,name:string,input_json:string>>, results array<struct<call_id:string,content:string,is_error:boolean>>"
 
 
 class Sessions(NamedTuple):
@@ -32,12 +31,22 @@ class Sessions(NamedTuple):
     bad: DataFrame
 
 
+def _text(spark: SparkSession, root: str, glob: str, recursive: bool) -> DataFrame:
+    """(source_path, split, place, line) of all lines under root; empty where there is no root."""
+    try:
+        files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "source_path string, split bigint, place bigint, line string")
+    return files.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+
+
 def lines(spark: SparkSession, root: str, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
-    """(source_path, line_no, line) of all non-blank lines under root, in file order; sub-agents' folders are left out."""
-    files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(root, wholetext=True)
-    own = files.select(F.col("_metadata.file_path").alias("source_path"), "value").filter(~F.contains("source_path", F.lit("/subagents/")))
-    each = own.select("source_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return each.select("source_path", "line_no", F.btrim(F.regexp_replace("line", r"\r$", "")).alias("line")).filter("line <> ''")
+    """(source_path, line_no, line) of all non-blank lines under root, numbered in file order; sub-agents' folders are left out."""
+    own = _text(spark, root, glob, recursive).filter(~F.contains("source_path", F.lit("/subagents/")))
+    number = F.row_number().over(Window.partitionBy("source_path").orderBy("split", "place")) - 1
+    return own.select("source_path", number.alias("line_no"), F.btrim("line", F.lit(" \t\r")).alias("line")).filter("line <> ''")
 
 
 def _get(v: str, path: str, kind: str = "string") -> Column:
@@ -45,16 +54,16 @@ def _get(v: str, path: str, kind: str = "string") -> Column:
 
 
 def _stem(path: Column) -> Column:
-    return F.regexp_replace(t.basename(path), r"\.jsonl$", "")
+    return F.regexp_replace(t.basename(path), r"\.[A-Za-z]+$", "")
 
 
 def _first(value: Column, order: str = "line_no") -> Column:
     return F.min_by(value, F.when(value.isNotNull(), F.col(order)))
 
 
-def read_claude(spark: SparkSession, root: str) -> Sessions:
+def read_claude(spark: SparkSession, root: str, glob: str = "*.jsonl") -> Sessions:
     """One session a file. A line that isn't JSON fails its file, which goes to bad with the line's number."""
-    raw = lines(spark, root).withColumn("v", F.try_parse_json("line"))
+    raw = lines(spark, root, glob).withColumn("v", F.try_parse_json("line"))
     bad = raw.groupBy("source_path").agg(F.min(F.when(F.col("v").isNull(), F.col("line_no"))).alias("at")).filter("at is not null").select("source_path", F.concat(F.lit("line "), (F.col("at") + 1).cast("string"), F.lit(" is not JSON")).alias("reason"))
     good = raw.join(bad, "source_path", "left_anti")
     e = good.select("source_path", "line_no", "v", _get("v", "$.type").alias("type"), F.try_to_timestamp(_get("v", "$.timestamp")).alias("ts"))
@@ -92,9 +101,9 @@ def _assemble(facts: DataFrame, turns: DataFrame, bad: DataFrame) -> Sessions:
     return Sessions(sessions, named.select("session_id", "turn_index", "uuid", "parent_uuid", "ts", "role", "is_sidechain", "text"), calls, results, bad)
 
 
-def read_legacy(spark: SparkSession, root: str) -> Sessions:
+def read_legacy(spark: SparkSession, root: str, glob: str = "ses_*.jsonl") -> Sessions:
     """Transcripts `ses_*.jsonl`: calls and results up to the next user line make one assistant turn. Lines that aren't JSON are skipped."""
-    e = lines(spark, root, "ses_*.jsonl", recursive=False).withColumn("v", F.try_parse_json("line")).filter("v is not null").select("source_path", "line_no", _get("v", "$.type").alias("type"), _get("v", "$.timestamp").alias("raw_ts"), _get("v", "$.content").alias("content"), _get("v", "$.tool_name").alias("name"), F.to_json(F.try_variant_get("v", "$.tool_input", "variant")).alias("input_json"), _get("v", "$.tool_output").alias("output"))
+    e = lines(spark, root, glob, recursive=False).withColumn("v", F.try_parse_json("line")).filter("v is not null").select("source_path", "line_no", _get("v", "$.type").alias("type"), _get("v", "$.timestamp").alias("raw_ts"), _get("v", "$.content").alias("content"), _get("v", "$.tool_name").alias("name"), F.to_json(F.try_variant_get("v", "$.tool_input", "variant")).alias("input_json"), _get("v", "$.tool_output").alias("output"))
     by_file = Window.partitionBy("source_path").orderBy("line_no")
     e = e.filter(F.col("type").isin("user", "tool_use", "tool_result")).withColumn("seq", F.sum((F.col("type") == "user").cast("int")).over(by_file))
     e = e.withColumn("role", F.when(F.col("type") == "user", "user").otherwise("assistant")).withColumn("n_call", F.sum((F.col("type") == "tool_use").cast("int")).over(by_file))
@@ -117,38 +126,59 @@ def read_legacy(spark: SparkSession, root: str) -> Sessions:
     return _assemble(facts, turns, spark.createDataFrame([], "source_path string, reason string"))
 
 
-def _rollout(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Turns of one file: calls go to the latest assistant turn, outputs to the next user turn after the latest turn that owns the call."""
-    turns: list[dict] = []
-
-    def add(role: str, kind: str, ts: str | None, text: str = "") -> dict:
-        turns.append({"role": role, "uuid": f"codex-{kind}-{len(turns)}", "ts": ts, "text": text, "calls": [], "results": []})
-        return turns[-1]
-
-    for p, ts in zip(pdf.sort_values("line_no")["payload"], pdf.sort_values("line_no")["ts"]):
-        x = json.loads(p)
-        kind = x.get("type")
-        if kind == "message" and x.get("role") in ("user", "assistant"):
-            text = "\n".join(i["text"] for i in x.get("content") or [] if isinstance(i, dict) and isinstance(i.get("text"), str))
-            if text.strip():
-                add(x["role"], x["role"], ts, text.strip())
-        elif kind == "function_call":
-            owner = next((u for u in reversed(turns) if u["role"] == "assistant"), None) or add("assistant", "fc-stub", ts)
-            owner["calls"].append({"call_id": x.get("call_id") or "", "name": x.get("name") or "", "input_json": x.get("arguments")})
-        elif kind == "function_call_output":
-            at = next((i for i in range(len(turns) - 1, -1, -1) if turns[i]["role"] == "assistant" and any(c["call_id"] == x.get("call_id") for c in turns[i]["calls"])), None)
-            if at is None:
-                continue
-            out = x.get("output")
-            content = out if isinstance(out, str) else json.dumps(out)
-            taker = next((u for u in turns[at + 1 :] if u["role"] == "user"), None) or add("user", "fo-stub", ts)
-            taker["results"].append({"call_id": x["call_id"], "content": content, "is_error": None})
-    return pd.DataFrame([{"source_path": pdf["source_path"].iloc[0], "turn_index": i, **u} for i, u in enumerate(turns)], columns=["source_path", "turn_index", "role", "ts", "uuid", "text", "calls", "results"])
-
-
-def read_rollouts(spark: SparkSession, root: str) -> Sessions:
+def _rollout_turns(items: DataFrame) -> DataFrame:
+    """Turns of items (source_path, line_no, ts, payload): calls go to the latest assistant turn, outputs to the next user turn after
+    the latest turn before them that owns the call. Where there is none to take a call or an output, a turn is made for it; what
+    follows finds the made turn like any other. Outputs of unknown calls are dropped.
+
+    All is windows over a file's lines. A call needs a turn made if no assistant line precedes it in its file, so only the first
+    call of such a file does. An output takes the first user message after its owner's line; one is made at the first output that
+    finds none between its owner and itself, and later outputs of owners before it take that.
+    """
+    p = F.try_parse_json("payload")
+    get = lambda path: F.try_variant_get(p, path, "string")
+    texts = F.filter(F.transform(F.try_variant_get(p, "$.content", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) != "STRING", F.try_variant_get(x, "$.text", "string"))), lambda x: x.isNotNull())
+    output = F.try_variant_get(p, "$.output", "variant")
+    e = items.select("source_path", "line_no", "ts", get("$.type").alias("kind"), get("$.role").alias("role"), F.btrim(F.array_join(texts, "\n"), F.lit(" \t\n\r")).alias("text"), F.coalesce(get("$.call_id"), F.lit("")).alias("call_id"), F.coalesce(get("$.name"), F.lit("")).alias("name"), get("$.arguments").alias("input_json"), F.coalesce(F.when(F.schema_of_variant(output) == "STRING", get("$.output")), F.to_json(output)).alias("content"))
+    e = e.filter((F.col("kind") == "message") & F.col("role").isin("user", "assistant") & (F.col("text") != "") | F.col("kind").isin("function_call", "function_call_output"))
+    upto = Window.partitionBy("source_path").orderBy("line_no")
+    before = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = upto.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    said = lambda role: F.when((F.col("kind") == "message") & (F.col("role") == role), F.col("line_no"))
+    e = e.withColumn("first_call", F.min(F.when(F.col("kind") == "function_call", F.col("line_no"))).over(Window.partitionBy("source_path"))).withColumn("said_at", F.max(said("assistant")).over(before))
+    # A call before any assistant message makes a turn, once; it is the latest one until the next message.
+    makes = (F.col("kind") == "function_call") & F.col("said_at").isNull() & (F.col("line_no") == F.col("first_call"))
+    owns = F.when(makes, F.col("line_no")).otherwise(said("assistant"))
+    e = e.withColumn("makes_call", makes).withColumn("owns", owns).withColumn("next_user", F.min(said("user")).over(after))
+    e = e.withColumn("owner", F.max("owns").over(before)).withColumn("owner_user", F.last(F.when(F.col("owns").isNotNull(), F.struct("next_user")), ignorenulls=True).over(before)["next_user"])
+    calls = e.filter("kind = 'function_call'").select("source_path", "line_no", "owner", "owner_user", "call_id", "name", "input_json")
+    outs = e.filter("kind = 'function_call_output'").select("source_path", "line_no", "ts", "call_id", "content")
+    # The latest owner before the output, and the first user message after it if that came before the output too.
+    asked = outs.join(calls.select("source_path", F.col("line_no").alias("call_at"), "owner", "owner_user", "call_id"), ["source_path", "call_id"]).filter("call_at < line_no")
+    taken = asked.groupBy("source_path", "line_no").agg(F.max(F.struct("owner", "owner_user")).alias("o"), F.first("ts").alias("ts"), F.first("call_id").alias("call_id"), F.first("content").alias("content"))
+    taken = taken.select("source_path", "line_no", "o.owner", "ts", "call_id", "content", F.when(F.col("o.owner_user") < F.col("line_no"), F.col("o.owner_user")).alias("taker"))
+    made = taken.filter("taker is null").groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("line_no", "owner"))).alias("lone")).select("source_path", _made_at(F.col("lone")).alias("made"))
+    placed = taken.join(made, "source_path", "left").withColumn("made_at", F.array_min(F.filter("made", lambda m: (m > F.col("owner")) & (m <= F.col("line_no")))))
+    placed = placed.withColumn("turn_at", F.least("taker", "made_at"))
+    heads = e.filter(F.col("kind") == "message").select("source_path", F.col("line_no").alias("turn_at"), "role", "ts", "text", F.col("role").alias("form"))
+    stubs = e.filter("makes_call").select("source_path", F.col("line_no").alias("turn_at"), F.lit("assistant").alias("role"), "ts", F.lit("").alias("text"), F.lit("fc-stub").alias("form"))
+    takers = placed.filter("turn_at = made_at and line_no = made_at").select("source_path", "turn_at", F.lit("user").alias("role"), "ts", F.lit("").alias("text"), F.lit("fo-stub").alias("form"))
+    own_calls = calls.groupBy("source_path", F.col("owner").alias("turn_at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "call_id", "name", "input_json"))), lambda c: F.struct(c["call_id"].alias("call_id"), c["name"].alias("name"), c["input_json"].alias("input_json"))).alias("calls"))
+    own_outs = placed.groupBy("source_path", "turn_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "call_id", "content"))), lambda r: F.struct(r["call_id"].alias("call_id"), r["content"].alias("content"), t.looks_like_error(r["content"]).alias("is_error"))).alias("results"))
+    every = heads.unionAll(stubs).unionAll(takers).withColumn("turn_index", F.row_number().over(Window.partitionBy("source_path").orderBy("turn_at")) - 1)
+    none_c, none_r = F.array().cast("array<struct<call_id:string,name:string,input_json:string>>"), F.array().cast("array<struct<call_id:string,content:string,is_error:boolean>>")
+    return every.join(own_calls, ["source_path", "turn_at"], "left").join(own_outs, ["source_path", "turn_at"], "left").select("source_path", "turn_index", F.concat(F.lit("codex-"), F.col("form"), F.lit("-"), F.col("turn_index").cast("string")).alias("uuid"), F.lit(None).cast("string").alias("parent_uuid"), F.try_to_timestamp("ts").alias("ts"), "role", F.lit(False).alias("is_sidechain"), "text", F.coalesce("calls", none_c).alias("calls"), F.coalesce("results", none_r).alias("results"))
+
+
+def _made_at(lone: Column) -> Column:
+    """The lines at which turns are made for outputs (line_no, owner; in order of lines): each that has no made one after its owner."""
+    start = F.array().cast("array<int>")
+    return F.aggregate(lone, start, lambda made, x: F.when(F.exists(made, lambda m: m > x["owner"]), made).otherwise(F.concat(made, F.array(x["line_no"].cast("int")))))
+
+
+def read_rollouts(spark: SparkSession, root: str, glob: str = "rollout-*.jsonl") -> Sessions:
     """Logs `rollout-*.jsonl` with envelopes. A file whose first session_meta doesn't come before its items is bad."""
-    e = lines(spark, root, "rollout-*.jsonl").withColumn("v", F.try_parse_json("line")).filter("v is not null")
+    e = lines(spark, root, glob).withColumn("v", F.try_parse_json("line")).filter("v is not null")
     e = e.select("source_path", "line_no", _get("v", "$.type").alias("type"), _get("v", "$.timestamp").alias("raw_ts"), F.try_variant_get("v", "$.payload", "variant").alias("p")).withColumn("ts", F.try_to_timestamp("raw_ts"))
     meta = F.col("type") == "session_meta"
     facts = e.groupBy("source_path").agg(
@@ -159,19 +189,30 @@ def read_rollouts(spark: SparkSession, root: str) -> Sessions:
     ok = F.coalesce(F.col("meta_at") < F.coalesce("item_at", F.lit(2**31 - 1)), F.lit(False))
     bad = facts.filter(~ok).select("source_path", F.lit("no session_meta before the first item").alias("reason"))
     items = e.filter("type = 'response_item'").join(bad, "source_path", "left_anti").select("source_path", "line_no", F.col("raw_ts").alias("ts"), F.to_json("p").alias("payload"))
-    raw = items.groupBy("source_path").applyInPandas(_rollout, _TURNS)
-    marked = F.transform("results", lambda r: F.struct(r["call_id"].alias("call_id"), r["content"].alias("content"), t.looks_like_error(r["content"]).alias("is_error")))
-    turns = raw.select("source_path", "turn_index", "uuid", F.lit(None).cast("string").alias("parent_uuid"), F.try_to_timestamp("ts").alias("ts"), "role", F.lit(False).alias("is_sidechain"), "text", "calls", marked.alias("results"))
+    turns = _rollout_turns(items)
     counts = turns.groupBy("source_path").agg(F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(F.col("role") == "assistant").alias("assistant_turns"), F.left(F.regexp_replace(F.min_by("text", F.when((F.col("role") == "user") & (F.col("text") != ""), F.col("turn_index"))), r"\n", " "), F.lit(60)).alias("own_title"))
     none = F.lit(None).cast("string")
     facts = facts.filter(ok).join(counts, "source_path", "left").select("source_path", "session_id", "project_path", "agent_version", "start_ts", "end_ts", "other_events", F.coalesce("user_turns", F.lit(0)).alias("user_turns"), F.coalesce("assistant_turns", F.lit(0)).alias("assistant_turns"), "own_title", F.lit(0).cast("bigint").alias("system_events"), none.alias("git_branch"), F.lit("codex").alias("source_agent"))
     return _assemble(facts, turns, bad)
 
 
+def kind_of(spark: SparkSession, root: str) -> str:
+    """The agent whose logs lie under root, by the names of the files down to four levels; claude_code where none tells."""
+    try:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{rollout-*,ses_*}.jsonl").load(root).select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return "claude_code"
+    depth = F.size(F.split("path", "/")) - len(root.rstrip("/").removeprefix("file://").split("/"))
+    found = names.filter(depth <= 6).agg(F.max(F.contains("path", F.lit("/rollout-"))), F.max(F.contains("path", F.lit("/ses_")))).first()
+    return "codex" if found[0] else "legacy" if found[1] else "claude_code"
+
+
 def read_all(spark: SparkSession, roots: dict[str, str]) -> Sessions:
-    """All roots as one; roots: agent -> folder. An error only if every root is bad or empty."""
+    """All roots as one; roots: agent -> folder, where the agent "auto" stands for what the folder's files tell. An error only if every root is bad."""
     readers = {"claude_code": read_claude, "codex": read_rollouts, "legacy": read_legacy}
-    parts = [readers[agent](spark, root) for agent, root in roots.items()]
+    parts = [readers[kind_of(spark, root) if agent == "auto" else agent](spark, root) for agent, root in roots.items()]
     if not parts:
         raise ValueError("no roots")
     merged = []
@@ -188,7 +229,7 @@ def read_all(spark: SparkSession, roots: dict[str, str]) -> Sessions:
 
 def prompt_history(spark: SparkSession, path: str) -> DataFrame:
     """(ts_ms, project) of a prompt history; lines that aren't JSON, or have no time, are left out."""
-    v = spark.read.text(path).withColumn("v", F.try_parse_json("value")).filter("v is not null")
+    v = _text(spark, path, "*", False).withColumn("v", F.try_parse_json("line")).filter("v is not null")
     return v.select(F.coalesce(_get("v", "$.timestamp", "bigint").cast("string"), _get("v", "$.timestamp")).alias("ts_ms"), _get("v", "$.project").alias("project")).filter("ts_ms is not null")
 
 

@@ -1,52 +1,132 @@
 """Alerts over a stream of events, by event time with a watermark, so that a replay gives the same alerts.
 
-events: session_id, event_id, ts, name, is_error. Rows later than the watermark are dropped by Spark.
+events: session_id, event_id, ts, name, is_error. Rows later than the watermark are dropped by Spark, and what is kept by session
+takes rows in the order in which batches bring them; replay() brings a table in time order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WATERMARK = "1 hour"
+#: Seconds between two alerts of one kind for one key: loops, predictions, recalled errors, primers.
 DEBOUNCE_SECONDS = 20 * 60
+PREDICT_SECONDS, RECALL_SECONDS, PRIMER_SECONDS = 30 * 60, 60 * 60, 24 * 60 * 60
+#: What is known of a session is forgotten after so long without an event.
+IDLE_MS = 14 * 24 * 60 * 60 * 1000
 LAST, LEAST_TURNS, LEAST_ERRORS = 10, 12, 3
+SLICES = 4
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 30) -> DataFrame:
-    """A folder of event files as a stream. A file is read once, so logs must grow by new files."""
+    """A folder of event files as a stream, the oldest files first. A file is read once, so logs must grow by new files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def stuck_alerts(events: DataFrame, debounce: int = DEBOUNCE_SECONDS, last: int = LAST, turns: int = LEAST_TURNS, errors: int = LEAST_ERRORS) -> DataFrame:
-    """(session_id, ts, errors): a session with enough errors among its last events; at most one alert within the debounce time.
+def replay(events: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append", slices: int = SLICES) -> DataFrame:
+    """What build makes of the table as a stream in time order: a slice of time is written, the stream works it off, then the next.
 
-    The state of a session is its last flags, its count and the time of its last alert. The time is kept only when an alert fires.
+    However the table's own files lie, and however many there are, no batch has a row that comes before one of an earlier batch.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flags, n, fired = state.get if state.exists else ("", 0, 0)
+    spark = events.sparkSession
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    cuts = [low + (high - low + 1) * i // slices for i in range(slices + 1)] if low is not None else [0, 1]
+    for a, b in zip(cuts, cuts[1:]):
+        events.filter((at >= a) & (at < b)).write.mode("append").parquet(f"{folder}/events")
+        stream = build(read_events(spark, f"{folder}/events", events.schema, 1 << 30))
+        run_once(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def keyed(events: DataFrame, key: str, step: Callable, out: str, state_schema: str) -> DataFrame:
+    """events by key in time order through step(key, rows, state) -> (rows, state), with the state kept between batches and forgotten
+    after IDLE_MS without an event of the key."""
+
+    def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, bad in zip(rows["ts"], rows["is_error"]):
-            flags, n = (flags + ("1" if bad else "0"))[-last:], n + 1
-            at = int(ts.timestamp())
-            if bad and n >= turns and flags.count("1") >= errors and (not fired or at - fired >= debounce):
-                fired = at
-                out.append((key[0], ts, flags.count("1")))
-        state.update((flags, n, fired))
-        yield pd.DataFrame(out, columns=["session_id", "ts", "errors"])
-
-    return events.withWatermark("ts", WATERMARK).groupBy("session_id").applyInPandasWithState(step, "session_id bigint, ts timestamp, errors int", "flags string, n int, fired bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def debounced_errors(events: DataFrame, window: str = "20 minutes") -> DataFrame:
-    """The errors of each session, one for each window of event time."""
-    w = events.withWatermark("ts", WATERMARK).filter("is_error").withColumn("slot", F.window("ts", window)["start"])
-    return w.dropDuplicatesWithinWatermark(["session_id", "slot"]).select("session_id", "slot")
+        found, now = step(own[0], rows, state.get if state.exists else None)
+        state.update(now)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + IDLE_MS)
+        yield found
+
+    return events.withWatermark("ts", WATERMARK).groupBy(key).applyInPandasWithState(run, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _fire(times: list[float], ready: list[bool], since: float, wait: float) -> list[int]:
+    """The places of what fires: each ready one at least `wait` after the last that fired."""
+    out = []
+    for i, (t, ok) in enumerate(zip(times, ready)):
+        if ok and t - since >= wait:
+            out.append(i)
+            since = t
+    return out
+
+
+def _seconds(ts: pd.Series) -> list[float]:
+    return [x.timestamp() for x in ts]
+
+
+def stuck_alerts(events: DataFrame, debounce: int = DEBOUNCE_SECONDS, last: int = LAST, turns: int = LEAST_TURNS, errors: int = LEAST_ERRORS) -> DataFrame:
+    """(session_id, ts, errors): an error in a session of enough events, with enough errors among the last ones; at most one alert
+    within the debounce time. The state of a session is its last flags, its count and the time of its last alert."""
+
+    def step(key, rows: pd.DataFrame, state: tuple | None):
+        flags, n, fired = state or ("", 0, float("-inf"))
+        own = pd.Series([c == "1" for c in flags] + rows["is_error"].tolist()).astype(int)
+        among = own.rolling(last, min_periods=1).sum().astype(int).tolist()[len(flags) :]
+        times = _seconds(rows["ts"])
+        ready = [bool(bad) and n + i + 1 >= turns and a >= errors for i, (bad, a) in enumerate(zip(rows["is_error"], among))]
+        at = _fire(times, ready, fired, debounce)
+        found = pd.DataFrame({"session_id": [key] * len(at), "ts": rows["ts"].iloc[at].tolist(), "errors": [among[i] for i in at]})
+        return found, ("".join(map(str, own.tolist()[-last:])), n + len(rows), times[at[-1]] if at else fired)
+
+    return keyed(events, "session_id", step, "session_id bigint, ts timestamp, errors int", "flags string, n int, fired double")
+
+
+def debounced(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(key, ts, event_id): the events of each key, each at least so many seconds after the last one that was let through."""
+
+    def step(own, rows: pd.DataFrame, state: tuple | None):
+        fired = state[0] if state else float("-inf")
+        times = _seconds(rows["ts"])
+        at = _fire(times, [True] * len(times), fired, seconds)
+        return pd.DataFrame({key: [own] * len(at), "ts": rows["ts"].iloc[at].tolist(), "event_id": rows["event_id"].iloc[at].tolist()}), (times[at[-1]] if at else fired,)
+
+    kind = events.schema[key].dataType.simpleString()
+    return keyed(events.select(key, "ts", "event_id"), key, step, f"{key} {kind}, ts timestamp, event_id bigint", "fired double")
+
+
+def recall_key(session_id, content):
+    """What recalled errors are debounced by: the session and the first 120 characters of the error."""
+    return F.concat_ws("|", session_id.cast("string"), F.left(content, F.lit(120)))
+
+
+def predict_alerts(predictions: DataFrame, used: DataFrame, turns: DataFrame, least: float = 0.7, least_turns: int = 3) -> DataFrame:
+    """(query_id, name, freq): the first prediction of a session of enough turns, if it is frequent enough and its tool, whatever its
+    case, wasn't used yet. predictions: as activity.predict gives them; used: session_id, name; turns: session_id, turns."""
+    long = turns.filter(F.col("turns") >= least_turns).select(F.col("session_id").alias("query_id"))
+    top = predictions.filter((F.col("rank") == 1) & (F.col("freq") > least)).join(long, "query_id", "left_semi")
+    own = used.select(F.col("session_id").alias("query_id"), F.lower("name").alias("_tool")).distinct()
+    return top.join(own, (top["query_id"] == own["query_id"]) & (F.lower(top["name"]) == own["_tool"]), "left_anti").select("query_id", "name", "freq")
+
+
+def primer_alerts(sources: DataFrame, least: int = 2) -> DataFrame:
+    """(query_id, sources): new sessions for which at least two past ones tell something. sources: query_id, id."""
+    return sources.groupBy("query_id").agg(F.countDistinct("id").alias("sources")).filter(F.col("sources") >= least)
+
+
+def loop_alerts(stuck: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Stuck sessions with what like sessions did next: (session_id, recent_errors, next_tool, freq), null where nothing is known."""
+    top = predictions.filter("rank = 1").select(F.col("query_id").alias("session_id"), F.col("name").alias("next_tool"), "freq")
+    return stuck.join(top, "session_id", "left").select("session_id", "recent_errors", "next_tool", "freq")
 
 
 def latest_errors(events: DataFrame) -> DataFrame:
