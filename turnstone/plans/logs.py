@@ -5,12 +5,12 @@ An assistant's turn with an odd number has a call, made of its text, and the cal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnstone.functions import text as t
-from turnstone.operators import extract
+from turnstone.operators import enrich, extract
 from turnstone.plans.adapters import turns
-from turnstone.plans.texts import _redact_sql
+from turnstone.plans.texts import _LASTPOS, _redact_sql
 from turnstone.sources import sessions as logs
 from turnstone.sources.shared import new_folder
 
@@ -29,10 +29,6 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select(F.col("session_id").alias("conv"), n.cast("bigint").alias("n"), "role", text.alias("said"), ((F.col("role") == "assistant") & (n % 2 == 1)).alias("calls"), name.alias("name"), body.alias("input"), output.alias("output"), F.date_format(F.timestamp_seconds(F.lit(BEGIN) + n), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
 
 
-def _json(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{name}":'), F.substring(F.to_json(F.struct(value.alias("x"))), 6, 1 << 30), F.lit(""))
-
-
 def _quoted(value: Column) -> Column:
     """A string as JSON."""
     whole = F.to_json(F.struct(value.alias("x")))
@@ -40,9 +36,10 @@ def _quoted(value: Column) -> Column:
 
 
 def _write(lines: DataFrame, spark: SparkSession) -> str:
-    """Rows (file, order, line) as one file for each value of file."""
+    """Rows (file, order, line) as one file for each value of file; a task writes one file, so their names differ."""
     folder = new_folder(spark, "logs")
-    lines.repartition("file").sortWithinPartitions("file", "order").select("file", "line").write.partitionBy("file").text(folder)
+    files = lines.select("file").distinct().withColumn("number", F.row_number().over(Window.orderBy("file")) - 1)
+    lines.join(files, "file").repartitionById(max(1, files.count()), F.col("number")).sortWithinPartitions("file", "order").select("file", "line").write.partitionBy("file").text(folder)
     return folder
 
 
@@ -138,10 +135,22 @@ error AS (SELECT conv, string_agg(v, chr(10) ORDER BY turn_index, kind, seq) AS
 code AS (SELECT conv, string_agg(v, chr(10) || '---' || chr(10) ORDER BY turn_index, kind, seq) AS v FROM (SELECT conv, turn_index, -1 AS kind, unnest(regexp_extract_all(x, {_FENCED}, 1)) AS v, generate_subscripts(regexp_extract_all(x, {_FENCED}, 1), 1) AS seq FROM u UNION ALL SELECT conv, turn_index, 0, head, 0 FROM u WHERE calls AND name = 'Edit' AND head <> '') GROUP BY ALL)
 SELECT 's' || content.conv AS session_id, {_CUT('content.v')} AS content_md5, {_CUT("coalesce(tool.v, '(no tool calls)')")} AS tool_md5, {_CUT('path.v')} AS path_md5, {_CUT("coalesce(error.v, '(no errors)')")} AS error_md5, {_CUT("coalesce(code.v, '(no code)')")} AS code_md5
 FROM content LEFT JOIN tool ON content.conv = tool.conv LEFT JOIN path ON content.conv = path.conv LEFT JOIN error ON content.conv = error.conv LEFT JOIN code ON content.conv = code.conv"""),
-    "log_enrichment": (log_enrichment, None),
+    "log_enrichment": (log_enrichment, f"""WITH {_P}, {_TITLE}, s AS (SELECT DISTINCT conv FROM p),
+c AS (SELECT *, turn_index AS seq FROM u WHERE calls),
+f AS (SELECT conv, count(*) AS n, count(*) FILTER (name = 'Edit') AS e, count(*) FILTER (name = 'Read') AS r, count(*) FILTER (name = 'Bash') AS b, min(seq) FILTER (name = 'Bash' AND bad) AS fb, max(seq) FILTER (name = 'Bash' AND NOT bad) AS lg, min(seq) FILTER (name = 'Edit') AS fe, arg_max(NOT bad, seq) FILTER (name = 'Bash') AS ok FROM c GROUP BY ALL),
+g AS (SELECT f.*, EXISTS (SELECT 1 FROM c WHERE c.conv = f.conv AND c.name = 'Edit' AND c.seq > fb AND c.seq < lg) AS d FROM f),
+a AS (SELECT conv, lower(arg_max(x, n)) AS l FROM u WHERE role = 'assistant' GROUP BY ALL), w AS (SELECT conv, {_LASTPOS(enrich.POSITIVE)} AS good, {_LASTPOS(enrich.NEGATIVE)} AS poor FROM a),
+t AS (SELECT conv, unnest(regexp_extract_all(v, '([\\w\\-./]+\\.\\w{{1,5}})', 1)) AS v FROM (SELECT conv, arg AS v FROM c UNION ALL SELECT conv, x FROM u)),
+h AS (SELECT conv, v, count(*) AS n FROM (SELECT conv, regexp_replace(v, '[.,)\\]:;]+$', '') AS v FROM t) WHERE strlen(v) >= 3 AND regexp_matches(v, '[./]') GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY n DESC, v) AS k FROM h), z AS (SELECT conv, string_agg(v, ' ' ORDER BY k) AS entities FROM o WHERE k <= 10 GROUP BY ALL)
+SELECT 's' || s.conv AS session_id, CASE WHEN b > 0.4 * g.n THEN 'build' WHEN e > 0.4 * g.n THEN 'impl' WHEN r > 0.4 * g.n THEN 'debug' ELSE 'mixed' END AS intent,
+  CASE WHEN ok AND good IS NOT NULL THEN 'resolved' WHEN good > 0 AND good > poor THEN 'resolved' WHEN poor > 0 THEN 'unresolved' ELSE 'partial' END AS outcome,
+  CASE WHEN d THEN 'debug-fix' WHEN fe < lg THEN 'fix' WHEN e * 2 >= g.n AND b = 0 THEN 'impl' WHEN r * 2 >= g.n AND e = 0 THEN 'explore' ELSE 'mixed' END AS arc,
+  coalesce(nullif(trim(title, ' '), ''), 'p' || (s.conv % 7) || ' · ') AS topic, coalesce(entities, '') AS entities
+FROM s LEFT JOIN g ON s.conv = g.conv LEFT JOIN w ON s.conv = w.conv LEFT JOIN k ON s.conv = k.conv LEFT JOIN z ON s.conv = z.conv"""),
     "log_legacy": (log_legacy, f"""WITH {_P}, {_TITLE}, l AS (SELECT * FROM i WHERE role = 'user' OR calls),
 g AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv ORDER BY n) AS seq FROM l)
 SELECT g.conv, any_value(title) AS title, count(*) FILTER (role = 'user') AS user_turns, count(DISTINCT seq) FILTER (calls) AS assistant_turns, count(*) FILTER (calls) AS calls, count(*) FILTER (calls AND bad) AS errors FROM g LEFT JOIN k ON g.conv = k.conv GROUP BY g.conv"""),
-    "log_rollouts": (log_rollouts, f"""WITH {_P}, m AS (SELECT conv, n, 0 AS k, role, x, 0 AS outputs, false AS failed FROM u WHERE x <> '' UNION ALL SELECT conv, n, 1, 'user', '', 1, false FROM u WHERE calls AND x <> '')
+    "log_rollouts": (log_rollouts, f"""WITH {_P}, m AS (SELECT conv, n, 0 AS k, role, x, 0 AS outputs, false AS failed FROM u WHERE x <> '' UNION ALL SELECT conv, n, 1, 'user', '', 1, bad FROM u WHERE calls AND x <> '')
 SELECT 'r' || conv AS session_id, row_number() OVER (PARTITION BY conv ORDER BY n, k) - 1 AS turn_index, role, md5(x) AS text_md5, outputs, failed FROM m"""),
 }

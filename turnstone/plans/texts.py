@@ -114,15 +114,23 @@ def topics(spark, d):
     return first.select("session_id", enrich.topic(F.lit(None).cast("string"), F.lit("talk"), F.coalesce("text", F.lit(""))).alias("topic"))
 
 
+def _deciding(spark, d):
+    """Turns as they are, but every third one opens with a header of a decision made of its words, and every third with a phrase."""
+    n, words = F.col("turn_index") % 3, F.regexp_replace(F.left(_txt(), F.lit(30)), r"[^A-Za-z ]", "")
+    head = F.when(n == 0, F.concat(F.lit("Decision: use "), words, F.lit("\n"))).when(n == 1, F.concat(F.lit("I'll use "), words, F.lit("\n"))).otherwise(F.lit(""))
+    return turns(spark, d).select("session_id", "turn_index", "role", F.concat(head, _txt()).alias("text"))
+
+
 def decision_lines(spark, d):
     """Lines with a decision's form in all turns; by session."""
-    own = turns(spark, d).select("session_id", F.explode(t.decisions(_txt())).alias("x"))
-    return own.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("x.confidence").alias("best"))
+    own = _deciding(spark, d).select("session_id", F.explode(t.decisions(F.col("text"))).alias("x"))
+    return own.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("x.confidence").alias("best"), F.count_if(F.col("x.confidence") > 0.8).alias("headers"))
 
 
 def opening_lines(spark, d):
+    """The first line of each conversation that means something, behind a reminder and a note that do not."""
     first = turns(spark, d).filter("role = 'user'").groupBy("session_id").agg(F.min_by("text", "turn_index").alias("text"))
-    return first.select("session_id", t.meaningful_line(F.coalesce("text", F.lit(""))).alias("line"))
+    return first.select("session_id", t.meaningful_line(F.concat(F.lit("<system-reminder>\nbe kind\n</system-reminder>\nNote: none\n"), _txt())).alias("line"))
 
 
 def session_summary(spark, d):
@@ -158,6 +166,15 @@ def _redact_sql(x: str, cap: int | None = t.REDACT_CAP) -> str:
 
 
 _CONTENT = f"WITH c AS (SELECT conv_id AS session_id, coalesce(string_agg(CASE WHEN trim({_T}, ' ') <> '' THEN CASE WHEN role = 'user' THEN 'U: ' ELSE 'A: ' END || text || chr(10) ELSE '' END, '' ORDER BY turn), '') AS content FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL)"
+def _boilerplate_sql(x: str) -> str:
+    starts = " OR ".join(f"starts_with(lower(left(ltrim({x}, ' '), 80)), '{p}')" for p in t.BOILERPLATE)
+    return f"(trim({x}, ' ') = '' OR regexp_matches({x}, '^\\s*<[^\\n]*>') OR regexp_matches({x}, '^\\s*[⏸⏵●⏺⎘⤷]') OR {starts})"
+
+
+_WORDS = f"regexp_replace(left({_T}, 30), '[^A-Za-z ]', '', 'g')"
+_DECIDING = f"WITH l AS (SELECT conv_id, unnest(string_split(CASE turn % 3 WHEN 0 THEN 'Decision: use ' || {_WORDS} || chr(10) WHEN 1 THEN 'I''ll use ' || {_WORDS} || chr(10) ELSE '' END || {_T}, chr(10))) AS raw FROM conversations), x AS (SELECT conv_id, trim(raw, ' ') AS x FROM l)"
+_HEADER_SQL, _PHRASE_SQL, _REJECTED_SQL = (p.replace("'", "''") for p in (t.DECISION_HEADER, t.DECISION_PHRASE, t.REJECTED))
+_DECIDED = f"d AS (SELECT conv_id, 0.9 AS c FROM x WHERE regexp_matches(x, '{_HEADER_SQL}') UNION ALL SELECT conv_id, 0.7 FROM x WHERE strlen(x) <= 240 AND length(x) >= 4 AND NOT {_boilerplate_sql('x')} AND NOT regexp_matches(x, '{_REJECTED_SQL}') AND regexp_matches(x, '{_PHRASE_SQL}'))"
 _FIRST = "WITH f AS (SELECT conv_id AS session_id, coalesce(arg_min(text, turn), '') AS x FROM conversations WHERE role = 'user' GROUP BY ALL)"
 _PLAIN = "lower(trim(regexp_replace(regexp_replace(x, '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' ', 'g'), ' '))"
 QUERIES: dict[str, tuple] = {
@@ -180,8 +197,8 @@ QUERIES: dict[str, tuple] = {
     "last_call_ok": (last_call_ok, "WITH l AS (SELECT user_id AS session_id, arg_max(struct_pack(t := event_type, p := lower(props)), struct_pack(a := ts, b := event_id)) AS x FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL) SELECT session_id, CASE WHEN x.t = 'error' THEN false WHEN contains(x.p, 'exit code 0') THEN true ELSE NOT regexp_matches(x.p, 'error|failed') END AS ok FROM l"),
     "entities": (entities, "WITH e AS (SELECT page_id AS session_id, unnest(regexp_extract_all(coalesce(url, ''), '([\\w\\-./]+\\.\\w{1,5})', 1)) AS e FROM pages), k AS (SELECT session_id, regexp_replace(e, '[.,)\\]:;]+$', '') AS e FROM e), g AS (SELECT session_id, e, count(*) AS n FROM k WHERE strlen(e) >= 3 AND regexp_matches(e, '[./]') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, e) AS r FROM g) SELECT session_id, string_agg(e, ' ' ORDER BY r) AS entities FROM r WHERE r <= 10 GROUP BY ALL"),
     "topics": (topics, f"{_FIRST} SELECT session_id, 'talk · ' || coalesce(array_to_string((list_filter(string_split_regex({_PLAIN}, '\\s+'), lambda w: w <> ''))[1:4], ' '), '') AS topic FROM f"),
-    "decision_lines": (decision_lines, None),
-    "opening_lines": (opening_lines, None),
+    "decision_lines": (decision_lines, f"{_DECIDING}, {_DECIDED} SELECT conv_id AS session_id, count(*) AS n, max(c)::DOUBLE AS best, count(*) FILTER (c > 0.8) AS headers FROM d GROUP BY ALL"),
+    "opening_lines": (opening_lines, f"{_FIRST}, l AS (SELECT session_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(y, ' ')), lambda y: NOT {_boilerplate_sql('y')})[1] AS y FROM f) SELECT session_id, CASE WHEN length(y) > 220 THEN left(y, 220) || '…' ELSE y END AS line FROM l"),
     "session_summary": (session_summary, f"SELECT conv_id AS session_id, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns, count(*) FILTER (role = 'system') AS system_events, sum(length({_T}))::BIGINT AS chars FROM conversations GROUP BY ALL ORDER BY conv_id DESC LIMIT 30"),
     "turn_lookup": (turn_lookup, f"SELECT conv_id AS session_id, role, md5({_T}) AS text_md5 FROM conversations WHERE turn = 2"),
 }

@@ -223,13 +223,32 @@ def bridges(spark, d):
 
 
 def isolated_projects(spark, d):
+    """Groups of two or more points that no bridge touches: here points that are few steps of ids apart, which the forest may leave alone."""
     p, _, forest = _forest(spark, d)
-    return graph.isolated(forest, p)
+    alone = forest.join(p.select(F.col("id").alias("a"), F.col("project").alias("x")), "a").join(p.select(F.col("id").alias("b"), F.col("project").alias("y")), "b").filter("x = y").select("a", "b", "weight")
+    return graph.isolated(alone, p)
 
 
 def gap_near_miss(spark, d):
+    """Among finer groups than labels, of which the forest can't connect all."""
     p, edges, forest = _forest(spark, d)
-    return graph.near_misses(edges, forest, p, at_least=-1.0)
+    fine = p.withColumn("project", F.concat_ws("-", "project", F.col("id") % 5))
+    return graph.near_misses(edges, forest, fine, at_least=0.1)
+
+
+def node_detail(spark, d):
+    """What is stored of the sample's nodes: a third of them in the newer points."""
+    p = points(spark, d)
+    stored = p.select("id", "project", "start_ts")
+    return graph.node_detail(graph.sample(p, 80), stored.filter("id % 3 = 0").withColumn("version", F.lit(3)), stored.withColumn("version", F.lit(2)))
+
+
+def project_insights(spark, d):
+    """Projects of the sample, without bridges: sessions are users of the same ids, tools their events, folders those of pages."""
+    p = graph.sample(points(spark, d), 400)
+    calls = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("name"), F.to_json(F.struct(F.concat(F.lit("/srv/"), "event_type", F.lit("/a/b/x.py")).alias("file_path"))).alias("input_json"))
+    none = graph.spanning_forest(graph.pairs(p.limit(0), 5))
+    return graph.insights(p, calls, none).drop("bridges_out", "partners")
 
 
 _POST = f"po AS (SELECT t AS token, id, count(*) AS tf FROM (SELECT conv_id AS id, unnest({_TOK.format(x='text')}) AS t FROM conversations WHERE role <> 'system') GROUP BY ALL)"
@@ -261,4 +280,10 @@ QUERIES: dict[str, tuple] = {
     "bridges": (bridges, None),
     "isolated_projects": (isolated_projects, None),
     "gap_near_miss": (gap_near_miss, None),
+    "node_detail": (node_detail, f"WITH {_PTS} SELECT id, project, start_ts, CASE WHEN id % 3 = 0 THEN 3 ELSE 2 END AS version FROM (SELECT * FROM p ORDER BY md5(id::VARCHAR), id LIMIT 80)"),
+    "project_insights": (project_insights, f"""WITH {_PTS}, z AS (SELECT * FROM p ORDER BY md5(id::VARCHAR), id LIMIT 400),
+b AS (SELECT project, count(*) AS sessions, count(*) FILTER (has_errors) AS with_errors FROM z GROUP BY ALL),
+c AS (SELECT project, event_type AS name, count(*) AS n FROM events JOIN z ON user_id = id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, name) AS k FROM c),
+t AS (SELECT project, string_agg(name || '×' || n, ' ' ORDER BY k) FILTER (k <= 4) AS tools, string_agg(name || '×' || n, ' ' ORDER BY k) FILTER (k <= 3) AS three, string_agg('/srv/' || name || '/a/…', ' ' ORDER BY k) FILTER (k <= 3) AS folders FROM r GROUP BY ALL)
+SELECT b.project, sessions, with_errors, 'general' AS theme, 'general' || coalesce(' · ' || three, '') AS label, coalesce(tools, '') AS tools, coalesce(folders, '') AS folders FROM b LEFT JOIN t ON b.project = t.project"""),
 }
