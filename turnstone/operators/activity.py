@@ -118,9 +118,13 @@ def bars(rows: DataFrame, field: str, most: int = 8, noun: str = "projects") ->
 
 
 def rail(sessions: DataFrame) -> DataFrame:
-    """Sessions with the label of their relative group on the first of each group (newest first). sessions: session_id, start_ts, group."""
-    w = Window.partitionBy("group").orderBy(F.desc("start_ts"), "session_id")
-    return sessions.withColumn("label", F.when(F.row_number().over(w) == 1, F.col("group")))
+    """Sessions with the label of their relative group on the first of each group (newest first). sessions: session_id, start_ts, group.
+
+    The first of each group is an aggregate, and groups are as few as months, so they are broadcast.
+    """
+    newest = F.struct(-F.unix_micros(F.col("start_ts").cast("timestamp")), "session_id")
+    first = sessions.groupBy(F.col("group").alias("label")).agg(F.min_by("session_id", newest).alias("_first"))
+    return sessions.join(F.broadcast(first), (F.col("session_id") == F.col("_first")) & F.col("group").eqNullSafe(F.col("label")), "left").drop("_first")
 
 
 def cooccurrence(calls: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ def session(name: str = "turnstone") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once for each application, unless they start where it lies or have it on their path."""
+    """Send the package to the workers, once for each application, unless they are local ones that start where it lies or have it on their path."""
     on_path = [Path(p).resolve() for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]]
     sc = spark.sparkContext
-    if _ROOT in on_path or sc.applicationId in _shipped:
+    local = sc.master == "local" or sc.master.startswith("local[")
+    if local and _ROOT in on_path or sc.applicationId in _shipped:
         return
     path = Path(tempfile.mkdtemp(prefix="spark-")) / "turnstone.zip"
     with zipfile.ZipFile(path, "w") as z:
