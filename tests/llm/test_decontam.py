@@ -14,7 +14,7 @@ def split(text):
 def brute(docs, bench):
     out = []
     for d, text, *_ in docs:
-        w, hit, items = split(text), set(), set()
+        w, hit, items, near = split(text), set(), set(), set()
         for item, t, *_ in bench:
             b = split(t)
             for i in range(max(1, len(b) - 9) if b else 0):
@@ -23,7 +23,10 @@ def brute(docs, bench):
                     if w[j : j + len(g)] == g:
                         hit.update(range(j, j + len(g)))
                         items.add("null" if item is None else str(item))
-        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+                at = [{j for j, x in enumerate(w) if x == y} for y in g]
+                if all(at) and any(all(any(s + k + e in p for e in range(-2, 3)) for k, p in enumerate(at)) for j in at[0] for s in range(j - 2, j + 3)):
+                    near.add("null" if item is None else str(item))
+        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit), len(near)))
     return sorted(out, key=str)
 
 
@@ -46,7 +49,7 @@ def test_empty_tables(spark):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a x b c", ""), (2, "a x x x x b c", "")], DOC)
-    b = spark.createDataFrame([(1, "a b c", "")], BENCH)
-    hits = {r.doc_id for r in decontam.decontaminate(d, b, slop=1).collect() if r.n_hit}
-    assert hits == {1}
+    docs = [(1, "a x b c", ""), (2, "a x x x x x b c", ""), (3, "c b a", ""), (4, "b a x c", ""), (5, "a b", "")]
+    bench = [(1, "a b c", "")]
+    got = decontam.report(decontam.decontaminate(spark.createDataFrame(docs, DOC), spark.createDataFrame(bench, BENCH)))
+    assert {r.doc_id for r in got.collect() if r.n_near} == {1, 3, 4} and sorted(map(tuple, got.collect()), key=str) == brute(docs, bench)

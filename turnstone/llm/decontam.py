@@ -3,7 +3,8 @@
 The index is partitioned by document. Each segment (one row of the stored table) holds, for the documents it covers, the
 postings of all terms that the benchmark uses: positions sorted by term, then place. Phrases start from their rarest term,
 whose list is shifted by the term's offset and then intersected by binary search with the lists of the other terms, rarer
-ones first. A slop of zero gives exact phrases; a larger one lets every other term stand that many places off (proximity).
+ones first. Besides exact phrases, documents get the items of which a phrase stands nearly there: from some start on, every one of
+its terms is at most `near` places off its own (proximity; exact phrases are among them).
 
 Defined results: a null or empty text has no words and no hits; benchmark rows without words have no window; a null item_id
 counts as the id "null"; repeated item_ids are one item; an empty benchmark hits nothing; every row of documents gives a row.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize
 
 WINDOW = 10
+NEAR = 2
 SEGMENT_WORDS = 1_500_000
 BLOCK_WORDS = 300_000
 #: Free places between two documents of a segment; no phrase reaches over them.
@@ -36,7 +38,7 @@ _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
 
 INDEX_SCHEMA = "doc_ids array<bigint>, hashes array<bigint>, n_words array<bigint>, terms binary, ends binary, places binary"
-MATCH_SCHEMA = "doc_id bigint, h bigint, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:int,end:int>>"
+MATCH_SCHEMA = "doc_id bigint, h bigint, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:int,end:int>>, near_ids array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -106,8 +108,8 @@ def term_counts(index: DataFrame) -> DataFrame:
     return index.select("terms", "ends").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _intersect(keys: np.ndarray, span: int, plan: dict[str, np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all matches in a segment. keys: term * span + place, sorted; plan: terms and offsets of each window, rarest first."""
+def _intersect(keys: np.ndarray, span: int, plan: dict[str, np.ndarray], slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) of all matches in a segment, or (window, place of its rarest term) of the near ones. keys: term * span + place, sorted; plan: terms and offsets of each window, rarest first."""
     terms, offsets, sizes = plan["terms"], plan["offsets"], plan["sizes"]
     lo = np.searchsorted(keys, terms[:, 0].astype(np.int64) * span)
     n = np.searchsorted(keys, (terms[:, 0].astype(np.int64) + 1) * span) - lo
@@ -122,15 +124,20 @@ def _intersect(keys: np.ndarray, span: int, plan: dict[str, np.ndarray], slop: i
             continue
         w = np.repeat(part, n[part])
         inner = np.arange(len(w)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-        start = keys[lo[w] + inner] - terms[w, 0].astype(np.int64) * span - offsets[w, 0]
+        place = keys[lo[w] + inner] - terms[w, 0].astype(np.int64) * span
+        start = place - offsets[w, 0]
+        if slop:
+            # The rarest term may be off its place too, so each of its places gives several starts.
+            w, place, start = (np.repeat(x, 2 * slop + 1) for x in (w, place, start))
+            start = start + np.tile(np.arange(-slop, slop + 1), len(start) // (2 * slop + 1))
         for k in range(1, terms.shape[1]):
             has = sizes[w] > k
             want = terms[w, k].astype(np.int64) * span + start + offsets[w, k]
             at = np.searchsorted(keys, want - slop)
             ok = ~has | ((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= want + slop))
-            w, start = w[ok], start[ok]
+            w, start, place = w[ok], start[ok], place[ok]
         found_w.append(w)
-        found_s.append(start)
+        found_s.append(place if slop else start)
     return (np.concatenate(found_w), np.concatenate(found_s)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -144,15 +151,12 @@ def plan_of(phrases: list[tuple[tuple[bytes, ...], list[str]]], number: dict[byt
     return {"terms": terms, "offsets": offsets, "sizes": sizes, "ids": [ids for _, ids in phrases]}
 
 
-def search(index: DataFrame, plans: list[Broadcast], slop: int = 0) -> DataFrame:
-    """One row for each document: its words, the words inside any match, the ids whose phrases match, and the places that are hit.
-
-    Each plan is one block of phrases. With slop, words inside a match are those from its
-    start on, as many as the phrase has.
-    """
-    if not 0 <= slop < GAP // 2:
-        raise ValueError("slop must be shorter than half the gap between documents")
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+def search(index: DataFrame, plans: list[Broadcast], near: int = 0) -> DataFrame:
+    """One row for each document: its words, the words inside any match, the ids whose phrases match, the places that are hit, and
+    the ids whose phrases stand nearly there (none if near is 0). Each plan is one block of phrases."""
+    if not 0 <= near < GAP // 4:
+        raise ValueError("near must be shorter than a quarter of the gap between documents")
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("near_ids", pa.list_(pa.string()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,14 +168,19 @@ def search(index: DataFrame, plans: list[Broadcast], slop: int = 0) -> DataFrame
                 keys = np.repeat(known.astype(np.int64) * span, np.diff(ends, prepend=0)) + np.frombuffer(row["places"], np.int32)
                 edge = np.zeros(span, np.int32)
                 items: list[set[str]] = [set() for _ in size]
+                close: list[set[str]] = [set() for _ in size]
                 for shared in plans:
                     plan = shared.value
-                    w, start = _intersect(keys, span, plan, slop)
+                    w, start = _intersect(keys, span, plan)
                     doc = np.searchsorted(base, start, "right") - 1
                     np.add.at(edge, start, 1)
                     np.add.at(edge, np.minimum(start + plan["sizes"][w], base[doc] + size[doc]), -1)
                     for d, k in np.unique(np.stack([doc, w]), axis=1).T.tolist():
                         items[d].update(plan["ids"][k])
+                    if near:
+                        w, place = _intersect(keys, span, plan, near)
+                        for d, k in np.unique(np.stack([np.searchsorted(base, place, "right") - 1, w]), axis=1).T.tolist():
+                            close[d].update(plan["ids"][k])
                 covered = np.cumsum(edge) > 0
                 inside = np.append(0, np.cumsum(covered))
                 hit = inside[base + size] - inside[base]
@@ -179,7 +188,7 @@ def search(index: DataFrame, plans: list[Broadcast], slop: int = 0) -> DataFrame
                 spans: list[list] = [[] for _ in size]
                 for d, (a, b) in zip((np.searchsorted(base, turns[:, 0], "right") - 1).tolist(), turns.tolist()):
                     spans[d].append({"start": a - int(base[d]), "end": b - int(base[d])})
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(size), pa.array(hit.astype(np.int64)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, schema.field("spans").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(size), pa.array(hit.astype(np.int64)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, schema.field("spans").type), pa.array([sorted(x) for x in close], pa.list_(pa.string()))], schema=schema)
 
     return index.mapInArrow(find, MATCH_SCHEMA)
 
@@ -208,8 +217,8 @@ def _union(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda a: a["n"])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, max_terms: int = MAX_TERMS, group_words: int = GROUP_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit and the sorted item_ids of every row of documents."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, block_words: int = BLOCK_WORDS, max_terms: int = MAX_TERMS, group_words: int = GROUP_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, the sorted item_ids and near_ids of every row of documents."""
     if not 0 < window <= GAP // 2:
         raise ValueError("the window must be shorter than half the gap between documents")
     sc = documents.sparkSession.sparkContext
@@ -220,29 +229,31 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         index = materialize(build_index(documents, listed), "postings")
         counts = {r[0]: r[1] for r in term_counts(index).toLocalIterator()}
         plans = [sc.broadcast(plan_of([(p, sorted(ids)) for p, ids in windows(block, window).items()], number, counts)) for block in group]
-        found.append(search(index, plans, slop))
+        found.append(search(index, plans, near))
     if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "n_hit", "item_ids")
-    found = [materialize(f if i == 0 else f.filter("n_hit > 0"), "matches") for i, f in enumerate(found)]
+        return found[0].select("doc_id", "n_words", "n_hit", "item_ids", "near_ids")
+    some = (F.col("n_hit") > 0) | (F.size("near_ids") > 0)
+    found = [materialize(f if i == 0 else f.filter(some), "matches") for i, f in enumerate(found)]
     # The first group has a row for each document. Rows of one document id and text are alike, so one of them tells for all.
-    hit = found[0].filter("n_hit > 0")
+    hit = found[0].filter(some)
     for f in found[1:]:
         hit = hit.unionAll(f)
-    hit = hit.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "item_ids", "spans").distinct().groupBy("_doc", "_h")
-    every = hit.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("_ids"), _union(F.flatten(F.collect_list("spans"))).alias("_hit"))
+    hit = hit.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "item_ids", "spans", "near_ids").distinct().groupBy("_doc", "_h")
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    every = hit.agg(together("item_ids").alias("_ids"), together("near_ids").alias("_near"), _union(F.flatten(F.collect_list("spans"))).alias("_hit"))
     joined = found[0].join(every, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return joined.select("doc_id", "n_words", F.coalesce("_hit", F.lit(0)).cast("bigint").alias("n_hit"), *[F.coalesce(c, F.array().cast("array<string>")).alias(name) for c, name in (("_ids", "item_ids"), ("_near", "near_ids"))])
 
 
 def report(matches: DataFrame) -> DataFrame:
-    """The digest columns: n_items, items_sha256 and contaminated."""
-    return matches.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """The digest columns: n_items, items_sha256, contaminated and n_near."""
+    return matches.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_ids").cast("bigint").alias("n_near"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark passage, with all their columns. Each row is judged by its own text, whatever its doc_id."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    bad = decontaminate(documents.select(key.alias("doc_id"), "text"), benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = decontaminate(documents.select(key.alias("doc_id"), "text"), benchmark, near=0).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
     return documents.join(bad, key == bad["_bad"], "left_anti")
 
 
@@ -257,7 +268,14 @@ g AS (SELECT DISTINCT item, least(len(bw), 10) AS n, array_to_string(bw[i : i +
 p AS (SELECT r, i, n, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM g))),
 m AS (SELECT p.r, p.i, p.n, g.item FROM p JOIN g ON p.gram = g.gram AND p.n = g.n),
 h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
-SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN h ON w.r = h.r LEFT JOIN t ON w.r = t.r
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
+gw AS (SELECT gram, n, unnest(string_split(gram, ' ')) AS term, generate_subscripts(string_split(gram, ' '), 1) - 1 AS k FROM (SELECT DISTINCT gram, n FROM g)),
+tk AS (SELECT * FROM (SELECT r, unnest(ws) AS term, generate_subscripts(ws, 1) AS i FROM w) WHERE term IN (SELECT term FROM gw)),
+tc AS (SELECT term, count(*) AS c FROM tk GROUP BY term),
+an AS (SELECT gram, gw.n, arg_min(struct_pack(k := k, term := gw.term), struct_pack(c := coalesce(c, 0), k := k)) AS a FROM gw LEFT JOIN tc ON gw.term = tc.term GROUP BY gram, gw.n),
+cand AS (SELECT DISTINCT an.gram, an.n, tk.r, tk.i - a.k + d AS s FROM an JOIN tk ON tk.term = a.term CROSS JOIN range(-{NEAR}, {NEAR} + 1) AS e(d)),
+nr AS (SELECT cand.gram, cand.r, cand.s FROM cand JOIN gw ON gw.gram = cand.gram JOIN tk ON tk.r = cand.r AND tk.term = gw.term AND tk.i BETWEEN cand.s + gw.k - {NEAR} AND cand.s + gw.k + {NEAR} GROUP BY cand.gram, cand.n, cand.r, cand.s HAVING count(DISTINCT gw.k) = cand.n),
+nn AS (SELECT r, count(DISTINCT item) AS n_near FROM (SELECT DISTINCT gram, r FROM nr) x JOIN g ON g.gram = x.gram GROUP BY r)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM w LEFT JOIN h ON w.r = h.r LEFT JOIN t ON w.r = t.r LEFT JOIN nn ON w.r = nn.r
 """
