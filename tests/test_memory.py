@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from turnstone import cli
-from turnstone.operators import memory
+from turnstone.operators import memory, store
 from tests.test_sources import claude, write
 
 
@@ -28,5 +29,14 @@ def test_cli(spark, tmp_path):
     assert cli.run(spark, args("topology", "")).count() == 2
     assert "fix the parser bug in lexer" in cli.run(spark, args("memory", "proj"))
     assert "## Projects" in cli.run(spark, args("wrapped", ""))
+    assert "## Outcomes" in cli.run(spark, args("wrapped", "")) and "## Arcs" in cli.run(spark, args("wrapped", ""))
+    assert {r.session_id: r.error for r in cli.run(spark, args("extracts", "")).collect()} == {"s1": "error: parser", "s2": "(no errors)"}
+    assert {r.session_id: (r.intent, r.arc) for r in cli.run(spark, args("enrich", "")).collect()} == {"s1": ("mixed", "mixed"), "s2": ("mixed", "mixed")}
+    assert cli.run(spark, args("turn", "s1#0")).first().text == "fix the parser bug in lexer"
+    with pytest.raises(IndexError):
+        cli.run(spark, args("turn", "s1#9"))
+    for _ in range(2):
+        assert cli.run(spark, args("reindex", "/home/me/proj")) == "written"
+        assert [r.session_id for r in store.read_current(spark, f"{tmp_path}/points").collect()] == ["s1"]
     assert cli.run(spark, args("snapshot", "x.snapshot")) == "written"
     assert spark.read.parquet(f"{tmp_path}/x.snapshot/data").filter(F.col("vec").isNotNull()).count() == 2

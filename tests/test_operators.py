@@ -122,3 +122,64 @@ def test_store(spark, tmp_path):
 def test_digest(spark):
     df = spark.createDataFrame([("a", 2), ("b", None)], "x string, n int")
     assert activity.markdown("T", [("S", df), ("E", df.limit(0))]) == "# T\n\n## S\n\n- a · 2\n- b\n"
+
+
+def test_searches_beyond_one_block(spark, monkeypatch):
+    """More query rows than a block or a matrix product holds; groups and exclusions look at all points."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(300, 4)).round(3)
+    p = spark.createDataFrame([(i, v.tolist(), "abc"[i % 3] if i % 50 else "rare", i % 2 == 0) for i, v in enumerate(vecs)], "id bigint, vec array<double>, project string, has_errors boolean").repartition(5)
+    q = p.select(F.col("id").alias("query_id"), "vec", "project")
+    monkeypatch.setattr(r, "BLOCK_OCTETS", 8 * 4 * 70)
+    monkeypatch.setattr(r._blocks, "__defaults__", (8 * 4 * 70, None))
+    monkeypatch.setattr(r, "ROWS", 37)
+    monkeypatch.setattr(r, "COLUMNS", 16)
+    score = np.round(vecs @ vecs.T, 6)
+    best = lambda i, keep, k: sorted((j for j in range(300) if j != i and keep(j)), key=lambda j: (-score[i, j], j))[:k]
+    name = ["rare" if i % 50 == 0 else "abc"[i % 3] for i in range(300)]
+    rows = lambda df: {(x.query_id, x.id, x["rank"]) for x in df.collect()}
+    assert rows(r.neighbours(p, q, 3)) == {(i, j, k + 1) for i in range(300) for k, j in enumerate(best(i, lambda j: True, 3))}
+    assert rows(r.neighbours(p, q, 3, other="project")) == {(i, j, k + 1) for i in range(300) for k, j in enumerate(best(i, lambda j: name[j] != name[i], 3))}
+    few = q.filter("query_id < 90")
+    got = {(x.query_id, x.group, x.id, x.in_group, x.place) for x in r.grouped(p, few, "project", 2, 5).collect()}
+    want = set()
+    for i in range(90):
+        groups = sorted((best(i, lambda j: name[j] == g, 2) for g in set(name)), key=lambda b: (-score[i, b[0]], b[0]))
+        want |= {(i, name[j], j, k + 1, n + 1) for n, (j, k) in enumerate([(j, k) for b in groups for k, j in enumerate(b)][:5])}
+    assert got == want
+    chunks = p.select("id", F.posexplode(F.array(F.slice("vec", 1, 2), F.slice("vec", 3, 2))).alias("chunk", "vec"))
+    asked = q.select("query_id", F.posexplode(F.array(F.slice("vec", 1, 2), F.slice("vec", 3, 2))).alias("row", "vec"))
+    half = [vecs[:, :2], vecs[:, 2:]]
+    late = np.round(sum(np.maximum(a @ half[0].T, a @ half[1].T) for a in half), 6)
+    every = r.maxsim(chunks, asked, 2).collect()
+    assert {x.query_id for x in every} == set(range(300))
+    assert {(x.query_id, x["rank"], x.score) for x in every} == {(i, k + 1, float(s)) for i in range(300) for k, s in enumerate(sorted(late[i], reverse=True)[:2])}
+
+
+def test_store_additions(spark, tmp_path):
+    p = angle_points(spark)
+    report = {x.batch: (x.indexed, x.errors) for x in store.batch_report(p.withColumn("batch", F.floor(F.col("id") / 4)), "batch", "id = 5").collect()}
+    assert report == {0: (4, 0), 1: (0, 4), 2: (4, 0)}
+    good, bad = store.quarantined(p, "id = 5")
+    assert (good.count(), bad.count()) == (11, 1)
+    turns = spark.createDataFrame([("s", 0, "x")], "session_id string, turn_index int, text string")
+    assert store.turn_at(turns, "s", 0).first().text == "x"
+    with pytest.raises(IndexError):
+        store.turn_at(turns, "s", 1)
+    path = str(tmp_path / "store")
+    assert store.read_current(spark, path) is None
+    store.write_replacing(p.filter("id < 6"), path, "id")
+    store.write_replacing(p.filter("id > 3").withColumn("project", F.lit("new")), path, "id")
+    now = store.read_current(spark, path)
+    assert now.count() == 12 and now.filter("project = 'new'").count() == 8
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x").write_text("")
+    (tmp_path / "in" / "out").symlink_to("/etc")
+    assert store.check_inside(str(tmp_path / "in" / "x"), [str(tmp_path / "in")]).endswith("/in/x")
+    for wrong in ("", "a\0", str(tmp_path / "in" / "out"), str(tmp_path / "in" / "none")):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            store.check_inside(wrong, [str(tmp_path / "in")])
+    with pytest.raises(ValueError):
+        graph.sample(p, 501)

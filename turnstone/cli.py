@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstone.functions import text as t
-from turnstone.operators import activity, enrich, extract, graph, memory, retrieval, store
+from turnstone.operators import activity, extract, graph, memory, retrieval, store
 from turnstone.session import session, ship
 from turnstone.sources import sessions as logs
 
@@ -29,7 +29,7 @@ def ask(spark: SparkSession, text: str) -> DataFrame:
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str:
     got = logs.read_all(spark, dict(r.split("=", 1) for r in args.root))
     if args.command == "scan":
-        return got.sessions.orderBy(F.desc_nulls_last("start_ts"), "session_id").limit(args.limit)
+        return extract.summaries(got.sessions, got.calls, got.results, args.limit)
     if args.command in ("search", "recall"):
         pool = points(got)
         pool = pool.filter("has_errors") if args.command == "recall" else pool
@@ -52,8 +52,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str:
     if args.command == "wrapped":
         sizes = got.turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
         errors = got.results.groupBy("session_id").agg(F.max("is_error").alias("has_errors"))
-        intents = enrich.intent(got.calls)
-        s = got.sessions.join(sizes, "session_id").join(errors, "session_id", "left").join(intents, "session_id", "left").select(F.col("session_id"), "start_ts", F.col("source_agent").alias("agent"), F.col("project_name").alias("project"), F.coalesce("intent", F.lit("mixed")).alias("intent"), "turns", F.coalesce("has_errors", F.lit(False)).alias("has_errors"))
+        intents = extract.enrichment(got.sessions, got.turns, got.calls, got.results).select("session_id", "intent", "outcome", "arc")
+        s = got.sessions.join(sizes, "session_id").join(errors, "session_id", "left").join(intents, "session_id", "left").select(F.col("session_id"), "start_ts", F.col("source_agent").alias("agent"), F.col("project_name").alias("project"), F.coalesce("intent", F.lit("mixed")).alias("intent"), "outcome", "arc", "turns", F.coalesce("has_errors", F.lit(False)).alias("has_errors"))
         as_of = args.as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         return memory.digest(s, got.turns, got.calls, F.lit(as_of).cast("timestamp"), args.days)
     store.export_snapshot(points(got), store.check_path(args.text, args.folder))

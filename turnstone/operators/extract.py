@@ -73,6 +73,18 @@ def enrichment(sessions: DataFrame, turns: DataFrame, calls: DataFrame, results:
     return out.select("session_id", F.coalesce("intent", F.lit("mixed")).alias("intent"), F.coalesce("outcome", F.lit("partial")).alias("outcome"), F.coalesce("arc", F.lit("mixed")).alias("arc"), topic.alias("topic"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 
 
+def summaries(sessions: DataFrame, calls: DataFrame, results: DataFrame, limit: int = 60) -> DataFrame:
+    """The newest sessions, unknown starts last, with the eleven columns that a list of them shows; unknown texts are empty."""
+    tools = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("tool_count"))
+    bad = results.groupBy("session_id").agg(F.max("is_error").alias("has_errors"))
+    # Only the sessions that are shown are joined to their counts.
+    first = sessions.orderBy(F.desc_nulls_last("start_ts"), "session_id").limit(limit)
+    out = first.join(tools, "session_id", "left").join(bad, "session_id", "left").orderBy(F.desc_nulls_last("start_ts"), "session_id")
+    text = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return out.select("session_id", *[text(F.col(c), c) for c in ("project_name", "project_path", "git_branch", "title")], text(iso("start_ts"), "start_iso"), text(iso("end_ts"), "end_iso"), "user_turns", "assistant_turns", F.coalesce("tool_count", F.lit(0)).alias("tool_count"), F.coalesce("has_errors", F.lit(False)).alias("has_errors"))
+
+
 def refresh(points: DataFrame, enriched: DataFrame) -> DataFrame:
     """The points with new enrichment where there is some; running it again changes nothing. Both have session_id."""
     columns = [c for c in enriched.columns if c != "session_id"]

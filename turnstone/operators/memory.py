@@ -93,7 +93,7 @@ def primer(turns: DataFrame, calls: DataFrame, results: DataFrame, src: DataFram
 
 
 def digest(sessions: DataFrame, turns: DataFrame, calls: DataFrame, as_of: Column, days: int = 30, cap: int = 20_000) -> str:
-    """The digest of a window as Markdown. sessions: session_id, start_ts, agent, project, intent, turns, has_errors. cap is part of the
+    """The digest of a window as Markdown. sessions: session_id, start_ts, agent, project, intent, turns, has_errors and, if known, outcome and arc. cap is part of the
     report: of more sessions than that it covers the newest, and says so."""
     window = activity.in_window(sessions, as_of, days)
     truncated = window.count() > cap
@@ -101,6 +101,11 @@ def digest(sessions: DataFrame, turns: DataFrame, calls: DataFrame, as_of: Colum
     own = calls.join(used.select("session_id"), "session_id", "left_semi")
     said = decisions(turns.join(used.select("session_id"), "session_id", "left_semi"), used.select("session_id", F.lit(1.0).alias("similarity")), 50).select("session_id", t.dedup_key(F.col("text")).alias("key"))
     sections = [("Fingerprint", activity.fingerprint(used)), ("Tools", activity.top(own, "name", 8)), ("Projects", activity.bars(used, "project")), ("Intents", activity.mix(used, "intent").orderBy(F.desc("n"), "intent")), ("Repeated decisions", activity.repeated_lines(said))]
+    for name, column in (("Outcomes", "outcome"), ("Arcs", "arc")):
+        if column in used.columns:
+            sections.append((name, activity.mix(used, column).orderBy(F.desc("n"), column)))
+    kinds = stack(own, used.select("session_id"))
+    sections += [("Extensions", kinds.filter("kind = 'extension'").select("value", "n")), ("Programs", programs(own))]
     if used.select("agent").distinct().limit(2).count() > 1:
         sections.append(("Agents", activity.agent_split(used)))
     return activity.markdown("Digest", sections, truncated)

@@ -79,6 +79,11 @@ def log_enrichment(spark, d):
     return extract.enrichment(got.sessions, got.turns, got.calls, got.results).withColumn("entities", F.array_join("entities", " "))
 
 
+def log_summaries(spark, d):
+    got = _claude(spark, d)
+    return extract.summaries(got.sessions, got.calls, got.results, 30)
+
+
 def log_legacy(spark, d):
     """Transcripts: a user's line, or a call and its result; the turns that are made of them."""
     p = _parts(spark, d).filter("role = 'user' or calls")
@@ -148,6 +153,7 @@ SELECT 's' || s.conv AS session_id, CASE WHEN b > 0.4 * g.n THEN 'build' WHEN e
   CASE WHEN d THEN 'debug-fix' WHEN fe < lg THEN 'fix' WHEN e * 2 >= g.n AND b = 0 THEN 'impl' WHEN r * 2 >= g.n AND e = 0 THEN 'explore' ELSE 'mixed' END AS arc,
   coalesce(nullif(trim(title, ' '), ''), 'p' || (s.conv % 7) || ' · ') AS topic, coalesce(entities, '') AS entities
 FROM s LEFT JOIN g ON s.conv = g.conv LEFT JOIN w ON s.conv = w.conv LEFT JOIN k ON s.conv = k.conv LEFT JOIN z ON s.conv = z.conv"""),
+    "log_summaries": (log_summaries, f"WITH {_P}, {_TITLE}, s AS (SELECT conv, min(n) AS a, max(n) AS b, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns FROM p GROUP BY ALL), c AS (SELECT conv, count(*) FILTER (calls) AS tool_count, coalesce(bool_or(bad) FILTER (calls), false) AS has_errors FROM u GROUP BY ALL) SELECT 's' || s.conv AS session_id, 'p' || (s.conv % 7) AS project_name, '/srv/p' || (s.conv % 7) AS project_path, '' AS git_branch, coalesce(title, '') AS title, strftime(TIMESTAMP '2024-01-01' + a * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS start_iso, strftime(TIMESTAMP '2024-01-01' + b * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS end_iso, user_turns, assistant_turns, coalesce(tool_count, 0) AS tool_count, coalesce(has_errors, false) AS has_errors FROM s LEFT JOIN c ON s.conv = c.conv LEFT JOIN k ON s.conv = k.conv ORDER BY a DESC, session_id LIMIT 30"),
     "log_legacy": (log_legacy, f"""WITH {_P}, {_TITLE}, l AS (SELECT * FROM i WHERE role = 'user' OR calls),
 g AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv ORDER BY n) AS seq FROM l)
 SELECT g.conv, any_value(title) AS title, count(*) FILTER (role = 'user') AS user_turns, count(DISTINCT seq) FILTER (calls) AS assistant_turns, count(*) FILTER (calls) AS calls, count(*) FILTER (calls AND bad) AS errors FROM g LEFT JOIN k ON g.conv = k.conv GROUP BY g.conv"""),
