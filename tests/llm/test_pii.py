@@ -69,3 +69,21 @@ def test_runs_of_any_length_are_proposed(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", F.transform(pii.candidates(F.col("text")), lambda s: F.struct("text", s["start"], s["end"])).alias("c")).collect()
     found = {r.i: [texts[r.i][c[1] : c[2]] for c in r.c] for r in got}
     assert found[0] == ["0123456789abcdef" * 10] and found[1] == ["AKIA" + "Z9" * 100] and found[2] == ["aB3/" * 300 + "=="] and texts[3] in found[3]
+
+
+def test_rivals_are_found_by_runs(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in (0, 1, 2, 30, 700, 2000):
+        start = rng.integers(0, 10 * n + 1, n)
+        rows.append((n, [(int(a), int(a + rng.integers(1, 30)), int(rng.integers(0, 8)), f"t{i}", float(rng.choice([0.5, 1.0, 2.0, float("inf")]))) for i, a in enumerate(start)]))
+    rows.append((-1, [(0, 5000, 4, "long", 1.0), *((10 * i, 10 * i + 3, 5, "short", 0.5) for i in range(400))]))
+    df = spark.createDataFrame(rows, "n int, a array<struct<start:bigint,end:bigint,kind:int,text:string,score:double>>")
+    got = {r.n: sorted(map(tuple, r.k)) for r in df.select("n", pii.unrivalled(F.col("a")).alias("k")).collect()}
+    key = lambda x: (-x[4], x[0], x[2])
+    for n, spans in rows:
+        assert got[n] == sorted(x for x in spans if not any(x[0] < y[1] and y[0] < x[1] and key(y) < key(x) for y in spans)), n
+    top = spark.createDataFrame([([3, 1, 4, 1, 5] * 400,)], "v array<bigint>").select(pii.prefix_max(F.col("v")).alias("m")).first().m
+    assert top == np.maximum.accumulate([3, 1, 4, 1, 5] * 400).tolist()

@@ -79,6 +79,21 @@ def prefix_sums(values: Column) -> Column:
     return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(_bind(values, of))
 
 
+def prefix_max(values: Column) -> Column:
+    """The largest of each value (none is negative) and all before it; in blocks, too."""
+
+    def running(v: Column, first: Column, include: bool) -> Column:
+        start = F.struct(first.cast("bigint").alias("top"), F.array().cast("array<bigint>").alias("out"))
+        out = lambda s, x: F.greatest(s["top"], x) if include else s["top"]
+        return F.aggregate(v, start, lambda s, x: F.struct(F.greatest(s["top"], x).cast("bigint").alias("top"), F.concat(s["out"], F.array(out(s, x))).alias("out")), lambda s: s["out"])
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+        return _bind(blocks, lambda bs: F.flatten(F.zip_with(bs, running(F.transform(bs, lambda b: F.array_max(b)), F.lit(0), False), lambda b, m: running(b, m, True))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(_bind(values, of))
+
+
 def spans(text: Column, kind: int, pattern: str, needs: str | None) -> Column:
     """All leftmost non-overlapping matches, with their offsets in code points."""
 
@@ -205,6 +220,25 @@ class Trees:
         return out
 
 
+def unrivalled(scored: Column) -> Column:
+    """Of an array of (start, end, kind, text, score) those that overlap none with a higher score; ties go to the earlier, then the
+    smaller kind. Sorted by start, spans fall into runs that overlap, between which nothing does; each is compared within its run."""
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    rank = lambda a: F.struct(-a["score"], a["start"], a["kind"])
+
+    def kept(q: Column) -> Column:
+        """q: the spans in order, the largest end up to each, and, after those, where runs begin."""
+        c, n = q["c"], F.size(q["c"])
+        head = F.transform(c, lambda x, i: F.when(i == 0, True).otherwise(x["start"] >= q["reach"][i - 1]))
+        return _bind(
+            F.struct(c.alias("c"), n.alias("n"), prefix_max(F.transform(head, lambda h, i: F.when(h, i).otherwise(0).cast("bigint"))).alias("first"), F.reverse(prefix_max(F.reverse(F.transform(head, lambda h, i: F.when(h, n - i).otherwise(0).cast("bigint"))))).alias("back")),
+            lambda r: F.filter(r["c"], lambda x, i: ~F.exists(F.slice(r["c"], (r["first"][i] + 1).cast("int"), (r["n"] - F.coalesce(F.get(r["back"], i + 1), F.lit(0)) - r["first"][i]).cast("int")), lambda y: meets(x, y) & (rank(y) < rank(x)))),
+        )
+
+    ordered = lambda c: F.struct(c.alias("c"), prefix_max(F.transform(c, lambda x: x["end"])).alias("reach"))
+    return F.when(F.size(scored) < 2, scored).otherwise(_bind(F.array_sort(scored), lambda c: _bind(ordered(c), kept)))
+
+
 def _strict(s: Column) -> Column:
     """True for a candidate that its kind's strict form accepts."""
     return F.coalesce(*[F.when(s["kind"] == len(BASE) + i, F.rlike(s["text"], F.lit(form))) for i, (_, form) in enumerate(GENERATORS.values())], F.lit(False))
@@ -237,10 +271,13 @@ def detect(documents: DataFrame, model: tuple[Trees, list[float | None]] | None
     keep = [c for c in documents.columns if c not in ("base", "spans")]
     text = F.coalesce("text", F.lit(""))
     passed = lambda v, s: F.coalesce(*[F.when(s["kind"] == len(BASE) + i, v >= x) for i, x in enumerate(limits) if x is not None], _strict(s))
+    ranked = lambda s, score: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"), score.alias("score"))
     scored = F.transform(candidates(text), lambda s: F.struct(s.alias("s"), _bind(F.array(*features(text, s)), trees.expression).alias("score")))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["s"]["start"] < b["s"]["start"]) | ((a["s"]["start"] == b["s"]["start"]) & (a["s"]["kind"] < b["s"]["kind"]))))
-    chosen = _bind(F.filter(scored, lambda c: passed(c["score"], c["s"])), lambda cs: F.transform(F.filter(cs, lambda c: ~F.exists(F.col("base"), lambda b: meets(b, c["s"])) & ~F.exists(cs, lambda d: meets(d["s"], c["s"]) & better(d, c))), lambda c: c["s"]))
+    wanted = F.transform(F.filter(scored, lambda c: passed(c["score"], c["s"])), lambda c: ranked(c["s"], c["score"]))
+    # A base span yields to nothing.
+    rivals = F.concat(F.transform("base", lambda b: ranked(b, F.lit(float("inf")))), wanted)
+    added = lambda found: F.transform(F.filter(found, lambda c: c["kind"] >= len(BASE)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
+    chosen = F.when(F.size(wanted) == 0, F.array().cast(SPAN)).otherwise(added(unrivalled(rivals)).cast(SPAN))
     based = documents.select(*keep, base_spans(F.col("text")).alias("base"))
     return based.select(*keep, "base", F.concat("base", F.array_sort(chosen)).alias("spans"))
 
