@@ -236,7 +236,7 @@ def unrivalled(scored: Column) -> Column:
         )
 
     ordered = lambda c: F.struct(c.alias("c"), prefix_max(F.transform(c, lambda x: x["end"])).alias("reach"))
-    return F.when(F.size(scored) < 2, scored).otherwise(_bind(F.array_sort(scored), lambda c: _bind(ordered(c), kept)))
+    return _bind(F.array_sort(scored), lambda c: F.when(F.size(c) < 2, c).otherwise(_bind(ordered(c), kept)))
 
 
 def _strict(s: Column) -> Column:
@@ -274,10 +274,10 @@ def detect(documents: DataFrame, model: tuple[Trees, list[float | None]] | None
     ranked = lambda s, score: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"), score.alias("score"))
     scored = F.transform(candidates(text), lambda s: F.struct(s.alias("s"), _bind(F.array(*features(text, s)), trees.expression).alias("score")))
     wanted = F.transform(F.filter(scored, lambda c: passed(c["score"], c["s"])), lambda c: ranked(c["s"], c["score"]))
-    # A base span yields to nothing.
-    rivals = F.concat(F.transform("base", lambda b: ranked(b, F.lit(float("inf")))), wanted)
     added = lambda found: F.transform(F.filter(found, lambda c: c["kind"] >= len(BASE)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
-    chosen = F.when(F.size(wanted) == 0, F.array().cast(SPAN)).otherwise(added(unrivalled(rivals)).cast(SPAN))
+    # A base span yields to nothing.
+    firm = F.transform("base", lambda b: ranked(b, F.lit(float("inf"))))
+    chosen = _bind(wanted, lambda w: F.when(F.size(w) == 0, F.array().cast(SPAN)).otherwise(added(unrivalled(F.concat(firm, w))).cast(SPAN)))
     based = documents.select(*keep, base_spans(F.col("text")).alias("base"))
     return based.select(*keep, "base", F.concat("base", F.array_sort(chosen)).alias("spans"))
 
