@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, fim, line_dedup, lm_score, packing, pii, quality, runs, simhash, toxicity, url_filter
+from . import chat, decontam, fim, jaccard, line_dedup, lm_score, packing, pii, quality, runs, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -55,14 +55,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.collapse(runs.periodic(table(spark, sf_dir, "documents"))))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontamination, op2_pii, op3_chat_format, op4_packing, op5_lm_score, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_url_filter, op10_simhash, op11_periodic_runs, op13_fill_in_middle)
+    every = (op1_decontamination, op2_pii, op3_chat_format, op4_packing, op5_lm_score, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_url_filter, op10_simhash, op11_periodic_runs, op12_ngram_jaccard, op13_fill_in_middle)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.ORACLE, "op6_quality_rules": quality.oracle(), "op3_chat_format": chat.ORACLE, "op5_lm_score": lm_score.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE, "op13_fill_in_middle": fim.ORACLE}
+    return {"op1_decontamination": decontam.ORACLE, "op6_quality_rules": quality.oracle(), "op3_chat_format": chat.ORACLE, "op5_lm_score": lm_score.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE, "op12_ngram_jaccard": jaccard.ORACLE, "op13_fill_in_middle": fim.ORACLE}
