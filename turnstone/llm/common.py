@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors share; a new local one where that is unset, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .common import column
+
 UNIT = r"[A-Za-z]+|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM, SPM_BELOW = 90, 20
@@ -51,7 +53,7 @@ def cut(text: str, doc_id: int | None, seed: str = "1") -> dict:
 
 def transform(documents: DataFrame, seed: str = "1") -> DataFrame:
     """(document, fim) of every row: all columns but the text, and n, form, prefix_chars, middle_chars and the text as put in order."""
-    rest = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns if c.lower() != "text"])
+    rest = F.struct(*[column(c) for c in documents.columns if c.lower() != "text"])
     given = documents.select(rest.alias("document"), F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     empty = given.select("document", F.lit(None).cast(_FIM).alias("fim")).schema
     schema = StructType([StructField("document", empty[0].dataType), StructField("fim", empty[1].dataType)])

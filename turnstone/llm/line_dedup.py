@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER, materialize
+from .common import LOWER, UPPER, column, free_names, materialize
 
 MIN_DOCUMENTS = 10
 MIN_KEY_CHARS = 1
@@ -37,7 +37,7 @@ def frequent_keys(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_
 
 
 def drop_frequent_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """All columns of documents, with the kept text, n_lines before dropping and n_dropped.
+    """All columns of documents, with the kept text, and behind them n_lines before dropping and n_dropped, under free names if documents has such columns.
 
     Only hashes and positions are joined to the frequent keys; texts move once, to meet the positions that they lose. Keys with a
     large share of all frequent lines (at most 1 / HEAVY_SHARE keys) are dealt over salts, for which their rows are copied.
@@ -52,22 +52,27 @@ def drop_frequent_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS
     dealt = placed.withColumn("_salt", F.when(is_hot, F.pmod("_row", F.lit(SALTS)).cast("int")).otherwise(0))
     keys = frequent.select("h1", "h2", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
     gone = dealt.join(keys, ["h1", "h2", "_salt"], "left_semi").groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_gone"))
-    joined = documents.withColumn("_own", row).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_row")), "left")
-    lines = lines_of(F.col("text"))
+    # The row's own columns stay together, so none of any name can meet those here.
+    given = documents.select(F.struct(*[column(c) for c in documents.columns]).alias("_given"), F.col("doc_id").alias("_its"), row.alias("_own"))
+    joined = given.join(gone, F.col("_its").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_row")), "left")
+    own = F.col("_given.text")
+    lines = lines_of(own)
     # One struct is bound per row, so that the text is split once and each kept line is read by its place.
     bound = F.array(F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")).alias("keep")))
     kept = F.element_at(F.transform(bound, lambda s: F.array_join(F.transform(s["keep"], lambda i: s["lines"][i]), "\n")), 1)
-    text = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
+    text = F.when(F.col("_gone").isNull(), F.coalesce(own, F.lit(""))).otherwise(kept)
     dropped = F.coalesce(F.size("_gone"), F.lit(0))
+    names = free_names(documents.columns, "n_lines", "n_dropped")
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_dropped")],
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(dropped).cast("bigint").alias("n_dropped"),
+        *[text.alias(c) if c.lower() == "text" else F.col("_given").getField(c).alias(c) for c in documents.columns],
+        F.size(lines).cast("bigint").alias(names[0]),
+        F.when(F.col("_gone").isNull(), 0).otherwise(dropped).cast("bigint").alias(names[1]),
     )
 
 
 def report(kept: DataFrame) -> DataFrame:
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    n_lines, n_dropped = map(column, kept.columns[-2:])
+    return kept.select("doc_id", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 ORACLE = """

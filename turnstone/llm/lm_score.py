@@ -145,6 +145,8 @@ def exploded(documents: DataFrame, shared, part_pairs: int) -> DataFrame:
                         yield out(ids, rows, before, after)
                         ids, rows, before, after, held = [], [], [], [], 0
                 number += 1
+                if number >> 27 != TaskContext.get().partitionId():
+                    raise ValueError("a partition has more rows than numbers (2 ** 27): deal documents to more partitions")
         if ids:
             yield out(ids, rows, before, after)
 

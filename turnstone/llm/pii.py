@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import column, free_names, materialize
 
 SAMPLE_CANDIDATES = 5_000
 #: Scores are counted in steps of one part in this many.
@@ -251,7 +251,7 @@ def fit(documents: DataFrame, max_candidates: int = SAMPLE_CANDIDATES, precision
     held = F.pmod("h", F.lit(3)) == 0
     rows = [r for i in range(len(GENERATORS)) for r in every.filter(~held & (F.col("kind") == len(BASE) + i)).orderBy("h", "x").limit(max_candidates).collect()]
     limits: list[float | None] = [None] * len(GENERATORS)
-    if len(rows) < 14:
+    if not rows:
         return Trees(), limits
     trees = Trees().fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
     score = _bind(F.col("x"), trees.expression)
@@ -266,9 +266,10 @@ def fit(documents: DataFrame, max_candidates: int = SAMPLE_CANDIDATES, precision
 
 
 def detect(documents: DataFrame, model: tuple[Trees, list[float | None]] | None = None) -> DataFrame:
-    """All columns of documents, with `base` and `spans`: arrays of (kind number, start, end, text), by kind, then start."""
+    """All columns of documents, and behind them `base` and `spans`, under free names if documents has such columns: arrays of
+    (kind number, start, end, text), by kind, then start."""
     trees, limits = model or fit(documents)
-    keep = [c for c in documents.columns if c not in ("base", "spans")]
+    keep, (base, spans) = [column(c) for c in documents.columns], free_names(documents.columns, "base", "spans")
     text = F.coalesce("text", F.lit(""))
     passed = lambda v, s: F.coalesce(*[F.when(s["kind"] == len(BASE) + i, v >= x) for i, x in enumerate(limits) if x is not None], _strict(s))
     ranked = lambda s, score: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"), score.alias("score"))
@@ -276,15 +277,15 @@ def detect(documents: DataFrame, model: tuple[Trees, list[float | None]] | None
     wanted = F.transform(F.filter(scored, lambda c: passed(c["score"], c["s"])), lambda c: ranked(c["s"], c["score"]))
     added = lambda found: F.transform(F.filter(found, lambda c: c["kind"] >= len(BASE)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
     # A base span yields to nothing.
-    firm = F.transform("base", lambda b: ranked(b, F.lit(float("inf"))))
+    firm = F.transform(base, lambda b: ranked(b, F.lit(float("inf"))))
     chosen = _bind(wanted, lambda w: F.when(F.size(w) == 0, F.array().cast(SPAN)).otherwise(added(unrivalled(F.concat(firm, w))).cast(SPAN)))
-    based = documents.select(*keep, base_spans(F.col("text")).alias("base"))
-    return based.select(*keep, "base", F.concat("base", F.array_sort(chosen)).alias("spans"))
+    based = documents.select(*keep, base_spans(F.col("text")).alias(base))
+    return based.select(*keep, base, F.concat(base, F.array_sort(chosen)).alias(spans))
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
-    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    """What detect() took, with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+    ordered = F.sort_array(F.transform(found.columns[-1], lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     text = F.coalesce("text", F.lit(""))
@@ -295,11 +296,12 @@ def redact(found: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], -s["end"]).alias("at"), F.when(new, F.concat(a["out"], kept, names[s["kind"]])).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return found.select(*[done.alias("text") if c == "text" else c for c in found.columns if c not in ("base", "spans")])
+    return found.select(*[done.alias(c) if c.lower() == "text" else column(c) for c in found.columns[:-2]])
 
 
 def report(found: DataFrame) -> DataFrame:
+    base, spans = map(column, found.columns[-2:])
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
-    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    count = lambda i: F.size(F.filter(base, lambda s: s["kind"] == i)).cast("bigint")
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))

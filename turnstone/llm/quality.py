@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import column, free_names
+
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -134,16 +136,17 @@ def passes(m: Column, rules: list[tuple[str, float | None, float | None]] = RULE
 
 
 def judge(documents: DataFrame, rules: list[tuple[str, float | None, float | None]] = RULES) -> DataFrame:
-    """All columns of documents, with `measures`, `base_failed` and `kept`."""
-    names = [c for c in documents.columns if c not in ("measures", "base_failed", "kept")]
-    m = F.col("measures")
+    """All columns of documents, and behind them `measures`, `base_failed` and `kept`, under free names if documents has such columns."""
+    every, names = [column(c) for c in documents.columns], free_names(documents.columns, "measures", "base_failed", "kept")
+    m = F.col(names[0])
     base = (m["n_words"] < BASE_MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * m["n_words"])
-    measured = documents.select(*names, measures(F.col("text")).alias("measures"))
-    return measured.select(*names, "measures", base.alias("base_failed"), (~base & passes(m, rules)).alias("kept"))
+    measured = documents.select(*every, measures(F.col("text")).alias(names[0]))
+    return measured.select(*every, m, base.alias(names[1]), (~base & passes(m, rules)).alias(names[2]))
 
 
 def report(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+    m, base_failed, kept = map(column, judged.columns[-3:])
+    return judged.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed.alias("base_failed"), kept.alias("kept"))
 
 
 def oracle() -> str:

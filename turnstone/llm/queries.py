@@ -40,7 +40,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents")))
+    return line_dedup.report(line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

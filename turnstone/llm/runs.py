@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .common import column
+
 MIN_WORDS, MIN_PERIODS = 24, 3
 #: Texts whose windows are hashed together: so many rows, or the words of so many octets.
 _ROWS, _OCTETS = 256, 8 << 20
@@ -146,7 +148,7 @@ def without_repeats(words: list[bytes], runs: list[tuple[int, int, int]]) -> lis
 
 def collapse(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(document, found) of every row: all columns but the text, and its runs, the best of them and the text without repeats."""
-    rest = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns if c.lower() != "text"])
+    rest = F.struct(*[column(c) for c in documents.columns if c.lower() != "text"])
     given = documents.select(rest.alias("document"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     shape = given.select("document", F.lit(None).cast(_FOUND).alias("found")).schema
     schema = StructType([StructField(f.name, f.dataType) for f in shape])

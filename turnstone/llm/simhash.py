@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import column, materialize
 
 SHINGLE = 4
 SEED = 42
@@ -255,12 +255,13 @@ def text_key() -> Column:
 
 def first_of_each(documents: DataFrame, roots: DataFrame) -> DataFrame:
     """One row for each root of roots (doc_id, key, root), with all columns of documents: the smallest doc_id, null last, then the smallest key."""
-    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"), F.count(F.lit(1)).alias("_rows"))
-    kept = documents.withColumn("_key", text_key()).join(first.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_k"), "_rows"), (F.col("_key") == F.col("_k")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    # The row's own columns stay together, so none of any name can meet those here.
+    given = documents.select(F.struct(*[column(c) for c in documents.columns]).alias("given"), text_key().alias("own"), F.col("doc_id").cast("bigint").alias("its"))
+    kept = given.join(first.select(F.col("m.doc_id").alias("id"), F.col("m.key").alias("key"), "rows"), (F.col("own") == F.col("key")) & F.col("its").eqNullSafe(F.col("id")))
     # Only a row that isn't alone in its component may stand several times.
-    alone = kept.filter("_rows = 1").select(documents.columns)
-    again = kept.filter("_rows > 1").groupBy("_id", "_k").agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*documents.columns)).alias("_row")).select("_row.*")
-    return alone.unionByName(again)
+    again = kept.filter("rows > 1").groupBy("id", "key").agg(F.min_by("given", F.xxhash64(F.to_json("given"))).alias("given"))
+    return kept.filter("rows = 1").select("given").unionAll(again.select("given")).select("given.*")
 
 
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

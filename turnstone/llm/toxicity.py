@@ -23,10 +23,14 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from .common import column
 
 HELD_OUT = 2
 SAMPLE_PER_CLASS = 4_000
@@ -223,16 +227,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> dict:
-    """The model, from at most per_class rows of each class (those first by a hash of doc_id) with texts of at most max_chars."""
+    """The model, from at most per_class rows of each class (those first by a hash of doc_id) with texts of at most max_chars.
+
+    A label without such a text takes no other's place. With fewer than five rows of a class, all texts get the share of toxic labels as their score.
+    """
     known = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "toxic")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     share = (n1 + 1) / (n0 + n1 + 10)
     order = F.xxhash64("_id")
-    picked = known.filter("toxic = 0").orderBy(order, "_id").limit(per_class).unionAll(known.filter("toxic = 1").orderBy(order, "_id").limit(per_class))
-    # The picked ids are at most 2 * per_class, so they may be broadcast.
-    texts = documents.filter(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    rows = sorted(texts.select("doc_id", "text", "toxic").limit(4 * per_class).collect(), key=lambda r: (zlib.crc32(f"{r[0]}".encode()), r[1]))
+    short = documents.filter(F.length("text") <= max_chars).select("doc_id", F.xxhash64("text").alias("_hash"), "text")
+    there = short.select(F.col("doc_id").alias("_id"), "_hash").join(known, "_id").distinct()
+    picked = reduce(DataFrame.unionAll, [there.filter(F.col("toxic") == c).orderBy(order, "_id", "_hash").limit(per_class) for c in (0, 1)])
+    # The picked texts are at most 2 * per_class, so they may be broadcast.
+    texts = short.join(F.broadcast(picked.withColumnRenamed("_hash", "_own")), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_own")))
+    rows = texts.groupBy("_id", "_hash", "toxic").agg(F.first("text").alias("text")).select("_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: (zlib.crc32(f"{r[0]}".encode()), r[1], r[2]))
     toxic = np.array([r[2] for r in rows], np.int64)
     if min((toxic == 0).sum(), (toxic == 1).sum()) < 5:
         return {"table": np.zeros(BUCKETS, np.float32), "calibration": np.array([0, 0, np.log(share / (1 - share))]), "empty": (0.0, 0.0)}
@@ -245,25 +255,30 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     return {"table": table, "calibration": calibrate(evidence, toxic[quarter], share), "empty": empty}
 
 
-def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of documents, with score and predicted."""
+def scored(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """(given, score, predicted) of every row; all columns of documents are in the struct given, so none can clash."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in documents.columns if c not in ("score", "predicted")]
-    at = keep.index("text")
-    schema = documents.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    given = documents.select(F.struct(*[column(c) for c in documents.columns]).alias("given"), "text")
+    schema = StructType([given.schema["given"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, weights = Scorer(shared.value["table"], empty=shared.value["empty"]), shared.value["calibration"]
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                e = np.array([(*scorer.evidence(t.as_py()), 1.0) for t in part.column(at)]).reshape(-1, 3)
+                e = np.array([(*scorer.evidence(t.as_py()), 1.0) for t in part.column(1)]).reshape(-1, 3)
                 p = 1 / (1 + np.exp(-np.clip(e @ weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema.names)
 
-    return documents.select(*keep).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
+
+
+def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of documents with score and predicted in place of any of these names; scored() keeps those too."""
+    keep = [F.col("given").getField(c).alias(c) for c in documents.columns if c.lower() not in ("score", "predicted")]
+    return scored(documents, model, threshold).select(*keep, "score", "predicted")
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score(documents.select("doc_id", "text"), fit(documents, labels))
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    rows = score(documents.select("doc_id", "text"), fit(documents, labels))
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
