@@ -84,7 +84,7 @@ def test_search_finds_every_pair(spark, percent):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     marks = materialize(jaccard._marks(docs, 4, percent), "m")
     nodes = materialize(marks.groupBy("node").agg(*[jaccard.F.max(c).alias(c) for c in ("key", "n", "units", "own", "below")]), "n")
-    live = materialize(jaccard._live(jaccard._rows(docs, nodes, len(texts), 4, percent)), "l")
+    live = materialize(jaccard._live(jaccard._rows(docs, nodes, len(texts), 4, percent), percent), "l")
     sets = materialize(jaccard._sets(docs.select("text", jaccard.text_key().alias("key")).join(nodes.select("node", "key"), "key"), 4), "s")
     found = jaccard._similar(jaccard._searched(live, nodes, sets, percent), sets, percent)
     node = {r.doc_id: r.node for r in marks.collect()}
@@ -92,6 +92,24 @@ def test_search_finds_every_pair(spark, percent):
     assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 40
 
 
+def test_large_group_gives_few_candidates(spark, monkeypatch):
+    """Copies ever farther from their text: those too far have so many words of their own that nobody is compared with them."""
+    rng = np.random.default_rng(8)
+    base = [f"b{x}" for x in range(150)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for at in rng.choice(150, k % 14, replace=False):
+            w[at] = f"own{rng.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    checked = []
+    similar = jaccard._similar
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, sets, percent: checked.append(pairs.count()) or similar(pairs, sets, percent))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(map(tuple, jaccard.join(docs).collect()))
+    assert got == sorted(brute(list(enumerate(texts)))) and len(checked) == 2 and sum(checked) < 600
+
+
 def test_keys_that_go_over_batches():
     """A key's rows may come in any cuts."""
     rng = np.random.default_rng(0)

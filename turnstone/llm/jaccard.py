@@ -10,8 +10,9 @@ set of a pair is the one that searches.
    equal, so sets with fewer keys in common with any others are left out, which leaves little but near copies.
 2. In each bucket, sets are checked against the one in its middle. A large group of near copies becomes one component that way,
    with one pair for each set.
-3. Sets whose segments still meet those of other components look for the rest. Each segment's cost is counted: for equality, the
-   sets of its bucket; for a threshold of one, those that its one-deletion neighbourhood meets. The H + 1 cheapest units are
+3. Sets whose segments still meet those of other components look for the rest. Tokens that no other component has count as
+   differences beforehand, which leaves out most copies that are too far from their group. Each segment's cost is counted: for
+   equality, the sets of its bucket; for a threshold of one, those that its one-deletion neighbourhood meets. The H + 1 cheapest units are
    allocated, so segments that are common, as those of templates and shared passages, are passed over wherever others suffice.
 4. All candidates are verified from both whole sets; components come from alternating stars.
 
@@ -26,11 +27,11 @@ that has others; repeated rows give repeated rows. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 from .simhash import _LOWER, components, text_key
@@ -201,14 +202,40 @@ def _shared(keys: DataFrame, hot: list[int]) -> DataFrame:
     return keys.repartition("key", salt).sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, own boolean")
 
 
-def _live(rows: DataFrame) -> DataFrame:
-    """The rows (key, node, own, need, c) of shared keys, without those of sets that have too few keys in common with other components c."""
-    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("own").alias("any")).filter("low < high and any").select("key")
-    met = rows.join(mixed, "key", "left_semi")
+def _apart(x: Column, y: Column, percent: int) -> Column:
+    """In how many tokens two similar sets of these sizes differ at most."""
+    return F.floor((100 - percent) * (x + y) / (100 + percent) + 1e-9)
+
+
+def _live(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, node, own, need, c, n, u, asks) of shared keys that may be of a pair of different components c.
+
+    u of a set's tokens are in no other component, so a pair differs in 2 u + ny - nx tokens at least by the u of the smaller set x,
+    and in 2 u - (ny - nx) by that of the larger one y. A row that doesn't ask goes if that is too many even for the smallest set that
+    asks under its key, and a set goes if it has too few keys left for a pair.
+    """
+    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.when(F.col("asks"), F.col("n"))).alias("least")).filter("low < high and least is not null").select("key", "least")
+    least = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    partner = (F.col("least") <= F.col("n")) & (2 * F.col("u") <= _apart(least, F.col("n"), percent) + F.col("n") - least)
+    met = rows.join(mixed, "key").filter(F.col("asks") | partner).drop("least")
     enough = met.groupBy("node", "own").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).filter("has >= least").select("node", "own")
     return met.join(enough, ["node", "own"], "left_semi")
 
 
+def _alone(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, u): how many tokens of each set of left (node, c) no other component has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                token = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), node)), pa.array(np.full(len(token), c)), pa.array(token)], ["node", "c", "token"])
+
+    tokens = materialize(left.select("node", "c").distinct().join(sets, "node").select("node", "c", "found").mapInArrow(run, "node bigint, c bigint, token bigint"), "tokens")
+    alone = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low = high").select("token")
+    return tokens.join(alone, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+
+
 def _to_the_middle(rows: DataFrame) -> DataFrame:
     """(a, b), a < b: each node with that middle of its buckets with which it shares most keys; a middle is the node that meets most others."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -266,42 +293,43 @@ def _segments(sets: DataFrame, percent: int) -> DataFrame:
 
 def _searched(live: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: the candidates, of different components c, that the cheapest allocation of every set leaves."""
-    of = live.select("node", "own", "c").distinct()
+    of = live.select("node", "own", "c", "u", "asks").distinct()
     every = materialize(_segments(sets.join(of.select("node").distinct(), "node", "left_semi"), percent).join(of, ["node", "own"]), "segments")
     whole, less = every.filter("without is null").drop("without"), every.filter("without is not null")
     # What a key meets: nothing, if all that have it are of one component, the searcher's own.
     held = lambda rows, key, n: rows.groupBy(F.col(key).alias("met")).agg(F.count(F.lit(1)).alias(n), F.min("c").alias(f"{n}_low"), F.max("c").alias(f"{n}_high"))
     cost = lambda n: F.when((F.col(f"{n}_low") != F.col("c")) | (F.col(f"{n}_high") != F.col("c")), F.col(n)).otherwise(0)
     equal, lacking = held(whole, "key", "e"), held(less, "without", "d")
-    mine = whole.filter("own").join(equal, F.col("key") == F.col("met"), "left").drop("met").join(lacking, F.col("key") == F.col("met"), "left").drop("met")
-    mine = mine.select("node", "c", "key", F.coalesce(cost("e"), F.lit(0)).alias("zero"), F.coalesce(cost("d"), F.lit(0)).alias("more"))
-    taken = less.filter("own").join(equal, F.col("without") == F.col("met")).groupBy("node", "key").agg(F.sum(cost("e")).alias("taken"))
+    mine = whole.filter("asks").join(equal, F.col("key") == F.col("met"), "left").drop("met").join(lacking, F.col("key") == F.col("met"), "left").drop("met")
+    mine = mine.select("node", "c", "u", "key", F.coalesce(cost("e"), F.lit(0)).alias("zero"), F.coalesce(cost("d"), F.lit(0)).alias("more"))
+    taken = less.filter("asks").join(equal, F.col("without") == F.col("met")).groupBy("node", "key").agg(F.sum(cost("e")).alias("taken"))
     mine = mine.join(taken, ["node", "key"], "left").withColumn("one", F.greatest("zero", F.col("more") + F.coalesce("taken", F.lit(0))))
     # A segment's first unit is equality, its second one token more or less, which never is the cheaper one.
-    units = mine.select("node", "c", "key", F.explode(F.array(F.struct(F.lit(0).alias("unit"), F.col("zero").alias("cost")), F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost")))).alias("u")).select("node", "c", "key", "u.*")
+    units = mine.select("node", "c", "u", "key", F.explode(F.array(F.struct(F.lit(0).alias("unit"), F.col("zero").alias("cost")), F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost")))).alias("at")).select("node", "c", "u", "key", "at.*")
     place = F.row_number().over(Window.partitionBy("node").orderBy("cost", "unit", "key"))
     chosen = units.withColumn("place", place).join(nodes.select("node", F.col("units").alias("wanted"), "n"), "node").filter("place <= wanted and cost > 0")
-    chosen = materialize(chosen.select("node", "c", "n", "key", "unit"), "allocated")
-    other = lambda rows, key: rows.join(nodes.select("node", "n"), "node").select(F.col(key).alias("met"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    chosen = materialize(chosen.select("node", "c", "u", "n", "key", "unit"), "allocated")
+    other = lambda rows, key: rows.join(nodes.select("node", "n"), "node").select(F.col(key).alias("met"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("u").alias("uy"), F.col("n").alias("ny"))
     near = chosen.filter("unit = 1")
-    shorter = near.join(less.filter("own").select("node", "key", "without"), ["node", "key"]).withColumn("key", F.col("without"))
-    fits = (F.col("c") != F.col("cy")) & (F.col("ny") >= F.col("n")) & (F.col("ny") * percent <= F.col("n") * 100)
+    shorter = near.join(less.filter("asks").select("node", "key", "without"), ["node", "key"]).withColumn("key", F.col("without"))
+    more = F.col("ny") - F.col("n")
+    fits = (F.col("c") != F.col("cy")) & (more >= 0) & (F.greatest(2 * F.col("u") + more, 2 * F.col("uy") - more) <= _apart(F.col("n"), F.col("ny"), percent))
     found = None
     for asked, rows in ((chosen.filter("unit = 0"), other(whole, "key")), (near, other(less, "without")), (shorter, other(whole, "key"))):
-        met = asked.select("node", "c", "n", F.col("key").alias("met")).join(rows, "met").filter(fits).select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"))
+        met = asked.select("node", "c", "u", "n", F.col("key").alias("met")).join(rows, "met").filter(fits).select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"))
         found = met if found is None else found.unionAll(met)
     return found.distinct()
 
 
 def _rows(documents: DataFrame, nodes: DataFrame, count: int, shingle: int, percent: int) -> DataFrame:
-    """(key, node, own, need, c) of all shared keys; each node is a component of its own."""
+    """(key, node, own, need, c, n, u, asks) of all shared keys; each node is a component of its own, and asks under its own band."""
     some = -(-max(1, count) // SAMPLE)
     sample = _keys(documents.filter(F.pmod(F.xxhash64("text"), F.lit(some)) == 0), shingle, percent)
     # A set of n tokens has some n / 3 keys, so at most SAMPLE / HOT times that are collected.
     hot = [r[0] for r in sample.groupBy("key").count().filter(F.col("count") >= HOT).select("key").collect()] if some > 1 else []
     shared = _shared(_keys(documents, shingle, percent), hot)
-    need = nodes.select("node", F.col("own").alias("o"), "below")
-    return shared.join(need, "node").select("key", "node", "own", F.when(F.col("own"), F.col("o")).otherwise(F.col("below")).alias("need"), F.col("node").alias("c"))
+    need = nodes.select("node", "n", F.col("own").alias("o"), "below")
+    return shared.join(need, "node").select("key", "node", "own", F.when(F.col("own"), F.col("o")).otherwise(F.col("below")).alias("need"), F.col("node").alias("c"), "n", F.lit(0).cast("bigint").alias("u"), F.col("own").alias("asks"))
 
 
 def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -309,13 +337,16 @@ def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     marks = materialize(_marks(documents, shingle, percent), "sizes")
     nodes = materialize(marks.groupBy("node").agg(F.min("key").alias("key"), *[F.max(c).alias(c) for c in ("n", "units", "own", "below")]), "nodes")
     rows = materialize(_rows(documents, nodes, marks.count(), shingle, percent), "shared")
-    live = materialize(_live(_live(rows)), "live")
+    live = materialize(_live(_live(rows, percent), percent), "live")
     wanted = nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "key")
     texts = documents.select(text_key().alias("key"), "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(_sets(texts, shingle), "sets")
     near = materialize(_similar(materialize(_to_the_middle(live), "partners"), sets, percent), "near")
-    left = live.drop("c").join(components(near), "node", "left").select("key", "node", "own", "need", F.coalesce("component", "node").alias("c"))
-    left = materialize(_live(_live(left)), "left")
+    left = live.drop("c").join(components(near), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    left = materialize(_live(_live(left, percent), percent).drop("component"), "left")
+    left = left.drop("u", "asks").join(_alone(left, sets), "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    left = left.withColumn("asks", F.col("own") & (2 * F.col("u") <= _apart(F.col("n"), F.col("n"), percent)))
+    left = materialize(reduce(lambda rows, _: _live(rows, percent), range(3), left), "left")
     rest = materialize(_searched(left, nodes, sets, percent), "candidates")
     label = components(near.unionAll(_similar(rest, sets, percent)))
     return marks.join(label, "node", "left").select("doc_id", "key", marks["node"], "n", F.coalesce("component", marks["node"]).alias("root"))
