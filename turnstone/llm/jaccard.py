@@ -27,7 +27,7 @@ that has others; repeated rows give repeated rows. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -217,9 +217,9 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
     mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.when(F.col("asks"), F.col("n"))).alias("least")).filter("low < high and least is not null").select("key", "least")
     least = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     partner = (F.col("least") <= F.col("n")) & (2 * F.col("u") <= _apart(least, F.col("n"), percent) + F.col("n") - least)
-    met = rows.join(mixed, "key").filter(F.col("asks") | partner).drop("least")
+    met = materialize(rows.join(mixed, "key").filter(F.col("asks") | partner).drop("least"), "met")
     enough = met.groupBy("node", "own").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).filter("has >= least").select("node", "own")
-    return met.join(enough, ["node", "own"], "left_semi")
+    return materialize(met.join(enough, ["node", "own"], "left_semi"), "live")
 
 
 def _alone(left: DataFrame, sets: DataFrame) -> DataFrame:
@@ -337,16 +337,16 @@ def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     marks = materialize(_marks(documents, shingle, percent), "sizes")
     nodes = materialize(marks.groupBy("node").agg(F.min("key").alias("key"), *[F.max(c).alias(c) for c in ("n", "units", "own", "below")]), "nodes")
     rows = materialize(_rows(documents, nodes, marks.count(), shingle, percent), "shared")
-    live = materialize(_live(_live(rows, percent), percent), "live")
+    live = _live(_live(rows, percent), percent)
     wanted = nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "key")
     texts = documents.select(text_key().alias("key"), "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(_sets(texts, shingle), "sets")
     near = materialize(_similar(materialize(_to_the_middle(live), "partners"), sets, percent), "near")
     left = live.drop("c").join(components(near), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    left = materialize(_live(_live(left, percent), percent).drop("component"), "left")
+    left = _live(materialize(left.drop("component"), "left"), percent)
     left = left.drop("u", "asks").join(_alone(left, sets), "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    left = left.withColumn("asks", F.col("own") & (2 * F.col("u") <= _apart(F.col("n"), F.col("n"), percent)))
-    left = materialize(reduce(lambda rows, _: _live(rows, percent), range(3), left), "left")
+    left = materialize(left.withColumn("asks", F.col("own") & (2 * F.col("u") <= _apart(F.col("n"), F.col("n"), percent))), "left")
+    left = _live(_live(left, percent), percent)
     rest = materialize(_searched(left, nodes, sets, percent), "candidates")
     label = components(near.unionAll(_similar(rest, sets, percent)))
     return marks.join(label, "node", "left").select("doc_id", "key", marks["node"], "n", F.coalesce("component", marks["node"]).alias("root"))
