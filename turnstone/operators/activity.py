@@ -152,12 +152,35 @@ def pivots(turns: DataFrame, anchors: DataFrame) -> DataFrame:
     return sizes.join(best, "session_id", "left").select("session_id", F.when(F.coalesce("n", F.lit(0)) < 2, late).otherwise(F.col("at")).cast("bigint").alias("pivot"))
 
 
+def pivots_by_query(near: DataFrame, turns: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(query_id, session_id, pivot): like pivots(), with anchors (query_id, word) of each query's own; near: query_id, session_id."""
+    own = turns.join(near.select("session_id").distinct(), "session_id", "left_semi")
+    words = own.select("session_id", "turn_index", F.explode(_long_words("text")).alias("word"))
+    hits = near.select("query_id", "session_id").join(words, "session_id").join(anchors.select("query_id", "word").distinct(), ["query_id", "word"], "left_semi").groupBy("query_id", "session_id", "turn_index").agg(F.count(F.lit(1)).alias("n"))
+    best = hits.groupBy("query_id", "session_id").agg(F.max_by("turn_index", F.struct("n", -F.col("turn_index"))).alias("at"), F.max("n").alias("n"))
+    sizes = own.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
+    late = F.least(F.floor(2 * F.col("turns") / 3), F.col("turns") - 1)
+    return near.select("query_id", "session_id").join(sizes, "session_id").join(best, ["query_id", "session_id"], "left").select("query_id", "session_id", F.when(F.coalesce("n", F.lit(0)) < 2, late).otherwise(F.col("at")).cast("bigint").alias("pivot"))
+
+
+def _long_words(text: str) -> Column:
+    """Words of over four octets."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) > 4)
+
+
+def anchors_of(turns: DataFrame, last: int) -> DataFrame:
+    """(query_id, word): the long words of each session's last turns."""
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn_index")))
+    return turns.withColumn("back", back).filter(F.col("back") <= last).select(F.col("session_id").alias("query_id"), F.explode(_long_words("text")).alias("word")).distinct()
+
+
 def predict(neighbours: DataFrame, pivot: DataFrame, calls: DataFrame, horizon: int = 3, most: int = 6) -> DataFrame:
     """The tools that like sessions used next: neighbours (query_id, session_id, score), the calls of their turns pivot+1 to pivot+horizon.
+    pivot: by session, or by query and session.
 
     score = 0.55 * share of the calls + 0.45 * mean similarity; example is the most similar session.
     """
-    near = neighbours.join(pivot, "session_id")
+    near = neighbours.join(pivot, [c for c in ("query_id", "session_id") if c in pivot.columns])
     used = near.join(calls.select("session_id", "turn_index", "name"), "session_id").filter((F.col("turn_index") > F.col("pivot")) & (F.col("turn_index") <= F.col("pivot") + horizon))
     by = used.groupBy("query_id", "name").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("confidence"), F.min_by("session_id", F.struct(-F.col("score"), "session_id")).alias("example"))
     total = F.sum("n").over(Window.partitionBy("query_id"))

@@ -186,7 +186,7 @@ def recall_alerts(spark, d):
     from turnstone.sources.shared import new_folder
 
     e = table(spark, d, "events").filter("event_type = 'error'")
-    keyed = e.select(watch.recall_key(F.col("user_id"), F.left(F.coalesce("props", F.lit("")), F.lit(9))).alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    keyed = e.select(watch.recall_key(F.col("user_id"), F.coalesce("props", F.lit(""))).alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     got = watch.replay(keyed, lambda s: watch.debounced(s, "key", watch.RECALL_SECONDS), new_folder(spark, "recall"))
     return got.groupBy("key").agg(F.count(F.lit(1)).alias("alerts"))
 
@@ -267,7 +267,7 @@ QUERIES: dict[str, tuple] = {
     "project_sessions": (project_sessions, "SELECT vec_id AS session_id, '/srv/p1' AS project_path FROM embeddings WHERE label = 1"),
     "collection_info": (collection_info, "SELECT label::VARCHAR AS name, count(*) AS n FROM embeddings GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM embeddings"),
     "primer_alerts": (primer_alerts, "WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s WHERE score >= 0.2) SELECT query_id, count(*) AS sources FROM r WHERE k <= 8 GROUP BY ALL HAVING count(*) >= 2"),
-    "recall_alerts": (recall_alerts, "WITH RECURSIVE e AS (SELECT user_id || '|' || left(coalesce(props, ''), 9) AS key, ts FROM events WHERE event_type = 'error'), a AS (SELECT key, min(ts) AS ts FROM e GROUP BY ALL UNION ALL SELECT * FROM (SELECT a.key, min(e.ts) AS ts FROM a JOIN e ON e.key = a.key AND e.ts >= a.ts + INTERVAL 60 MINUTES GROUP BY ALL)) SELECT key, count(*) AS alerts FROM a GROUP BY ALL"),
+    "recall_alerts": (recall_alerts, "WITH RECURSIVE e AS (SELECT user_id || '|' || left(coalesce(props, ''), 120) AS key, ts FROM events WHERE event_type = 'error'), a AS (SELECT key, min(ts) AS ts FROM e GROUP BY ALL UNION ALL SELECT * FROM (SELECT a.key, min(e.ts) AS ts FROM a JOIN e ON e.key = a.key AND e.ts >= a.ts + INTERVAL 60 MINUTES GROUP BY ALL)) SELECT key, count(*) AS alerts FROM a GROUP BY ALL"),
     "prompt_days": (prompt_days, "SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT event_type) AS projects FROM events GROUP BY ALL"),
     "latest_errors": (latest_errors, f"WITH {_CALLS}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM c) SELECT session_id, max(seq) AS seq, arg_max(event_id, seq) AS event_id FROM b WHERE back <= 6 AND is_error GROUP BY ALL"),
     "dual_read": (dual_read, f"WITH {_P} SELECT id, project, CASE WHEN id % 3 = 0 THEN 3 ELSE 2 END AS version FROM p"),

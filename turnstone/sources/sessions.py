@@ -31,20 +31,26 @@ class Sessions(NamedTuple):
     bad: DataFrame
 
 
-def _text(spark: SparkSession, root: str, glob: str, recursive: bool) -> DataFrame:
-    """(source_path, split, place, line) of all lines under root; empty where there is no root."""
+def _text(spark: SparkSession, root: str, glob: str, recursive: bool, since: Column | None = None) -> DataFrame:
+    """(source_path, split, place, line) of all lines under root, or of files changed since then; empty where there is no root."""
     try:
         files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(root)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "source_path string, split bigint, place bigint, line string")
+    if since is not None:
+        files = files.filter(F.col("_metadata.file_modification_time") >= since)
     return files.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
 
 
 def lines(spark: SparkSession, root: str, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
     """(source_path, line_no, line) of all non-blank lines under root, numbered in file order; sub-agents' folders are left out."""
-    own = _text(spark, root, glob, recursive).filter(~F.contains("source_path", F.lit("/subagents/")))
+    return _numbered(_text(spark, root, glob, recursive))
+
+
+def _numbered(text: DataFrame) -> DataFrame:
+    own = text.filter(~F.contains("source_path", F.lit("/subagents/")))
     number = F.row_number().over(Window.partitionBy("source_path").orderBy("split", "place")) - 1
     return own.select("source_path", number.alias("line_no"), F.btrim("line", F.lit(" \t\r")).alias("line")).filter("line <> ''")
 
@@ -61,9 +67,24 @@ def _first(value: Column, order: str = "line_no") -> Column:
     return F.min_by(value, F.when(value.isNotNull(), F.col(order)))
 
 
+def _parts_of(items: Column) -> tuple[Column, Column, Column]:
+    """The text of a message's items (array<variant>), its calls and its results."""
+    of = lambda i, p, kind="string": F.try_variant_get(i, p, kind)
+    # A result's content is a string or an array of items with text.
+    body = lambda i: F.coalesce(F.when(of(i, "$.content", "array<variant>").isNull(), of(i, "$.content")), F.array_join(F.filter(F.transform(of(i, "$.content", "array<variant>"), lambda x: of(x, "$.text")), lambda s: s.isNotNull()), "\n"), F.lit(""))
+    texts = F.array_join(F.transform(F.filter(items, lambda i: of(i, "$.type") == "text"), lambda i: F.coalesce(of(i, "$.text"), F.lit(""))), "\n")
+    calls = F.transform(F.filter(items, lambda i: of(i, "$.type") == "tool_use"), lambda i: F.struct(of(i, "$.id").alias("call_id"), of(i, "$.name").alias("name"), F.to_json(of(i, "$.input", "variant")).alias("input_json")))
+    results = F.transform(F.filter(items, lambda i: of(i, "$.type") == "tool_result"), lambda i: F.struct(of(i, "$.tool_use_id").alias("call_id"), body(i).alias("content"), F.coalesce(of(i, "$.is_error", "boolean"), F.lit(False)).alias("is_error")))
+    return texts, calls, results
+
+
 def read_claude(spark: SparkSession, root: str, glob: str = "*.jsonl") -> Sessions:
     """One session a file. A line that isn't JSON fails its file, which goes to bad with the line's number."""
-    raw = lines(spark, root, glob).withColumn("v", F.try_parse_json("line"))
+    return _claude(lines(spark, root, glob))
+
+
+def _claude(own: DataFrame) -> Sessions:
+    raw = own.withColumn("v", F.try_parse_json("line"))
     bad = raw.groupBy("source_path").agg(F.min(F.when(F.col("v").isNull(), F.col("line_no"))).alias("at")).filter("at is not null").select("source_path", F.concat(F.lit("line "), (F.col("at") + 1).cast("string"), F.lit(" is not JSON")).alias("reason"))
     good = raw.join(bad, "source_path", "left_anti")
     e = good.select("source_path", "line_no", "v", _get("v", "$.type").alias("type"), F.try_to_timestamp(_get("v", "$.timestamp")).alias("ts"))
@@ -76,18 +97,27 @@ def read_claude(spark: SparkSession, root: str, glob: str = "*.jsonl") -> Sessio
     )
     spoken = e.filter(F.col("type").isin("user", "assistant") & _get("v", "$.uuid").isNotNull())
     content, items = _get("v", "$.message.content"), _get("v", "$.message.content", "array<variant>")
-    of = lambda i, p, kind="string": F.try_variant_get(i, p, kind)
-    # A result's content is a string or an array of items with text.
-    body = lambda i: F.coalesce(F.when(of(i, "$.content", "array<variant>").isNull(), of(i, "$.content")), F.array_join(F.filter(F.transform(of(i, "$.content", "array<variant>"), lambda x: of(x, "$.text")), lambda s: s.isNotNull()), "\n"), F.lit(""))
-    texts = F.array_join(F.transform(F.filter(F.col("items"), lambda i: of(i, "$.type") == "text"), lambda i: F.coalesce(of(i, "$.text"), F.lit(""))), "\n")
-    calls = F.transform(F.filter(F.col("items"), lambda i: of(i, "$.type") == "tool_use"), lambda i: F.struct(of(i, "$.id").alias("call_id"), of(i, "$.name").alias("name"), F.to_json(of(i, "$.input", "variant")).alias("input_json")))
-    results = F.transform(F.filter(F.col("items"), lambda i: of(i, "$.type") == "tool_result"), lambda i: F.struct(of(i, "$.tool_use_id").alias("call_id"), body(i).alias("content"), F.coalesce(of(i, "$.is_error", "boolean"), F.lit(False)).alias("is_error")))
+    texts, calls, results = _parts_of(F.col("items"))
     turns = spoken.select("source_path", "line_no", "ts", F.col("type").alias("role"), _get("v", "$.uuid").alias("uuid"), _get("v", "$.parentUuid").alias("parent_uuid"), F.coalesce(_get("v", "$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), items.alias("items"), F.when(items.isNull(), content).alias("plain"))
     turns = turns.withColumn("turn_index", F.row_number().over(Window.partitionBy("source_path").orderBy("line_no")) - 1)
     turns = turns.select("source_path", "turn_index", "uuid", "parent_uuid", "ts", "role", "is_sidechain", F.btrim(F.coalesce("plain", texts, F.lit("")), F.lit(" \t\n\r")).alias("text"), F.coalesce(calls, F.array()).alias("calls"), F.coalesce(results, F.array()).alias("results"))
     return _assemble(facts.withColumn("source_agent", F.lit("claude_code")), turns, bad)
 
 
+def spoken_turns(lines: DataFrame) -> DataFrame:
+    """(session_id, ts, uuid, role, project_path, text, calls, results) of the turns among lines (column line), whatever files they are in.
+
+    For logs that grow by new files: the session is named in each line, and its turns are in order by time, then uuid. Lines that
+    aren't JSON, or no turns, are left out.
+    """
+    v = lines.withColumn("v", F.try_parse_json("line"))
+    items = _get("v", "$.message.content", "array<variant>")
+    e = v.select(_get("v", "$.sessionId").alias("session_id"), F.try_to_timestamp(_get("v", "$.timestamp")).alias("ts"), _get("v", "$.uuid").alias("uuid"), _get("v", "$.type").alias("role"), _get("v", "$.cwd").alias("project_path"), items.alias("items"), F.when(items.isNull(), _get("v", "$.message.content")).alias("plain"))
+    texts, calls, results = _parts_of(F.col("items"))
+    text = F.btrim(F.coalesce("plain", texts, F.lit("")), F.lit(" \t\n\r"))
+    return e.filter(F.col("role").isin("user", "assistant") & F.col("uuid").isNotNull() & F.col("session_id").isNotNull()).select("session_id", "ts", "uuid", "role", "project_path", text.alias("text"), F.coalesce(calls, F.array()).alias("calls"), F.coalesce(results, F.array()).alias("results"))
+
+
 def _assemble(facts: DataFrame, turns: DataFrame, bad: DataFrame) -> Sessions:
     """The normal tables. Titles: the log's own, else of the first user turn that isn't noise, else of the first user turn."""
     user = turns.filter("role = 'user' and trim(text) <> ''").groupBy("source_path").agg(F.min_by("text", F.when(~t.is_noise(F.col("text")), F.col("turn_index"))).alias("a"), F.min_by("text", "turn_index").alias("b"))
@@ -196,6 +226,21 @@ def read_rollouts(spark: SparkSession, root: str, glob: str = "rollout-*.jsonl")
     return _assemble(facts, turns, bad)
 
 
+def recent_errors(spark: SparkSession, root: str, since: Column, glob: str = "*.jsonl", turns: int = 6, size: int = 800) -> DataFrame:
+    """(session_id, project_name, turn_index, error_text) of the logs that were changed at `since` or later: the newest error among each one's last turns.
+
+    Older files are left out by their time, before a line is read. Of a turn its last error counts; one that only tells of a slip in
+    the shell is passed over together with its turn.
+    """
+    got = _claude(_numbered(_text(spark, root, glob, True, since)))
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn_index")))
+    last = got.turns.select("session_id", "turn_index", back.alias("back")).filter(F.col("back") <= turns)
+    bad = got.results.filter("is_error").groupBy("session_id", "turn_index").agg(F.max_by("content", "result_seq").alias("content"))
+    own = bad.join(last, ["session_id", "turn_index"]).withColumn("error_text", F.left("content", F.lit(size))).filter(~t.is_shell_slip(F.col("error_text")))
+    newest = own.groupBy("session_id").agg(F.max("turn_index").alias("turn_index"), F.max_by("error_text", "turn_index").alias("error_text"))
+    return newest.join(got.sessions.select("session_id", F.coalesce("project_name", F.lit("")).alias("project_name")), "session_id").select("session_id", "project_name", "turn_index", "error_text")
+
+
 def kind_of(spark: SparkSession, root: str) -> str:
     """The agent whose logs lie under root, by the names of the files down to four levels; claude_code where none tells."""
     try:

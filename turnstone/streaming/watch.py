@@ -15,7 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 WATERMARK = "1 hour"
 #: Seconds between two alerts of one kind for one key: loops, predictions, recalled errors, primers.
 DEBOUNCE_SECONDS = 20 * 60
-PREDICT_SECONDS, RECALL_SECONDS, PRIMER_SECONDS = 30 * 60, 60 * 60, 24 * 60 * 60
+PREDICT_SECONDS, RECALL_SECONDS, PRIMER_SECONDS, REINDEX_SECONDS = 30 * 60, 60 * 60, 24 * 60 * 60, 90
+#: What each kind of alert waits for after the last one with its key.
+WAITS = {"loop": DEBOUNCE_SECONDS, "predict": PREDICT_SECONDS, "recall": RECALL_SECONDS, "primer": PRIMER_SECONDS, "reindex": REINDEX_SECONDS}
 #: What is known of a session is forgotten after so long without an event.
 IDLE_MS = 14 * 24 * 60 * 60 * 1000
 LAST, LEAST_TURNS, LEAST_ERRORS = 10, 12, 3
@@ -104,6 +106,34 @@ def debounced(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return keyed(events.select(key, "ts", "event_id"), key, step, f"{key} {kind}, ts timestamp, event_id bigint", "fired double")
 
 
+def waited(alerts: DataFrame, waits: dict[str, int] = WAITS) -> DataFrame:
+    """The alerts (kind, key, ts, event_id) of a stream that come as long after the last one let through of their kind and key as the
+    kind waits; kinds without a wait all pass. A key's state is a time, and is forgotten as soon as the wait is over."""
+
+    def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kind, key = own
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        times, wait = _seconds(rows["ts"]), waits.get(kind, 0)
+        at = _fire(times, [True] * len(times), state.get[0] if state.exists else float("-inf"), wait)
+        if at:
+            state.update((times[at[-1]],))
+        if state.exists:
+            state.setTimeoutTimestamp(max(int((state.get[0] + wait) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"kind": [kind] * len(at), "key": [key] * len(at), "ts": rows["ts"].iloc[at].tolist(), "event_id": rows["event_id"].iloc[at].tolist()})
+
+    keyed_rows = alerts.select("kind", "key", "ts", "event_id").withWatermark("ts", WATERMARK).groupBy("kind", "key")
+    return keyed_rows.applyInPandasWithState(run, "kind string, key string, ts timestamp, event_id bigint", "fired double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def alert_key(kind: Column, session_id: Column, tool: Column, content: Column) -> Column:
+    """What an alert is debounced by: its session, and the tool of a prediction or the first characters of a recalled error."""
+    session = session_id.cast("string")
+    return F.when(kind == "predict", F.concat_ws("|", session, F.lower(tool))).when(kind == "recall", recall_key(session_id, content)).otherwise(session)
+
+
 def recall_key(session_id, content):
     """What recalled errors are debounced by: the session and the first 120 characters of the error."""
     return F.concat_ws("|", session_id.cast("string"), F.left(content, F.lit(120)))
