@@ -10,9 +10,10 @@ set of a pair is the one that searches.
    equal, so sets with fewer keys in common with any others are left out, which leaves little but near copies.
 2. In each bucket, sets are checked against the one in its middle. A large group of near copies becomes one component that way,
    with one pair for each set.
-3. Sets whose segments still meet those of other components look for the rest. Tokens that no other component has count as
-   differences beforehand, which leaves out most copies that are too far from their group. Each segment's cost is counted: for
-   equality, the sets of its bucket; for a threshold of one, those that its one-deletion neighbourhood meets. The H + 1 cheapest units are
+3. Sets whose segments still meet those of other components look for the rest. Copies that are too far from their group have tokens
+   that few others have; they search by those, as segments of one token each, and nobody looks for them any more. In what is left,
+   tokens that no other component has count as differences beforehand, and each segment's cost is counted: for equality, the sets of
+   its bucket; for a threshold of one, those that its one-deletion neighbourhood meets. The H + 1 cheapest units are
    allocated, so segments that are common, as those of templates and shared passages, are passed over wherever others suffice.
 4. All candidates are verified from both whole sets; components come from alternating stars.
 
@@ -222,8 +223,8 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
     return materialize(met.join(enough, ["node", "own"], "left_semi"), "live")
 
 
-def _alone(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, u): how many tokens of each set of left (node, c) no other component has."""
+def _tokens(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, c, token) of the sets of left (node, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,9 +232,29 @@ def _alone(left: DataFrame, sets: DataFrame) -> DataFrame:
                 token = np.frombuffer(raw.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), node)), pa.array(np.full(len(token), c)), pa.array(token)], ["node", "c", "token"])
 
-    tokens = materialize(left.select("node", "c").distinct().join(sets, "node").select("node", "c", "found").mapInArrow(run, "node bigint, c bigint, token bigint"), "tokens")
-    alone = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low = high").select("token")
-    return tokens.join(alone, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    return left.select("node", "c").distinct().join(sets, "node").select("node", "c", "found").mapInArrow(run, "node bigint, c bigint, token bigint")
+
+
+def _by_tokens(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, u), and the sets (node) that few others can be similar to, with their candidates (a, b), a < b.
+
+    The finest partition of the universe has a segment for each token. A set misses so many of its tokens in a similar one at most, so
+    of any number over that a similar one has one. u counts those that no other component has; where the cheapest tokens, those and the
+    next rarest, are had by no more other sets than the set has tokens, its whole search goes by them.
+    """
+    tokens = materialize(_tokens(left, sets), "tokens")
+    held = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("holders"))
+    cost = F.when(F.col("low") == F.col("high"), 0).otherwise(F.col("holders"))
+    sizes = left.groupBy("key").agg(F.min("n").alias("least")).join(left.select("key", "node", "n"), "key").groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+    least = F.greatest(F.least("least", "n"), F.ceil(F.col("n") * percent / 100))
+    misses = F.floor(F.col("n") - percent * (F.col("n") + least) / (100 + percent) + 1e-9)
+    priced = materialize(tokens.join(held, "token").select("node", "c", "token", cost.alias("cost")), "priced")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("cost", "token"))
+    chosen = materialize(priced.withColumn("place", place).join(sizes.select("node", "n", misses.alias("misses")), "node").filter(F.col("place") <= F.col("misses") + 1), "chosen")
+    cheap = materialize(chosen.groupBy("node").agg(F.sum("cost").alias("cost"), F.max("n").alias("n")).filter("cost <= n").select("node"), "cheap")
+    asked = chosen.filter("cost > 0").join(cheap, "node", "left_semi").select("token", F.col("node").alias("x"), F.col("c").alias("cx"))
+    met = asked.join(tokens, "token").filter("c <> cx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return priced.filter("cost = 0").groupBy("node").agg(F.count(F.lit(1)).alias("u")), cheap, met
 
 
 def _to_the_middle(rows: DataFrame) -> DataFrame:
@@ -344,10 +365,11 @@ def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     near = materialize(_similar(materialize(_to_the_middle(live), "partners"), sets, percent), "near")
     left = live.drop("c").join(components(near), "node", "left").withColumn("c", F.coalesce("component", "node"))
     left = _live(materialize(left.drop("component"), "left"), percent)
-    left = left.drop("u", "asks").join(_alone(left, sets), "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    alone, cheap, few = _by_tokens(left, sets, percent)
+    left = left.drop("u", "asks").join(cheap, "node", "left_anti").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     left = materialize(left.withColumn("asks", F.col("own") & (2 * F.col("u") <= _apart(F.col("n"), F.col("n"), percent))), "left")
     left = _live(_live(left, percent), percent)
-    rest = materialize(_searched(left, nodes, sets, percent), "candidates")
+    rest = materialize(_searched(left, nodes, sets, percent).unionAll(few).distinct(), "candidates")
     label = components(near.unionAll(_similar(rest, sets, percent)))
     return marks.join(label, "node", "left").select("doc_id", "key", marks["node"], "n", F.coalesce("component", marks["node"]).alias("root"))
 
