@@ -3,6 +3,6 @@
 
 def catalogue() -> dict[str, tuple]:
     """name -> (query, SQL or None), over all modules of queries."""
-    from turnstone.plans import activities, logs, streams, texts, vectors
+    from turnstone.plans import activities, logs, streams, texts, vectors, watcher
 
-    return vectors.QUERIES | texts.QUERIES | activities.QUERIES | streams.QUERIES | logs.QUERIES
+    return vectors.QUERIES | texts.QUERIES | activities.QUERIES | streams.QUERIES | logs.QUERIES | watcher.QUERIES
