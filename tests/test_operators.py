@@ -20,7 +20,7 @@ def test_text_functions(spark):
     assert one(spark, t.redact(x), x="é" * 15000) == "é" * 15000
     across = "y" * 19990 + " ghp_" + "a1" * 20 + " end"
     assert one(spark, t.redact(x), x=across) == ("y" * 19990 + " «redacted:github-token» end")[:20000] + " …«truncated»"
-    assert one(spark, t.identifier_tokens(x), x="fooBar baz_qux a") == ["foobar", "foo", "bar", "baz_qux", "baz", "qux"]
+    assert one(spark, t.identifier_tokens(x), x="fooBar baz_qux a") == ["fooBar", "foo", "Bar", "baz_qux", "baz", "qux"]
     assert one(spark, t.dedup_key(x), x="  - I'll   use X ") == "i'll use x"
     assert one(spark, t.bucket_path(x), x="/a/b/c/d") == "/a/b/c/…"
     chunks = one(spark, t.chunks(x), x=" ".join(map(str, range(100))))
@@ -183,3 +183,42 @@ def test_store_additions(spark, tmp_path):
             store.check_inside(wrong, [str(tmp_path / "in")])
     with pytest.raises(ValueError):
         graph.sample(p, 501)
+
+
+def test_identifier_tokens_keep_their_case(spark):
+    x = F.col("x")
+    assert one(spark, t.identifier_tokens(x), x="getUserData refactor src/main.rs") == ["getUserData", "get", "User", "Data", "refactor", "src/main.rs"]
+    assert one(spark, t.identifier_tokens(x), x="getUser_fromCache 4G a b") == ["getUser_fromCache", "getUser", "get", "User", "fromCache", "from", "Cache", "4G"]
+    assert one(spark, t.identifier_tokens(x), x="low-power\u3000디버깅") == ["low-power", "low", "power", "디버깅"] and one(spark, t.identifier_tokens(x), x="") == []
+    assert one(spark, t.has_title_tokens(x, F.lit("userdata data")), x="getUserData") is False and one(spark, t.has_title_tokens(x, F.lit("USER data")), x="getUserData")
+
+
+def test_white_space_of_any_kind(spark):
+    x = F.col("x")
+    assert one(spark, t.dedup_key(x), x="\u3000- I\u00a0 USE\u2003X\u00a0") == "i use x"
+    assert one(spark, t.chunks(x), x="a\u00a0b\u3000c\u0085") == ["a b c"]
+
+
+def test_relative_times(spark):
+    d = lambda a, b="2024-01-31": one(spark, t.relative_group(F.to_date("x"), F.lit(b).cast("date")), x=a)
+    assert [d(a) for a in ("2024-01-31", "2024-02-03", "2024-01-30", "2024-01-25", "2024-01-24", "2024-01-03", "2024-01-02", "2024-01-01", "2023-12-31")] == ["Today", "Today", "Yesterday", "6 days ago", "Last week", "4w ago", "4w ago", "Jan", "Dec 23"]
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    ago = lambda a: one(spark, t.relative_ago(F.col("x").cast("timestamp"), now), x=a)
+    assert [ago(a) for a in ("2024-01-30 23:59:01", "2024-01-30 23:01:00", "2024-01-30 00:00:01", "2024-01-02 00:00:00", "2024-01-01 00:00:00", "2023-11-01 00:00:00", None)] == ["59s ago", "59m ago", "23h ago", "29d ago", "4w ago", "3mo ago", "—"]
+
+
+def test_session_entities(spark):
+    calls = spark.createDataFrame([("a", "Bash", '{"command": "sudo cargo build --manifest-path a/Cargo.toml"}'), ("a", "Grep", '{"pattern": "src/*.rs"}'), ("a", "WebFetch", '{"url": "https://example.org/a.html"}'), ("a", "Read", '{"file_path": 7}'), ("a", "Bash", '{"command": "./run.sh x"}'), ("a", "Bash", None), ("b", "Bash", "not json")], "session_id string, name string, input_json string")
+    turns = spark.createDataFrame([("a", "see größe.txt, a/Cargo.toml."), ("c", None)], "session_id string, text string")
+    got = {r.session_id: r.entities for r in enrich.session_entities(calls, turns).collect()}
+    assert got == {"a": ["a/Cargo.toml", "./run.sh", "cargo", "größe.txt", "src/*.rs"]}
+
+
+def test_dashboard_figures(spark):
+    days = spark.createDataFrame([(1, "2024-01-30 10:00:00"), (1, "2024-01-29 01:00:00"), (1, "2024-01-29 02:00:00"), (1, "2024-01-27 00:00:00"), (2, "2024-01-29 00:00:00"), (3, "2024-01-31 00:00:00"), (3, "2024-01-30 00:00:00")], "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {r.user_id: r.days for r in activity.current_streak(days, F.lit("2024-01-30").cast("date")).collect()} == {1: 2, 2: 0, 3: 1}
+    rows = [("2024-01-30 00:00:00", 3, 1, True, "a"), ("2024-01-24 00:00:00", 2, 0, False, None), ("2024-01-23 23:59:59", 9, 4, True, "a"), ("2024-01-31 00:00:00", 50, 50, True, "z"), (None, 50, 50, True, "z")]
+    s = spark.createDataFrame(rows, "start_ts string, turns int, tools int, has_errors boolean, project string").withColumn("start_ts", F.col("start_ts").cast("timestamp"))
+    got = {r.metric: (r.current, r.previous) for r in activity.week_stats(s, F.lit("2024-01-31").cast("timestamp")).collect()}
+    assert got == {"sessions": (2, 1), "turns": (5, 9), "tools": (1, 4), "error_sessions": (1, 1), "projects": (2, 1)}
+    assert tuple(activity.tiles(s).first()) == (5, 114, 105, 4)

@@ -96,6 +96,32 @@ def streaks(events: DataFrame) -> DataFrame:
     return days.withColumn("island", island).groupBy("user_id", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days")).drop("island")
 
 
+def current_streak(events: DataFrame, today: Column) -> DataFrame:
+    """(user_id, days): how many days on end up to and with today each user was active; 0 for one who wasn't today. events: user_id, ts."""
+    back = F.datediff(today, F.to_date("ts"))
+    days = events.select("user_id", back.alias("back")).filter("back >= 0").distinct()
+    # The n-th day back is part of the streak if n days lie before it in the list, all of them active.
+    placed = days.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("back")) - 1)
+    found = placed.groupBy("user_id").agg(F.count_if(F.col("n") == F.col("back")).alias("days"))
+    return events.select("user_id").distinct().join(found, "user_id", "left").select("user_id", F.coalesce("days", F.lit(0)).alias("days"))
+
+
+def tiles(sessions: DataFrame) -> DataFrame:
+    """One row: sessions, turns, tools and distinct active days. sessions: start_ts, turns, tools."""
+    return sessions.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), F.coalesce(F.sum("tools"), F.lit(0)).alias("tools"), F.countDistinct(F.to_date("start_ts")).alias("active_days"))
+
+
+def week_stats(sessions: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """(metric, current, previous): sessions, turns, tool calls, sessions with errors and distinct projects of those that start in the
+    days before as_of, and in as many before. sessions: start_ts, turns, tools, has_errors, project. An unknown project is one too."""
+    span = F.expr(f"INTERVAL {days} DAYS")
+    week = F.when((F.col("start_ts") >= as_of - span) & (F.col("start_ts") < as_of), "current").when((F.col("start_ts") >= as_of - span - span) & (F.col("start_ts") < as_of - span), "previous")
+    own = sessions.withColumn("week", week)
+    facts = {"sessions": lambda w: F.count_if(w), "turns": lambda w: F.sum(F.when(w, F.col("turns")).otherwise(0)), "tools": lambda w: F.sum(F.when(w, F.col("tools")).otherwise(0)), "error_sessions": lambda w: F.count_if(w & F.col("has_errors")), "projects": lambda w: F.countDistinct(F.when(w, F.coalesce(F.col("project").cast("string"), F.lit("\0"))))}
+    row = own.agg(*[F.coalesce(f(F.col("week") == w), F.lit(0)).cast("bigint").alias(f"{k}_{w}") for k, f in facts.items() for w in ("current", "previous")])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"{k}_current").alias("current"), F.col(f"{k}_previous").alias("previous")) for k in facts])))
+
+
 def heatmap(days: DataFrame, first: str, last: str) -> DataFrame:
     """(day, n, level) for each day from first to last; levels 1 to 4 cut at the .25, .55 and .85 order statistics of the active days, 0 without activity."""
     spine = days.sparkSession.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS day")

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnstone.functions import text as t
+
+#: The keys of a tool's input that may name a path or a pattern.
+ENTITY_KEYS = ["file_path", "path", "notebook_path", "pattern"]
 #: Tool families, and the words that tell an outcome.
 SHELL, EDIT, READ = ["Bash"], ["Edit", "MultiEdit", "Write"], ["Read"]
 POSITIVE = ["resolved", "fixed", "works", "done", "success", "complete"]
@@ -71,10 +75,37 @@ def arc(calls: DataFrame, results: DataFrame, shell: list[str] = SHELL, edit: li
     return facts.select("session_id", F.when(F.coalesce(between, F.lit(False)), "debug-fix").when(F.col("first_edit") < F.col("last_good"), "fix").when((F.col("edits") * 2 >= F.col("n")) & (F.col("shells") == 0), "impl").when((F.col("reads") * 2 >= F.col("n")) & (F.col("edits") == 0), "explore").otherwise("mixed").alias("arc"))
 
 
+def _paths_in(text: Column) -> Column:
+    """The path-like tokens of a text."""
+    return F.regexp_extract_all(text, F.lit(rf"([{t.WORD}\-./]+\.[{t.WORD}]{{1,5}})"), F.lit(1))
+
+
+def _as_paths(found: DataFrame) -> DataFrame:
+    """Tokens e without punctuation behind them, if they are long enough and have a dot or a slash."""
+    return found.select("session_id", F.regexp_replace("e", r"[.,)\]:;]+$", "").alias("e")).filter((F.octet_length("e") >= 3) & F.rlike("e", F.lit("[./]")))
+
+
 def entities(texts: DataFrame, most: int = 10) -> DataFrame:
     """(session_id, entities): the path-like tokens of a session's texts, the most frequent first, ties by name."""
-    found = texts.select("session_id", F.explode(F.regexp_extract_all("text", F.lit(r"([\w\-./]+\.\w{1,5})"), F.lit(1))).alias("e"))
-    kept = found.select("session_id", F.regexp_replace("e", r"[.,)\]:;]+$", "").alias("e")).filter((F.octet_length("e") >= 3) & F.rlike("e", F.lit("[./]")))
+    return _most_frequent(_as_paths(texts.select("session_id", F.explode(_paths_in(F.col("text"))).alias("e"))), most)
+
+
+def session_entities(calls: DataFrame, turns: DataFrame, most: int = 10) -> DataFrame:
+    """(session_id, entities): what a session is about, the most frequent first, ties by name.
+
+    Of its calls count the paths and patterns of their inputs, and of shell commands the program and the path-like tokens; of its turns
+    the path-like tokens of their texts. Urls don't count.
+    """
+    v = F.try_parse_json("input_json")
+    keys = F.array(*[t.payload_get(F.col("v"), k) for k in ENTITY_KEYS])
+    parsed = calls.select("session_id", "name", v.alias("v")).select("session_id", keys.alias("given"), F.when(F.col("name").isin(SHELL), t.payload_get(F.col("v"), "command")).alias("command"))
+    named = parsed.select("session_id", F.explode(F.concat(F.array_compact("given"), F.coalesce(_paths_in(F.col("command")), F.array().cast("array<string>")))).alias("e"))
+    said = turns.select("session_id", F.explode(_paths_in(F.coalesce("text", F.lit("")))).alias("e"))
+    programs = parsed.select("session_id", shell_word(F.col("command")).alias("e")).filter("e is not null")
+    return _most_frequent(_as_paths(named.unionAll(said)).unionAll(programs), most)
+
+
+def _most_frequent(kept: DataFrame, most: int) -> DataFrame:
     counted = kept.groupBy("session_id", "e").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("session_id").orderBy(F.desc("n"), "e")
     top = counted.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
@@ -83,7 +114,7 @@ def entities(texts: DataFrame, most: int = 10) -> DataFrame:
 
 def shell_word(command: Column) -> Column:
     """A shell command's program: the first word after sudo, env or time; null for a path or a single character."""
-    words = F.filter(F.split(command, r"\s+"), lambda w: w != "")
+    words = t.words_of(command)
     first = F.when(F.get(words, F.lit(0)).isin("sudo", "env", "time"), F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
     return F.when((F.octet_length(first) >= 2) & ~F.rlike(first, F.lit(r"[/\\]")), first)
 

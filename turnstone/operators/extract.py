@@ -66,9 +66,8 @@ def enrichment(sessions: DataFrame, turns: DataFrame, calls: DataFrame, results:
     ordered = calls.withColumn("seq", F.col("turn_index").cast("bigint") * (1 << 20) + F.col("call_seq"))
     given = results.withColumn("seq", F.col("turn_index").cast("bigint") * (1 << 20) + F.col("result_seq"))
     ok = enrich.last_shell_ok(ordered, given)
-    named = calls.select("session_id", F.explode(F.concat(t.call_paths(F.col("input_json")), F.array(F.coalesce(F.get_json_object("input_json", "$.command"), F.lit(""))))).alias("text")).unionAll(turns.select("session_id", "text"))
     first = turns.filter("role = 'user'").groupBy("session_id").agg(F.min_by("text", "turn_index").alias("said"))
-    out = sessions.join(enrich.intent(ordered), "session_id", "left").join(enrich.outcome(turns, ok), "session_id", "left").join(enrich.arc(ordered, given), "session_id", "left").join(enrich.entities(named), "session_id", "left").join(first, "session_id", "left")
+    out = sessions.join(enrich.intent(ordered), "session_id", "left").join(enrich.outcome(turns, ok), "session_id", "left").join(enrich.arc(ordered, given), "session_id", "left").join(enrich.session_entities(calls, turns), "session_id", "left").join(first, "session_id", "left")
     topic = enrich.topic(F.col("title"), F.coalesce("project_name", F.lit("session")), F.coalesce("said", F.lit("")))
     return out.select("session_id", F.coalesce("intent", F.lit("mixed")).alias("intent"), F.coalesce("outcome", F.lit("partial")).alias("outcome"), F.coalesce("arc", F.lit("mixed")).alias("arc"), topic.alias("topic"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 

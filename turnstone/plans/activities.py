@@ -60,12 +60,31 @@ def kpi_delta(spark, d):
     return a.kpi(_events(spark, d), _now(), 14)
 
 
+def _visits(spark, d):
+    """A user's day as a session."""
+    e = _events(spark, d)
+    by = e.groupBy("user_id", F.to_date("ts").alias("day"))
+    return by.agg(F.min("ts").alias("start_ts"), F.count(F.lit(1)).alias("turns"), F.count_if(F.col("event_type") != "view").alias("tools"), F.max("is_error").alias("has_errors")).withColumn("project", F.nullif(F.col("user_id") % 40, F.lit(0)))
+
+
 def week_over_week(spark, d):
-    return a.kpi(_events(spark, d), _now(), 7)
+    return a.week_stats(_visits(spark, d), _now())
+
+
+def kpi_tiles(spark, d):
+    return a.tiles(a.in_window(_visits(spark, d), _now(), 14))
+
+
+def relative_times(spark, d):
+    """How long before the clock each user's first event was, in words, and under which group it stands."""
+    first = _events(spark, d).groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    clock = F.expr("TIMESTAMP'2024-01-30 23:58:00'")
+    return first.select("user_id", t.relative_ago(F.col("first"), clock).alias("first_ago"), t.relative_ago(F.col("last"), clock).alias("last_ago"), t.relative_group(F.to_date("first"), F.to_date(_now())).alias("first_group"), t.relative_group(F.add_months(F.to_date("first"), -2), F.to_date(_now())).alias("older_group"))
 
 
 def streak(spark, d):
-    return a.streaks(_events(spark, d)).filter("days >= 3")
+    """Days on end up to the last day of the table."""
+    return a.current_streak(_events(spark, d), F.expr("DATE'2024-01-30'"))
 
 
 def heatmap_levels(spark, d):
@@ -223,8 +242,9 @@ def agent_filter(spark, d):
 
 
 def title_tokens(spark, d):
-    """Pages whose url has both words among its identifier tokens."""
-    return table(spark, d, "pages").filter(t.has_title_tokens(F.coalesce("url", F.lit("")), F.lit("HTTPS example"))).select("page_id")
+    """Documents whose first line, as a title, has both words among its identifier tokens, whatever their case."""
+    title = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
+    return table(spark, d, "documents").filter(t.has_title_tokens(title, F.lit("OF The"))).select("doc_id")
 
 
 _EV = "SELECT ts, user_id, event_id, event_type, event_type = 'error' AS is_error FROM events"
@@ -239,6 +259,9 @@ def _kpi(days: int) -> str:
     return f"WITH e AS ({_EV}), m AS ({one('events', 'count(*)')} UNION ALL {one('users', 'count(DISTINCT user_id)')} UNION ALL {one('errors', 'count(*)', ' AND is_error')} UNION ALL {one('active_days', 'count(DISTINCT ts::DATE)')}) SELECT *, current - previous AS diff, CASE WHEN previous > 0 THEN round(100.0 * (current - previous) / previous, 0)::BIGINT END AS pct FROM m"
 
 
+_VISITS = "WITH v AS (SELECT user_id, min(ts) AS start_ts, count(*) AS turns, count(*) FILTER (event_type <> 'view') AS tools, bool_or(event_type = 'error') AS has_errors, coalesce(nullif(user_id % 40, 0)::VARCHAR, 'none') AS project FROM events GROUP BY user_id, ts::DATE)"
+_AGO = "CASE WHEN {0} < 60 THEN {0} || 's ago' WHEN {0} < 3600 THEN {0} // 60 || 'm ago' WHEN {0} < 86400 THEN {0} // 3600 || 'h ago' WHEN {0} // 86400 < 30 THEN {0} // 86400 || 'd ago' WHEN {0} // 86400 // 7 < 12 THEN {0} // 86400 // 7 || 'w ago' ELSE {0} // 86400 // 30 || 'mo ago' END"
+_GROUP = "CASE WHEN {0} <= 0 THEN 'Today' WHEN {0} = 1 THEN 'Yesterday' WHEN {0} < 7 THEN {0} || ' days ago' WHEN {0} < 14 THEN 'Last week' WHEN {0} < 30 THEN ({0} // 7) || 'w ago' WHEN year({1}) = 2024 THEN strftime({1}, '%b') ELSE strftime({1}, '%b %y') END"
 _P = "p AS (SELECT vec_id AS id, label::VARCHAR AS project FROM embeddings)"
 QUERIES: dict[str, tuple] = {
     "stuck_sessions": (stuck_sessions, f"WITH {_CALLS}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM c) SELECT session_id, count(*) AS turns, count(*) FILTER (is_error AND back <= 10) AS recent_errors FROM b GROUP BY ALL HAVING count(*) >= 12 AND count(*) FILTER (is_error AND back <= 10) >= 3"),
@@ -249,19 +272,21 @@ QUERIES: dict[str, tuple] = {
     "agent_split": (agent_split, f"WITH {_SESS}, g AS (SELECT CASE WHEN session_id % 3 = 0 THEN 'codex' ELSE 'claude_code' END AS agent, intent, count(*) AS n FROM s GROUP BY ALL) SELECT agent, sum(n)::BIGINT AS sessions, round(sum(n) / (SELECT sum(n) FROM g), 6) AS share, arg_min(intent, struct_pack(a := -n, b := intent)) AS dominant_intent FROM g GROUP BY ALL"),
     "repeated_lines": (repeated_lines, "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), k AS (SELECT doc_id, left(trim(regexp_replace(lower(regexp_replace(x, '^[-*+•·→↪↵#>\\s]+', '')), '\\s+', ' ', 'g'), ' '), 120) AS key FROM l) SELECT key, count(DISTINCT doc_id) AS sessions, min(doc_id) AS example FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2 ORDER BY sessions DESC, key LIMIT 6"),
     "kpi_delta": (kpi_delta, _kpi(14)),
-    "week_over_week": (week_over_week, _kpi(7)),
-    "streak": (streak, "WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS g FROM d) SELECT user_id, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM i GROUP BY user_id, g HAVING count(*) >= 3"),
+    "week_over_week": (week_over_week, f"{_VISITS}, x AS (SELECT *, CASE WHEN start_ts >= {AS_OF_TS} - INTERVAL 7 DAYS AND start_ts < {AS_OF_TS} THEN 1 WHEN start_ts >= {AS_OF_TS} - INTERVAL 14 DAYS AND start_ts < {AS_OF_TS} - INTERVAL 7 DAYS THEN 2 END AS w FROM v) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, coalesce({e.format(1)}, 0)::BIGINT AS current, coalesce({e.format(2)}, 0)::BIGINT AS previous FROM x" for m, e in (("sessions", "count(*) FILTER (w = {})"), ("turns", "sum(turns) FILTER (w = {})"), ("tools", "sum(tools) FILTER (w = {})"), ("error_sessions", "count(*) FILTER (w = {} AND has_errors)"), ("projects", "count(DISTINCT project) FILTER (w = {})")))),
+    "kpi_tiles": (kpi_tiles, f"{_VISITS} SELECT count(*) AS sessions, sum(turns)::BIGINT AS turns, sum(tools)::BIGINT AS tools, count(DISTINCT start_ts::DATE) AS active_days FROM v WHERE start_ts >= {AS_OF_TS} - INTERVAL 14 DAYS"),
+    "relative_times": (relative_times, f"WITH f AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL), s AS (SELECT *, (epoch_us(TIMESTAMP '2024-01-30 23:58:00') - epoch_us(a)) // 1000000 AS sa, floor((epoch_us(TIMESTAMP '2024-01-30 23:58:00') - epoch_us(b)) / 1000000)::BIGINT AS sb, date_diff('day', a::DATE, DATE '2024-01-31') AS da, (a::DATE - INTERVAL 2 MONTHS)::DATE AS o FROM f) SELECT user_id, {_AGO.format('sa')} AS first_ago, {_AGO.format('sb')} AS last_ago, {_GROUP.format('da', 'a')} AS first_group, {_GROUP.format("date_diff('day', o, DATE '2024-01-31')", 'o')} AS older_group FROM s"),
+    "streak": (streak, "WITH RECURSIVE d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), r AS (SELECT user_id, day FROM d WHERE day = DATE '2024-01-30' UNION ALL SELECT d.user_id, d.day FROM r JOIN d ON d.user_id = r.user_id AND d.day = r.day - 1) SELECT u.user_id, count(r.day) AS days FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN r ON r.user_id = u.user_id GROUP BY u.user_id"),
     "heatmap_levels": (heatmap_levels, "WITH d AS (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-04', INTERVAL 1 DAY))::DATE AS day), c AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT d.day, coalesce(n, 0) AS n FROM d LEFT JOIN c ON d.day = c.day), s AS (SELECT list_sort(list(n)) AS s FROM f WHERE n > 0) SELECT day, n, CASE WHEN n = 0 THEN 0 WHEN n <= s[floor(len(s) * 0.25)::INT + 1] THEN 1 WHEN n <= s[floor(len(s) * 0.55)::INT + 1] THEN 2 WHEN n <= s[floor(len(s) * 0.85)::INT + 1] THEN 3 ELSE 4 END AS level FROM f, s"),
     "project_bars_tail": (project_bars_tail, "WITH g AS (SELECT CASE WHEN trim(coalesce(source, '')) = '' THEN '(unknown)' ELSE source END AS name, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS k FROM g) SELECT name, n FROM r WHERE k <= 8 UNION ALL SELECT count(*) || ' other projects', sum(n)::BIGINT FROM r WHERE k > 8 HAVING count(*) > 0"),
     "top_sessions": (top_sessions, f"WITH {_SESS} SELECT session_id, turns FROM s ORDER BY turns DESC, session_id LIMIT 8"),
     "recent_sessions": (recent_sessions, f"WITH {_SESS} SELECT count(*) AS sessions, sum(turns)::BIGINT AS turns FROM s WHERE start_ts >= {AS_OF_TS} - INTERVAL 30 DAYS"),
-    "time_rail": (time_rail, f"WITH {_SESS}, g AS (SELECT *, date_diff('day', start_ts::DATE, DATE '2024-01-31') AS d FROM s), l AS (SELECT *, CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN d || ' days ago' WHEN d < 14 THEN 'Last week' WHEN d < 31 THEN (d // 7) || ' weeks ago' ELSE strftime(start_ts, '%Y-%m') END AS label FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY start_ts DESC, session_id) AS k FROM l) SELECT session_id, label FROM r WHERE k = 1"),
+    "time_rail": (time_rail, f"WITH {_SESS}, g AS (SELECT *, date_diff('day', start_ts::DATE, DATE '2024-01-31') AS d FROM s), l AS (SELECT *, CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN d || ' days ago' WHEN d < 14 THEN 'Last week' WHEN d < 30 THEN (d // 7) || 'w ago' WHEN year(start_ts) = 2024 THEN strftime(start_ts, '%b') ELSE strftime(start_ts, '%b %y') END AS label FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY start_ts DESC, session_id) AS k FROM l) SELECT session_id, label FROM r WHERE k = 1"),
     "tool_cooccurrence": (tool_cooccurrence, "WITH u AS (SELECT DISTINCT user_id, event_type AS t FROM events WHERE event_type IS NOT NULL) SELECT x.t AS a, y.t AS b, count(*) AS sessions FROM u x JOIN u y ON x.user_id = y.user_id AND x.t < y.t GROUP BY ALL"),
     "error_catalogue": (error_catalogue, "SELECT left(coalesce(props, ''), 12) AS prefix, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, prefix LIMIT 20"),
     "pivot_turn": (pivot_turn, "WITH w AS (SELECT conv_id, turn, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+')) AS w FROM conversations), an AS (SELECT DISTINCT w FROM w WHERE turn = 0 AND strlen(w) > 4), h AS (SELECT conv_id, turn, count(*) AS n FROM w WHERE w IN (SELECT w FROM an) GROUP BY ALL), b AS (SELECT conv_id, arg_max(turn, struct_pack(a := n, b := -turn)) AS best_at, max(n) AS n FROM h GROUP BY ALL), z AS (SELECT conv_id, count(*) AS t FROM conversations GROUP BY ALL) SELECT z.conv_id AS session_id, (CASE WHEN coalesce(n, 0) < 2 THEN least(floor(2 * t / 3), t - 1) ELSE best_at END)::BIGINT AS \"pivot\" FROM z LEFT JOIN b ON z.conv_id = b.conv_id"),
     "predict_next": (predict_next, f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, q WHERE vec_id <> query_id), n AS (SELECT query_id, id AS session_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 8), {_CALLS}, m AS (SELECT session_id, count(*) // 2 AS mid FROM c GROUP BY ALL), u AS (SELECT n.query_id, c.name, n.score, n.session_id FROM n JOIN m ON n.session_id = m.session_id JOIN c ON c.session_id = n.session_id AND c.seq > mid AND c.seq <= mid + 3), g AS (SELECT query_id, name, count(*) AS n, round(avg(score), 6) AS confidence, arg_max(session_id, struct_pack(a := score, b := -session_id)) AS example FROM u GROUP BY ALL), f AS (SELECT *, sum(n) OVER (PARTITION BY query_id) AS total FROM g), o AS (SELECT query_id, name, round(n / total, 6) AS freq, confidence, round(0.55 * n / total + 0.45 * confidence, 5) AS score, example FROM f) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank FROM o) WHERE rank <= 6"),
     "agent_filter": (agent_filter, f"WITH {_SESS}, g AS (SELECT CASE session_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude_code' END AS agent FROM s), c AS (SELECT unnest(['both', 'codex', 'claude_code']) AS choice) SELECT choice, agent, count(*) AS n FROM c, g WHERE choice = 'both' OR agent IS NULL OR agent = choice GROUP BY ALL"),
-    "title_tokens": (title_tokens, "SELECT page_id FROM pages WHERE list_contains(list_transform(string_split_regex(coalesce(url, ''), '[^\\pL\\pN]+'), lambda x: lower(x)), 'https') AND list_contains(list_transform(string_split_regex(coalesce(url, ''), '[^\\pL\\pN]+'), lambda x: lower(x)), 'example')"),
+    "title_tokens": (title_tokens, f"WITH w AS (SELECT doc_id, unnest(string_split_regex(string_split(coalesce(text, ''), chr(10))[1], '[{t.WHITE}]+')) AS w FROM documents), p AS (SELECT doc_id, unnest(list_concat([w], string_split_regex(w, '[_-]'))) AS p FROM w), c AS (SELECT doc_id, unnest(list_concat([p], string_split(regexp_replace(p, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), ' '))) AS p FROM p) SELECT doc_id FROM c WHERE length(p) > 1 GROUP BY doc_id HAVING bool_or(lower(p) = 'of') AND bool_or(lower(p) = 'the')"),
     "index_batches": (index_batches, f"WITH {_P}, b AS (SELECT id // 32 AS batch, project = '3' AND id % 11 = 0 AS bad FROM p) SELECT batch, CASE WHEN bool_or(bad) THEN 0 ELSE count(*) END AS indexed, CASE WHEN bool_or(bad) THEN count(*) ELSE 0 END AS errors FROM b GROUP BY ALL"),
     "session_by_point": (session_by_point, "WITH s AS (SELECT DISTINCT conv_id AS session_id FROM conversations WHERE conv_id % 50 = 0), h AS (SELECT session_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || session_id::VARCHAR::BLOB) AS r FROM s) SELECT session_id, substr(r, 1, 8) || '-' || substr(r, 9, 4) || '-5' || substr(r, 14, 3) || '-' || substr('89ab', ('0x' || substr(r, 17, 1))::INT % 4 + 1, 1) || substr(r, 18, 3) || '-' || substr(r, 21, 12) AS point_id FROM h"),
     "project_sessions": (project_sessions, "SELECT vec_id AS session_id, '/srv/p1' AS project_path FROM embeddings WHERE label = 1"),

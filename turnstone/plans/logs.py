@@ -145,8 +145,8 @@ c AS (SELECT *, turn_index AS seq FROM u WHERE calls),
 f AS (SELECT conv, count(*) AS n, count(*) FILTER (name = 'Edit') AS e, count(*) FILTER (name = 'Read') AS r, count(*) FILTER (name = 'Bash') AS b, min(seq) FILTER (name = 'Bash' AND bad) AS fb, max(seq) FILTER (name = 'Bash' AND NOT bad) AS lg, min(seq) FILTER (name = 'Edit') AS fe, arg_max(NOT bad, seq) FILTER (name = 'Bash') AS ok FROM c GROUP BY ALL),
 g AS (SELECT f.*, EXISTS (SELECT 1 FROM c WHERE c.conv = f.conv AND c.name = 'Edit' AND c.seq > fb AND c.seq < lg) AS d FROM f),
 a AS (SELECT conv, lower(arg_max(x, n)) AS l FROM u WHERE role = 'assistant' GROUP BY ALL), w AS (SELECT conv, {_LASTPOS(enrich.POSITIVE)} AS good, {_LASTPOS(enrich.NEGATIVE)} AS poor FROM a),
-t AS (SELECT conv, unnest(regexp_extract_all(v, '([\\w\\-./]+\\.\\w{{1,5}})', 1)) AS v FROM (SELECT conv, arg AS v FROM c UNION ALL SELECT conv, x FROM u)),
-h AS (SELECT conv, v, count(*) AS n FROM (SELECT conv, regexp_replace(v, '[.,)\\]:;]+$', '') AS v FROM t) WHERE strlen(v) >= 3 AND regexp_matches(v, '[./]') GROUP BY ALL),
+t AS (SELECT conv, unnest(regexp_extract_all(v, '([{t.WORD}\\-./]+\\.[{t.WORD}]{{1,5}})', 1)) AS v FROM (SELECT conv, arg AS v FROM c WHERE name = 'Bash' UNION ALL SELECT conv, x FROM u) UNION ALL SELECT conv, arg FROM c WHERE name <> 'Bash'),
+h AS (SELECT conv, v, count(*) AS n FROM (SELECT conv, v FROM (SELECT conv, regexp_replace(v, '[.,)\\]:;]+$', '') AS v FROM t) WHERE strlen(v) >= 3 AND regexp_matches(v, '[./]') UNION ALL SELECT conv, 'make' FROM c WHERE name = 'Bash') GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY n DESC, v) AS k FROM h), z AS (SELECT conv, string_agg(v, ' ' ORDER BY k) AS entities FROM o WHERE k <= 10 GROUP BY ALL)
 SELECT 's' || s.conv AS session_id, CASE WHEN b > 0.4 * g.n THEN 'build' WHEN e > 0.4 * g.n THEN 'impl' WHEN r > 0.4 * g.n THEN 'debug' ELSE 'mixed' END AS intent,
   CASE WHEN ok AND good IS NOT NULL THEN 'resolved' WHEN good > 0 AND good > poor THEN 'resolved' WHEN poor > 0 THEN 'unresolved' ELSE 'partial' END AS outcome,

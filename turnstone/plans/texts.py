@@ -26,12 +26,19 @@ def fnv_postings(spark, d):
     return counted.groupBy("session_id", t.fnv1a31(F.col("token")).alias("token_id")).agg(F.sum("n").alias("tf"))
 
 
+def _wide():
+    """Texts with other kinds of white space around a word."""
+    return F.replace(_txt(), F.lit("and"), F.lit("\u00a0and\u3000"))
+
+
 def chunk_windows(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(t.chunks(_txt(), most=None)).alias("chunk_idx", "chunk")).select("doc_id", "chunk_idx", F.md5(F.encode("chunk", "UTF-8")).alias("chunk_md5"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(t.chunks(_wide(), most=None)).alias("chunk_idx", "chunk")).select("doc_id", "chunk_idx", F.md5(F.encode("chunk", "UTF-8")).alias("chunk_md5"))
 
 
 def identifier_tokens(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(t.identifier_tokens(F.coalesce("url", F.lit(""))), " ").alias("tokens"))
+    """Of names in several styles, and of each document's first line."""
+    name = F.concat(F.lit("get"), F.initcap("lang"), F.lit("Data_fromCache "), "source", F.lit("-"), "lang", F.lit("/x.rs "), F.element_at(F.split(_txt(), "\n"), 1))
+    return table(spark, d, "documents").select("doc_id", F.array_join(t.identifier_tokens(name), " ").alias("tokens"))
 
 
 def synth_title(spark, d):
@@ -51,7 +58,7 @@ def redact(spark, d):
 
 def clip_dedupe_key(spark, d):
     """Openings of documents that share a dedup key."""
-    k = table(spark, d, "documents").select(t.dedup_key(_txt()).alias("key"), "doc_id")
+    k = table(spark, d, "documents").select(t.dedup_key(_wide()).alias("key"), "doc_id")
     return k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select(t.truncate(F.col("key"), 40).alias("short_key"), "n", "first_id")
 
 
@@ -147,8 +154,9 @@ def turn_lookup(spark, d):
 _T = "coalesce(text, '')"
 _TOK = f"list_filter(string_split_regex(lower({_T}), '[^\\pL\\pN]+'), lambda t: strlen(t) >= 2)"
 _FNV = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, strlen(token) + 1), lambda i: ('0x' || substr(hex(token), 2 * i - 1, 2))::INTEGER::HUGEINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 2147483648"
-_SQ = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
-_W = f"list_filter(string_split_regex({_T}, '\\s+'), lambda w: w <> '')"
+_SQ = lambda x: f"trim(regexp_replace({x}, '[{t.WHITE}]+', ' ', 'g'), ' ')"
+_WIDE = f"replace({_T}, 'and', chr(160) || 'and' || chr(12288))"
+_W = f"list_filter(string_split_regex({_WIDE}, '[{t.WHITE}]+'), lambda w: w <> '')"
 _LASTPOS = lambda words: "greatest(" + ", ".join(f"CASE WHEN contains(l, '{w}') THEN length(l) - strpos(reverse(l), '{w[::-1]}') - {len(w)} + 2 ELSE 0 END" for w in words) + ")"
 
 
@@ -181,11 +189,11 @@ QUERIES: dict[str, tuple] = {
     "tokenize_counts": (tokenize_counts, f"SELECT doc_id, len({_TOK})::INT AS tokens, len(list_distinct({_TOK}))::INT AS distinct_tokens FROM documents"),
     "fnv_postings": (fnv_postings, f"WITH c AS (SELECT session_id, token, count(*) AS n FROM (SELECT conv_id AS session_id, unnest({_TOK}) AS token FROM conversations) GROUP BY ALL) SELECT session_id, ({_FNV})::BIGINT AS token_id, sum(n)::BIGINT AS tf FROM c GROUP BY 1, 2"),
     "chunk_windows": (chunk_windows, f"WITH w AS (SELECT doc_id, {_W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, ceil((len(w) - 32) / 24.0) + 1) END::BIGINT)) AS i FROM w) SELECT doc_id, i::INT AS chunk_idx, md5(array_to_string(w[i * 24 + 1 : i * 24 + 32], ' ')) AS chunk_md5 FROM c"),
-    "identifier_tokens": (identifier_tokens, "WITH w AS (SELECT page_id, list_filter(string_split_regex(coalesce(url, ''), '[^\\pL\\pN_-]+'), lambda x: x <> '') AS w FROM pages), c AS (SELECT page_id, list_filter(list_transform(flatten(list_transform(w, lambda x: list_concat([x], string_split_regex(x, '[_-]+'), flatten(list_transform(string_split_regex(x, '[_-]+'), lambda y: string_split(regexp_replace(y, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), ' ')))))), lambda y: lower(y)), lambda y: length(y) > 1) AS c FROM w) SELECT page_id, coalesce(array_to_string(list_filter(c, lambda y, i: list_position(c, y) = i), ' '), '') AS tokens FROM c"),
+    "identifier_tokens": (identifier_tokens, f"WITH n AS (SELECT doc_id, 'get' || upper(left(lang, 1)) || substr(lang, 2) || 'Data_fromCache ' || source || '-' || lang || '/x.rs ' || string_split({_T}, chr(10))[1] AS n FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(n, '[{t.WHITE}]+'), lambda x: x <> '') AS w FROM n), c AS (SELECT doc_id, list_filter(flatten(list_transform(w, lambda x: list_concat([x], flatten(list_transform(string_split_regex(x, '[_-]'), lambda y: list_concat([y], string_split(regexp_replace(y, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), ' '))))))), lambda y: length(y) > 1) AS c FROM w) SELECT doc_id, array_to_string(list_filter(c, lambda y, i: list_position(c, y) = i), ' ') AS tokens FROM c"),
     "synth_title": (synth_title, f"WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND trim(text, ' ') <> ''), f AS (SELECT conv_id, arg_min(text, turn) AS x FROM u GROUP BY ALL) SELECT conv_id AS session_id, left({_SQ('''regexp_replace(x, '</?[a-z][a-z0-9-]*[^>]*>', ' ', 'g')''')}, 60) AS title FROM f"),
     "strip_tags": (strip_tags, f"SELECT page_id, md5({_SQ('''regexp_replace(coalesce(html, ''), '</?[a-z][a-z0-9-]*[^>]*>', ' ', 'g')''')}) AS plain_md5 FROM pages"),
     "redact": (redact, f"SELECT doc_id, md5({_redact_sql(_T, None)}) AS redacted_md5 FROM documents"),
-    "clip_dedupe_key": (clip_dedupe_key, f"WITH k AS (SELECT doc_id, left({_SQ(f'''lower(regexp_replace({_T}, '^[-*+•·→↪↵#>\\s]+', ''))''')}, 120) AS k FROM documents), g AS (SELECT k, count(*) AS n, min(doc_id) AS first_id FROM k GROUP BY ALL HAVING count(*) > 1) SELECT CASE WHEN length(k) > 40 THEN left(k, 39) || '…' ELSE k END AS short_key, n, first_id FROM g"),
+    "clip_dedupe_key": (clip_dedupe_key, f"WITH k AS (SELECT doc_id, left({_SQ(f'''lower(regexp_replace({_WIDE}, '^[-*+•·→↪↵#>{t.WHITE}]+', ''))''')}, 120) AS k FROM documents), g AS (SELECT k, count(*) AS n, min(doc_id) AS first_id FROM k GROUP BY ALL HAVING count(*) > 1) SELECT CASE WHEN length(k) > 40 THEN left(k, 39) || '…' ELSE k END AS short_key, n, first_id FROM g"),
     "point_ids": (point_ids, "WITH s AS (SELECT DISTINCT conv_id AS session_id FROM conversations), h AS (SELECT session_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || session_id::VARCHAR::BLOB) AS r FROM s) SELECT session_id, substr(r, 1, 8) || '-' || substr(r, 9, 4) || '-5' || substr(r, 14, 3) || '-' || substr('89ab', ('0x' || substr(r, 17, 1))::INT % 4 + 1, 1) || substr(r, 18, 3) || '-' || substr(r, 21, 12) AS point_id, '#' || left(md5(session_id::VARCHAR), 8) AS short FROM h"),
     "url_buckets": (url_buckets, "WITH p AS (SELECT regexp_replace(coalesce(url, ''), '^[a-z]+:/', '') AS p FROM pages), s AS (SELECT p, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM p) SELECT CASE WHEN len(s) <= 3 THEN p ELSE '/' || array_to_string(s[1:3], '/') || '/…' END AS bucket, count(*) AS n FROM s GROUP BY ALL"),
     "content_extract": (content_extract, f"{_CONTENT} SELECT session_id, md5(left({_redact_sql('content')}, 6000)) AS content_md5 FROM c"),
@@ -195,7 +203,7 @@ QUERIES: dict[str, tuple] = {
     "outcome": (outcome, f"WITH x AS (SELECT conv_id AS session_id, lower(coalesce(arg_max(text, turn), '')) AS l FROM conversations WHERE role = 'assistant' GROUP BY ALL), p AS (SELECT session_id, {_LASTPOS(enrich.POSITIVE)} AS g, {_LASTPOS(enrich.NEGATIVE)} AS b FROM x) SELECT session_id, CASE WHEN g > 0 AND g > b THEN 'resolved' WHEN b > 0 THEN 'unresolved' ELSE 'partial' END AS outcome FROM p"),
     "arc": (arc, "WITH c AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS n FROM events), f AS (SELECT session_id, count(*) AS n, count(*) FILTER (n = 'purchase') AS e, count(*) FILTER (n = 'view') AS r, count(*) FILTER (n IN ('click', 'error')) AS s, min(seq) FILTER (n = 'error') AS fb, max(seq) FILTER (n = 'click') AS lg, min(seq) FILTER (n = 'purchase') AS fe FROM c GROUP BY ALL), b AS (SELECT f.*, EXISTS (SELECT 1 FROM c WHERE c.session_id = f.session_id AND c.n = 'purchase' AND c.seq > f.fb AND c.seq < f.lg) AS d FROM f) SELECT session_id, CASE WHEN d THEN 'debug-fix' WHEN fe < lg THEN 'fix' WHEN e * 2 >= n AND s = 0 THEN 'impl' WHEN r * 2 >= n AND e = 0 THEN 'explore' ELSE 'mixed' END AS arc FROM b"),
     "last_call_ok": (last_call_ok, "WITH l AS (SELECT user_id AS session_id, arg_max(struct_pack(t := event_type, p := lower(props)), struct_pack(a := ts, b := event_id)) AS x FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL) SELECT session_id, CASE WHEN x.t = 'error' THEN false WHEN contains(x.p, 'exit code 0') THEN true ELSE NOT regexp_matches(x.p, 'error|failed') END AS ok FROM l"),
-    "entities": (entities, "WITH e AS (SELECT page_id AS session_id, unnest(regexp_extract_all(coalesce(url, ''), '([\\w\\-./]+\\.\\w{1,5})', 1)) AS e FROM pages), k AS (SELECT session_id, regexp_replace(e, '[.,)\\]:;]+$', '') AS e FROM e), g AS (SELECT session_id, e, count(*) AS n FROM k WHERE strlen(e) >= 3 AND regexp_matches(e, '[./]') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, e) AS r FROM g) SELECT session_id, string_agg(e, ' ' ORDER BY r) AS entities FROM r WHERE r <= 10 GROUP BY ALL"),
+    "entities": (entities, "WITH e AS (SELECT page_id AS session_id, unnest(regexp_extract_all(coalesce(url, ''), '([\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\-./]+\\.[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]{1,5})', 1)) AS e FROM pages), k AS (SELECT session_id, regexp_replace(e, '[.,)\\]:;]+$', '') AS e FROM e), g AS (SELECT session_id, e, count(*) AS n FROM k WHERE strlen(e) >= 3 AND regexp_matches(e, '[./]') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, e) AS r FROM g) SELECT session_id, string_agg(e, ' ' ORDER BY r) AS entities FROM r WHERE r <= 10 GROUP BY ALL"),
     "topics": (topics, f"{_FIRST} SELECT session_id, 'talk · ' || coalesce(array_to_string((list_filter(string_split_regex({_PLAIN}, '\\s+'), lambda w: w <> ''))[1:4], ' '), '') AS topic FROM f"),
     "decision_lines": (decision_lines, f"{_DECIDING}, {_DECIDED} SELECT conv_id AS session_id, count(*) AS n, max(c)::DOUBLE AS best, count(*) FILTER (c > 0.8) AS headers FROM d GROUP BY ALL"),
     "opening_lines": (opening_lines, f"{_FIRST}, l AS (SELECT session_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(y, ' ')), lambda y: NOT {_boilerplate_sql('y')})[1] AS y FROM f) SELECT session_id, CASE WHEN length(y) > 220 THEN left(y, 220) || '…' ELSE y END AS line FROM l"),
