@@ -222,3 +222,15 @@ def test_dashboard_figures(spark):
     got = {r.metric: (r.current, r.previous) for r in activity.week_stats(s, F.lit("2024-01-31").cast("timestamp")).collect()}
     assert got == {"sessions": (2, 1), "turns": (5, 9), "tools": (1, 4), "error_sessions": (1, 1), "projects": (2, 1)}
     assert tuple(activity.tiles(s).first()) == (5, 114, 105, 4)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_forest_of_any_graph(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = {(min(a, b), max(a, b)): round(rng.choice([0.5, rng.random()]), 3) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(110)) if a != b}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()] + [(70, 71, 1.5), (70, 71, 0.2), (5, 5, 0.9)], "a bigint, b bigint, score double")
+    want = sorted(map(tuple, graph.spanning_forest(df.filter("a <> b")).collect()))
+    assert sorted(map(tuple, graph.forest_of_any(df).collect())) == want and (70, 71, 0.0) in want
+    assert graph.forest_of_any(df.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 """Similarity graph of a sample: nearest neighbours, spanning forest, bridges between projects and gaps.
 
-The sample is bounded (SAMPLE at most), as the feature asks for; all that follows is as small as the sample.
+The sample is bounded (SAMPLE at most), as the feature asks for; all that follows is as small as the sample. forest_of_any() has no
+such bound.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from turnstone.functions import text as t
 from turnstone.operators.retrieval import neighbours
 from turnstone.operators.store import dual_read
+from turnstone.sources.shared import new_folder
 
 SAMPLE = 500
 
@@ -30,13 +32,53 @@ def pairs(points: DataFrame, per_point: int) -> DataFrame:
     return found.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def weighed(edges: DataFrame) -> DataFrame:
+    """(a, b, weight): weight = max(0, 1 - score), rounded."""
+    return edges.select("a", "b", F.round(F.greatest(F.lit(0.0), 1 - F.col("score")), 6).alias("weight"))
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forest_of_any(edges: DataFrame) -> DataFrame:
+    """(a, b, weight) of the minimum spanning forest of a graph of any size; the same edges as spanning_forest().
+
+    Each round, every component takes the first edge by (weight, a, b) that leaves it, and components that such edges join become one;
+    so their number halves at least. Names of components run along the taken edges to their least one by doubled steps. All is joins
+    and minima over tables in the shared folder, and edges within a component are dropped as they arise.
+    """
+    left = _written(weighed(edges).filter("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight")).withColumns({"x": F.col("a"), "y": F.col("b")}), "edges")
+    forest = None
+    while True:
+        ends = left.select(F.col("x").alias("c"), F.struct("weight", "a", "b", F.col("y").alias("to")).alias("e")).unionAll(left.select(F.col("y").alias("c"), F.struct("weight", "a", "b", F.col("x").alias("to")).alias("e")))
+        taken = _written(ends.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "taken")
+        if taken.isEmpty():
+            break
+        own = taken.select("a", "b", "weight").distinct()
+        forest = own if forest is None else forest.unionAll(own)
+        # Taken edges form trees but for one pair in each that took the same edge from both sides; its smaller end is the root.
+        back = taken.select(F.col("c").alias("to"), F.col("to").alias("c2"))
+        up = _written(taken.join(back, "to").select("c", F.when((F.col("c2") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")), "up")
+        while True:
+            above = up.select(F.col("c").alias("up"), F.col("up").alias("above"))
+            higher = _written(up.join(above, "up").select("c", F.col("above").alias("up"), (F.col("above") != F.col("up")).alias("moved")), "up")
+            up = higher.select("c", "up")
+            if higher.filter("moved").isEmpty():
+                break
+        of = lambda side: up.select(F.col("c").alias(side), F.col("up").alias(f"{side}2"))
+        left = _written(left.join(of("x"), "x").join(of("y"), "y").filter("x2 <> y2").select("a", "b", "weight", F.col("x2").alias("x"), F.col("y2").alias("y")), "edges")
+    return left.select("a", "b", "weight") if forest is None else forest
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """(a, b, weight) of the minimum spanning forest; weight = max(0, 1 - score), ties by (weight, a, b).
+    """(a, b, weight) of the minimum spanning forest of a sample; weight = max(0, 1 - score), ties by (weight, a, b).
 
     An edge that is not in the forest of some part of the edges is in no forest of all of them, so each part's forest is found
     where it lies, and only those edges, fewer than nodes times parts, meet in one task. The sample bounds the nodes.
     """
-    weighed = edges.select("a", "b", F.round(F.greatest(F.lit(0.0), 1 - F.col("score")), 6).alias("weight"))
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((w, a, b) for batch in batches for a, b, w in zip(*(c.to_pylist() for c in batch.columns)))
@@ -56,7 +98,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "weight"])
 
     schema = "a bigint, b bigint, weight double"
-    return weighed.mapInArrow(forest, schema).coalesce(1).mapInArrow(forest, schema)
+    return weighed(edges).mapInArrow(forest, schema).coalesce(1).mapInArrow(forest, schema)
 
 
 def bridges(forest: DataFrame, points: DataFrame) -> DataFrame:
@@ -67,8 +109,8 @@ def bridges(forest: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def isolated(forest: DataFrame, points: DataFrame) -> DataFrame:
-    """Projects of two or more sessions that no bridge touches."""
-    sizes = points.groupBy(F.col("project").cast("string").alias("project")).agg(F.count(F.lit(1)).alias("sessions")).filter("sessions >= 2")
+    """Named projects of two or more sessions that no bridge touches."""
+    sizes = points.filter("project <> ''").groupBy(F.col("project").cast("string").alias("project")).agg(F.count(F.lit(1)).alias("sessions")).filter("sessions >= 2")
     return sizes.join(bridges(forest, points), "project", "left_anti")
 
 

@@ -214,7 +214,8 @@ def _forest(spark, d):
 
 
 def mst_edges(spark, d):
-    return _forest(spark, d)[2]
+    """The forest of all points."""
+    return graph.forest_of_any(graph.pairs(points(spark, d), 5))
 
 
 def bridges(spark, d):
@@ -222,18 +223,20 @@ def bridges(spark, d):
     return graph.bridges(forest, p)
 
 
+def _named(p):
+    """Only each fifth point's project is known, and there are many."""
+    return p.withColumn("project", F.when(F.col("id") % 5 == 0, F.concat(F.lit("p"), F.col("id") % 51)).otherwise(""))
+
+
 def isolated_projects(spark, d):
-    """Groups of two or more points that no bridge touches: here points that are few steps of ids apart, which the forest may leave alone."""
     p, _, forest = _forest(spark, d)
-    alone = forest.join(p.select(F.col("id").alias("a"), F.col("project").alias("x")), "a").join(p.select(F.col("id").alias("b"), F.col("project").alias("y")), "b").filter("x = y").select("a", "b", "weight")
-    return graph.isolated(alone, p)
+    return graph.isolated(forest, _named(p))
 
 
 def gap_near_miss(spark, d):
-    """Among finer groups than labels, of which the forest can't connect all."""
+    """Projects that are alike at half of the usual similarity, as the vectors of the table are far apart."""
     p, edges, forest = _forest(spark, d)
-    fine = p.withColumn("project", F.concat_ws("-", "project", F.col("id") % 5))
-    return graph.near_misses(edges, forest, fine, at_least=0.1)
+    return graph.near_misses(edges, forest, _named(p).filter("project <> ''"), at_least=0.25)
 
 
 def node_detail(spark, d):
@@ -253,6 +256,20 @@ def project_insights(spark, d):
 
 _POST = f"po AS (SELECT t AS token, id, count(*) AS tf FROM (SELECT conv_id AS id, unnest({_TOK.format(x='text')}) AS t FROM conversations WHERE role <> 'system') GROUP BY ALL)"
 
+_SAMPLE = f"(SELECT * FROM p ORDER BY md5(id::VARCHAR), id LIMIT {graph.SAMPLE})"
+#: An edge is in the forest unless edges that come before it connect its ends.
+_MST = f"""WITH RECURSIVE {_PTS}, e0 AS (
+  SELECT least(q, id) AS a, greatest(q, id) AS b, max(score) AS score FROM (
+    SELECT x.id AS q, y.id AS id, round(list_dot_product(x.vec, y.vec), 6) AS score, row_number() OVER (PARTITION BY x.id ORDER BY round(list_dot_product(x.vec, y.vec), 6) DESC, y.id) AS k FROM {{z}} x, {{z}} y WHERE x.id <> y.id) WHERE k <= 5 GROUP BY 1, 2
+), e AS (
+  SELECT *, row_number() OVER (ORDER BY weight, a, b) AS r FROM (SELECT a, b, round(greatest(0, 1 - score), 6) AS weight FROM e0)
+), arcs AS (
+  SELECT a AS v, b AS w, r FROM e UNION ALL SELECT b, a, r FROM e
+), reach AS (
+  SELECT r, a AS v FROM e UNION SELECT reach.r, arcs.w FROM reach JOIN arcs ON arcs.v = reach.v AND arcs.r < reach.r
+), f AS (
+  SELECT a, b, weight FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = e.r AND reach.v = e.b)
+)"""
 QUERIES: dict[str, tuple] = {
     "knn_content": (knn_content, f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 10"),
     "knn_filtered_recall": (knn_filtered_recall, f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM s WHERE has_errors) WHERE rank <= 5"),
@@ -276,10 +293,10 @@ QUERIES: dict[str, tuple] = {
     "range_filter": (range_filter, f"WITH {_PTS} SELECT project, count(*) AS n FROM p WHERE has_errors AND start_ts >= {AS_OF - 30 * 86400} AND project IN ('2', '4', '6') GROUP BY ALL"),
     "sparse_idf_search": (sparse_idf_search, f"WITH {_POST}, n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), df AS (SELECT token, count(*) AS df FROM po GROUP BY ALL), qt AS (SELECT query_id, t AS token, count(*) AS q FROM (SELECT conv_id AS query_id, unnest({_TOK.format(x='text')}) AS t FROM conversations WHERE turn = 0 AND conv_id % 10 = 0) GROUP BY ALL), f AS (SELECT query_id, id, round(sum(tf * q * ln((n - df + 0.5) / (df + 0.5) + 1)), 6) AS score FROM po JOIN qt ON po.token = qt.token JOIN df ON po.token = df.token CROSS JOIN n GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM f) WHERE rank <= 10"),
     "knn_pairs": (knn_pairs, f"WITH {_PTS}, z AS (SELECT id, vec FROM p ORDER BY md5(id::VARCHAR), id LIMIT 80), s AS (SELECT x.id AS query_id, y.id AS id, round(list_dot_product(x.vec, y.vec), 6) AS score FROM z x, z y WHERE x.id <> y.id), h AS (SELECT * FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 5) SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM h GROUP BY 1, 2"),
-    "mst_edges": (mst_edges, None),
-    "bridges": (bridges, None),
-    "isolated_projects": (isolated_projects, None),
-    "gap_near_miss": (gap_near_miss, None),
+    "mst_edges": (mst_edges, f"{_MST.format(z='p')} SELECT a, b, weight FROM f"),
+    "bridges": (bridges, f"{_MST.format(z=_SAMPLE)}, j AS (SELECT x.project AS pa, y.project AS pb FROM f JOIN p x ON x.id = f.a JOIN p y ON y.id = f.b WHERE x.project <> y.project) SELECT project, partner, count(*) AS n FROM (SELECT pa AS project, pb AS partner FROM j UNION ALL SELECT pb, pa FROM j) GROUP BY ALL"),
+    "isolated_projects": (isolated_projects, f"{_MST.format(z=_SAMPLE)}, n AS (SELECT id, 'p' || id % 51 AS project FROM {_SAMPLE} WHERE id % 5 = 0), j AS (SELECT x.project AS pa, y.project AS pb FROM f JOIN n x ON x.id = f.a JOIN n y ON y.id = f.b WHERE x.project <> y.project), g AS (SELECT project, count(*) AS sessions FROM n GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM g WHERE project NOT IN (SELECT pa FROM j UNION SELECT pb FROM j)"),
+    "gap_near_miss": (gap_near_miss, f"{_MST.format(z=_SAMPLE)}, n AS (SELECT id, 'p' || id % 51 AS project FROM {_SAMPLE} WHERE id % 5 = 0), m AS (SELECT least(x.project, y.project) AS x, greatest(x.project, y.project) AS y, round(avg(score), 6) AS score FROM e0 JOIN n x ON x.id = e0.a JOIN n y ON y.id = e0.b WHERE x.project <> y.project GROUP BY 1, 2), j AS (SELECT least(x.project, y.project) AS x, greatest(x.project, y.project) AS y FROM f JOIN n x ON x.id = f.a JOIN n y ON y.id = f.b) SELECT x, y, score FROM m WHERE score >= 0.25 AND NOT EXISTS (SELECT 1 FROM j WHERE j.x = m.x AND j.y = m.y) ORDER BY score DESC, x, y LIMIT 5"),
     "node_detail": (node_detail, f"WITH {_PTS} SELECT id, project, start_ts, CASE WHEN id % 3 = 0 THEN 3 ELSE 2 END AS version FROM (SELECT * FROM p ORDER BY md5(id::VARCHAR), id LIMIT 80)"),
     "project_insights": (project_insights, f"""WITH {_PTS}, z AS (SELECT * FROM p ORDER BY md5(id::VARCHAR), id LIMIT 400),
 b AS (SELECT project, count(*) AS sessions, count(*) FILTER (has_errors) AS with_errors FROM z GROUP BY ALL),
