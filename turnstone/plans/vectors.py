@@ -113,12 +113,6 @@ def neighbour_bands(spark, d):
     return r.ranked(_found(spark, d)[1].drop("rank"), 5).select("query_id", "id", F.when(score > 0.7, "strong").when(score > 0.5, "related").otherwise("weak").alias("band"))
 
 
-def recall_queue(spark, d):
-    """Sessions with errors of the query set, and up to four other sessions with errors that are alike enough."""
-    p = points(spark, d).filter("has_errors")
-    return r.neighbours(p, queries(p), 4, at_least=0.25)
-
-
 def _vecs(p: DataFrame, ids: list[int]) -> dict[int, list[float]]:
     """The vectors of a few given points, in one job."""
     got = {row[0]: list(row[1]) for row in p.filter(F.col("id").isin(ids)).select("id", "vec").collect()}
@@ -247,11 +241,15 @@ def node_detail(spark, d):
 
 
 def project_insights(spark, d):
-    """Projects of the sample, without bridges: sessions are users of the same ids, tools their events, folders those of pages."""
-    p = graph.sample(points(spark, d), 400)
-    calls = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("name"), F.to_json(F.struct(F.concat(F.lit("/srv/"), "event_type", F.lit("/a/b/x.py")).alias("file_path"))).alias("input_json"))
-    none = graph.spanning_forest(graph.pairs(p.limit(0), 5))
-    return graph.insights(p, calls, none).drop("bridges_out", "partners")
+    """Projects of the sample: sessions are users of the same ids, tools their events, folders those of pages."""
+    p, _, forest = _forest(spark, d)
+    tool = F.element_at(F.create_map(*[F.lit(x) for pair in _TOOLS.items() for x in pair]), F.col("event_type"))
+    calls = table(spark, d, "events").filter((F.col("user_id") % 4 != 1) | (F.col("event_type") != "purchase")).select(F.col("user_id").alias("session_id"), tool.alias("name"), F.to_json(F.struct(F.concat(F.lit("/srv/"), "event_type", F.lit("/a/b/x.py")).alias("file_path"))).alias("input_json"))
+    return graph.insights(p.withColumn("project", F.concat("project", F.lit("-"), F.col("id") % 7)), calls, forest)
+
+
+#: Tools that events stand for.
+_TOOLS = {"click": "Bash", "view": "Read", "signup": "WebFetch", "purchase": "Edit", "error": "Task"}
 
 
 _POST = f"po AS (SELECT t AS token, id, count(*) AS tf FROM (SELECT conv_id AS id, unnest({_TOK.format(x='text')}) AS t FROM conversations WHERE role <> 'system') GROUP BY ALL)"
@@ -281,7 +279,6 @@ QUERIES: dict[str, tuple] = {
     "grouped_topk": (grouped_topk, f"{_ALL}, h AS (SELECT query_id, project AS \"group\", id, score FROM s), g AS (SELECT *, row_number() OVER w AS in_group, first(score) OVER w AS best, first(id) OVER w AS best_id FROM h WINDOW w AS (PARTITION BY query_id, \"group\" ORDER BY score DESC, id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, best_id, in_group) AS place FROM g WHERE in_group <= 2) SELECT query_id, \"group\", id, score, in_group, place FROM o WHERE place <= 8"),
     "neighbours_excluded": (neighbours_excluded, f"{_ALL}, h AS (SELECT query_id, id, score FROM s WHERE project <> qp) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM h) WHERE rank <= 5"),
     "neighbour_bands": (neighbour_bands, f"{_ALL} SELECT query_id, id, CASE WHEN score > 0.7 THEN 'strong' WHEN score > 0.5 THEN 'related' ELSE 'weak' END AS band FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 5"),
-    "recall_queue": (recall_queue, f"{_ALL}, e AS (SELECT s.* FROM s JOIN p ON s.query_id = p.id WHERE s.has_errors AND p.has_errors AND score >= 0.25) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM e) WHERE rank <= 4"),
     "mix_match": (mix_match, _discover_sql([(0, 3), (1, 4), (2, 3)], 0, [0, 1, 2, 3, 4])),
     "discovery_pairs": (discovery_pairs, _discover_sql([(5, 6), (7, 8)], 9, [5, 6, 7, 8, 9])),
     "relevance_feedback": (relevance_feedback, f"WITH {_PTS} SELECT id, round({_DOT(0)} + {_DOT(1)} - {_DOT(2)} + 0.5 * ({_DOT(3)} - {_DOT(4)}), 6) AS score FROM p ORDER BY score DESC, id LIMIT 20"),
@@ -298,9 +295,13 @@ QUERIES: dict[str, tuple] = {
     "isolated_projects": (isolated_projects, f"{_MST.format(z=_SAMPLE)}, n AS (SELECT id, 'p' || id % 51 AS project FROM {_SAMPLE} WHERE id % 5 = 0), j AS (SELECT x.project AS pa, y.project AS pb FROM f JOIN n x ON x.id = f.a JOIN n y ON y.id = f.b WHERE x.project <> y.project), g AS (SELECT project, count(*) AS sessions FROM n GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM g WHERE project NOT IN (SELECT pa FROM j UNION SELECT pb FROM j)"),
     "gap_near_miss": (gap_near_miss, f"{_MST.format(z=_SAMPLE)}, n AS (SELECT id, 'p' || id % 51 AS project FROM {_SAMPLE} WHERE id % 5 = 0), m AS (SELECT least(x.project, y.project) AS x, greatest(x.project, y.project) AS y, round(avg(score), 6) AS score FROM e0 JOIN n x ON x.id = e0.a JOIN n y ON y.id = e0.b WHERE x.project <> y.project GROUP BY 1, 2), j AS (SELECT least(x.project, y.project) AS x, greatest(x.project, y.project) AS y FROM f JOIN n x ON x.id = f.a JOIN n y ON y.id = f.b) SELECT x, y, score FROM m WHERE score >= 0.25 AND NOT EXISTS (SELECT 1 FROM j WHERE j.x = m.x AND j.y = m.y) ORDER BY score DESC, x, y LIMIT 5"),
     "node_detail": (node_detail, f"WITH {_PTS} SELECT id, project, start_ts, CASE WHEN id % 3 = 0 THEN 3 ELSE 2 END AS version FROM (SELECT * FROM p ORDER BY md5(id::VARCHAR), id LIMIT 80)"),
-    "project_insights": (project_insights, f"""WITH {_PTS}, z AS (SELECT * FROM p ORDER BY md5(id::VARCHAR), id LIMIT 400),
+    "project_insights": (project_insights, f"""{_MST.format(z=_SAMPLE)}, z AS (SELECT id, project || '-' || id % 7 AS project, has_errors FROM {_SAMPLE}),
 b AS (SELECT project, count(*) AS sessions, count(*) FILTER (has_errors) AS with_errors FROM z GROUP BY ALL),
-c AS (SELECT project, event_type AS name, count(*) AS n FROM events JOIN z ON user_id = id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, name) AS k FROM c),
-t AS (SELECT project, string_agg(name || '×' || n, ' ' ORDER BY k) FILTER (k <= 4) AS tools, string_agg(name || '×' || n, ' ' ORDER BY k) FILTER (k <= 3) AS three, string_agg('/srv/' || name || '/a/…', ' ' ORDER BY k) FILTER (k <= 3) AS folders FROM r GROUP BY ALL)
-SELECT b.project, sessions, with_errors, 'general' AS theme, 'general' || coalesce(' · ' || three, '') AS label, coalesce(tools, '') AS tools, coalesce(folders, '') AS folders FROM b LEFT JOIN t ON b.project = t.project"""),
+c AS (SELECT project, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TOOLS.items())} END AS name, event_type, count(*) AS n FROM events JOIN z ON user_id = id WHERE user_id % 4 <> 1 OR event_type <> 'purchase' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, name) AS k, row_number() OVER (PARTITION BY project ORDER BY n DESC, event_type) AS kf FROM c),
+t AS (SELECT project, list(name) FILTER (k <= 4) AS names, string_agg(name || '×' || n, ' ' ORDER BY k) FILTER (k <= 4) AS tools, string_agg(name || '×' || n, ' ' ORDER BY k) FILTER (k <= 3) AS three, string_agg('/srv/' || event_type || '/a/…', ' ' ORDER BY kf) FILTER (kf <= 3) AS folders FROM r GROUP BY ALL),
+j AS (SELECT x.project AS pa, y.project AS pb FROM f JOIN z x ON x.id = f.a JOIN z y ON y.id = f.b WHERE x.project <> y.project),
+o AS (SELECT project, count(*) AS bridges_out, string_agg(DISTINCT partner, ',' ORDER BY partner) AS partners FROM (SELECT pa AS project, pb AS partner FROM j UNION ALL SELECT pb, pa FROM j) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN list_contains(names, 'Bash') AND list_contains(names, 'Edit') THEN 'code + shell' WHEN list_contains(names, 'WebFetch') THEN 'research' WHEN list_contains(names, 'Task') THEN 'agent orchestration' WHEN list_contains(names, 'Edit') THEN 'editing' WHEN list_contains(names, 'Bash') THEN 'shell work' WHEN list_contains(names, 'Read') THEN 'exploration' ELSE 'general' END AS theme FROM t)
+SELECT b.project, sessions, with_errors, coalesce(theme, 'general') AS theme, coalesce(theme, 'general') || coalesce(' · ' || three, '') AS label, coalesce(tools, '') AS tools, coalesce(folders, '') AS folders, coalesce(bridges_out, 0) AS bridges_out, coalesce(partners, '') AS partners FROM b LEFT JOIN m ON b.project = m.project LEFT JOIN o ON b.project = o.project"""),
 }

@@ -58,12 +58,22 @@ def watcher_alerts(spark, d):
     return tick.alerts(spark, store).select("kind", "session_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fired"), "target", F.round("score", 6).alias("score"))
 
 
-def recent_errors(spark, d):
-    """Each session's newest error that isn't a slip in the shell, among its last six turns; the logs are one file a session."""
+def _recent(spark, d):
     folder = new_folder(spark, "logs")
     slip = F.when(F.col("seq") % 3 == 0, F.expr("replace(line, ' failed\"', ' failed: No such File or directory\"')")).when(F.col("seq") % 3 == 1, F.expr("replace(line, '\"content\":\"code', '\"content\":\"Exit code 2 code')")).otherwise(F.col("line"))
     _lines(spark, d).withColumn("line", slip).repartition(WRITERS, "session").sortWithinPartitions("session", "seq").select("session", "line").write.partitionBy("session").text(folder)
-    return logs.recent_errors(spark, folder, F.current_timestamp() - F.expr("INTERVAL 1 DAY"), "*.txt")
+    return logs.recent_errors(spark, folder, F.current_timestamp() - F.expr("INTERVAL 7 DAYS"), "*.txt")
+
+
+def recent_errors(spark, d):
+    """Each session's newest error that isn't a slip in the shell, among its last six turns; the logs are one file a session."""
+    return _recent(spark, d)
+
+
+def recall_queue(spark, d):
+    """The first four of eight recent errors, by session, that another session knows."""
+    found = _recent(spark, d).withColumn("id", tick.number_of(F.col("session_id"))).persist()
+    return tick.recall_queue(found.withColumn("place", F.col("id")), found.select("id", F.col("error_text").alias("text"))).withColumn("score", F.round("score", 6))
 
 
 def alert_waits(spark, d):
@@ -162,4 +172,17 @@ WITH RECURSIVE e AS (
 SELECT a.kind, a.key, count(*) AS alerts, max(e.event_id) AS last_id, sum(e.event_id)::BIGINT AS sum_id
 FROM a JOIN (SELECT kind, key, ts, min(event_id) AS event_id FROM e GROUP BY ALL) e ON e.kind = a.kind AND e.key = a.key AND e.ts = a.ts GROUP BY ALL
 """
-QUERIES: dict[str, tuple] = {"watcher_alerts": (watcher_alerts, WATCHER_SQL), "recent_errors": (recent_errors, RECENT_SQL), "alert_waits": (alert_waits, WAITS_SQL)}
+QUEUE_SQL = f"""
+WITH {_E}, b AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS back FROM e
+), n AS (
+  SELECT id, arg_max(code, seq) AS code, arg_max(module, seq) AS module FROM b WHERE event_type = 'error' AND back <= 6 AND seq % 3 = 2 GROUP BY id
+), q AS (
+  SELECT * FROM n ORDER BY id LIMIT 8
+), m AS (
+  SELECT q.*, n.id AS match_id, round((1 + (n.code = q.code)::INT + (n.module = q.module)::INT) / 3, 6) AS score,
+    row_number() OVER (PARTITION BY q.id ORDER BY (n.code = q.code)::INT + (n.module = q.module)::INT DESC, n.id) AS r FROM q JOIN n ON n.id <> q.id
+)
+SELECT id AS place, id::VARCHAR AS session_id, code || ' ' || module || ' failed' AS error_text, match_id, score FROM m WHERE r = 1 AND score >= 0.65 ORDER BY place LIMIT 4
+"""
+QUERIES: dict[str, tuple] = {"recall_queue": (recall_queue, QUEUE_SQL), "watcher_alerts": (watcher_alerts, WATCHER_SQL), "recent_errors": (recent_errors, RECENT_SQL), "alert_waits": (alert_waits, WAITS_SQL)}

@@ -81,6 +81,19 @@ def found(turns: DataFrame, hot: DataFrame, vectors: Callable[[DataFrame], DataF
     return said.select("kind", "session_id", alert_key(F.col("kind"), F.col("session_id"), F.col("target"), F.col("text")).alias("key"), "at", "target", "score")
 
 
+def recall_queue(errors: DataFrame, index: DataFrame, embed: Callable[[DataFrame], DataFrame] = logs.embed, first: int = 8, most: int = 4) -> DataFrame:
+    """(place, session_id, error_text, match_id, score): the first errors by place, each text of a session once by its first 80 characters,
+    with the most similar error of another session; those that have none are left out, and what comes after `most` of them.
+
+    errors: place, id, session_id, error_text; index: id and the text of every session's error.
+    """
+    lead = errors.orderBy("place", "session_id").limit(first)
+    once = lead.groupBy("session_id", F.left("error_text", F.lit(80)).alias("_head")).agg(F.min(F.struct("place", "id", "error_text")).alias("e")).select("session_id", "e.*")
+    asked = embed(once.withColumn("text", F.col("error_text")))
+    hits = retrieval.neighbours(embed(index.select("id", "text")).select("id", "vec"), asked.select(F.col("id").alias("query_id"), "vec"), RECALL_HITS, at_least=RECALL_LEAST).filter("rank = 1")
+    return once.join(hits.select(F.col("query_id").alias("id"), F.col("id").alias("match_id"), "score"), "id").select("place", "session_id", "error_text", "match_id", "score").orderBy("place", "session_id").limit(most)
+
+
 def after_waits(alerts: DataFrame, sent: DataFrame, waits: dict[str, int] = WAITS) -> DataFrame:
     """The alerts (kind, key, at) whose kind and key have waited long enough since the last one sent."""
     wait = F.coalesce(F.create_map(*[F.lit(x) for pair in waits.items() for x in pair])[F.col("kind")], F.lit(0)).cast("bigint")
