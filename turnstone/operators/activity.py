@@ -70,8 +70,16 @@ def agent_split(sessions: DataFrame) -> DataFrame:
 
 
 def repeated_lines(decisions: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
-    """Lines (column key) that stand in several sessions: (key, sessions, example), the most spread first."""
-    return decisions.groupBy("key").agg(F.countDistinct("session_id").alias("sessions"), F.min("session_id").alias("example")).filter(F.col("sessions") >= least).orderBy(F.desc("sessions"), "key").limit(most)
+    """Lines (column key) that stand in several sessions: (key, sessions, example), the most spread first, ties by key.
+
+    Hashes of the lines are counted, and the texts are fetched for those alone that are as spread as the last line shown.
+    """
+    hashed = decisions.select("session_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(8), "key").alias("h2"))
+    counted = hashed.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sessions"), F.min("session_id").alias("example")).filter(F.col("sessions") >= least)
+    lead = counted.select("sessions").orderBy(F.desc("sessions")).limit(most).agg(F.min("sessions").alias("last"))
+    wanted = counted.crossJoin(F.broadcast(lead)).filter(F.col("sessions") >= F.col("last"))
+    texts = decisions.select("key", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(8), "key").alias("h2")).join(wanted, ["h1", "h2"])
+    return texts.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("sessions").alias("sessions"), F.first("example").alias("example")).select("key", "sessions", "example").orderBy(F.desc("sessions"), "key").limit(most)
 
 
 def kpi(events: DataFrame, as_of: Column, days: int) -> DataFrame:

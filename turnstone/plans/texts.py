@@ -151,12 +151,55 @@ def turn_lookup(spark, d):
     return turns(spark, d).filter("turn_index = 2").select("session_id", "role", F.md5(F.encode(_txt(), "UTF-8")).alias("text_md5"))
 
 
+def _marked():
+    """Texts with control tags, fences and terminal colours in them."""
+    out = F.replace(_txt(), F.lit("the "), F.lit("<invoke name> ``` \x1b[1;31mred\x1b[0m "))
+    return F.replace(F.replace(out, F.lit("and "), F.lit("</system-reminder> ~~~ <div> ")), F.lit("of "), F.lit("<parameter \x1b[2K"))
+
+
+def defanged(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(t.defang(_marked()), "UTF-8")).alias("defanged_md5"))
+
+
+def plain_terminal(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(t.strip_ansi(_marked()), "UTF-8")).alias("plain_md5"))
+
+
+def summary_lines(spark, d):
+    """A line of fixed widths for each document as a session; every fifth has no project, every seventh no title."""
+    project = F.when(F.col("doc_id") % 5 != 0, F.concat_ws("/", "source", "lang", F.lit("some-long-project-name")))
+    title = F.when(F.col("doc_id") % 7 != 0, F.element_at(F.split(_txt(), "\n"), 1))
+    return table(spark, d, "documents").select("doc_id", t.summary_line(F.md5(F.col("doc_id").cast("string")), project, F.col("n_chars") % 1000, F.col("doc_id") % 90, title).alias("line"))
+
+
+def hook_outputs(spark, d):
+    """What hooks print for each first line, by kind of hook; nothing for a blank one."""
+    said = F.concat(F.element_at(F.split(_marked(), "\n"), 1), F.when(F.col("doc_id") % 3 == 0, '\n "quoted" \\ ').otherwise(""))
+    said = F.when(F.col("doc_id") % 11 == 0, " \n ").otherwise(said)
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(t.hook_output("UserPromptSubmit", said), "UTF-8")).alias("hook_md5"), F.md5(F.encode(t.hook_output("Shell", said), "UTF-8")).alias("shell_md5"))
+
+
+def response_errors(spark, d):
+    """Whether each event, as a tool's response of one of six shapes, tells of an error."""
+    n = F.col("event_id") % 6
+    bad = F.col("event_type") == "error"
+    body = F.when(n == 0, F.to_json(F.struct(F.struct(bad.alias("is_error")).alias("tool_response")))).when(n == 1, F.to_json(F.struct(F.struct((F.col("user_id") % 3).alias("exit_code")).alias("tool_response"))))
+    body = body.when(n == 2, F.to_json(F.struct(F.when(bad, "Traceback (most)").otherwise("fine").alias("tool_response")))).when(n == 3, F.when(bad, '{"tool_response": {"error": "none given"}}').otherwise('{"tool_response": {"error": null, "out": "ok"}}'))
+    body = body.when(n == 4, F.when(bad, '{"tool_response": {"log": ["Fatal: disk"]}}').otherwise('{"other": "fatal: disk"}')).otherwise("not json")
+    return table(spark, d, "events").select("event_id", body.alias("body")).select("event_id", t.response_is_error(F.col("body")).alias("is_error"))
+
+
 _T = "coalesce(text, '')"
 _TOK = f"list_filter(string_split_regex(lower({_T}), '[^\\pL\\pN]+'), lambda t: strlen(t) >= 2)"
 _FNV = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, strlen(token) + 1), lambda i: ('0x' || substr(hex(token), 2 * i - 1, 2))::INTEGER::HUGEINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 2147483648"
 _SQ = lambda x: f"trim(regexp_replace({x}, '[{t.WHITE}]+', ' ', 'g'), ' ')"
 _WIDE = f"replace({_T}, 'and', chr(160) || 'and' || chr(12288))"
 _W = f"list_filter(string_split_regex({_WIDE}, '[{t.WHITE}]+'), lambda w: w <> '')"
+_MARKED = f"replace(replace(replace({_T}, 'the ', '<invoke name> ``` ' || chr(27) || '[1;31mred' || chr(27) || '[0m '), 'and ', '</system-reminder> ~~~ <div> '), 'of ', '<parameter ' || chr(27) || '[2K')"
+_DEFANG = lambda x: "replace(replace(replace(replace(replace(" + x + ", '```', chr(39) || chr(39) || '`'), '~~~', chr(39) || chr(39) || '~'), '<invoke', '&lt;invoke'), '</system-reminder', '&lt;/system-reminder'), '<parameter', '&lt;parameter')"
+_NO_ANSI = lambda x: f"regexp_replace({x}, '\\x1B\\[[0-9;?]*[ -/]*[@-~]', '', 'g')"
+_HOOKS = f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) || ' ' ELSE string_split({_MARKED}, chr(10))[1] || CASE WHEN doc_id % 3 = 0 THEN chr(10) || ' "quoted" ' || chr(92) || ' ' ELSE '' END END AS s FROM documents), b AS (SELECT doc_id, {_DEFANG("trim(s, ' ' || chr(9) || chr(10) || chr(13))")} AS b FROM s)
+SELECT doc_id, CASE WHEN b <> '' THEN md5('{{"hookSpecificOutput":{{"hookEventName":"UserPromptSubmit","additionalContext":' || to_json(b)::VARCHAR || '}}}}') END AS hook_md5, CASE WHEN b <> '' THEN md5({_NO_ANSI('b')}) END AS shell_md5 FROM b"""
 _LASTPOS = lambda words: "greatest(" + ", ".join(f"CASE WHEN contains(l, '{w}') THEN length(l) - strpos(reverse(l), '{w[::-1]}') - {len(w)} + 2 ELSE 0 END" for w in words) + ")"
 
 
@@ -189,6 +232,11 @@ QUERIES: dict[str, tuple] = {
     "tokenize_counts": (tokenize_counts, f"SELECT doc_id, len({_TOK})::INT AS tokens, len(list_distinct({_TOK}))::INT AS distinct_tokens FROM documents"),
     "fnv_postings": (fnv_postings, f"WITH c AS (SELECT session_id, token, count(*) AS n FROM (SELECT conv_id AS session_id, unnest({_TOK}) AS token FROM conversations) GROUP BY ALL) SELECT session_id, ({_FNV})::BIGINT AS token_id, sum(n)::BIGINT AS tf FROM c GROUP BY 1, 2"),
     "chunk_windows": (chunk_windows, f"WITH w AS (SELECT doc_id, {_W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, ceil((len(w) - 32) / 24.0) + 1) END::BIGINT)) AS i FROM w) SELECT doc_id, i::INT AS chunk_idx, md5(array_to_string(w[i * 24 + 1 : i * 24 + 32], ' ')) AS chunk_md5 FROM c"),
+    "defanged": (defanged, f"SELECT doc_id, md5({_DEFANG(_MARKED)}) AS defanged_md5 FROM documents"),
+    "plain_terminal": (plain_terminal, f"SELECT doc_id, md5({_NO_ANSI(_MARKED)}) AS plain_md5 FROM documents"),
+    "summary_lines": (summary_lines, f"WITH s AS (SELECT doc_id, left(md5(doc_id::VARCHAR), 8) AS i, CASE WHEN doc_id % 5 <> 0 THEN source || '/' || lang || '/some-long-project-name' ELSE '?' END AS p, n_chars % 1000 AS turns, doc_id % 90 AS tools, CASE WHEN doc_id % 7 <> 0 THEN string_split({_T}, chr(10))[1] ELSE '' END AS t FROM documents), c AS (SELECT *, CASE WHEN length(p) > 22 THEN left(p, 21) || '…' ELSE p END AS cp, CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS ct FROM s) SELECT doc_id, i || '  ' || cp || repeat(' ', 22 - length(cp)) || '  ' || lpad(turns::VARCHAR, 5, ' ') || ' turns  ' || lpad(tools::VARCHAR, 5, ' ') || ' tools  ' || ct AS line FROM c"),
+    "hook_outputs": (hook_outputs, _HOOKS),
+    "response_errors": (response_errors, "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type = 'error' WHEN 1 THEN user_id % 3 <> 0 WHEN 5 THEN false ELSE event_type = 'error' END AS is_error FROM events"),
     "identifier_tokens": (identifier_tokens, f"WITH n AS (SELECT doc_id, 'get' || upper(left(lang, 1)) || substr(lang, 2) || 'Data_fromCache ' || source || '-' || lang || '/x.rs ' || string_split({_T}, chr(10))[1] AS n FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(n, '[{t.WHITE}]+'), lambda x: x <> '') AS w FROM n), c AS (SELECT doc_id, list_filter(flatten(list_transform(w, lambda x: list_concat([x], flatten(list_transform(string_split_regex(x, '[_-]'), lambda y: list_concat([y], string_split(regexp_replace(y, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), ' '))))))), lambda y: length(y) > 1) AS c FROM w) SELECT doc_id, array_to_string(list_filter(c, lambda y, i: list_position(c, y) = i), ' ') AS tokens FROM c"),
     "synth_title": (synth_title, f"WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND trim(text, ' ') <> ''), f AS (SELECT conv_id, arg_min(text, turn) AS x FROM u GROUP BY ALL) SELECT conv_id AS session_id, left({_SQ('''regexp_replace(x, '</?[a-z][a-z0-9-]*[^>]*>', ' ', 'g')''')}, 60) AS title FROM f"),
     "strip_tags": (strip_tags, f"SELECT page_id, md5({_SQ('''regexp_replace(coalesce(html, ''), '</?[a-z][a-z0-9-]*[^>]*>', ' ', 'g')''')}) AS plain_md5 FROM pages"),
