@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from turnstone.functions import text as t
 from turnstone.operators.retrieval import neighbours
 from turnstone.operators.store import dual_read
-from turnstone.sources.shared import new_folder
+from turnstone.sources.shared import written
 
 SAMPLE = 500
 
@@ -37,12 +37,6 @@ def weighed(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", F.round(F.greatest(F.lit(0.0), 1 - F.col("score")), 6).alias("weight"))
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def forest_of_any(edges: DataFrame) -> DataFrame:
     """(a, b, weight) of the minimum spanning forest of a graph of any size; the same edges as spanning_forest().
 
@@ -50,26 +44,26 @@ def forest_of_any(edges: DataFrame) -> DataFrame:
     so their number halves at least. Names of components run along the taken edges to their least one by doubled steps. All is joins
     and minima over tables in the shared folder, and edges within a component are dropped as they arise.
     """
-    left = _written(weighed(edges).filter("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight")).withColumns({"x": F.col("a"), "y": F.col("b")}), "edges")
+    left = written(weighed(edges).filter("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight")).withColumns({"x": F.col("a"), "y": F.col("b")}), "edges")
     forest = None
     while True:
         ends = left.select(F.col("x").alias("c"), F.struct("weight", "a", "b", F.col("y").alias("to")).alias("e")).unionAll(left.select(F.col("y").alias("c"), F.struct("weight", "a", "b", F.col("x").alias("to")).alias("e")))
-        taken = _written(ends.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "taken")
+        taken = written(ends.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "taken")
         if taken.isEmpty():
             break
         own = taken.select("a", "b", "weight").distinct()
         forest = own if forest is None else forest.unionAll(own)
         # Taken edges form trees but for one pair in each that took the same edge from both sides; its smaller end is the root.
         back = taken.select(F.col("c").alias("to"), F.col("to").alias("c2"))
-        up = _written(taken.join(back, "to").select("c", F.when((F.col("c2") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")), "up")
+        up = written(taken.join(back, "to").select("c", F.when((F.col("c2") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")), "up")
         while True:
             above = up.select(F.col("c").alias("up"), F.col("up").alias("above"))
-            higher = _written(up.join(above, "up").select("c", F.col("above").alias("up"), (F.col("above") != F.col("up")).alias("moved")), "up")
+            higher = written(up.join(above, "up").select("c", F.col("above").alias("up"), (F.col("above") != F.col("up")).alias("moved")), "up")
             up = higher.select("c", "up")
             if higher.filter("moved").isEmpty():
                 break
         of = lambda side: up.select(F.col("c").alias(side), F.col("up").alias(f"{side}2"))
-        left = _written(left.join(of("x"), "x").join(of("y"), "y").filter("x2 <> y2").select("a", "b", "weight", F.col("x2").alias("x"), F.col("y2").alias("y")), "edges")
+        left = written(left.join(of("x"), "x").join(of("y"), "y").filter("x2 <> y2").select("a", "b", "weight", F.col("x2").alias("x"), F.col("y2").alias("y")), "edges")
     return left.select("a", "b", "weight") if forest is None else forest
 
 

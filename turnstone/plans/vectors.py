@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnstone.functions import text
 from turnstone.operators import graph, retrieval as r
 from turnstone.plans.adapters import AS_OF, points, queries, table, turns
+from turnstone.sources.shared import written
 
 K = 10
 LANES = [("content", 1, 32, 1.0, None), ("code", 33, 32, 0.5, None), ("error", 1, 64, 0.7, "has_errors"), ("idle", 17, 32, 0.0, None)]
@@ -65,7 +66,7 @@ def cosine_pairs(spark, d):
 
 def _counted(rows: DataFrame, key: str, tokens) -> tuple[DataFrame, DataFrame]:
     """Postings (token, id, tf) of the rows, and how many ids they have."""
-    own = rows.select(F.col(key).alias("id"), F.explode(tokens).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
+    own = written(rows.select(F.col(key).alias("id"), F.explode(tokens).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf")), "postings")
     return own, own.agg(F.countDistinct("id").alias("documents"))
 
 
@@ -186,7 +187,8 @@ def range_filter(spark, d):
 
 def _postings(spark, d):
     t = turns(spark, d).filter("role <> 'system'")
-    return t.select(F.col("session_id").alias("id"), F.explode(text.sparse_tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
+    own = t.select(F.col("session_id").alias("id"), F.explode(text.sparse_tokens(F.coalesce("text", F.lit("")))).alias("token"))
+    return written(own.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf")), "postings")
 
 
 def sparse_idf_search(spark, d):
