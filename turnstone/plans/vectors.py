@@ -270,6 +270,17 @@ _MST = f"""WITH RECURSIVE {_PTS}, e0 AS (
 ), f AS (
   SELECT a, b, weight FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = e.r AND reach.v = e.b)
 )"""
+def _mmr(k: int) -> str:
+    """The greedy choice, a step for each place: the best of what is left by half its score less half its likeness to the nearest chosen one."""
+    steps = ["c AS MATERIALIZED (SELECT s.query_id, s.id, s.score, p.vec FROM (SELECT *, " + _RANK + " FROM s) s JOIN p ON p.id = s.id WHERE rank <= 200)"]
+    for n in range(1, k + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(1, n)) or "SELECT query_id, id, score, vec, 0::DOUBLE AS worth, 0 AS place FROM c WHERE false"
+        steps.append(f"b{n} AS MATERIALIZED ({before})")
+        steps.append(f"w{n} AS (SELECT c.query_id, c.id, any_value(c.score) AS score, any_value(c.vec) AS vec, round(0.5 * any_value(c.score) - 0.5 * coalesce(max(list_dot_product(c.vec, b.vec)), 0), 9) AS worth FROM c LEFT JOIN b{n} b ON b.query_id = c.query_id WHERE NOT EXISTS (SELECT 1 FROM b{n} x WHERE x.query_id = c.query_id AND x.id = c.id) GROUP BY c.query_id, c.id)")
+        steps.append(f"m{n} AS MATERIALIZED (SELECT query_id, id, score, vec, worth, {n} AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, score DESC, id) AS r FROM w{n}) WHERE r = 1)")
+    return f"{_ALL}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT query_id, id, score, worth, place::BIGINT AS place FROM m{n}" for n in range(1, k + 1))
+
+
 QUERIES: dict[str, tuple] = {
     "knn_content": (knn_content, f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM s) WHERE rank <= 10"),
     "knn_filtered_recall": (knn_filtered_recall, f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM s WHERE has_errors) WHERE rank <= 5"),
@@ -285,7 +296,7 @@ QUERIES: dict[str, tuple] = {
     "discovery_pairs": (discovery_pairs, _discover_sql([(5, 6), (7, 8)], 9, [5, 6, 7, 8, 9])),
     "relevance_feedback": (relevance_feedback, f"WITH {_PTS} SELECT id, round({_DOT(0)} + {_DOT(1)} - {_DOT(2)} + 0.5 * ({_DOT(3)} - {_DOT(4)}), 6) AS score FROM p ORDER BY score DESC, id LIMIT 20"),
     "maxsim_late": (maxsim_late, f"WITH {_PTS}, c AS (SELECT id, vec[i * 16 + 1 : i * 16 + 16] AS cv FROM p, range(4) t(i)), w AS (SELECT query_id, i, qv[i * 16 + 1 : i * 16 + 16] AS rv FROM q, range(4) t(i)), b AS (SELECT query_id, id, i, max(list_dot_product(cv, rv)) AS best FROM c, w GROUP BY ALL), f AS (SELECT query_id, id, round(sum(best), 6) AS score FROM b GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, {_RANK} FROM f) WHERE rank <= 10"),
-    "mmr_diverse": (mmr_diverse, None),
+    "mmr_diverse": (mmr_diverse, _mmr(K)),
     "ndcg_at_10": (ndcg_at_10, f"{_ALL}, h AS (SELECT *, {_RANK} FROM s), g AS (SELECT query_id, sum(CASE WHEN project = qp THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h WHERE rank <= 10 GROUP BY ALL), n AS (SELECT query_id, least(count(*), 10) AS n FROM s WHERE project = qp GROUP BY ALL), i AS (SELECT query_id, sum(1 / log2(k + 1)) AS ideal FROM n, range(1, 11) t(k) WHERE k <= n GROUP BY ALL) SELECT g.query_id, round(coalesce(dcg / ideal, 0.0), 6) AS ndcg FROM g LEFT JOIN i ON g.query_id = i.query_id"),
     "facet_projects": (facet_projects, "SELECT label::VARCHAR AS value, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY ALL ORDER BY n DESC, value LIMIT 256"),
     "ordered_sessions": (ordered_sessions, f"WITH {_PTS} SELECT id, start_ts, project FROM p ORDER BY start_ts DESC NULLS LAST, id LIMIT 60"),
