@@ -28,7 +28,7 @@ that has others; repeated rows give repeated rows. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ PERCENT = 85
 SPREAD, SLACK, LEAST_SEGMENTS = 1.4, 1.2, 8
 #: Texts sampled for keys that stand out, how often those occur among them at least, and the salts that they are dealt over.
 SAMPLE, HOT, SALTS = 20_000, 20, 64
+#: Candidates for each of its tokens that a set's search by tokens may meet, first and then; a dearer set searches by segments.
+SEARCHES = (1, 16)
 _ROWS, _WORDS = 256, 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TOP = np.uint64(1 << 63)
@@ -235,25 +237,31 @@ def _tokens(left: DataFrame, sets: DataFrame) -> DataFrame:
     return left.select("node", "c").distinct().join(sets, "node").select("node", "c", "found").mapInArrow(run, "node bigint, c bigint, token bigint")
 
 
-def _by_tokens(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _by_tokens(left: DataFrame, sets: DataFrame, percent: int, dear: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, u), and the sets (node) that few others can be similar to, with their candidates (a, b), a < b.
 
-    The finest partition of the universe has a segment for each token. A set misses so many of its tokens in a similar one at most, so
-    of any number over that a similar one has one. u counts those that no other component has; where the cheapest tokens, those and the
-    next rarest, are had by no more other sets than the set has tokens, its whole search goes by them.
+    The finest partition of the universe has a segment for each token. By both sizes, a set misses so many of its tokens in a similar
+    one at most, so of any number over that a similar one has one. u counts those that no other component has; where the cheapest tokens, those and the
+    next rarest, are had by no more other sets than `dear` for each token of the set, its whole search goes by them.
     """
-    tokens = materialize(_tokens(left, sets), "tokens")
-    held = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("holders"))
-    cost = F.when(F.col("low") == F.col("high"), 0).otherwise(F.col("holders"))
-    sizes = left.groupBy("key").agg(F.min("n").alias("least")).join(left.select("key", "node", "n"), "key").groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("least"))
-    least = F.greatest(F.least("least", "n"), F.ceil(F.col("n") * percent / 100))
-    misses = F.floor(F.col("n") - percent * (F.col("n") + least) / (100 + percent) + 1e-9)
-    priced = materialize(tokens.join(held, "token").select("node", "c", "token", cost.alias("cost")), "priced")
+    sizes = left.groupBy("node").agg(F.max("n").alias("n"))
+    tokens = materialize(_tokens(left, sets).join(sizes, "node"), "tokens")
+    by_size = tokens.groupBy("token", "n").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("low"), F.max("c").alias("high"))
+    held = by_size.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("k").alias("holders"))
+    # A token's holders by size are few rows, however many holders it has.
+    smaller = by_size.select("token", "n", (F.sum("k").over(Window.partitionBy("token").orderBy("n")) - F.col("k")).alias("smaller"))
+    alone = F.col("low") == F.col("high")
+    priced = tokens.join(held, "token").join(smaller, ["token", "n"]).select("node", "c", "n", "token", F.when(alone, 0).otherwise(F.col("holders")).alias("cost"), F.when(alone, 0).otherwise(F.col("smaller")).alias("smaller"))
+    priced = materialize(priced, "priced")
     place = F.row_number().over(Window.partitionBy("node").orderBy("cost", "token"))
-    chosen = materialize(priced.withColumn("place", place).join(sizes.select("node", "n", misses.alias("misses")), "node").filter(F.col("place") <= F.col("misses") + 1), "chosen")
-    cheap = materialize(chosen.groupBy("node").agg(F.sum("cost").alias("cost"), F.max("n").alias("n")).filter("cost <= n").select("node"), "cheap")
-    asked = chosen.filter("cost > 0").join(cheap, "node", "left_semi").select("token", F.col("node").alias("x"), F.col("c").alias("cx"))
-    met = asked.join(tokens, "token").filter("c <> cx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    # Tokens after those that a search for sets of no smaller size needs are for smaller sets alone.
+    misses = lambda x, y: F.floor(x - percent * (x + y) / (100 + percent) + 1e-9)
+    n, least = F.col("n"), F.ceil(F.col("n") * percent / 100)
+    chosen = materialize(priced.withColumn("place", place).filter(F.col("place") <= misses(n, least) + 1), "chosen")
+    cheap = materialize(chosen.groupBy("node").agg(F.sum(F.when(F.col("place") <= misses(n, n) + 1, F.col("cost")).otherwise(F.col("smaller"))).alias("cost"), F.max("n").alias("n")).filter(F.col("cost") <= dear * F.col("n")).select("node"), "cheap")
+    asked = chosen.filter("cost > 0").join(cheap, "node", "left_semi").select("token", "place", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    met = asked.join(tokens, "token").filter((F.col("c") != F.col("cx")) & (F.col("place") <= misses(F.col("nx"), F.col("n")) + 1))
+    met = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     return priced.filter("cost = 0").groupBy("node").agg(F.count(F.lit(1)).alias("u")), cheap, met
 
 
@@ -365,11 +373,15 @@ def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     near = materialize(_similar(materialize(_to_the_middle(live), "partners"), sets, percent), "near")
     left = live.drop("c").join(components(near), "node", "left").withColumn("c", F.coalesce("component", "node"))
     left = _live(materialize(left.drop("component"), "left"), percent)
-    alone, cheap, few = _by_tokens(left, sets, percent)
-    left = left.drop("u", "asks").join(cheap, "node", "left_anti").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    left = materialize(left.withColumn("asks", F.col("own") & (2 * F.col("u") <= _apart(F.col("n"), F.col("n"), percent))), "left")
-    left = _live(_live(left, percent), percent)
-    rest = materialize(_searched(left, nodes, sets, percent).unionAll(few).distinct(), "candidates")
+    few = []
+    for dear in SEARCHES:
+        # What is left after the cheap searches often has nobody to look for.
+        alone, cheap, met = _by_tokens(left, sets, percent, dear)
+        few.append(met)
+        left = left.drop("u", "asks").join(cheap, "node", "left_anti").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        left = materialize(left.withColumn("asks", F.col("own") & (2 * F.col("u") <= _apart(F.col("n"), F.col("n"), percent))), "left")
+        left = _live(_live(left, percent), percent)
+    rest = materialize(reduce(DataFrame.unionAll, few, _searched(left, nodes, sets, percent)).distinct(), "candidates")
     label = components(near.unionAll(_similar(rest, sets, percent)))
     return marks.join(label, "node", "left").select("doc_id", "key", marks["node"], "n", F.coalesce("component", marks["node"]).alias("root"))
 
