@@ -33,17 +33,32 @@ class Sessions(NamedTuple):
 
 def _text(spark: SparkSession, root: str, glob: str, recursive: bool, since: Column | None = None) -> DataFrame:
     """(source_path, split, place, line) of all lines under root, or of files changed since then; empty where there is no root."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob)
     try:
-        files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(root)
+        files = reader.schema("source_path string, place bigint, line string").parquet(root) if glob == PACKED else reader.text(root)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "source_path string, split bigint, place bigint, line string")
     if since is not None:
         files = files.filter(F.col("_metadata.file_modification_time") >= since)
+    if glob == PACKED:
+        return files.select("source_path", F.lit(0).cast("bigint").alias("split"), "place", "line")
     return files.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
 
 
+#: The files of packed logs, and how they are told from text.
+PACKED = "*.parquet"
+
+
+def pack(lines: DataFrame, folder: str) -> None:
+    """Whole logs as an archive that readers take in place of files of their own, with the glob PACKED; lines: source_path, place, line.
+
+    Many short logs as files each cost a request, a task's share and the driver's memory; archived ones cost what their lines do.
+    """
+    lines.select("source_path", F.col("place").cast("bigint").alias("place"), F.col("line").cast("string").alias("line")).write.parquet(folder)
+
+
 def lines(spark: SparkSession, root: str, glob: str = "*.jsonl", recursive: bool = True) -> DataFrame:
     """(source_path, line_no, line) of all non-blank lines under root, numbered in file order; sub-agents' folders are left out."""
     return _numbered(_text(spark, root, glob, recursive))
@@ -86,7 +101,8 @@ def read_claude(spark: SparkSession, root: str, glob: str = "*.jsonl") -> Sessio
 def _claude(own: DataFrame) -> Sessions:
     raw = own.withColumn("v", F.try_parse_json("line"))
     bad = raw.groupBy("source_path").agg(F.min(F.when(F.col("v").isNull(), F.col("line_no"))).alias("at")).filter("at is not null").select("source_path", F.concat(F.lit("line "), (F.col("at") + 1).cast("string"), F.lit(" is not JSON")).alias("reason"))
-    good = raw.join(bad, "source_path", "left_anti")
+    # A file's lines lie together already, as they are numbered, so this moves none again.
+    good = raw.withColumn("fails", F.max(F.col("v").isNull()).over(Window.partitionBy("source_path"))).filter("not fails")
     e = good.select("source_path", "line_no", "v", _get("v", "$.type").alias("type"), F.try_to_timestamp(_get("v", "$.timestamp")).alias("ts"))
     facts = e.groupBy("source_path").agg(
         F.coalesce(_first(_get("v", "$.sessionId")), _stem(F.first("source_path"))).alias("session_id"),
@@ -229,7 +245,7 @@ def read_rollouts(spark: SparkSession, root: str, glob: str = "rollout-*.jsonl")
 def recent_errors(spark: SparkSession, root: str, since: Column, glob: str = "*.jsonl", turns: int = 6, size: int = 800) -> DataFrame:
     """(session_id, project_name, turn_index, error_text) of the logs that were changed at `since` or later: the newest error among each one's last turns.
 
-    Older files are left out by their time, before a line is read. Of a turn its last error counts; one that only tells of a slip in
+    Older files, or archives, are left out by their time, before a line is read. Of a turn its last error counts; one that only tells of a slip in
     the shell is passed over together with its turn.
     """
     got = _claude(_numbered(_text(spark, root, glob, True, since)))
