@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import decontam, line_dedup, minhash, packing, toxicity
+from turnstone.llm import decontam, line_dedup, minhash, packing, simhash, toxicity
 from turnstone.llm.common import column, materialize, table
 
 
@@ -27,8 +27,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies stays: that of the smallest doc_id, null last, among equal ones the smallest by text. Rows without words are copies of each other."""
-    return minhash.one_of_each(docs)
+    """One row of each component of near copies stays: that of the smallest doc_id, null last, among equal ones the smallest by text. Rows
+    without words are copies of each other. Links are those of SimHash fingerprints, as op10 has them, and those of shingle sets that
+    are alike enough, which also finds copies whose fingerprints lie further apart."""
+    return simhash.first_of_each(docs, simhash.united(minhash.roots(docs), simhash.roots(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

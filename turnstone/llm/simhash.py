@@ -264,8 +264,23 @@ def first_of_each(documents: DataFrame, roots: DataFrame) -> DataFrame:
     return kept.filter("rows = 1").select("given").unionAll(again.select("given")).select("given.*")
 
 
+def roots(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """(key, root) of every text; texts of one component have the same root."""
+    found = near_duplicates(documents.select(text_key().alias("doc_id"), "text"), shingle, distance)
+    return found.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("root"))
+
+
+def united(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """(doc_id, key, root) of rows (doc_id, key, root), the components joined that share one of other (key, root)."""
+    rows = materialize(rows.select("doc_id", "key", "root"), "roots")
+    met = rows.join(other.withColumnRenamed("root", "of"), "key").groupBy("of", "root").agg(F.count(F.lit(1)).alias("n"))
+    met = materialize(met, "met")
+    low = met.groupBy("of").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    edges = met.join(low, "of").filter("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
+    return rows.join(components(edges), F.col("root") == F.col("node"), "left").select("doc_id", "key", F.coalesce("component", "root").alias("root"))
+
+
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row of each component, with all its columns."""
-    found = near_duplicates(documents.select(text_key().alias("doc_id"), "text"), shingle, distance)
-    of = found.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("root"))
+    of = roots(documents, shingle, distance)
     return first_of_each(documents, documents.select(F.col("doc_id").cast("bigint"), text_key().alias("key")).join(of, "key"))
