@@ -63,24 +63,39 @@ def found(turns: DataFrame, hot: DataFrame, vectors: Callable[[DataFrame], DataF
     own = turns.join(hot, "id")
     facts = own.groupBy("id").agg(F.max("session_id").alias("session_id"), F.count(F.lit(1)).alias("turns"), F.max("ts").alias("at"), F.max_by("project_path", "turn_index").alias("project"), F.max("is_new").alias("is_new"), F.array_distinct(F.flatten(F.collect_set(F.transform("calls.name", lambda n: F.lower(n))))).alias("used"))
     facts = held(facts)
-    errors, asked = held(embed(latest_error(turns, None))), held(embed(latest_error(own)))
+    recall = recalled(held(latest_error(turns, None)), held(latest_error(own)), embed)
     points = vectors(turns.groupBy("id").agg(F.min_by("text", "turn_index").alias("text")))
     wanted = points.join(facts.filter(F.col("turns") >= PREDICT_TURNS).select("id"), "id", "left_semi")
     near = held(retrieval.neighbours(points, wanted.select(F.col("id").alias("query_id"), "vec"), max(PREDICT_AMONG, LOOP_AMONG)))
-    hits = retrieval.neighbours(errors.select("id", "vec"), asked.select(F.col("id").alias("query_id"), "vec"), RECALL_HITS, at_least=RECALL_LEAST).filter("rank = 1")
-    recall = hits.join(asked.select(F.col("id").alias("query_id"), "text"), "query_id").select(F.lit("recall").alias("kind"), F.col("query_id").alias("hot"), "text", F.col("id").cast("string").alias("target"), "score")
     long = facts.filter(F.col("turns") >= PREDICT_TURNS)
     likely = next_tools(long, near, turns, 3, 3, PREDICT_AMONG).filter((F.col("rank") == 1) & (F.col("freq") > PREDICT_SHARE)).join(long.select(F.col("id").alias("query_id"), "used"), "query_id").filter(~F.array_contains("used", F.lower("name")))
     predict = likely.select(F.lit("predict").alias("kind"), F.col("query_id").alias("hot"), F.lit("").alias("text"), F.col("name").alias("target"), F.col("freq").alias("score"))
     stuck = activity.stuck(own.select(F.col("id").alias("session_id"), F.col("turn_index").alias("seq"), F.exists("results", lambda r: r["is_error"]).alias("is_error"))).select(F.col("session_id").alias("id"))
     loop = next_tools(stuck, near, turns, 4, 4, LOOP_AMONG).filter("rank = 1").select(F.lit("loop").alias("kind"), F.col("query_id").alias("hot"), F.lit("").alias("text"), F.col("name").alias("target"), F.col("freq").alias("score"))
-    of_project = turns.filter("project_path <> ''").select(F.col("project_path").alias("project"), F.col("id").alias("other")).distinct()
-    past = facts.filter("is_new").join(of_project, "project").filter(F.col("other") != F.col("id")).groupBy("id").agg(F.least(F.count(F.lit(1)), F.lit(PRIMER_MOST)).alias("n")).filter(F.col("n") >= PRIMER_LEAST)
+    # Of a project's sessions the new one itself is one; they are counted, not paired.
+    of_project = turns.filter("project_path <> ''").groupBy(F.col("project_path").alias("project")).agg(F.countDistinct("id").alias("all"))
+    past = facts.filter("is_new").join(of_project, "project").select("id", F.least(F.col("all") - 1, F.lit(PRIMER_MOST)).alias("n")).filter(F.col("n") >= PRIMER_LEAST)
     primer = past.select(F.lit("primer").alias("kind"), F.col("id").alias("hot"), F.lit("").alias("text"), F.col("n").cast("string").alias("target"), F.lit(None).cast("double").alias("score"))
     said = reduce(DataFrame.unionAll, (recall, predict, loop, primer)).join(facts.select(F.col("id").alias("hot"), "session_id", "at"), "hot")
     return said.select("kind", "session_id", alert_key(F.col("kind"), F.col("session_id"), F.col("target"), F.col("text")).alias("key"), "at", "target", "score")
 
 
+def recalled(errors: DataFrame, asked: DataFrame, embed: Callable[[DataFrame], DataFrame] = logs.embed) -> DataFrame:
+    """(kind, hot, text, target, score): for each asked error (id, text) the most similar error of another session, if similar enough; errors: id, text.
+
+    Equal texts are embedded and searched for once: of those with one text, the two smallest ids alone can be the nearest to anyone,
+    and the nearest two to a text hold the nearest other one of each session that has it.
+    """
+    first = errors.groupBy("text").agg(F.min("id").alias("first"))
+    second = errors.join(first, "text").filter(F.col("id") != F.col("first")).groupBy("text").agg(F.min("id").alias("second"))
+    known = embed(first.join(second, "text", "left").select("text", "first", "second")).select(F.explode(F.array_compact(F.array("first", "second"))).alias("id"), "vec")
+    texts = asked.groupBy("text").agg(F.min("id").alias("query_id"))
+    hits = retrieval.neighbours(known, embed(texts).select("query_id", "vec"), 2, keep_self=True, at_least=RECALL_LEAST)
+    pairs = asked.select(F.col("id").alias("hot"), "text").join(texts, "text").join(hits.select("query_id", "id", "score"), "query_id").filter(F.col("id") != F.col("hot"))
+    best = pairs.groupBy("hot").agg(F.first("text").alias("text"), F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("b"))
+    return best.select(F.lit("recall").alias("kind"), "hot", "text", F.col("b.id").cast("string").alias("target"), (-F.col("b.less")).alias("score"))
+
+
 def recall_queue(errors: DataFrame, index: DataFrame, embed: Callable[[DataFrame], DataFrame] = logs.embed, first: int = 8, most: int = 4) -> DataFrame:
     """(place, session_id, error_text, match_id, score): the first errors by place, each text of a session once by its first 80 characters,
     with the most similar error of another session; those that have none are left out, and what comes after `most` of them.
