@@ -12,13 +12,14 @@ result_seq, call_id, content, is_error), bad(source_path, reason).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnstone.functions import text as t
+from turnstone.sources.shared import written
 
 AGENTS = ("claude_code", "codex", "legacy")
 
@@ -98,7 +99,8 @@ def read_claude(spark: SparkSession, root: str, glob: str = "*.jsonl") -> Sessio
     return _claude(lines(spark, root, glob))
 
 
-def _claude(own: DataFrame) -> Sessions:
+def _claude(own: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Sessions:
+    """keep: makes a table that is read several times."""
     raw = own.withColumn("v", F.try_parse_json("line"))
     bad = raw.groupBy("source_path").agg(F.min(F.when(F.col("v").isNull(), F.col("line_no"))).alias("at")).filter("at is not null").select("source_path", F.concat(F.lit("line "), (F.col("at") + 1).cast("string"), F.lit(" is not JSON")).alias("reason"))
     # A file's lines lie together already, as they are numbered, so this moves none again.
@@ -117,7 +119,7 @@ def _claude(own: DataFrame) -> Sessions:
     turns = spoken.select("source_path", "line_no", "ts", F.col("type").alias("role"), _get("v", "$.uuid").alias("uuid"), _get("v", "$.parentUuid").alias("parent_uuid"), F.coalesce(_get("v", "$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), items.alias("items"), F.when(items.isNull(), content).alias("plain"))
     turns = turns.withColumn("turn_index", F.row_number().over(Window.partitionBy("source_path").orderBy("line_no")) - 1)
     turns = turns.select("source_path", "turn_index", "uuid", "parent_uuid", "ts", "role", "is_sidechain", F.btrim(F.coalesce("plain", texts, F.lit("")), F.lit(" \t\n\r")).alias("text"), F.coalesce(calls, F.array()).alias("calls"), F.coalesce(results, F.array()).alias("results"))
-    return _assemble(facts.withColumn("source_agent", F.lit("claude_code")), turns, bad)
+    return _assemble(keep(facts.withColumn("source_agent", F.lit("claude_code"))), keep(turns), bad)
 
 
 def spoken_turns(lines: DataFrame) -> DataFrame:
@@ -248,7 +250,7 @@ def recent_errors(spark: SparkSession, root: str, since: Column, glob: str = "*.
     Older files, or archives, are left out by their time, before a line is read. Of a turn its last error counts; one that only tells of a slip in
     the shell is passed over together with its turn.
     """
-    got = _claude(_numbered(_text(spark, root, glob, True, since)))
+    got = _claude(_numbered(_text(spark, root, glob, True, since)), lambda df: written(df, "recent"))
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn_index")))
     last = got.turns.select("session_id", "turn_index", back.alias("back")).filter(F.col("back") <= turns)
     bad = got.results.filter("is_error").groupBy("session_id", "turn_index").agg(F.max_by("content", "result_seq").alias("content"))
