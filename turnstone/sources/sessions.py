@@ -83,14 +83,18 @@ def _first(value: Column, order: str = "line_no") -> Column:
     return F.min_by(value, F.when(value.isNotNull(), F.col(order)))
 
 
+#: A message's items with the fields that count. What has another type is null, and what isn't an object is null as a whole.
+ITEMS = "array<struct<type string, text string, id string, name string, input variant, tool_use_id string, content variant, is_error boolean>>"
+
+
 def _parts_of(items: Column) -> tuple[Column, Column, Column]:
-    """The text of a message's items (array<variant>), its calls and its results."""
-    of = lambda i, p, kind="string": F.try_variant_get(i, p, kind)
+    """The text of a message's items (ITEMS), its calls and its results."""
+    of = lambda v, kind: F.try_variant_get(v, "$", kind)
     # A result's content is a string or an array of items with text.
-    body = lambda i: F.coalesce(F.when(of(i, "$.content", "array<variant>").isNull(), of(i, "$.content")), F.array_join(F.filter(F.transform(of(i, "$.content", "array<variant>"), lambda x: of(x, "$.text")), lambda s: s.isNotNull()), "\n"), F.lit(""))
-    texts = F.array_join(F.transform(F.filter(items, lambda i: of(i, "$.type") == "text"), lambda i: F.coalesce(of(i, "$.text"), F.lit(""))), "\n")
-    calls = F.transform(F.filter(items, lambda i: of(i, "$.type") == "tool_use"), lambda i: F.struct(of(i, "$.id").alias("call_id"), of(i, "$.name").alias("name"), F.to_json(of(i, "$.input", "variant")).alias("input_json")))
-    results = F.transform(F.filter(items, lambda i: of(i, "$.type") == "tool_result"), lambda i: F.struct(of(i, "$.tool_use_id").alias("call_id"), body(i).alias("content"), F.coalesce(of(i, "$.is_error", "boolean"), F.lit(False)).alias("is_error")))
+    body = lambda c: F.coalesce(F.when(of(c, "array<variant>").isNull(), of(c, "string")), F.array_join(F.filter(of(c, "array<struct<text string>>")["text"], lambda s: s.isNotNull()), "\n"), F.lit(""))
+    texts = F.array_join(F.transform(F.filter(items, lambda i: i["type"] == "text"), lambda i: F.coalesce(i["text"], F.lit(""))), "\n")
+    calls = F.transform(F.filter(items, lambda i: i["type"] == "tool_use"), lambda i: F.struct(i["id"].alias("call_id"), i["name"].alias("name"), F.to_json(i["input"]).alias("input_json")))
+    results = F.transform(F.filter(items, lambda i: i["type"] == "tool_result"), lambda i: F.struct(i["tool_use_id"].alias("call_id"), body(i["content"]).alias("content"), F.coalesce(i["is_error"], F.lit(False)).alias("is_error")))
     return texts, calls, results
 
 
@@ -114,7 +118,7 @@ def _claude(own: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df:
         F.count_if(F.col("type") == "user").alias("user_turns"), F.count_if(F.col("type") == "assistant").alias("assistant_turns"), F.count_if(F.col("type") == "system").alias("system_events"), F.count_if(~F.coalesce(F.col("type"), F.lit("")).isin("user", "assistant", "system")).alias("other_events"),
     )
     spoken = e.filter(F.col("type").isin("user", "assistant") & _get("v", "$.uuid").isNotNull())
-    content, items = _get("v", "$.message.content"), _get("v", "$.message.content", "array<variant>")
+    content, items = _get("v", "$.message.content"), _get("v", "$.message.content", ITEMS)
     texts, calls, results = _parts_of(F.col("items"))
     turns = spoken.select("source_path", "line_no", "ts", F.col("type").alias("role"), _get("v", "$.uuid").alias("uuid"), _get("v", "$.parentUuid").alias("parent_uuid"), F.coalesce(_get("v", "$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), items.alias("items"), F.when(items.isNull(), content).alias("plain"))
     turns = turns.withColumn("turn_index", F.row_number().over(Window.partitionBy("source_path").orderBy("line_no")) - 1)
@@ -122,18 +126,20 @@ def _claude(own: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df:
     return _assemble(keep(facts.withColumn("source_agent", F.lit("claude_code"))), keep(turns), bad)
 
 
-def spoken_turns(lines: DataFrame) -> DataFrame:
-    """(session_id, ts, uuid, role, project_path, text, calls, results) of the turns among lines (column line), whatever files they are in.
+def spoken_turns(lines: DataFrame, *also: str) -> DataFrame:
+    """(session_id, ts, uuid, role, project_path, text, calls, results) of the turns among lines (column line; `also`: further columns to
+    keep), whatever files they are in.
 
     For logs that grow by new files: the session is named in each line, and its turns are in order by time, then uuid. Lines that
     aren't JSON, or no turns, are left out.
     """
-    v = lines.withColumn("v", F.try_parse_json("line"))
-    items = _get("v", "$.message.content", "array<variant>")
-    e = v.select(_get("v", "$.sessionId").alias("session_id"), F.try_to_timestamp(_get("v", "$.timestamp")).alias("ts"), _get("v", "$.uuid").alias("uuid"), _get("v", "$.type").alias("role"), _get("v", "$.cwd").alias("project_path"), items.alias("items"), F.when(items.isNull(), _get("v", "$.message.content")).alias("plain"))
+    # As an array's element a line's value is worked out once: what filters turns is put below a plain column, and would parse the line again.
+    v = lines.select(*also, F.explode(F.array(F.try_parse_json("line"))).alias("v"))
+    items = _get("v", "$.message.content", ITEMS)
+    e = v.select(*also, _get("v", "$.sessionId").alias("session_id"), F.try_to_timestamp(_get("v", "$.timestamp")).alias("ts"), _get("v", "$.uuid").alias("uuid"), _get("v", "$.type").alias("role"), _get("v", "$.cwd").alias("project_path"), items.alias("items"), F.when(items.isNull(), _get("v", "$.message.content")).alias("plain"))
     texts, calls, results = _parts_of(F.col("items"))
     text = F.btrim(F.coalesce("plain", texts, F.lit("")), F.lit(" \t\n\r"))
-    return e.filter(F.col("role").isin("user", "assistant") & F.col("uuid").isNotNull() & F.col("session_id").isNotNull()).select("session_id", "ts", "uuid", "role", "project_path", text.alias("text"), F.coalesce(calls, F.array()).alias("calls"), F.coalesce(results, F.array()).alias("results"))
+    return e.filter(F.col("role").isin("user", "assistant") & F.col("uuid").isNotNull() & F.col("session_id").isNotNull()).select("session_id", "ts", "uuid", "role", "project_path", text.alias("text"), F.coalesce(calls, F.array()).alias("calls"), F.coalesce(results, F.array()).alias("results"), *also)
 
 
 def _assemble(facts: DataFrame, turns: DataFrame, bad: DataFrame) -> Sessions:

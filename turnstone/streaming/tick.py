@@ -1,7 +1,8 @@
 """The watcher: each batch of new log files is indexed, and the sessions that it changed are held against all that is indexed.
 
-A batch's turns and alerts are written to folders of the batch's own number, and a batch reads those of earlier numbers and its own,
-so a batch that is run again after a failure gives the same rows. The alerts written so far are all the state that the waits need.
+A batch's turns, with what alerts need of them, and its alerts are written to folders of the batch's own number, and a batch reads those
+of earlier numbers and its own, so a batch that is run again after a failure gives the same rows. The alerts written so far are all the
+state that the waits need.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ RECALL_LEAST, RECALL_TURNS, RECALL_HITS, ERROR_CHARS = 0.65, 6, 5, 800
 PREDICT_TURNS, PREDICT_SHARE = 3, 0.7
 PREDICT_AMONG, LOOP_AMONG = 8, 10
 PRIMER_LEAST, PRIMER_MOST = 2, 8
+#: Tasks that the nearest sessions are looked for in, or twice the cores if those are more: each hands on the best of every query. What is
+#: found is a few rows a session, and is kept in as many parts.
+SCANS = 16
 ALERT = "kind string, session_id string, key string, at timestamp, target string, score double"
 
 
@@ -29,54 +33,76 @@ def number_of(session_id: Column) -> Column:
     return F.coalesce(session_id.try_cast("bigint"), F.xxhash64(session_id))
 
 
+def noted(turns: DataFrame, *also: str) -> DataFrame:
+    """What is kept of a turn: (session_id, ts, uuid, project_path, text, names, failed, error): its tools, whether a result failed, and its
+    error: the last failed result, else the last line that speaks of one."""
+    bad = lambda r: r["is_error"]
+    failed = F.try_element_at(F.filter("results", bad), F.lit(-1))["content"]
+    line = F.try_element_at(F.filter(F.split("text", "\n"), lambda x: F.rlike(F.lower(x), F.lit("error:|traceback|panic"))), F.lit(-1))
+    error = F.coalesce(F.left(failed, F.lit(ERROR_CHARS)), F.btrim(line))
+    return turns.select("session_id", "ts", "uuid", "project_path", "text", F.col("calls.name").alias("names"), F.exists("results", bad).alias("failed"), error.alias("error"), *also)
+
+
 def indexed(turns: DataFrame) -> DataFrame:
-    """Turns with their session's number and their place in it, by time, then uuid."""
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "uuid")) - 1
-    return turns.withColumn("id", number_of(F.col("session_id"))).withColumn("turn_index", place)
+    """Turns with their session's number (id), their place in it by time, then uuid, and their place from its end, from 1. A session's rows
+    lie together in order, so that what is found by session moves none of them again."""
+    of = Window.partitionBy("id")
+    placed = turns.withColumn("id", number_of(F.col("session_id"))).withColumn("turn_index", F.row_number().over(of.orderBy("ts", "uuid")) - 1)
+    return placed.withColumn("back", F.count(F.lit(1)).over(of) - F.col("turn_index")).drop("uuid")
 
 
-def latest_error(turns: DataFrame, last: int | None = RECALL_TURNS) -> DataFrame:
-    """(id, text): the newest error among each session's last turns (None: all): a turn's last failed result, else its last line that speaks of an error."""
-    failed = F.try_element_at(F.filter("results", lambda r: r["is_error"]), F.lit(-1))["content"]
-    line = F.try_element_at(F.filter(F.split("text", "\n"), lambda x: F.rlike(F.lower(x), F.lit("error:|traceback|panic"))), F.lit(-1))
-    said = turns.withColumn("error", F.coalesce(F.left(failed, F.lit(ERROR_CHARS)), F.btrim(line)))
-    if last is not None:
-        said = said.withColumn("back", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("turn_index")))).filter(F.col("back") <= last)
-    return said.filter("error is not null").groupBy("id").agg(F.max_by("error", "turn_index").alias("text"))
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartition(max(SCANS, 2 * df.sparkSession.sparkContext.defaultParallelism), *by)
 
 
-def next_tools(hot: DataFrame, near: DataFrame, turns: DataFrame, last: int, horizon: int, among: int) -> DataFrame:
-    """What the sessions most like each hot one (id) did after the turn that is most like its own last ones; as activity.predict gives it."""
-    near = near.filter(F.col("rank") <= among).join(hot.select(F.col("id").alias("query_id")), "query_id", "left_semi").select("query_id", F.col("id").alias("session_id"), "score")
-    own = turns.select(F.col("id").alias("session_id"), "turn_index", "text", "calls")
-    anchors = activity.anchors_of(own.join(hot.select(F.col("id").alias("session_id")), "session_id", "left_semi"), last)
-    calls = own.select("session_id", F.col("turn_index").cast("bigint").alias("turn_index"), F.explode("calls.name").alias("name"))
-    return activity.predict(near, activity.pivots_by_query(near, own, anchors), calls, horizon)
+def next_tools(asks: DataFrame, near: DataFrame, turns: DataFrame, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What the sessions most like each one asked for did after the turn that is most like its own last ones; as activity.predict gives it,
+    query_id with kind and id. asks: kind, id, last, horizon, among; near: as retrieval.neighbours gives it."""
+    key = lambda id_: F.struct("kind", F.col(id_).alias("id")).alias("query_id")
+    pairs = near.withColumnRenamed("id", "session_id").join(asks.select("kind", F.col("id").alias("query_id"), "horizon", "among"), "query_id")
+    pairs = held(_dealt(pairs.filter(F.col("rank") <= F.col("among")).select(key("query_id"), "session_id", "score", "horizon"), "query_id"))
+    own = turns.select(F.col("id").alias("session_id"), "turn_index", "text", "names")
+    last = turns.select("id", "back", "text").join(asks, "id").filter(F.col("back") <= F.col("last"))
+    anchors = activity.anchor_words(last.select(key("id"), "text"))
+    calls = own.select("session_id", "turn_index", F.explode("names").alias("name"))
+    return activity.predict(pairs, activity.pivots_by_query(pairs, own, anchors), calls, F.col("horizon"))
 
 
-def found(turns: DataFrame, hot: DataFrame, vectors: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame] = logs.embed, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(kind, session_id, key, at, target, score): what there is to say of the hot sessions (id, is_new) among the turns of all.
+def found(turns: DataFrame, vectors: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame] = logs.embed, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(kind, session_id, key, at, target, score): what there is to say of the hot sessions among all. turns: as indexed() gives them, with
+    hot (of a file just changed: a session with such a turn is hot) and known (a session with such a turn isn't new).
 
     vectors: sessions (id, text) -> points (id, vec); embed: rows with a text -> the same with vec; held: keeps what is read several times. Recalls tell of the most similar
     error of another session, predictions of a tool that wasn't used yet, loops of what got others out, primers of a project's past.
     """
-    own = turns.join(hot, "id")
-    facts = own.groupBy("id").agg(F.max("session_id").alias("session_id"), F.count(F.lit(1)).alias("turns"), F.max("ts").alias("at"), F.max_by("project_path", "turn_index").alias("project"), F.max("is_new").alias("is_new"), F.array_distinct(F.flatten(F.collect_set(F.transform("calls.name", lambda n: F.lower(n))))).alias("used"))
-    facts = held(facts)
-    recall = recalled(held(latest_error(turns, None)), held(latest_error(own)), embed)
-    points = vectors(turns.groupBy("id").agg(F.min_by("text", "turn_index").alias("text")))
-    wanted = points.join(facts.filter(F.col("turns") >= PREDICT_TURNS).select("id"), "id", "left_semi")
-    near = held(retrieval.neighbours(points, wanted.select(F.col("id").alias("query_id"), "vec"), max(PREDICT_AMONG, LOOP_AMONG)))
-    long = facts.filter(F.col("turns") >= PREDICT_TURNS)
-    likely = next_tools(long, near, turns, 3, 3, PREDICT_AMONG).filter((F.col("rank") == 1) & (F.col("freq") > PREDICT_SHARE)).join(long.select(F.col("id").alias("query_id"), "used"), "query_id").filter(~F.array_contains("used", F.lower("name")))
-    predict = likely.select(F.lit("predict").alias("kind"), F.col("query_id").alias("hot"), F.lit("").alias("text"), F.col("name").alias("target"), F.col("freq").alias("score"))
-    stuck = activity.stuck(own.select(F.col("id").alias("session_id"), F.col("turn_index").alias("seq"), F.exists("results", lambda r: r["is_error"]).alias("is_error"))).select(F.col("session_id").alias("id"))
-    loop = next_tools(stuck, near, turns, 4, 4, LOOP_AMONG).filter("rank = 1").select(F.lit("loop").alias("kind"), F.col("query_id").alias("hot"), F.lit("").alias("text"), F.col("name").alias("target"), F.col("freq").alias("score"))
+    # All that is known of a session, in one pass over the turns.
+    error = lambda among: F.max_by("error", F.when(F.col("error").isNotNull() & among, F.col("turn_index")))
+    back = F.col("back")
+    every = held(turns.groupBy("id").agg(
+        F.max("session_id").alias("session_id"), F.count(F.lit(1)).alias("turns"), F.max("ts").alias("at"), F.min_by("text", "turn_index").alias("text"),
+        F.max_by("project_path", "turn_index").alias("project"), F.collect_set(F.nullif("project_path", F.lit(""))).alias("projects"),
+        F.array_distinct(F.flatten(F.collect_set(F.transform("names", lambda n: F.lower(n))))).alias("used"),
+        error(F.lit(True)).alias("error"), error(back <= RECALL_TURNS).alias("late_error"), F.count_if(F.col("failed") & (back <= activity.STUCK_WINDOW)).alias("recent_errors"),
+        F.max("hot").alias("hot"), (~F.max("known")).alias("is_new"),
+    ))
+    hot = every.filter("hot")
+    recall = recalled(every.filter("error is not null").select("id", F.col("error").alias("text")), hot.filter("late_error is not null").select("id", F.col("late_error").alias("text")), embed)
+    # Nothing new can be predicted for a session that used every tool there is.
+    tools = every.select(F.explode("used").alias("tool")).agg(F.countDistinct("tool").alias("tools"))
+    long = hot.filter(F.col("turns") >= PREDICT_TURNS).crossJoin(F.broadcast(tools)).filter(F.size(F.array_compact("used")) < F.col("tools"))
+    stuck = hot.filter((F.col("turns") >= activity.STUCK_TURNS) & (F.col("recent_errors") >= activity.STUCK_ERRORS))
+    ask = lambda df, kind, *numbers: df.select(F.lit(kind).alias("kind"), "id", *[F.lit(n).alias(c) for c, n in zip(("last", "horizon", "among"), numbers)])
+    asks = held(_dealt(ask(long, "predict", 3, 3, PREDICT_AMONG).unionAll(ask(stuck, "loop", 4, 4, LOOP_AMONG)), "id"))
+    points = held(_dealt(vectors(every.select("id", "text")), "id"))
+    wanted = points.join(asks.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "vec")
+    near = retrieval.neighbours(points, wanted, max(PREDICT_AMONG, LOOP_AMONG))
+    top = next_tools(asks, near, turns, held).filter("rank = 1").select("query_id.kind", F.col("query_id.id").alias("hot"), "name", "freq").join(hot.select(F.col("id").alias("hot"), "used"), "hot")
+    likely = top.filter((F.col("kind") == "loop") | (F.col("freq") > PREDICT_SHARE) & ~F.array_contains("used", F.lower("name"))).select("kind", "hot", F.lit("").alias("text"), F.col("name").alias("target"), F.col("freq").alias("score"))
     # Of a project's sessions the new one itself is one; they are counted, not paired.
-    of_project = turns.filter("project_path <> ''").groupBy(F.col("project_path").alias("project")).agg(F.countDistinct("id").alias("all"))
-    past = facts.filter("is_new").join(of_project, "project").select("id", F.least(F.col("all") - 1, F.lit(PRIMER_MOST)).alias("n")).filter(F.col("n") >= PRIMER_LEAST)
+    of_project = every.select(F.explode("projects").alias("project")).groupBy("project").agg(F.count(F.lit(1)).alias("all"))
+    past = hot.filter("is_new").join(of_project, "project").select("id", F.least(F.col("all") - 1, F.lit(PRIMER_MOST)).alias("n")).filter(F.col("n") >= PRIMER_LEAST)
     primer = past.select(F.lit("primer").alias("kind"), F.col("id").alias("hot"), F.lit("").alias("text"), F.col("n").cast("string").alias("target"), F.lit(None).cast("double").alias("score"))
-    said = reduce(DataFrame.unionAll, (recall, predict, loop, primer)).join(facts.select(F.col("id").alias("hot"), "session_id", "at"), "hot")
+    said = reduce(DataFrame.unionAll, (recall, likely, primer)).join(hot.select(F.col("id").alias("hot"), "session_id", "at"), "hot")
     return said.select("kind", "session_id", alert_key(F.col("kind"), F.col("session_id"), F.col("target"), F.col("text")).alias("key"), "at", "target", "score")
 
 
@@ -132,14 +158,12 @@ def on_batch(store: str, vectors: Callable[[DataFrame], DataFrame], embed: Calla
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = logs.spoken_turns(batch).drop("line", "v")
+        new = noted(logs.spoken_turns(batch, "changed"), "changed")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
         new.write.mode("overwrite").parquet(f"{store}/turns/batch={number}")
         now = clock if clock is not None else F.lit(batch.agg(F.max("changed")).first()[0]).cast("timestamp")
-        recent = batch.filter(F.unix_micros("changed") >= F.unix_micros(now) - fresh * 1_000_000)
-        turns = _stored(spark, f"{store}/turns", schema, number)
-        known = turns.filter(F.col("batch") < number).select("session_id").distinct().withColumn("known", F.lit(True))
-        hot = logs.spoken_turns(recent).select("session_id").distinct().join(known, "session_id", "left").select(number_of(F.col("session_id")).alias("id"), F.col("known").isNull().alias("is_new"))
+        is_hot = (F.col("batch") == number) & (F.unix_micros("changed") >= F.unix_micros(now) - fresh * 1_000_000)
+        turns = _stored(spark, f"{store}/turns", schema, number).withColumn("hot", is_hot).withColumn("known", F.col("batch") < number).drop("changed", "batch")
         sent = _stored(spark, f"{store}/alerts", ALERT, number - 1)
         kept: list[DataFrame] = []
 
@@ -147,7 +171,7 @@ def on_batch(store: str, vectors: Callable[[DataFrame], DataFrame], embed: Calla
             kept.append(df.persist())
             return kept[-1]
 
-        said = found(held(indexed(turns)), held(hot), vectors, embed, held)
+        said = found(held(indexed(turns)), vectors, embed, held)
         after_waits(said, sent).select("kind", "session_id", "key", "at", "target", "score").write.mode("overwrite").parquet(f"{store}/alerts/batch={number}")
         for df in kept:
             df.unpersist()
